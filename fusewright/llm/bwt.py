@@ -40,26 +40,26 @@ def bounded_common_prefixes(transform: np.ndarray, depth: int) -> np.ndarray:
     Levels stop at ``depth``.
     """
     n = len(transform)
-    order = np.argsort(transform, kind="stable")
+    order = np.argsort(transform, kind="stable").astype(np.int32)
     ranked = transform[order]
-    to = np.empty(n, np.int64)  # where a suffix goes when its preceding byte is put before it
-    to[order] = np.arange(n)
-    after = np.full(n, n, np.int64)  # next and previous suffix with the same preceding byte
-    before = np.full(n, -1, np.int64)
+    to = np.empty(n, np.int32)  # where a suffix goes when its preceding byte is put before it
+    to[order] = np.arange(n, dtype=np.int32)
+    after = np.full(n, n, np.int32)  # next and previous suffix with the same preceding byte
+    before = np.full(n, -1, np.int32)
     same = ranked[1:] == ranked[:-1]
     after[order[:-1][same]] = order[1:][same]
     before[order[1:][same]] = order[:-1][same]
     usable = transform != SEPARATOR
-    prefix = np.full(n + 1, depth, np.int64)
+    prefix = np.full(n + 1, depth, np.int32)
     prefix[0] = prefix[n] = 0
-    left, right = np.array([0]), np.array([n])
+    left, right = np.array([0], np.int32), np.array([n], np.int32)
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
     for level in range(depth):
         if not len(left):
             break
         size = right - left
-        at = np.repeat(left - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        at = np.repeat(left - (np.cumsum(size, dtype=np.int32) - size), size) + np.arange(size.sum(), dtype=np.int32)
         at_right = np.repeat(right, size)
         at_left = np.repeat(left, size)
         inside = usable[at]

@@ -161,7 +161,7 @@ def open_blocks(batch: pa.RecordBatch | pa.Table):
         yield i, block
 
 
-def shard_count(blocks: DataFrame, bytes_each: int = 16 << 20) -> int:
+def shard_count(blocks: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Shards in proportion to the text, so that what one shard gathers stays bounded as the input grows."""
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     return max(12, -(-total // bytes_each))

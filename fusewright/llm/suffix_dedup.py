@@ -33,7 +33,7 @@ from .bwt import SEPARATOR, repeat_groups
 from .common import NULL_ID, column, discard, id_column, open_blocks, pack_blocks, rows_of, shard_count, squeeze, store, unsqueeze
 
 GRAM = 24
-BATCH_BYTES = 6 << 20  # text of one transform; a shard works through its anchors in such batches
+BATCH_BYTES = 1 << 20  # text of one transform; a shard works through its anchors in such batches
 _SENT = pa.schema([("shard", pa.int32()), ("block_id", pa.int64()), ("data", pa.binary())])
 _SENT_SQL = "shard int, block_id long, data binary"
 
