@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .phrase_dedup import remove_phrases
 from .suffix_dedup import remove_repeats
 
 
@@ -9,10 +10,14 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_repeated_phrases(spark, sf_dir):
+    return remove_phrases(_table(spark, sf_dir, "documents"), window=13, digest=True)
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op6_suffix_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_repeated_phrases, op6_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
