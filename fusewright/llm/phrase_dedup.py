@@ -4,7 +4,7 @@ every document is streamed through the automata that can concern it.
 Each word is removed that is covered by a window of 13 words which also starts in a document with a
 smaller ``doc_id``.
 
-1. Blocks of documents send the hashes of their anchors (least hash of seven words within a window) to
+1. Blocks of documents send the hashes of their anchors (least hash of five words within a window) to
    hash shards, distinct per block; a shard marks those of two documents.
 2. Blocks send the distinct stretches of words under marked anchors.  A shard compares their windows word
    by word and confirms the recurring ones with the smallest document of each.  Neighbouring windows with
@@ -33,7 +33,7 @@ from .common import NULL_ID, discard, id_column, open_blocks, pack_blocks, rows_
 from .suffix_dedup import _SENT, _SENT_SQL, by_block, mark_anchors, marked_runs, send_anchors
 from .words import doc_ranges, word_hashes, word_spans
 
-GRAM = 7
+GRAM = 5
 PASSAGES_EACH = 50_000  # passages in one automaton
 
 
@@ -125,11 +125,16 @@ def _passages(told):
 
 
 def _symbol(k: int) -> str:
-    return chr(k + 1 if k + 1 < 0xD800 else k + 1 + 0x800)
+    """A word as two characters of disjoint ranges: a state then has few children, which it keeps in a list."""
+    return chr(1 + (k >> 8)) + chr(0x4000 + (k & 255))
 
 
-def mark_occurrences(docs: list[list[bytes]], ids: list[int], passages: list[tuple[bytes, int]]) -> list[bytearray]:
-    """Streams the documents through automata of the passages; 1 for every word that goes."""
+def mark_occurrences(docs: list[list[bytes]], ids: list[int], passages: list[tuple[bytes, int]], window: int) -> list[bytearray]:
+    """Streams the documents through automata of the passages; 1 for every word that goes.
+
+    A word of no passage takes every automaton back to its root, so stretches between such words are
+    streamed one by one, and those too short for a window not at all.
+    """
     gone = [bytearray(len(d)) for d in docs]
     for at in range(0, len(passages), PASSAGES_EACH):
         symbols: dict[bytes, str] = {}
@@ -139,13 +144,18 @@ def mark_occurrences(docs: list[list[bytes]], ids: list[int], passages: list[tup
             automaton.add_word("".join([symbols.get(w) or symbols.setdefault(w, _symbol(len(symbols))) for w in words]), (owner, len(words)))
         automaton.make_automaton()
         for words, doc_id, mark in zip(docs, ids, gone):
-            for end, (owner, n) in automaton.iter("".join(map(symbols.get, words, repeat("\0")))):
-                if owner < doc_id:
-                    mark[end + 1 - n : end + 1] = b"\1" * n
+            start = 0
+            for piece in "".join(map(symbols.get, words, repeat("\0"))).split("\0"):
+                if len(piece) >= 2 * window:
+                    for end, (owner, n) in automaton.iter(piece):
+                        if owner < doc_id:
+                            to = start + (end >> 1) + 1
+                            mark[to - n : to] = b"\1" * n
+                start += (len(piece) >> 1) + 1
     return gone
 
 
-def _finish(digest):
+def _finish(window, digest):
     def run(batches):
         types = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
         schema = pa.schema(types if digest else [*types, ("kept", pa.string())])
@@ -153,7 +163,7 @@ def _finish(digest):
             told = batch.column("told")
             for i, block in open_blocks(batch):
                 docs = _words(block)
-                gone = mark_occurrences(docs, block.ids.tolist(), _passages(told[i].as_py()))
+                gone = mark_occurrences(docs, block.ids.tolist(), _passages(told[i].as_py()), window)
                 kept = [b" ".join([w for w, g in zip(d, m) if not g]) if 1 in m else b" ".join(d) for d, m in zip(docs, gone)]
                 columns = [id_column(block.ids), [len(d) for d in docs], [sum(m) for m in gone], [hashlib.sha256(k).hexdigest() for k in kept]]
                 yield rows_of(schema, columns if digest else [*columns, [k.decode() for k in kept]])
@@ -173,4 +183,4 @@ def remove_phrases(docs: DataFrame, window: int = 13, digest: bool = False) -> D
     told = store(by_block(stretches.groupBy("shard").applyInArrow(_confirm(window), _SENT_SQL)).withColumnRenamed("said", "told"), "passages")
     discard(marks)
     names = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ("" if digest else ", kept string")
-    return blocks.join(told, "block_id", "left").mapInArrow(_finish(digest), names)
+    return blocks.join(told, "block_id", "left").mapInArrow(_finish(window, digest), names)
