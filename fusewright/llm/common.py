@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20  # text in a block, unless a single document is longer
+BLOCK_DOCS = 1 << 16  # and rows in it; a row of a block is numbered block_id * BLOCK_DOCS + its place
 NULL_ID = np.iinfo(np.int64).max  # stands for a null doc_id inside blocks: later than every real id
 BLOCK_SCHEMA = "block_id long, n_docs long, n_bytes long, ids binary, sizes binary, body binary"
 
@@ -101,12 +102,12 @@ def _pack(carry: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        base, seq = TaskContext.get().partitionId() << 32, 0
+        base, seq = TaskContext.get().partitionId() << 27, 0
         held: list[tuple] = []
-        room = 0
+        room = n_held = 0
 
         def emit():
-            nonlocal held, room, seq
+            nonlocal held, room, n_held, seq
             ids, sizes, body = (np.concatenate([h[k] for h in held]) for k in range(3))
             row = {"block_id": base + seq, "n_docs": len(ids), "n_bytes": len(body), "ids": ids.tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "body": squeeze(body.tobytes())}
             if carry:
@@ -115,7 +116,7 @@ def _pack(carry: bool):
                 with pa.ipc.new_stream(sink, table.schema) as writer:
                     writer.write_table(table.combine_chunks())
                 row["rest"] = squeeze(sink.getvalue().to_pybytes())
-            held, room, seq = [], 0, seq + 1
+            held, room, n_held, seq = [], 0, 0, seq + 1
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()]))
 
         for batch in batches:
@@ -126,14 +127,15 @@ def _pack(carry: bool):
             at = 0
             while at < len(ids):
                 begun = ends[at] - sizes[at]
-                to = max(at + 1, int(np.searchsorted(ends, begun + BLOCK_BYTES - room, side="right")))
+                to = min(at + BLOCK_DOCS - n_held, max(at + 1, int(np.searchsorted(ends, begun + BLOCK_BYTES - room, side="right"))))
                 if room and ends[to - 1] - begun + room > BLOCK_BYTES:  # the next document alone does not fit
                     yield emit()
                     continue
                 held.append((ids[at:to], sizes[at:to], body[begun : ends[to - 1]], carry and rest.slice(at, to - at)))
                 room += int(ends[to - 1] - begun)
+                n_held += to - at
                 at = to
-                if room >= BLOCK_BYTES or at < len(ids):
+                if room >= BLOCK_BYTES or n_held >= BLOCK_DOCS or at < len(ids):
                     yield emit()
         if held:
             yield emit()
@@ -161,6 +163,26 @@ def open_blocks(batch: pa.RecordBatch | pa.Table):
         yield i, block
 
 
+def block_rows(block: Block, which: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Rows of a block packed with its other columns, whole again; nulls are nulls (``_null`` tells which)."""
+    rest = block.rest.take(pa.array(which, pa.int64())).combine_chunks()
+    null = rest.column("_null").to_pylist()
+    text = [None if n else block.body[block.starts[i] : block.ends[i]].decode() for i, n in zip(which.tolist(), null)]
+    made = {"doc_id": id_column(block.ids[which]), "text": pa.array(text, pa.string())}
+    return pa.RecordBatch.from_arrays([made[c] if c in made else column(rest, c) for c in names], names=names)
+
+
+def pack_rows(docs: DataFrame) -> DataFrame:
+    """``pack_blocks`` with all columns, for ``block_rows``."""
+    return pack_blocks(docs.withColumn("_null", F.col("text").isNull()), [*(c for c in docs.columns if c not in ("doc_id", "text")), "_null"])
+
+
+def rows_sql(docs: DataFrame) -> str:
+    """The schema of ``block_rows`` for these documents."""
+    fixed = {"doc_id": "bigint", "text": "string"}
+    return ", ".join(f"`{c}` {fixed.get(c, t)}" for c, t in docs.dtypes)
+
+
 def shard_count(blocks: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Shards in proportion to the text, so that what one shard gathers stays bounded as the input grows."""
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]

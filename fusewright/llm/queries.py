@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import jaccard_components
 from .phrase_dedup import remove_phrases
 from .suffix_dedup import remove_repeats
 
@@ -18,6 +19,10 @@ def op6_suffix_dedup(spark, sf_dir):
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_repeated_phrases, op6_suffix_dedup)}
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_repeated_phrases, op6_suffix_dedup, op8_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
