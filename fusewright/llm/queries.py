@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from .bpe import round_trip
 from .jaccard_join import jaccard_components
+from .langid import identify
+from .packing import pack_documents
 from .phrase_dedup import remove_phrases
+from .quality_rules import judge
 from .suffix_dedup import remove_repeats
 
 
@@ -15,14 +21,30 @@ def op2_repeated_phrases(spark, sf_dir):
     return remove_phrases(_table(spark, sf_dir, "documents"), window=13, digest=True)
 
 
+def op4_quality_rules(spark, sf_dir):
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
+def op7_retrieval_packing(spark, sf_dir):
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, closing=2)
+
+
 def op8_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repeated_phrases, op6_suffix_dedup, op8_jaccard_join)}
+def op9_language_mixture(spark, sf_dir):
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark, sf_dir):
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_repeated_phrases, op4_quality_rules, op6_suffix_dedup, op7_retrieval_packing, op8_jaccard_join, op9_language_mixture, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
