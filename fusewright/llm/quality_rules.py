@@ -1,10 +1,10 @@
 """Quality rules with an isolation forest on their statistics.
 
-Every whole text gets rule statistics; fixed rules reject first, and an isolation forest on ratios of the
-statistics finds documents whose random splits isolate them early.  Trees are grown on samples of 256 from
+Every whole text gets rule statistics; fixed rules reject first, and an isolation forest on the excesses
+of the statistics over tolerated ratios finds documents that random splits isolate early.  Trees are grown on samples of 256 from
 a bounded sample of documents (``FIT_ROWS``, least hash of ``doc_id`` first).  The threshold on the anomaly
 score comes from all labelled rows: the one that rejects most rows of quality 0 among those which reject at
-most 0.2 % of quality 1.
+most 0.5 % of quality 1, and of equal ones the highest.
 
 Defined cases: a null text has no words and fails the base rule; labels whose quality is null, or whose
 document does not exist, do not count; without labels of both kinds only the base rule rejects; a null
@@ -23,9 +23,9 @@ from .common import column, discard, rows_of, store, utf8_parts
 from .words import doc_ranges, word_hashes, word_spans
 
 TREES, SAMPLE, FIT_ROWS, SEED = 200, 256, 8192, 7
-BINS, GOOD_LOSS = 10_000, 0.002
+BINS, GOOD_LOSS = 10_000, 0.005
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_lines", "n_upper", "n_digits", "n_marks", "n_long_words"]
+MORE = ["n_lines", "n_upper", "n_digits", "n_marks"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE = np.zeros(256, bool)
@@ -77,14 +77,25 @@ def statistics(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[s
         "n_upper": _per_doc((body >= 65) & (body <= 90), starts, ends),
         "n_digits": _per_doc((body >= 48) & (body <= 57), starts, ends),
         "n_marks": _per_doc((body > 32) & (body < 127) & ~((body >= 48) & (body <= 57)) & ~((body | 32) >= 97) | (body == 0x5F), starts, ends),
-        "n_long_words": _per_doc(end - first > 20, lo, hi),
     }
 
 
-def ratios(c: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest looks at: sizes on a log scale and shares."""
+def excesses(c: dict[str, np.ndarray]) -> np.ndarray:
+    """What the forest looks at: by how much each ratio leaves what running text may have; mostly 0."""
     w, ch, ln = (np.maximum(c[k], 1).astype(np.float64) for k in ("n_words", "word_chars", "n_lines"))
-    return np.stack([np.log(ch / w), c["n_symbols"] / ch, c["n_dup_lines"] / ln, c["n_repeat_words"] / w, c["n_upper"] / ch, c["n_digits"] / ch, c["n_marks"] / ch, c["n_long_words"] / w], axis=1)
+    over = lambda x, tolerated: np.maximum(0.0, x - tolerated)
+    return np.stack(
+        [
+            over(c["n_symbols"] / ch, 0.01),
+            over(c["n_marks"] / ch, 0.15),
+            over(c["n_upper"] / ch, 0.3),
+            over(c["n_digits"] / ch, 0.3),
+            over(c["n_dup_lines"] / ln, 0.3),
+            over(c["n_repeat_words"] / w, 0.3),
+            over(np.abs(np.log(ch / w) - np.log(5.5)), np.log(2)),
+        ],
+        axis=1,
+    )
 
 
 class IsolationForest:
@@ -165,13 +176,13 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float]:
     spark = stats.sparkSession
     passed = F.expr("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
     sample = stats.where(passed).orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(FIT_ROWS).toPandas()
-    forest = IsolationForest(ratios({k: sample[k].to_numpy() for k in COUNTS + MORE}))
+    forest = IsolationForest(excesses({k: sample[k].to_numpy() for k in COUNTS + MORE}))
     shared = spark.sparkContext.broadcast(forest)
 
     def score(batches):
         for batch in batches:
             c = {k: batch.column(k).to_numpy() for k in COUNTS + MORE}
-            where = np.minimum(BINS - 1, (shared.value.score(ratios(c)) * BINS).astype(np.int64))
+            where = np.minimum(BINS - 1, (shared.value.score(excesses(c)) * BINS).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(where)], names=["quality", "bin"])
 
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality"))
@@ -183,7 +194,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float]:
         return forest, 2.0
     above = hist[:, ::-1].cumsum(axis=1)[:, ::-1]  # rows in this bin or above
     allowed = np.flatnonzero(above[1] <= GOOD_LOSS * above[1, 0])
-    return forest, float(allowed[0]) / BINS if above[0, allowed[0]] > 0 else 2.0
+    best = allowed[above[0, allowed] == above[0, allowed].max()].max()
+    return forest, float(best) / BINS if above[0, best] > 0 else 2.0
 
 
 _VERDICT = pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in COUNTS), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("anomaly", pa.float64())])
@@ -198,7 +210,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             c = {k: batch.column(k).to_numpy() for k in COUNTS + MORE}
-            failed, score = _base_failed(c), shared.value.score(ratios(c))
+            failed, score = _base_failed(c), shared.value.score(excesses(c))
             yield rows_of(_VERDICT, [batch.column("doc_id"), *(c[k] for k in COUNTS), failed, ~failed & (score < threshold), score])
 
     return stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, anomaly double")
@@ -214,7 +226,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             c = _stats_of(batch)
-            keep = ~_base_failed(c) & (shared.value.score(ratios(c)) < threshold)
+            keep = ~_base_failed(c) & (shared.value.score(excesses(c)) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
