@@ -7,24 +7,41 @@ import public_tokenizers
 from .bpe import round_trip
 from .jaccard_join import jaccard_components
 from .langid import identify
+from .lm_score import cross_entropy_difference
 from .packing import pack_documents
 from .phrase_dedup import remove_phrases
 from .quality_rules import judge
 from .suffix_dedup import remove_repeats
+from .vector_neardup import near_duplicates
+from .warc_fixity import audit, damaged, warc_records
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vector_neardup(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op2_repeated_phrases(spark, sf_dir):
     return remove_phrases(_table(spark, sf_dir, "documents"), window=13, digest=True)
 
 
+def op3_lm_score(spark, sf_dir):
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_warc_fixity(spark, sf_dir):
+    """Audits a replica of the archives in which one record of 97 was damaged on purpose."""
+    records = warc_records(_table(spark, sf_dir, "pages"))
+    return audit(records, damaged(records, every=97))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, digest=True)
 
@@ -45,6 +62,42 @@ def op10_bpe(spark, sf_dir):
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repeated_phrases, op4_quality_rules, op6_suffix_dedup, op7_retrieval_packing, op8_jaccard_join, op9_language_mixture, op10_bpe)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_vector_neardup, op2_repeated_phrases, op3_lm_score, op4_quality_rules, op5_warc_fixity, op6_suffix_dedup,
+        op7_retrieval_packing, op8_jaccard_join, op9_language_mixture, op10_bpe,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_repeated_phrases": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS i FROM w),
+        win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM p),
+        gone AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY win) AS first FROM win) WHERE first < doc_id),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM gone),
+        cut AS (SELECT doc_id, list(i) AS gone FROM covered GROUP BY doc_id)
+        SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+          sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+        FROM w LEFT JOIN cut USING (doc_id)""",
+    "op5_warc_fixity": r"""
+        WITH b AS (SELECT page_id, coalesce(url, '') AS url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body FROM pages),
+        r AS (SELECT page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+          || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM b),
+        o AS (SELECT *, floor(coalesce(page_id, 0) / 4096)::BIGINT AS archive FROM r),
+        t AS (SELECT archive, row_number() OVER w - 1 AS place, page_id, sum(strlen(record)) OVER w - strlen(record) AS record_offset, strlen(record) AS record_length, record
+          FROM o WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, sha256(record) ROWS UNBOUNDED PRECEDING))
+        SELECT archive, place::BIGINT AS place, page_id, record_offset::BIGINT AS record_offset, record_length::BIGINT AS record_length, sha256(record) AS digest_here,
+          sha256(substr(record, 1, length(record) - 5) || '?' || substr(record, length(record) - 3, 4)) AS digest_there, 'corrupt' AS status
+        FROM t WHERE coalesce(page_id, 0) % 97 = 5""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+          GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (max(x.n) + max(y.n) - count(*))),
+        reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.other)
+        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(other) FROM reach WHERE reach.doc_id = w.doc_id) AS component_id
+        FROM w LEFT JOIN n USING (doc_id)""",
+}
