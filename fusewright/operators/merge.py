@@ -166,13 +166,21 @@ def merge(records: DataFrame) -> DataFrame:
     )
 
 
+def spread(profiles: DataFrame, field: str) -> DataFrame:
+    """(fusion_id, ord, x): the elements of a field.
+
+    An inner explode would have the optimiser repeat the field's whole expression in a filter; an outer one does not.
+    """
+    return profiles.select("fusion_id", F.posexplode_outer(field).alias("ord", "x")).where("ord is not null").withColumn("ord", F.col("ord").cast("long"))
+
+
 def provenance_rows(profiles: DataFrame) -> DataFrame:
     """fusion_id, field, selected_source, ord, source, method, raw_value, confidence: every value considered."""
-    fields = profiles.select("fusion_id", F.explode("provenance").alias("p"))
-    return fields.select("fusion_id", F.col("p.field").alias("field"), F.col("p.selected_source").alias("selected_source"), F.posexplode("p.entries").alias("ord", "e")).select("fusion_id", "field", "selected_source", "ord", "e.*")
+    fields = spread(profiles, "provenance").select("fusion_id", F.col("x.field").alias("field"), F.col("x.selected_source").alias("selected_source"), F.col("x.entries").alias("entries"))
+    return fields.select("fusion_id", "field", "selected_source", F.posexplode_outer("entries").alias("ord", "e")).select("fusion_id", "field", "selected_source", "ord", "e.*")
 
 
 def conflict_log(profiles: DataFrame) -> DataFrame:
     """Fields with more than one entry."""
-    fields = profiles.select("fusion_id", F.explode("provenance").alias("p")).where(F.size("p.entries") > 1)
-    return fields.select("fusion_id", F.col("p.field").alias("field"), F.size("p.entries").alias("n_values"), F.col("p.selected_source").alias("selected_source"))
+    fields = spread(profiles, "provenance").where(F.size("x.entries") > 1)
+    return fields.select("fusion_id", F.col("x.field").alias("field"), F.size("x.entries").alias("n_values"), F.col("x.selected_source").alias("selected_source"))

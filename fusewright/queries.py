@@ -109,24 +109,24 @@ def scan_urls(spark, sf_dir):
 
 @query(_R + f", n AS (SELECT *, {_NAME('full_name')} AS v FROM r WHERE coalesce(full_name, '') <> '') SELECT fusion_id, arg_min(v, prio) FILTER (v IS NOT NULL AND v <> '') AS full_name, arg_min(source, prio) AS selected_source FROM n GROUP BY fusion_id")
 def merge_scalar(spark, sf_dir):
-    p = M.merge(source_records(spark, sf_dir)).withColumn("p", F.get(F.filter("provenance", lambda x: x["field"] == "full_name"), F.lit(0)))
+    p = M.merge(source_records(spark, sf_dir))
     raw = flat_records(spark, sf_dir).where("coalesce(full_name, '') <> ''").groupBy("fusion_id").agg(F.min_by("source", "prio").alias("selected_source"))
     return p.select("fusion_id", "full_name").join(raw, "fusion_id")
 
 
 @query(_R + f", e AS (SELECT fusion_id, prio, i, {_EMAIL('raw')} AS v FROM (SELECT fusion_id, prio, unnest(string_split(emails, ';')) AS raw, generate_subscripts(string_split(emails, ';'), 1) AS i FROM r)), f AS (SELECT fusion_id, v, min(prio * 100 + i) AS o FROM e WHERE v IS NOT NULL GROUP BY ALL) SELECT fusion_id, v AS email, row_number() OVER (PARTITION BY fusion_id ORDER BY o) - 1 AS ord FROM f")
 def merge_emails(spark, sf_dir):
-    return M.merge(source_records(spark, sf_dir)).select("fusion_id", F.posexplode("emails").alias("ord", "email")).withColumn("ord", F.col("ord").cast("long"))
+    return M.spread(M.merge(source_records(spark, sf_dir)), "emails").withColumnRenamed("x", "email")
 
 
 @query(_R + f", e AS (SELECT fusion_id, prio, i, {_PHONE('raw')} AS v FROM (SELECT fusion_id, prio, unnest(string_split(phones, ';')) AS raw, generate_subscripts(string_split(phones, ';'), 1) AS i FROM r)), f AS (SELECT fusion_id, v, min(prio * 100 + i) AS o FROM e WHERE v IS NOT NULL GROUP BY ALL) SELECT fusion_id, v AS phone, row_number() OVER (PARTITION BY fusion_id ORDER BY o) - 1 AS ord FROM f")
 def merge_phones(spark, sf_dir):
-    return M.merge(source_records(spark, sf_dir)).select("fusion_id", F.posexplode("phones").alias("ord", "phone")).withColumn("ord", F.col("ord").cast("long"))
+    return M.spread(M.merge(source_records(spark, sf_dir)), "phones").withColumnRenamed("x", "phone")
 
 
 @query(_R + ", e AS (SELECT fusion_id, prio, unnest(string_split(links, ';')) AS raw, generate_subscripts(string_split(links, ';'), 1) AS i FROM r), u AS (SELECT fusion_id, prio * 100 + i AS o, split_part(raw, '|', 2) AS label, CASE WHEN starts_with(raw, 'http') THEN split_part(raw, '|', 1) WHEN contains(split_part(raw, '|', 1), '.') THEN 'https://' || split_part(raw, '|', 1) END AS url FROM e) SELECT fusion_id, url, arg_min(label, o) AS label FROM u WHERE url IS NOT NULL GROUP BY fusion_id, url")
 def merge_links(spark, sf_dir):
-    return M.merge(source_records(spark, sf_dir)).select("fusion_id", F.explode("links").alias("x")).select("fusion_id", "x.url", "x.label")
+    return M.spread(M.merge(source_records(spark, sf_dir)), "links").select("fusion_id", "x.url", "x.label")
 
 
 @query(
@@ -137,8 +137,8 @@ def merge_links(spark, sf_dir):
     SELECT fusion_id, name, canonical_name, n_sources, confidence, row_number() OVER (PARTITION BY fusion_id ORDER BY n_sources DESC, confidence DESC, o) - 1 AS ord FROM g"""
 )
 def merge_skills(spark, sf_dir):
-    x = M.merge(source_records(spark, sf_dir)).select("fusion_id", F.posexplode("skills").alias("ord", "x"))
-    return x.select("fusion_id", "x.name", "x.canonical_name", F.size("x.sources").cast("long").alias("n_sources"), "x.confidence", F.col("ord").cast("long").alias("ord"))
+    x = M.spread(M.merge(source_records(spark, sf_dir)), "skills")
+    return x.select("fusion_id", "x.name", "x.canonical_name", F.size("x.sources").cast("long").alias("n_sources"), "x.confidence", "ord")
 
 
 def _keyed_sql(field, parts, sort):
@@ -154,14 +154,14 @@ def _keyed_sql(field, parts, sort):
 
 @query(_keyed_sql("experience", (2, 1, 3, 4), "start_date"))
 def merge_experience(spark, sf_dir):
-    x = M.merge(source_records(spark, sf_dir)).select("fusion_id", F.posexplode("experience").alias("ord", "x"))
-    return x.select("fusion_id", F.col("x.company").alias("a"), F.col("x.title").alias("b"), "x.start_date", "x.end_date", F.col("ord").cast("long").alias("ord"))
+    x = M.spread(M.merge(source_records(spark, sf_dir)), "experience")
+    return x.select("fusion_id", F.col("x.company").alias("a"), F.col("x.title").alias("b"), "x.start_date", "x.end_date", "ord")
 
 
 @query(_keyed_sql("education", (1, 2, 3, 4), "end_date"))
 def merge_education(spark, sf_dir):
-    x = M.merge(source_records(spark, sf_dir)).select("fusion_id", F.posexplode("education").alias("ord", "x"))
-    return x.select("fusion_id", F.col("x.institution").alias("a"), F.col("x.degree").alias("b"), "x.start_date", "x.end_date", F.col("ord").cast("long").alias("ord"))
+    x = M.spread(M.merge(source_records(spark, sf_dir)), "education")
+    return x.select("fusion_id", F.col("x.institution").alias("a"), F.col("x.degree").alias("b"), "x.start_date", "x.end_date", "ord")
 
 
 _ENTRIES = f""", y AS (SELECT * FROM r),
@@ -211,8 +211,8 @@ def conflict_log(spark, sf_dir):
 
 @query(_R + _ENTRIES + " SELECT fusion_id, field, n_sources, confidence, adjusted FROM adj")
 def field_confidence(spark, sf_dir):
-    p = M.merge(source_records(spark, sf_dir)).select("fusion_id", F.explode("provenance").alias("p"))
-    return p.select("fusion_id", "p.field", F.col("p.n_sources").cast("long").alias("n_sources"), "p.confidence", "p.adjusted")
+    p = M.spread(M.merge(source_records(spark, sf_dir)), "provenance")
+    return p.select("fusion_id", "x.field", F.col("x.n_sources").cast("long").alias("n_sources"), "x.confidence", "x.adjusted")
 
 
 @query(_R + _ENTRIES + " SELECT fusion_id, n AS n_sources, overall_confidence, CASE WHEN overall_confidence >= 0.75 THEN 'High' WHEN overall_confidence >= 0.5 THEN 'Medium' ELSE 'Low' END AS tier FROM overall")
