@@ -51,6 +51,32 @@ def _distinct(block):
     return known, place[: len(words)], place[len(words) :], inside, lo, hi
 
 
+def _planes(counts: np.ndarray) -> bytes:
+    """Two rows of counts by byte planes, so that the empty high bytes vanish when compressed."""
+    return np.ascontiguousarray(counts.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(2, n)
+
+
+def _packed(known: np.ndarray, background: np.ndarray, target: np.ndarray) -> bytes:
+    """Sorted hashes as gaps in as few bytes as the largest gap needs, then the counts."""
+    gaps = np.diff(known, prepend=np.uint64(0))
+    width = max(1, -(-int(gaps[1:].max() if len(gaps) > 1 else 0).bit_length() // 8))
+    body = np.ascontiguousarray(gaps[1:]).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return np.array([len(known), width], np.int64).tobytes() + known[:1].tobytes() + body + squeeze(_planes(np.stack([background, target])))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, width = np.frombuffer(data, np.int64, 2).tolist()
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[0] = np.frombuffer(data, np.uint8, 8, 16)
+    gaps[1:, :width] = np.frombuffer(data, np.uint8, (n - 1) * width, 24).reshape(-1, width)
+    known = np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+    return known, _from_planes(unsqueeze(data[24 + (n - 1) * width :]), n)
+
+
 def _ask(shards):
     def run(batches):
         for batch in batches:
@@ -65,8 +91,7 @@ def _ask(shards):
                 target = np.bincount(both, np.concatenate([weight, weight[:-1][inside] if len(inside) else weight[:0]]), minlength=len(known)).astype(np.uint32)
                 cut = A.shard_edges(known, shards)
                 full = np.flatnonzero(np.diff(cut))
-                data = [known[a:b].tobytes() + squeeze(background[a:b].tobytes() + target[a:b].tobytes()) for a, b in zip(cut[full], cut[full + 1])]
-                data = [np.int64(b - a).tobytes() + d for d, a, b in zip(data, cut[full], cut[full + 1])]
+                data = [_packed(known[a:b], background[a:b], target[a:b]) for a, b in zip(cut[full], cut[full + 1])]
                 yield rows_of(_SENT, [full.astype(np.int32), [block.block_id] * len(full), data])
 
     return run
@@ -76,15 +101,16 @@ def _add(table: pa.Table) -> pa.Table:
     """One shard: totals for every block, and under block -1 the shard's words: N, N of the target, V."""
     hashes, counts = [], []
     for x in table.column("data"):
-        x = x.as_py()
-        n = int(np.frombuffer(x, np.int64, 1)[0])
-        hashes.append(np.frombuffer(x, np.uint64, n, 8))
-        counts.append(np.frombuffer(unsqueeze(x[8 + 8 * n :]), np.uint32).reshape(2, n))
+        h, c = _unpacked(x.as_py())
+        hashes.append(h)
+        counts.append(c)
     known, place = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.stack([np.bincount(place, np.concatenate([c[k] for c in counts]), minlength=len(known)) for k in range(2)]).astype(np.uint32)
     answers, at = [], 0
-    for h in hashes:
-        answers.append(squeeze(total[:, place[at : at + len(h)]].tobytes()))
+    for h, c in zip(hashes, counts):
+        mine = total[:, place[at : at + len(h)]].copy()
+        mine[0] -= c[0]  # the block knows its own; most pairs are in one block only
+        answers.append(squeeze(_planes(mine)))
         at += len(h)
     words = (known & np.uint64(1)).astype(bool)
     sums = np.array([total[0, words].sum(dtype=np.int64), total[1, words].sum(dtype=np.int64), words.sum()], np.int64)
@@ -106,7 +132,8 @@ def _score(shards, sums):
                 total = np.zeros((2, len(known)))
                 for x in said[i].as_py() or ():
                     a, b = cut[x["shard"]], cut[x["shard"] + 1]
-                    total[:, a:b] = np.frombuffer(unsqueeze(x["data"]), np.uint32).reshape(2, b - a)
+                    total[:, a:b] = _from_planes(unsqueeze(x["data"]), b - a)
+                total[0] += np.bincount(np.concatenate([word, pair]), minlength=len(known))
                 entropy = []
                 for k, size in ((1, n_target), (0, n)):
                     single = (total[k, word] + 1) / (size + v)
