@@ -7,6 +7,7 @@ is read from the session and only set here when the session has none (tests, a l
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,38 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on from stage to stage and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def batchwise(run):
+    """``run`` for mapInArrow, with memory released after every batch it gives and at the end."""
+
+    def released(batches):
+        for out in run(batches):
+            yield out
+            del out
+            release()
+        release()
+
+    return released
+
+
+def groupwise(run):
+    """``run`` for applyInArrow, with memory released after every group."""
+
+    def released(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    return released
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -149,7 +182,7 @@ def pack_blocks(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
     rest: other columns to carry along (``Block.rest``), in the given order.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(docs[c] for c in rest or ()))
-    return store(plain.mapInArrow(_pack(rest is not None), BLOCK_SCHEMA + ", rest binary" * (rest is not None)), "blocks")
+    return store(plain.mapInArrow(batchwise(_pack(rest is not None)), BLOCK_SCHEMA + ", rest binary" * (rest is not None)), "blocks")
 
 
 def open_blocks(batch: pa.RecordBatch | pa.Table):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _M2, mix, sequence_grams
-from .common import BLOCK_DOCS, NULL_ID, block_rows, components, discard, open_blocks, pack_blocks, pack_rows, rows_of, rows_sql, store
+from .common import BLOCK_DOCS, NULL_ID, batchwise, block_rows, components, discard, open_blocks, pack_blocks, pack_rows, rows_of, rows_sql, store
 from .rtree import CountTree
 from .words import doc_ranges, lower_ascii, word_hashes, word_spans
 
@@ -198,7 +198,7 @@ def _round(meets: DataFrame, blocks: DataFrame, later_rounds: bool) -> DataFrame
     wanted = cut.repartition("meet").sortWithinPartitions("meet").mapInArrow(_survivors(later_rounds), "row long, meet string")
     wanted = store(wanted, "wanted")
     by_block = wanted.groupBy(F.expr(f"row div {BLOCK_DOCS}").alias("block_id")).agg(F.collect_list(F.struct("row", "meet")).alias("wanted"))
-    whole = blocks.join(by_block, "block_id").mapInArrow(_whole_sets, "row long, meet string, members binary")
+    whole = blocks.join(by_block, "block_id").mapInArrow(batchwise(_whole_sets), "row long, meet string, members binary")
     full = whole.join(cut.join(wanted, ["row", "meet"], "left_semi"), ["row", "meet"])
     links = full.repartition("meet").sortWithinPartitions("meet").mapInArrow(_verify(later_rounds), "a long, b long")
     out = store(links, "verified")
@@ -208,7 +208,7 @@ def _round(meets: DataFrame, blocks: DataFrame, later_rounds: bool) -> DataFrame
 
 def _classes(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketch of every row; mark, n and smallest reachable doc_id of every class of equal sets)."""
-    sketch = store(blocks.mapInArrow(_sketch, "row long, doc_id long, n long, mark binary, tokens array<long>, counts binary"), "sketch")
+    sketch = store(blocks.mapInArrow(batchwise(_sketch), "row long, doc_id long, n long, mark binary, tokens array<long>, counts binary"), "sketch")
     least = sketch.where("n > 0").groupBy("mark", "n").agg(F.min(F.struct("doc_id", "row")).alias("x"))
     least = least.select("mark", F.col("x.row").alias("row"), F.col("x.doc_id").alias("least"))
     own = sketch.join(least.select("row", "least"), "row").select("row", "mark", "n", "tokens", "counts", "least")
@@ -256,4 +256,4 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     group = F.when(F.col("n") > 0, F.col("smallest"))
     kept = labelled.where("n > 0 and doc_id = smallest").groupBy(group.alias("g")).agg(F.min("row").alias("row")).select("row").unionByName(labelled.where("n = 0").select("row"))
     places = kept.groupBy(F.expr(f"row div {BLOCK_DOCS}").alias("block_id")).agg(F.collect_list(F.expr(f"row % {BLOCK_DOCS}")).alias("places"))
-    return blocks.join(places, "block_id").mapInArrow(_keep(docs.columns), rows_sql(docs))
+    return blocks.join(places, "block_id").mapInArrow(batchwise(_keep(docs.columns)), rows_sql(docs))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, rows_of, utf8_parts
+from .common import batchwise, column, rows_of, utf8_parts
 from .words import lower_ascii, word_spans
 
 BINS, SMOOTHING = 1 << 16, 0.1
@@ -71,7 +71,7 @@ def _count(batches):
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of every bin in every language) from the rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
-    counted = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_count, "lang string, bin int, n long")
+    counted = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(batchwise(_count), "lang string, bin int, n long")
     sums = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     counts = np.zeros((BINS, len(langs)))
@@ -182,4 +182,4 @@ def with_language(docs: DataFrame, least_share: float = 0.4) -> DataFrame:
                 keep = [p != "und" and s >= least_share for p, s in zip(pred, score)]
                 yield batch.slice(at, to - at).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return docs.mapInArrow(batchwise(run), docs.schema).select(*names)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _M2, mix, sequence_grams
-from .common import column, discard, rows_of, store, utf8_parts
+from .common import batchwise, column, discard, rows_of, store, utf8_parts
 from .words import doc_ranges, word_hashes, word_spans
 
 TREES, SAMPLE, FIT_ROWS, SEED = 200, 256, 8192, 7
@@ -168,7 +168,7 @@ def _base_failed(c):
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE))
+    return plain.mapInArrow(batchwise(_measure), "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE))
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float]:
@@ -229,4 +229,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = ~_base_failed(c) & (shared.value.score(excesses(c)) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(batchwise(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from .bwt import SEPARATOR, repeat_groups
-from .common import NULL_ID, column, discard, id_column, open_blocks, pack_blocks, rows_of, shard_count, squeeze, store, unsqueeze
+from .common import NULL_ID, batchwise, column, discard, groupwise, id_column, open_blocks, pack_blocks, rows_of, shard_count, squeeze, store, unsqueeze
 
 GRAM = 24
 BATCH_BYTES = 1 << 20  # text of one transform; a shard works through its anchors in such batches
@@ -268,10 +268,10 @@ def _prepare(docs: DataFrame, window: int, rest: list[str] | None = None):
     blocks = pack_blocks(docs, rest)
     shards = shard_count(blocks)
     lean = blocks.drop("rest")
-    sent = lean.mapInArrow(send_anchors(shards, window), _SENT_SQL)
-    marks = store(by_block(sent.groupBy("shard").applyInArrow(mark_anchors, _SENT_SQL)), "marks")
-    stretches = lean.join(marks, "block_id", "left").mapInArrow(_send_stretches(shards, window), _SENT_SQL)
-    owned = by_block(stretches.groupBy("shard").applyInArrow(_first_owners(window), _SENT_SQL)).withColumnRenamed("said", "owned")
+    sent = lean.mapInArrow(batchwise(send_anchors(shards, window)), _SENT_SQL)
+    marks = store(by_block(sent.groupBy("shard").applyInArrow(groupwise(mark_anchors), _SENT_SQL)), "marks")
+    stretches = lean.join(marks, "block_id", "left").mapInArrow(batchwise(_send_stretches(shards, window)), _SENT_SQL)
+    owned = by_block(stretches.groupBy("shard").applyInArrow(groupwise(_first_owners(window)), _SENT_SQL)).withColumnRenamed("said", "owned")
     answers = store(marks.join(owned, "block_id", "left"), "owners")
     discard(marks)
     return blocks.join(answers, "block_id", "left"), shards
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False) -> D
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``digest``, the kept bytes."""
     ready, shards = _prepare(docs, window)
     names = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ("" if digest else ", kept binary")
-    return ready.mapInArrow(_finish(shards, window, digest), names)
+    return ready.mapInArrow(batchwise(_finish(shards, window, digest)), names)
 
 
 def edited(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -294,4 +294,4 @@ def edited(docs: DataFrame, window: int = 50) -> DataFrame:
     ready, shards = _prepare(docs.withColumn("_null", F.col("text").isNull()), window, [*rest, "_null"])
     types = dict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in names if c != "doc_id")).dtypes)
     types |= {"n_chars": "bigint"} if "n_chars" in names else {}
-    return ready.mapInArrow(_finish_rows(shards, window, names), ", ".join(f"`{c}` {types[c]}" for c in names))
+    return ready.mapInArrow(batchwise(_finish_rows(shards, window, names)), ", ".join(f"`{c}` {types[c]}" for c in names))
