@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookups import DEFAULT_ALIASES
@@ -50,3 +50,21 @@ def experience_view(profiles: DataFrame) -> DataFrame:
 
 def github_links(profiles: DataFrame) -> DataFrame:
     return profiles.select("fusion_id", F.explode(F.filter("links", lambda x: F.lower(x["label"]) == "github")).alias("x")).select("fusion_id", "x.url")
+
+
+def tier(confidence: Column, high: float = 0.75, medium: float = 0.50) -> Column:
+    """High, Medium or Low."""
+    return F.when(confidence >= high, "High").when(confidence >= medium, "Medium").otherwise("Low")
+
+
+def skill_view(profiles: DataFrame) -> DataFrame:
+    """Skills with a tier of their own bounds; ``place`` orders them by confidence, then as in the profile."""
+    x = profiles.select("fusion_id", F.posexplode("skills").alias("pos", "s")).select("fusion_id", "pos", F.col("s.canonical_name").alias("skill"), F.col("s.confidence").alias("confidence"))
+    place = F.row_number().over(Window.partitionBy("fusion_id").orderBy(F.desc("confidence"), "pos"))
+    return x.select("fusion_id", place.alias("place"), "skill", "confidence", tier(F.col("confidence"), 0.90, 0.75).alias("tier"))
+
+
+def education_view(profiles: DataFrame) -> DataFrame:
+    """Studies, with the grade to two decimals."""
+    x = profiles.select("fusion_id", F.explode_outer("education").alias("x"))
+    return x.select("fusion_id", "x.institution", "x.degree", "x.field_of_study", "x.start_date", "x.end_date", F.format_number("x.gpa", 2).alias("gpa"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import ProfileError
 from ..functions import normalize as N
 from ..functions.lookups import LANGUAGE_SKILLS
 from ..schema import JOB, STUDY
+from .files import exists
+
+LANDED = "user struct<login:string,name:string,email:string,bio:string,blog:string,location:string>, repos array<struct<language:string,fork:boolean>>"
 
 MOST_REPOS, MOST_LANGUAGES = 30, 10
 
@@ -38,3 +42,12 @@ def parse(users: DataFrame, repos: DataFrame, drop_forks_first: bool = True) ->
         "fusion_id", F.lit("github").alias("source"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("candidate_id"), F.col("name").alias("full_name"), F.array_compact(F.array(N.email(F.col("email")))).alias("emails"),
         none("string").alias("phones"), "location", F.col("bio").alias("headline"), F.coalesce("skills", none("string")).alias("skills"), links.alias("links"), none(JOB).alias("experience"), none(STUDY).alias("education"), F.lit(None).cast("string").alias("years_experience"),
     )
+
+
+def read(spark: SparkSession, path: str, drop_forks_first: bool = True) -> DataFrame:
+    """Source records of landed profiles: JSON objects ``user`` and ``repos`` (newest first), one to a file."""
+    if not exists(spark, path):
+        raise ProfileError(f"no profile at {path}")
+    landed = spark.read.schema(LANDED).option("multiLine", True).json(path).where(F.col("user.login").isNotNull()).select(F.col("user.login").alias("fusion_id"), "user", "repos")
+    repos = landed.select("fusion_id", F.posexplode("repos").alias("pos", "r")).select("fusion_id", "pos", "r.language", "r.fork")
+    return parse(landed.select("fusion_id", "user.*"), repos, drop_forks_first)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import ResumeError
 from ..functions import normalize as N
 from ..functions.lookups import SECTIONS
 from ..functions.text import split_multi, strip
+from .files import exists
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 _URL = r"((?:https?://|www\.)[^\s<>\"')]+)"
@@ -46,7 +48,7 @@ def scan(text: Column) -> dict[str, Column]:
     some = lambda c: F.array_distinct(F.filter(c, lambda x: x.isNotNull()))
     urls = some(F.transform(found(_URL), lambda u: N.url(F.regexp_replace(u, r"[.,;]+$", ""))))
     return {
-        "emails": some(F.transform(found(_MAIL), N.email)), "phones": some(F.transform(found(_PHONE), N.phone)),
+        "emails": some(F.transform(found(_MAIL), N.email)), "phones": some(F.transform(found(_PHONE), lambda x: N.phone(x))),
         "links": F.transform(urls, lambda u: F.struct(u.alias("url"), link_label(u).alias("label"))),
     }
 
@@ -126,3 +128,13 @@ def education_of(text: Column) -> Column:
         )
 
     return F.transform(F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(r"(?i)\b(b\.?tech|m\.?tech|bachelor|master|b\.?sc|m\.?sc|b\.?e|m\.?e|ph\.?d|mba|diploma|degree)\b")), entry)
+
+
+def read(spark: SparkSession, path: str, as_of: str = "2025-01") -> DataFrame:
+    """Source records of résumés in plain text, one to a file."""
+    if not exists(spark, path):
+        raise ResumeError(f"no résumé at {path}")
+    docs = spark.read.text(path, wholetext=True).select(F.sha2(F.col("_metadata.file_path"), 256).alias("doc_id"), F.col("value").alias("text")).where(strip(F.col("value")) != "")
+    if docs.isEmpty():
+        raise ResumeError(f"no text in {path}")
+    return parse(docs, as_of)
