@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fusewright.__main__ import main
 from fusewright.errors import ConfigError, CsvError
-from fusewright.pipeline import by_first_email, fuse, run_pipeline, safe_run
+from fusewright.pipeline import by_first_email, run_pipeline, safe_run
 from fusewright.plans.project import education_view, skill_view, tier
 from fusewright.sources import ats, profile, resume, table
 from fusewright.sources.files import load_config
@@ -83,13 +83,18 @@ def test_run(spark, files):
         load_config(spark, f"{files}/r.txt", strict=True)
 
 
-def test_views(spark, files):
-    p = fuse(ats.read(spark, f"{files}/a.json")).cache()
-    assert [(x.place, x.skill) for x in skill_view(p).orderBy("place").collect()] == [(1, "Kubernetes"), (2, "Python")]
-    assert education_view(p).first().gpa == "8.50"
+def test_views(spark):
+    rows = [("e", [("Go", 0.8), ("Python", 0.95), ("SQL", 0.8)], [("Open University", "BSc", None, "2010-01", None, 8.5)]), ("f", [], None)]
+    p = spark.createDataFrame(rows, "fusion_id string, skills array<struct<canonical_name:string,confidence:double>>, education array<struct<institution:string,degree:string,field_of_study:string,start_date:string,end_date:string,gpa:double>>")
+    assert [(x.place, x.skill, x.tier) for x in skill_view(p).orderBy("place").collect()] == [(1, "Python", tier_of(0.95)), (2, "Go", tier_of(0.8)), (3, "SQL", tier_of(0.8))]
+    assert [(x.fusion_id, x.gpa) for x in education_view(p).orderBy("fusion_id").collect()] == [("e", "8.50"), ("f", None)]
     assert [x[0] for x in spark.createDataFrame([(0.8,), (0.5,), (0.1,), (None,)], "c double").select(tier(F.col("c"))).collect()] == ["High", "Medium", "Low", "Low"]
 
 
+def tier_of(confidence):
+    return "High" if confidence >= 0.9 else "Medium"
+
+
 def test_refresh(spark, files):
     first = by_first_email(table.read(spark, f"{files}/c.csv"))
     schema = first.schema
