@@ -223,11 +223,14 @@ def _classes(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     comp = components(classes.select(F.col("row").alias("id")), links)
     named = comp.join(classes.select(F.col("row").alias("id"), "mark", "n", "least"), "id")
     smallest = named.groupBy("component_id").agg(F.min("least").alias("smallest"))
-    return sketch, store(named.join(smallest, "component_id").select("mark", "n", "smallest"), "classes")
+    return sketch, store(named.join(smallest, "component_id").select("mark", "n", "smallest", "component_id"), "classes")
 
 
 def _labelled(blocks: DataFrame) -> DataFrame:
-    """row, doc_id, n and smallest of every packed row; smallest is its own for an empty set."""
+    """row, doc_id, n, smallest and component_id (a row of the component) of every packed row.
+
+    An empty set has its own doc_id as smallest, and no component_id.
+    """
     sketch, classes = _classes(blocks)
     return sketch.select("row", "doc_id", "n", "mark").join(classes, ["mark", "n"], "left").withColumn("smallest", F.coalesce("smallest", "doc_id"))
 
@@ -249,11 +252,13 @@ def _keep(names):
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest ``doc_id`` of their component, one row each; no others."""
+    """Of each component the first row that has its smallest ``doc_id``, and every row of an empty set; no others.
+
+    Components are told apart by row numbers, so unrelated documents of equal or null ``doc_id`` all stay.
+    """
     blocks = pack_rows(docs)
     lean = blocks.drop("rest")
     labelled = _labelled(lean)
-    group = F.when(F.col("n") > 0, F.col("smallest"))
-    kept = labelled.where("n > 0 and doc_id = smallest").groupBy(group.alias("g")).agg(F.min("row").alias("row")).select("row").unionByName(labelled.where("n = 0").select("row"))
+    kept = labelled.where("n > 0 and doc_id = smallest").groupBy("component_id").agg(F.min("row").alias("row")).select("row").unionByName(labelled.where("n = 0").select("row"))
     places = kept.groupBy(F.expr(f"row div {BLOCK_DOCS}").alias("block_id")).agg(F.collect_list(F.expr(f"row % {BLOCK_DOCS}")).alias("places"))
     return blocks.join(places, "block_id").mapInArrow(batchwise(_keep(docs.columns)), rows_sql(docs))

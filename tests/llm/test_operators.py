@@ -160,3 +160,12 @@ def test_warc(spark):
 @pytest.mark.parametrize("run", [remove_phrases, remove_repeats, jaccard_components, identify, lambda d: pack_documents(d, P.path("word_bpe_49k.json"))])
 def test_empty(spark, run):
     assert run(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_first_of_each_keeps_every_component(spark):
+    rng = np.random.default_rng(7)
+    a, b, c, d, e = (" ".join(f"{k}{x}" for x in rng.integers(0, 500, 60)) for k in "abcde")
+    rows = [(None, a), (None, b), (None, a), (3, c), (3, d), (3, d), (9, c), (2, e), (None, e), (2, e), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, None, 1, "b", k) for k, (i, t) in enumerate(rows)], COLUMNS).coalesce(1)
+    kept = sorted(((r.doc_id, r.text) for r in first_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(None, a), (None, b), (3, c), (3, d), (2, e), (None, None), (None, "")], key=repr)
