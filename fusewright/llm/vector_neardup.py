@@ -1,11 +1,14 @@
 """Near-duplicate vectors by NN-descent.
 
-1. Equal vectors of one label become one node with a count.
-2. A first neighbour graph comes from random-projection trees: nodes of a leaf compare with one another.
+1. Equal vectors of one label become one node with a count.  A label of at most ``PIECE`` nodes is compared
+   pair by pair; the rest is for larger ones.
+2. A first neighbour graph comes from random-projection trees, as deep as the label's own count asks for: nodes
+   of a leaf compare with one another.
 3. NN-descent refines it: every node introduces its neighbours and reverse neighbours to one another
    (neighbours of neighbours), and each keeps its best.  Rounds end when they find no further link.
-4. The audit compares the links of a fixed number of nodes with brute force over all nodes; below the
-   wanted recall more trees and rounds follow.
+4. The audit compares what the result would say of some nodes of each label with brute force over the label; a
+   label below the wanted recall, or in which no link was seen, gets more trees and rounds.  One that
+   never passes is compared pair by pair too, or above ``EXACT`` nodes the run ends with an error.
 5. Links are the edges at or above the threshold.  A node whose whole list is above it may have more links
    than the list holds: then the list is enlarged to all nodes of its component, whose pairs are counted
    piece by piece, without ever being rows.
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, components, discard, rows_of, store
 
 LIST, TREES, LEAF, PIECE, MEMBERS, AUDITED, SEED = 12, 10, 128, 1024, 256, 200, 11
+CHUNK, EXACT = 4096, 1 << 17
 MORE_TREES, WANTED_RECALL, MOST_ROUNDS = 10, 0.995, 6
 
 
@@ -103,17 +107,17 @@ def _merge(*lists: DataFrame) -> DataFrame:
     return every.groupBy("node").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, LIST).alias("near"))
 
 
-def _leaves(nodes: DataFrame, depth: int, trees: range) -> DataFrame:
-    """key, node, vec for each tree: the signs along the tree's random directions name the leaf."""
+def _leaves(nodes: DataFrame, trees: range) -> DataFrame:
+    """key, node, vec for each tree: the signs along the tree's ``depth`` random directions name the leaf."""
 
     def run(batches):
         schema = pa.schema([("key", pa.string()), ("node", pa.int64()), ("vec", pa.binary())])
         for batch in batches:
             vecs = batch.column("vec").to_pylist()
-            sizes = np.array([len(v) for v in vecs])
+            shapes = np.array([(len(v), d) for v, d in zip(vecs, batch.column("depth").to_pylist())], np.int64).reshape(-1, 2)
             out = []
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
+            for size, depth in np.unique(shapes, axis=0).tolist():
+                at = np.flatnonzero((shapes == (size, depth)).all(axis=1))
                 x = _unit([vecs[i] for i in at])
                 space = [batch.column("space")[int(i)].as_py() for i in at]
                 for t in trees:
@@ -146,91 +150,157 @@ def _links(graph: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).distinct()
 
 
-def _audit(nodes: DataFrame, graph: DataFrame, threshold: float) -> float:
-    """Share of the true links of ``AUDITED`` nodes that the graph has (lists that are full count as whole)."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(AUDITED).toPandas()
-    if not len(asked):
-        return 1.0
-    asked = nodes.sparkSession.sparkContext.broadcast(asked)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _asked(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """Nodes to audit, with a weight: of each label's nodes with full, part and empty lists about the root of their label's count."""
+    n_links = F.coalesce(F.expr(f"size(filter(near, x -> x.less <= {-threshold}))"), F.lit(0))
+    kind = F.when(n_links >= LIST, 2).when(n_links > 0, 1).otherwise(0)
+    state = nodes.select("node", "space", "total").join(graph, "node", "left").select("node", "space", "total", kind.alias("kind"))
+    share = F.col("members") / F.greatest(F.lit(float(AUDITED)), F.sqrt("total"))
+    sizes = state.groupBy("space", "kind").agg(F.count(F.lit(1)).alias("members"), F.first("total").alias("total")).select("space", "kind", F.greatest(F.lit(1.0), share).alias("weight"))
+    drawn = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) * F.col("weight") < (1 << 30)
+    return state.join(sizes, ["space", "kind"]).where(drawn).select("node", "kind", "weight")
+
+
+def _true_links(nodes: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all links of the asked nodes a, by brute force over their labels in chunks."""
+    chunks = F.ceil(F.col("total") / CHUNK).cast("long")
+    every = nodes.select(F.concat_ws("#", "space", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks)).alias("key"), "node", "vec", F.lit(False).alias("asks"))
+    mine = nodes.join(asked.select("node"), "node").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    both = every.unionByName(mine.select(F.concat_ws("#", "space", "chunk").alias("key"), "node", "vec", F.lit(True).alias("asks")))
 
     def run(batches):
-        q = asked.value
-        for batch in batches:
-            space = np.array(batch.column("space").to_pylist(), dtype=object)
-            for name in set(space) & set(q["space"]):
-                mine, at = q[q["space"] == name], np.flatnonzero(space == name)
-                node = batch.column("node").to_numpy()[at]
-                s = _unit(list(mine["vec"])) @ _unit(batch.column("vec").take(pa.array(at)).to_pylist()).T
-                i, j = np.nonzero(s >= threshold)
-                a, b = mine["node"].to_numpy()[i], node[j]
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for table in _groups(batches):
+            node, asks = table.column("node").to_numpy(), np.array(table.column("asks").to_pylist(), bool)
+            x = _unit(table.column("vec").to_pylist())
+            q, base, names, others = x[asks], x[~asks].T, node[asks], node[~asks]
+            for at in range(0, len(q), 512):
+                i, j = np.nonzero(np.round(q[at : at + 512] @ base, 12) >= threshold)
+                a, b = names[at + i], others[j]
                 yield rows_of(schema, [a[a != b], b[a != b]])
 
-    true = nodes.mapInArrow(run, "a long, b long")
-    have = graph.select(F.col("node").alias("a"), F.expr(f"transform(filter(near, x -> x.less <= {-threshold}), x -> x.other)").alias("have"))
-    back = graph.select(F.explode("near").alias("x"), F.col("node").alias("b")).where(F.col("x.less") <= -threshold).select(F.col("x.other").alias("a"), "b").withColumn("back", F.lit(True)).distinct()
-    hit = F.coalesce(F.array_contains("have", F.col("b")) | (F.size("have") >= LIST), F.lit(False)) | F.coalesce("back", F.lit(False))
-    got = true.join(have, "a", "left").join(back, ["a", "b"], "left").agg(F.avg(hit.cast("double"))).first()[0]
-    return 1.0 if got is None else got
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def _counted(nodes: DataFrame, comp: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
-    """Exact links of every node of the components that hold a node with a full list: (node, linked)."""
-    chosen = comp.join(comp.join(full, "node", "left_semi").select("component_id").distinct(), "component_id", "left_semi")
-    size = chosen.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("long").alias("pieces"))
-    member = chosen.join(size, "component_id").join(nodes, "node").withColumn("piece", F.pmod(F.xxhash64("node", F.lit("piece")), F.col("pieces")))
+def _unproven(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """The labels (``space``, ``total``) whose audit did not reach ``WANTED_RECALL`` or saw no link of a list that is not full.
+
+    Found is what the result counts: an edge of the graph, or a pair of a component whose pairs are all counted.
+    Every node weighs the same however many links it has, and full lists are judged apart from the others.
+    """
+    asked = store(_asked(nodes, graph, threshold), "asked")
+    links = store(_links(graph, threshold), "links")
+    comp = store(components(nodes.select(F.col("node").alias("id")), links), "components").select(F.col("id").alias("node"), "component_id")
+    counted = comp.join(_full(graph, threshold), "node", "left_semi").select("component_id").distinct().withColumn("counted", F.lit(True))
+    pairs = _true_links(nodes, asked, threshold).select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    pairs = pairs.join(links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("listed")), ["x", "y"], "left")
+    pairs = pairs.join(comp.select(F.col("node").alias("a"), F.col("component_id").alias("c")), "a").join(comp.select(F.col("node").alias("b"), F.col("component_id").alias("d")), "b")
+    pairs = pairs.join(counted.withColumnRenamed("component_id", "c"), "c", "left")
+    hit = F.coalesce("listed", F.col("counted") & (F.col("c") == F.col("d")), F.lit(False))
+    shares = pairs.groupBy(F.col("a").alias("node")).agg(F.avg(hit.cast("double")).alias("share")).join(asked, "node").join(nodes.select("node", "space"), "node")
+    recall = lambda of: F.sum(F.when(of, F.col("weight") * F.col("share"))) / F.sum(F.when(of, F.col("weight")))
+    passed = shares.groupBy("space").agg(recall(F.col("kind") < 2).alias("open"), F.coalesce(recall(F.col("kind") == 2), F.lit(1.0)).alias("full")).where(f"open >= {WANTED_RECALL} and full >= {WANTED_RECALL}")
+    out = store(nodes.select("space", "total").distinct().join(passed, "space", "left_anti"), "unproven")
+    for table in (asked, links):
+        discard(table)
+    return out
+
+
+def _full(graph: DataFrame, threshold: float) -> DataFrame:
+    return graph.where(f"size(near) >= {LIST} and element_at(near, {LIST}).less <= {-threshold}").select("node")
+
+
+def _roots(close: np.ndarray) -> np.ndarray:
+    """For each member of a group the first member it reaches."""
+    root = np.full(len(close), -1)
+    for i in range(len(close)):
+        front = np.array([i] if root[i] < 0 else [], np.int64)
+        root[front] = i
+        while len(front):
+            front = np.flatnonzero(close[front].any(axis=0) & (root < 0))
+            root[front] = i
+    return root
+
+
+def _all_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """members: group, node, n, vec.  (node, linked, root) of each node in each pair of pieces of its group.
+
+    The sum of ``linked`` is exact; edges to ``root`` connect whatever links of the group connect.
+    """
+    size = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("long").alias("pieces"))
+    member = members.join(size, "group").withColumn("piece", F.pmod(F.xxhash64("node", F.lit("piece")), F.col("pieces")))
     paired = member.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    keyed = paired.select(F.concat_ws("#", "component_id", F.least("piece", "with"), F.greatest("piece", "with")).alias("key"), "node", "n", "piece", "vec")
+    keyed = paired.select(F.concat_ws("#", "group", F.least("piece", "with"), F.greatest("piece", "with")).alias("key"), "node", "n", "piece", "vec")
 
     def run(batches):
-        schema = pa.schema([("node", pa.int64()), ("linked", pa.int64())])
+        schema = pa.schema([("node", pa.int64()), ("linked", pa.int64()), ("root", pa.int64())])
         for table in _groups(batches):
             piece, n, node = (table.column(c).to_numpy() for c in ("piece", "n", "node"))
             x = _unit(table.column("vec").to_pylist())
-            two = piece.min() != piece.max()
-            linked = np.zeros(len(node), np.int64)
+            close = np.empty((len(node), len(node)), bool)
             for at in range(0, len(node), 512):
-                close = x[at : at + 512] @ x.T >= threshold
-                if two:  # pairs within one piece are counted where it meets itself
-                    close &= piece[at : at + 512, None] != piece[None, :]
-                else:
-                    close[np.arange(close.shape[0]), at + np.arange(close.shape[0])] = False
-                linked[at : at + 512] = close @ n
-            yield rows_of(schema, [node, linked])
+                close[at : at + 512] = np.round(x[at : at + 512] @ x.T, 12) >= threshold
+            if piece.min() != piece.max():  # pairs within one piece are counted where it meets itself
+                close &= piece[:, None] != piece[None, :]
+            np.fill_diagonal(close, False)
+            close |= close.T
+            yield rows_of(schema, [node, np.concatenate([close[at : at + 512] @ n for at in range(0, len(node), 512)]), node[_roots(close)]])
 
-    counted = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, linked long")
-    return counted.groupBy("node").agg(F.sum("linked").alias("linked"))
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, linked long, root long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
-    """vec_id, n_links, component_id and kept of each row of (vec_id, embedding, label); pairs only within a label."""
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    rows = store(plain.mapInArrow(_prepare, "vec_id long, space string, vec binary").withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("space", "vec"))), "vectors")
-    name = F.coalesce("vec_id", F.lit(NULL_ID))
-    nodes = store(rows.where("node is not null").groupBy("node").agg(F.first("space").alias("space"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min(name).alias("least")), "nodes")
-    most = nodes.groupBy("space").count().agg(F.max("count")).first()[0] or 1
-    depth = max(1, int(np.ceil(np.log2(max(2.0, most / LEAF)))))
-    graph = store(_merge(_grouped(_leaves(nodes, depth, range(TREES)))), "graph")
+def _counted(nodes: DataFrame, comp: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """Exact links of every node of the components that hold a node with a full list: (node, linked)."""
+    chosen = comp.join(comp.join(full, "node", "left_semi").select("component_id").distinct(), "component_id", "left_semi")
+    members = chosen.join(nodes, "node").select(F.col("component_id").alias("group"), "node", "n", "vec")
+    return _all_pairs(members, threshold).groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def _searched(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(graph by NN-descent, labels whose audit did not pass)."""
+    graph = store(_merge(_grouped(_leaves(nodes, range(TREES)))), "graph")
     trees, known = TREES, _links(graph, threshold).count()
-    for _ in range(MOST_ROUNDS):
+    for left in reversed(range(MOST_ROUNDS)):
         better = store(_merge(graph, _introduced(nodes, graph)), "graph")
         discard(graph)
         graph, before = better, known
         known = _links(graph, threshold).count()
-        if known > before * 1.001 + 1:
+        if left and known > before * 1.001 + 1:
             continue
-        if _audit(nodes, graph, threshold) >= WANTED_RECALL:
-            break
-        more = store(_merge(graph, _grouped(_leaves(nodes, depth, range(trees, trees + MORE_TREES)))), "graph")
+        unproven = _unproven(nodes, graph, threshold)
+        if not left or unproven.isEmpty():
+            return graph, unproven
+        again = nodes.join(unproven.select("space"), "space", "left_semi")
+        more = store(_merge(graph, _grouped(_leaves(again, range(trees, trees + MORE_TREES)))), "graph")
         discard(graph)
         graph, trees = more, trees + MORE_TREES
         known = _links(graph, threshold).count()
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+    """vec_id, n_links, component_id and kept of each row of (vec_id, embedding, label); pairs only within a label."""
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    rows = store(plain.mapInArrow(_prepare, "vec_id long, space string, vec binary").withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("space", "vec"))), "vectors")
+    name = F.coalesce("vec_id", F.lit(NULL_ID))
+    valid = rows.where("node is not null")
+    totals = valid.groupBy("space").agg(F.countDistinct("node").alias("total"))
+    depth = F.when(F.col("total") <= PIECE, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log2(F.col("total") / LEAF)))).cast("int")
+    nodes = store(valid.groupBy("node").agg(F.first("space").alias("space"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min(name).alias("least")).join(totals, "space").withColumn("depth", depth), "nodes")
+    whole, large = nodes.where(F.col("total") <= PIECE), nodes.where(F.col("total") > PIECE)
+    graph, unproven = _searched(large, threshold) if not large.isEmpty() else (large.sparkSession.createDataFrame([], _NEAR_SQL), None)
+    if unproven is not None:
+        beyond = unproven.where(F.col("total") > EXACT).first()
+        if beyond:
+            raise RuntimeError(f"label {beyond.space} of {beyond.total} distinct vectors did not pass the audit of its links")
+        whole = whole.unionByName(large.join(unproven.select("space"), "space", "left_semi"))
+        graph = graph.join(whole, "node", "left_anti")
+    pairs = store(_all_pairs(whole.select(F.col("space").alias("group"), "node", "n", "vec"), threshold), "pairs")
     links = store(_links(graph, threshold), "links")
-    comp = store(components(nodes.select(F.col("node").alias("id")), links), "components").select(F.col("id").alias("node"), "component_id")
-    full = graph.where(f"size(near) >= {LIST} and element_at(near, {LIST}).less <= {-threshold}").select("node")
+    joined = links.unionByName(pairs.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    comp = store(components(nodes.select(F.col("node").alias("id")), joined), "components").select(F.col("id").alias("node"), "component_id")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     listed = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("listed"))
-    exact = _counted(nodes, comp, full, threshold)
+    exact = _counted(large, comp, _full(graph, threshold), threshold).unionByName(pairs.groupBy("node").agg(F.sum("linked").alias("linked")))
     least = comp.join(nodes, "node").groupBy("component_id").agg(F.min("least").alias("first"))
     known = nodes.select("node", "n").join(comp, "node").join(least, "component_id").join(listed, "node", "left").join(exact, "node", "left")
     known = known.select("node", "first", (F.coalesce("linked", "listed", F.lit(0)) + F.col("n") - 1).alias("n_links"))

@@ -169,3 +169,38 @@ def test_first_of_each_keeps_every_component(spark):
     docs = spark.createDataFrame([(i, t, None, None, 1, "b", k) for k, (i, t) in enumerate(rows)], COLUMNS).coalesce(1)
     kept = sorted(((r.doc_id, r.text) for r in first_of_each(docs).collect()), key=repr)
     assert kept == sorted([(None, a), (None, b), (3, c), (3, d), (2, e), (None, None), (None, "")], key=repr)
+
+
+def _pair(rng, cosine, size=32):
+    a, b = rng.standard_normal((2, size))
+    a /= np.linalg.norm(a)
+    b -= a * (a @ b)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)
+
+
+def test_vectors_of_small_labels_beside_a_large_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.standard_normal((1500, 32)))]
+    rows += [(10000 + 2 * k + j, v.tolist(), 1 + k) for k in range(80) for j, v in enumerate(_pair(rng, 0.932))]
+    # two tight groups, linked with one another, that fill each other's lists
+    rows += [(20000 + 20 * j + i, (v + 0.002 * rng.standard_normal(32)).tolist(), 200) for j, v in enumerate(_pair(rng, 0.95)) for i in range(20)]
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [k for k in range(80) if got[10000 + 2 * k].n_links != 1 or got[10001 + 2 * k].component_id != 10000 + 2 * k] == []
+    assert {(got[20000 + i].n_links, got[20000 + i].component_id) for i in range(40)} == {(39, 20000)}
+
+
+@pytest.mark.parametrize("found, open_spaces", [("all", set()), ("hot", {"a"}), ("none", {"a"})])
+def test_vector_audit_sees_missing_links(spark, found, open_spaces):
+    from fusewright.llm.vector_neardup import LIST, _unproven
+
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(32)
+    hot = [(i, base + 0.01 * rng.standard_normal(32)) for i in range(60)]
+    sparse = [(1000 + 2 * k + j, v) for k in range(20) for j, v in enumerate(_pair(rng, 0.95))]
+    rows = [] if found == "none" else hot + sparse
+    rows += [(5000 + i, v) for i, v in enumerate(rng.standard_normal((30, 32)))]
+    nodes = spark.createDataFrame([(i, "a", v.tobytes(), len(rows)) for i, v in rows], "node long, space string, vec binary, total long")
+    near = [(i, [(-0.99, j % 60) for j in range(i + 1, i + 1 + LIST)]) for i, _ in hot] if found != "none" else []
+    near += [(i, [(-0.95, i ^ 1)]) for i, _ in sparse] if found == "all" else []
+    graph = spark.createDataFrame(near, "node long, near array<struct<less:double,other:long>>")
+    assert {r.space for r in _unproven(nodes, graph, 0.93).collect()} == open_spaces
