@@ -3,12 +3,13 @@
 Pages become WARC response records in archives; a record's leaf is the SHA-256 of its bytes.  Leaves in
 offset order are hashed in groups of ``FANOUT`` up to one root for each archive, and archives to one root for
 the replica.  Replicas compare roots, and only below mismatching nodes are further levels compared, until
-the records that differ are located.  Every step is a DataFrame join or aggregation of groups of bounded
+the records that differ are located.  Below these nodes records are matched by what they are (archive, page_id,
+url), not by place: first those of equal digest, then the rest in order.  Every step is a DataFrame join or aggregation of groups of bounded
 size; what matches is never compared record by record.
 
 Defined cases: null fields are empty in the record; pages of equal id are ordered by url, then by content;
 a null page_id sorts first in archive 0; empty tables have no archives and no findings; other columns are not
-read.  A record that one replica lacks is ``missing`` or ``extra``.
+read.  A record that one replica lacks is ``missing`` or ``extra``, wherever it stood; records that only moved are intact.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ FANOUT, ARCHIVE_PAGES = 16, 4096
 
 
 def warc_records(pages: DataFrame, archive_pages: int = ARCHIVE_PAGES) -> DataFrame:
-    """archive, place, page_id, record_offset, record_length, record (text) of every page, in order of page_id."""
+    """archive, place, page_id, record_offset, record_length, record (text), url of every page, in order of page_id."""
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), html)
     head = F.concat(
@@ -34,11 +35,11 @@ def warc_records(pages: DataFrame, archive_pages: int = ARCHIVE_PAGES) -> DataFr
     # long texts stay out of the sort: order by digest where id and url are equal
     order = Window.partitionBy("archive").orderBy(F.asc_nulls_first("page_id"), "url", F.sha2("record", 256))
     size = F.octet_length("record").cast("long")
-    return records.select("archive", (F.row_number().over(order) - 1).cast("long").alias("place"), "page_id", (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("record_offset"), size.alias("record_length"), "record")
+    return records.select("archive", (F.row_number().over(order) - 1).cast("long").alias("place"), "page_id", (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("record_offset"), size.alias("record_length"), "record", "url")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    return records.select("archive", F.col("place").alias("node"), "page_id", "record_offset", "record_length", F.sha2("record", 256).alias("digest"))
+    return records.select("archive", F.col("place").alias("node"), "page_id", "url", "record_offset", "record_length", F.sha2("record", 256).alias("digest"))
 
 
 def _above(level: DataFrame) -> DataFrame:
@@ -60,6 +61,20 @@ def merkle_levels(leaf: DataFrame, archive_pages: int = ARCHIVE_PAGES) -> list[D
     return out
 
 
+def _matched(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Leaves x and y of two replicas side by side, as structs ``x`` and ``y``; those of equal digest are left out.
+
+    What is not below a suspect node is the same in both, so nothing in x has its match outside y.
+    """
+    both = x.withColumn("side", F.lit(0)).unionByName(y.withColumn("side", F.lit(1))).repartition("archive", "page_id", "url")
+    who = ["archive", "page_id", "url"]
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy(*who, "digest", "side").orderBy("node")))
+    rest = both.withColumn("sides", F.count(F.lit(1)).over(Window.partitionBy(*who, "digest", "nth"))).where("sides = 1")
+    rest = rest.withColumn("nth", F.row_number().over(Window.partitionBy(*who, "side").orderBy("node")))
+    leaf = F.struct("archive", "node", "page_id", "record_offset", "record_length", "digest")
+    return rest.groupBy(*who, "nth").agg(*(F.max(F.when(F.col("side") == k, leaf)).alias(name) for k, name in enumerate("xy"))).select("x", "y")
+
+
 def audit(mine: DataFrame, other: DataFrame, archive_pages: int = ARCHIVE_PAGES) -> DataFrame:
     """Records in which replica ``other`` differs from ``mine``: archive, place, page_id, offsets, digests, status.
 
@@ -69,13 +84,15 @@ def audit(mine: DataFrame, other: DataFrame, archive_pages: int = ARCHIVE_PAGES)
     a, b = (merkle_levels(store(leaves(replica), "leaves"), archive_pages) for replica in (mine, other))
     differs: Column = ~F.col("x.digest").eqNullSafe(F.col("y.digest"))
     suspects = None
-    for x, y in zip(reversed(a), reversed(b)):
-        if suspects is not None:  # only below nodes that mismatch
-            parent = F.floor(F.col("node") / FANOUT)
-            x, y = (t.withColumn("parent", parent).join(suspects, ["archive", "parent"], "left_semi") for t in (x, y))
+
+    def below(level: DataFrame) -> DataFrame:  # only below nodes that mismatch
+        return level if suspects is None else level.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(suspects, ["archive", "parent"], "left_semi")
+
+    for x, y in zip(reversed(a[1:]), reversed(b[1:])):
         keys = (F.col("x.archive") == F.col("y.archive")) & (F.col("x.node") == F.col("y.node"))
-        found = x.alias("x").join(y.alias("y"), keys, "full").where(differs)
+        found = below(x).alias("x").join(below(y).alias("y"), keys, "full").where(differs)
         suspects = found.select(F.coalesce("x.archive", "y.archive").alias("archive"), F.coalesce("x.node", "y.node").alias("parent"))
+    found = _matched(below(a[0]), below(b[0]))
     status = F.when(F.col("y.digest").isNull(), "missing").when(F.col("x.digest").isNull(), "extra").otherwise("corrupt")
     pick = lambda c: F.coalesce(f"x.{c}", f"y.{c}").alias(c)
     return found.select(pick("archive"), pick("node"), pick("page_id"), pick("record_offset"), pick("record_length"), F.col("x.digest").alias("digest_here"), F.col("y.digest").alias("digest_there"), status.alias("status")).withColumnRenamed("node", "place")

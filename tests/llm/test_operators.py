@@ -204,3 +204,13 @@ def test_vector_audit_sees_missing_links(spark, found, open_spaces):
     near += [(i, [(-0.95, i ^ 1)]) for i, _ in sparse] if found == "all" else []
     graph = spark.createDataFrame(near, "node long, near array<struct<less:double,other:long>>")
     assert {r.space for r in _unproven(nodes, graph, 0.93).collect()} == open_spaces
+
+
+def test_warc_lost_and_added_records(spark):
+    page = lambda i: (i, f"http://a/{i}", f"<p>{i}</p>" * (i % 9))
+    same = [page(i) for i in range(120) if i not in (10, 40)] + [(None, None, None), (20, "http://a/20", "x"), (20, "http://a/20", "y")]
+    make = lambda rows: warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    mine, other = make(same + [page(10), (7, "http://b", None), (30, "http://c", "z"), (30, "http://c", "z")]), make(same + [page(40), (30, "http://c", "z")])
+    found = sorted((r.page_id, r.status) for r in audit(mine, damaged(other)).collect())
+    assert found == [(5, "corrupt"), (7, "missing"), (10, "missing"), (30, "missing"), (40, "extra"), (102, "corrupt")]
+    assert [r.status for r in audit(mine, mine.where("page_id < 0")).collect()] == ["missing"] * mine.count()
