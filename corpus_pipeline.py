@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), is written as Parquet, and the next one reads that.  All but the last
 return the columns of ``documents``.  No stage can be said in SQL as a whole (a forest, an EM fit, a packing),
-so ORACLE_SQL is None and the stages are tested against brute force.
+so ORACLE_SQL is None.  The operators behind the stages have tests; run() itself and the stages as a whole have none yet.
 """
 
 from __future__ import annotations

@@ -214,3 +214,19 @@ def test_warc_lost_and_added_records(spark):
     found = sorted((r.page_id, r.status) for r in audit(mine, damaged(other)).collect())
     assert found == [(5, "corrupt"), (7, "missing"), (10, "missing"), (30, "missing"), (40, "extra"), (102, "corrupt")]
     assert [r.status for r in audit(mine, mine.where("page_id < 0")).collect()] == ["missing"] * mine.count()
+
+
+def test_packing_ids(docs, rows):
+    import zlib
+    from collections import Counter, defaultdict
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces, got, at = pack_documents(docs, P.path("word_bpe_49k.json"), with_ids=True).orderBy("sequence_id", "offset").collect(), [], defaultdict(list)
+    for p in pieces:  # a document's pieces follow one another
+        assert p.start == sum(map(len, at[p.doc_id])) and p.ids_crc32 == zlib.crc32(p.ids)
+        at[p.doc_id].append(np.frombuffer(p.ids, "<u4").tolist())
+        if p.start + p.length == p.doc_tokens:
+            got.append((p.doc_id, tuple(sum(at.pop(p.doc_id), []))))
+    assert not at and Counter(got) == Counter((i, (*t.encode(text or "", add_special_tokens=False).ids, 2)) for i, text, *_ in rows)
