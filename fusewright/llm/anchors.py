@@ -1,7 +1,8 @@
 """Content anchors: the least hash of the grams inside a window, the same wherever the window recurs.
 
 Every window of ``window`` units has one anchor, so windows of equal content meet under one anchor and a
-run of neighbouring windows shares it.  Shards are ranges of anchor hashes: equal windows never part.
+run of neighbouring windows shares it.  Shards are equal ranges of hashes: equal windows never part.  All of
+this is arithmetic on arrays, so the work of a block follows its text, whatever the number of shards.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+CHUNK = 1 << 15  # positions hashed at once, so that intermediate arrays stay small
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,12 +30,11 @@ def loads(body: np.ndarray) -> np.ndarray:
     return np.ndarray((len(body) - 7,), dtype="<u8", buffer=body, strides=(1,))
 
 
-def byte_grams(body: np.ndarray) -> np.ndarray:
-    """Hash of the 24 bytes from each position on."""
-    u = loads(body)
-    if len(u) < 17:
-        return np.empty(0, np.uint64)
+def byte_grams(u: np.ndarray) -> np.ndarray:
+    """Hash of the 24 bytes from each position on, given ``loads``."""
     n = len(u) - 16
+    if n < 1:
+        return np.empty(0, np.uint64)
     return mix(u[:n] * _M1 + u[8 : 8 + n] * _M2 + (u[16:] ^ (u[:n] >> np.uint64(7))) * _M3)
 
 
@@ -58,43 +59,69 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def runs(grams: np.ndarray, width: int, window: int, starts: np.ndarray, ends: np.ndarray):
+def byte_anchors(body: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``width`` neighbouring 24-byte grams from each position on, chunk by chunk."""
+    u = loads(body)
+    low = np.empty(max(0, len(u) - 16 - width + 1), np.uint64)
+    for at in range(0, len(low), CHUNK):
+        low[at : at + CHUNK] = sliding_min(byte_grams(u[at : at + CHUNK + width - 1 + 16]), width)[:CHUNK]
+    return low
+
+
+def runs(low: np.ndarray, window: int, starts: np.ndarray, ends: np.ndarray):
     """(anchor, first window, last window, document) of each run of windows that share an anchor.
 
-    starts, ends: unit ranges of the documents in the concatenation; windows cross no document.
+    low: anchor of the window from each unit on; starts, ends: unit ranges of the documents in the
+    concatenation; windows cross no document.
     """
-    low = sliding_min(grams, width)
-    doc_of = np.repeat(np.arange(len(starts)), np.maximum(ends - starts - window + 1, 0))
-    if not len(doc_of):
+    some = np.flatnonzero(ends - starts >= window)
+    if not len(some):
         z = np.empty(0, np.int64)
         return np.empty(0, np.uint64), z, z, z
-    counts = np.maximum(ends - starts - window + 1, 0)
-    at = np.arange(len(doc_of)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    low = low[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc_of[1:] != doc_of[:-1])
+    begin, end = starts[some], ends[some] - window + 1  # of the windows of each document that has one
+    step = np.zeros(len(low) + 1, np.int8)
+    step[begin] += 1
+    step[end] -= 1  # units between documents of full windows stay outside: end < the next begin
+    inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+    new = inside.copy()
+    new[1:] &= low[1:] != low[:-1]
+    new[begin] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return low[first], at[first], at[last], doc_of[first]
+    doc = np.searchsorted(begin, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(low)), end[doc]) - 1
+    return low[first], first, last, some[doc]
+
 
+def distinct(anchor: np.ndarray, doc: np.ndarray, look: np.ndarray, busy: int = 16):
+    """(sorted distinct anchors, whether each lies in two documents at least, [(place, number of different looks)]).
 
-def distinct(anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchors, and whether each lies in two documents at least (by ``doc``)."""
+    The last tells only of anchors of ``busy`` runs and more; a look stands for what a run holds.
+    """
     if not len(anchor):
-        return anchor, np.empty(0, bool)
+        return anchor, np.empty(0, bool), np.empty((0, 2), np.uint32)
     order = np.argsort(anchor, kind="stable")
     a, d = anchor[order], doc[order]
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1]
-    first = np.flatnonzero(new)
-    return a[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    size = np.diff(np.append(first, len(a)))
+    many = np.flatnonzero(size >= busy)
+    looks = [(i, len(np.unique(look[order[first[i] : first[i] + size[i]]]))) for i in many.tolist()]
+    return a[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.array(looks, np.uint32).reshape(-1, 2)
 
 
-def shard_edges(sorted_hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Where each of the equal ranges of hashes begins in a sorted array, and its end."""
-    edges = [(i << 64) // shards for i in range(1, shards)]
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, np.array(edges, np.uint64)), [len(sorted_hashes)]]).astype(np.int64)
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are equal ranges of the upper 32 bits."""
+    return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return np.searchsorted(np.array([(i << 64) // shards for i in range(1, shards)], np.uint64), hashes, side="right")
+def within_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """16 bits that order hashes inside their shard (equal hashes have equal bits)."""
+    return ((((hashes >> np.uint64(32)) * np.uint64(shards)) & np.uint64(0xFFFFFFFF)) >> np.uint64(16)).astype(np.uint16)
+
+
+def slices(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, begin, end) of each stretch of equal values."""
+    if not len(ordered):
+        z = np.empty(0, np.int64)
+        return ordered, z, z
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[begin], begin, np.append(begin[1:], len(ordered))

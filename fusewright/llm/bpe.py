@@ -10,7 +10,8 @@ the right edge of the first one's merge tree and token on the left edge of the s
 either is absorbed into its own parent.
 
 Defined cases: a null or empty text has no ids; special tokens that a text spells out get their own id;
-pieces may be of any length; a null ``doc_id`` stays null; other columns are not read.
+pieces may be of any length, and a very long text is coded piece by piece; a null ``doc_id`` stays null; rows of equal
+``doc_id`` or text are coded one by one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, rows_of
+from .common import column, picked, rows_of
 
 # How byte-level vocabularies split text and spell bytes.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -173,7 +174,7 @@ def _vocabulary(docs: DataFrame, path: str):
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked(docs, doc_id="long", text="string")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -199,7 +200,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [coder.decode(i or []) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return picked(encoded, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, text string")
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

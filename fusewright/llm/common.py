@@ -1,7 +1,10 @@
 """Shared pieces: scratch tables in the cluster's shared folder, packed blocks of documents, components.
 
-Scratch tables live under ``spark.checkpoint.dir``, so they survive the loss of any executor; the setting
-is read from the session and only set here when the session has none (tests, a laptop).
+Scratch tables live under ``spark.checkpoint.dir``, so they survive the loss of any executor; the setting is
+read from the session.  A session without it uses its warehouse, or in local mode a temporary folder.
+
+Columns are found by their exact name and travel by position, so other columns may have any names, also
+dotted, repeated or different in case only.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 BLOCK_BYTES = 4 << 20  # text in a block, unless a single document is longer
 BLOCK_DOCS = 1 << 16  # and rows in it; a row of a block is numbered block_id * BLOCK_DOCS + its place
@@ -25,15 +29,29 @@ BLOCK_SCHEMA = "block_id long, n_docs long, n_bytes long, ids binary, sizes bina
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach; a temporary one only if the session names none."""
+    """The folder every executor and the driver can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="fusewright-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        if spark.sparkContext.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="fusewright-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        else:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def picked(df: DataFrame, **types: str) -> DataFrame:
+    """The named columns only, cast to their types; of several columns that match a name the exact one, else the first."""
+    flat, out = df.toDF(*(f"c{i}" for i in range(len(df.columns)))), []
+    for name, kind in types.items():
+        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name]
+        if not at:
+            raise ValueError(f"the table has no column {name}")
+        out.append(F.col(f"c{at[0]}").cast(kind).alias(name))
+    return flat.select(*out)
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and returns the reread table (lineage is cut)."""
     spark = df.sparkSession
@@ -135,7 +153,7 @@ def _pack(carry: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        base, seq = TaskContext.get().partitionId() << 27, 0
+        base, seq = TaskContext.get().partitionId() << 20, 0  # a million blocks a partition, 2^27 partitions
         held: list[tuple] = []
         room = n_held = 0
 
@@ -176,13 +194,9 @@ def _pack(carry: bool):
     return run
 
 
-def pack_blocks(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
-    """Documents as stored rows of about 4 MB of text each, compressed; a block keeps its id for good.
-
-    rest: other columns to carry along (``Block.rest``), in the given order.
-    """
-    plain = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(docs[c] for c in rest or ()))
-    return store(plain.mapInArrow(batchwise(_pack(rest is not None)), BLOCK_SCHEMA + ", rest binary" * (rest is not None)), "blocks")
+def pack_blocks(docs: DataFrame) -> DataFrame:
+    """Documents as stored rows of about 4 MB of text each, compressed; a block keeps its id for good."""
+    return store(picked(docs, doc_id="long", text="string").mapInArrow(batchwise(_pack(False)), BLOCK_SCHEMA), "blocks")
 
 
 def open_blocks(batch: pa.RecordBatch | pa.Table):
@@ -196,30 +210,49 @@ def open_blocks(batch: pa.RecordBatch | pa.Table):
         yield i, block
 
 
-def block_rows(block: Block, which: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Rows of a block packed with its other columns, whole again; nulls are nulls (``_null`` tells which)."""
-    rest = block.rest.take(pa.array(which, pa.int64())).combine_chunks()
-    null = rest.column("_null").to_pylist()
-    text = [None if n else block.body[block.starts[i] : block.ends[i]].decode() for i, n in zip(which.tolist(), null)]
-    made = {"doc_id": id_column(block.ids[which]), "text": pa.array(text, pa.string())}
-    return pa.RecordBatch.from_arrays([made[c] if c in made else column(rest, c) for c in names], names=names)
-
-
 def pack_rows(docs: DataFrame) -> DataFrame:
-    """``pack_blocks`` with all columns, for ``block_rows``."""
-    return pack_blocks(docs.withColumn("_null", F.col("text").isNull()), [*(c for c in docs.columns if c not in ("doc_id", "text")), "_null"])
+    """``pack_blocks`` with all columns (the others by position, in ``Block.rest``), for ``block_rows``."""
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = docs.columns.index
+    rest = [F.col(f"c{i}").cast("long").alias(f"c{i}") if c == "n_chars" else F.col(f"c{i}") for i, c in enumerate(docs.columns) if i not in (at("doc_id"), at("text"))]
+    text = F.col(f"c{at('text')}").cast("string")
+    plain = flat.select(F.col(f"c{at('doc_id')}").cast("long").alias("doc_id"), text.alias("text"), *rest, text.isNull().alias("null"))
+    return store(plain.mapInArrow(batchwise(_pack(True)), BLOCK_SCHEMA + ", rest binary"), "blocks")
+
+
+def block_rows(block: Block, names: list[str], which: np.ndarray | None = None, texts: list[str] | None = None) -> pa.RecordBatch:
+    """Rows of a block of ``pack_rows`` with all columns, by position; with ``texts`` instead of their own, and n_chars to suit."""
+    which = np.arange(len(block)) if which is None else which
+    rest = block.rest.take(pa.array(which, pa.int64())).combine_chunks()
+    null = rest.column("null").to_pylist()
+    if texts is None:
+        texts = [block.body[block.starts[i] : block.ends[i]].decode() for i in which.tolist()]
+        recount = False
+    else:
+        recount = "n_chars" in names
+    texts = [None if n else t for n, t in zip(null, texts)]
+    columns = {names.index("doc_id"): id_column(block.ids[which]), names.index("text"): pa.array(texts, pa.string())}
+    if recount:
+        columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+    out = [columns[i] if i in columns else column(rest, f"c{i}") for i in range(len(names))]
+    return pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(names))])
+
+
+def rows_schema(docs: DataFrame) -> StructType:
+    """The schema of ``block_rows`` for these documents."""
+    fixed = {docs.columns.index(c): t for c, t in (("doc_id", LongType()), ("text", StringType()), ("n_chars", LongType())) if c in docs.columns}
+    return StructType([StructField(f"c{i}", fixed.get(i, f.dataType)) for i, f in enumerate(docs.schema.fields)])
 
 
-def rows_sql(docs: DataFrame) -> str:
-    """The schema of ``block_rows`` for these documents."""
-    fixed = {"doc_id": "bigint", "text": "string"}
-    return ", ".join(f"`{c}` {fixed.get(c, t)}" for c, t in docs.dtypes)
+def as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows by position under the names and types of ``docs``."""
+    return rows.select(*(F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(docs.schema.fields)))
 
 
-def shard_count(blocks: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Shards in proportion to the text, so that what one shard gathers stays bounded as the input grows."""
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    return max(12, -(-total // bytes_each))
+def shard_count(blocks: DataFrame, bytes_each: int = 8 << 20) -> tuple[int, int]:
+    """(blocks, shards): shards in proportion to the text, so that what one shard gathers stays bounded as the input grows."""
+    n, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    return n, max(12, -(-total // bytes_each))
 
 
 def rows_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _M2, mix, sequence_grams
-from .common import BLOCK_DOCS, NULL_ID, batchwise, block_rows, components, discard, open_blocks, pack_blocks, pack_rows, rows_of, rows_sql, store
+from .common import BLOCK_DOCS, NULL_ID, as_before, batchwise, block_rows, components, discard, open_blocks, pack_blocks, pack_rows, rows_of, rows_schema, store
 from .rtree import CountTree
 from .words import doc_ranges, lower_ascii, word_hashes, word_spans
 
@@ -246,7 +246,7 @@ def _keep(names):
         for batch in batches:
             places = batch.column("places")
             for k, block in open_blocks(batch):
-                yield block_rows(block, np.sort(np.array(places[k].as_py(), np.int64)), names)
+                yield block_rows(block, names, np.sort(np.array(places[k].as_py(), np.int64)))
 
     return run
 
@@ -261,4 +261,4 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     labelled = _labelled(lean)
     kept = labelled.where("n > 0 and doc_id = smallest").groupBy("component_id").agg(F.min("row").alias("row")).select("row").unionByName(labelled.where("n = 0").select("row"))
     places = kept.groupBy(F.expr(f"row div {BLOCK_DOCS}").alias("block_id")).agg(F.collect_list(F.expr(f"row % {BLOCK_DOCS}")).alias("places"))
-    return blocks.join(places, "block_id").mapInArrow(batchwise(_keep(docs.columns)), rows_sql(docs))
+    return as_before(blocks.join(places, "block_id").mapInArrow(batchwise(_keep(docs.columns)), rows_schema(docs)), docs)

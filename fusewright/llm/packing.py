@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import rows_of
+from .common import picked, rows_of
 
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
@@ -191,5 +191,5 @@ def pack_documents(docs: DataFrame, path: str, window: int = 4096, closing: int
         if shard:
             yield emit()
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = picked(docs, doc_id="long", text="string")
     return plain.mapInArrow(run, _PIECE_SQL + (", ids binary" if with_ids else ""))

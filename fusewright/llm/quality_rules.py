@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _M2, mix, sequence_grams
-from .common import batchwise, column, discard, rows_of, store, utf8_parts
+from .common import batchwise, column, discard, picked, rows_of, store, utf8_parts
 from .words import doc_ranges, word_hashes, word_spans
 
 TREES, SAMPLE, FIT_ROWS, SEED = 200, 256, 8192, 7
@@ -167,7 +167,7 @@ def _base_failed(c):
 
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = picked(docs, doc_id="long", text="string")
     return plain.mapInArrow(batchwise(_measure), "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE))
 
 

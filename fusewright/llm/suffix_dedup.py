@@ -2,8 +2,8 @@
 
 Every 50-byte string that also starts in a document with a smaller ``doc_id`` is removed.
 
-1. Blocks of documents send the hashes of their anchors (see ``anchors``), distinct per block, to hash
-   shards; a shard marks those found in two documents.
+1. Blocks of documents ask hash shards which of their anchors (see ``anchors``) lie in two documents, or in
+   so much different company that their windows have to go one by one (see ``recurring``).
 2. Blocks send the distinct stretches of text under marked anchors, with the smallest ``doc_id`` that
    holds each.  All windows of equal content have one anchor, so they meet in one shard.
 3. A shard concatenates the stretches, builds their Burrows-Wheeler transform, derives common prefixes
@@ -11,12 +11,13 @@ Every 50-byte string that also starts in a document with a smaller ``doc_id`` is
    smallest document.  Bytes decide; hashes only route.
 4. Blocks remove what a smaller document has.
 
-A row's task reads one block or one shard; both have a bounded size.  A stretch comes from a block once
-however many copies that block holds, so large groups of copies stay small in every shard.
+A task reads one block or one shard; both have a bounded size.  A stretch comes from a block once however
+many copies that block holds, and from a team of blocks once (see ``exchange``), so large groups of copies
+stay small in every shard.
 
 Defined cases: a null text is empty; texts shorter than the window lose nothing; a null ``doc_id`` counts
 as later than all others; rows with equal ``doc_id`` do not remove one another; an empty table gives an
-empty result.  Other columns pass through whatever their names.
+empty result.  Other columns pass through whatever their names; a very long text is a block of its own.
 """
 
 from __future__ import annotations
@@ -29,172 +30,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .bwt import SEPARATOR, repeat_groups
-from .common import NULL_ID, batchwise, column, discard, groupwise, id_column, open_blocks, pack_blocks, rows_of, shard_count, squeeze, store, unsqueeze
+from .bwt import repeat_groups
+from .common import NULL_ID, as_before, batchwise, block_rows, discard, id_column, open_blocks, pack_blocks, pack_rows, rows_of, rows_schema, shard_count, squeeze, store, unsqueeze
+from .exchange import FAN, SENT_SQL, ask, by_block, messages
+from .recurring import HOT, Marks, Stretches, send_anchors, within
 
 GRAM = 24
+SHARD_BYTES = 2 << 20  # text in the corpus for each shard
 BATCH_BYTES = 1 << 20  # text of one transform; a shard works through its anchors in such batches
-_SENT = pa.schema([("shard", pa.int32()), ("block_id", pa.int64()), ("data", pa.binary())])
-_SENT_SQL = "shard int, block_id long, data binary"
+PART = 1 << 19  # windows looked at together when bytes are removed
 
 
-def _block_runs(block, window):
-    return A.runs(A.byte_grams(block.bytes), window - GRAM + 1, window, block.starts, block.ends)
+class ByteUnits:
+    """Windows of bytes of a block."""
 
+    def __init__(self, block, window: int):
+        self.block, self.window = block, window
 
-def send_anchors(shards: int, window: int, block_runs=_block_runs):
-    """Per block and shard the distinct anchors, sorted, 47 bits each and one that tells of two documents."""
-
-    def run(batches):
-        for batch in batches:
-            for _, block in open_blocks(batch):
-                anchor, _, _, doc = block_runs(block, window)
-                known, several = A.distinct(anchor, block.ids[doc])
-                cut = A.shard_edges(known, shards)
-                packed = ((known >> np.uint64(17)) << np.uint64(1)) | several
-                six = packed.view(np.uint8).reshape(-1, 8)[:, :6]
-                full = np.flatnonzero(np.diff(cut))
-                yield rows_of(_SENT, [full.astype(np.int32), [block.block_id] * len(full), [six[cut[s] : cut[s + 1]].tobytes() for s in full]])
-
-    return run
+    def runs(self):
+        return A.runs(A.byte_anchors(self.block.bytes, self.window - GRAM + 1), self.window, self.block.starts, self.block.ends)
 
+    def looks(self, first, last):
+        """One number for the content of each stretch; equal content looks the same."""
+        u = A.loads(self.block.bytes)
+        return A.mix(u[first] * A._M1 + u[last + self.window - 8] * A._M2 + (last - first).astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
 
-def mark_anchors(table: pa.Table) -> pa.Table:
-    """One shard: a bit for each anchor of each block, set if two documents hold it."""
-    parts = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6) for x in table.column("data")]
-    sizes = [len(p) for p in parts]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :6] = np.concatenate(parts) if parts else 0
-    packed = wide.view(np.uint64).ravel()
-    several, key = (packed & np.uint64(1)).astype(bool), packed >> np.uint64(1)
-    order = np.argsort(key)
-    in_order = key[order]
-    again = in_order[1:] == in_order[:-1]
-    mark = several[order]
-    mark[1:] |= again
-    mark[:-1] |= again
-    # every copy of an anchor that one block saw in two documents
-    first = np.flatnonzero(np.append(True, ~again)) if len(order) else np.empty(0, np.int64)
-    mark = np.repeat(np.maximum.reduceat(mark, first), np.diff(np.append(first, len(order)))) if len(order) else mark
-    marks = np.empty(len(order), bool)
-    marks[order] = mark
-    ends = np.cumsum(sizes)
-    bits = [np.packbits(marks[e - n : e]).tobytes() for e, n in zip(ends, sizes)]
-    return pa.table([table.column("shard"), table.column("block_id"), pa.array(bits, pa.binary())], schema=_SENT)
-
-
-def by_block(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("block_id").agg(F.collect_list(F.struct("shard", "data")).alias("said"))
-
-
-def marked_runs(block, said, shards, window, block_runs=_block_runs):
-    """The block's runs under marked anchors: (anchor, first, last, document, shard)."""
-    anchor, first, last, doc = block_runs(block, window)
-    known, _ = A.distinct(anchor, block.ids[doc])
-    cut = A.shard_edges(known, shards)
-    mark = np.zeros(len(known), bool)
-    for x in said or ():
-        s = x["shard"]
-        n = int(cut[s + 1] - cut[s])
-        mark[cut[s] : cut[s + 1]] = np.unpackbits(np.frombuffer(x["data"], np.uint8), count=n).astype(bool)
-    live = mark[np.searchsorted(known, anchor)] if len(known) else np.empty(0, bool)
-    anchor, first, last, doc = anchor[live], first[live], last[live], doc[live]
-    return anchor, first, last, doc, A.shard_of(anchor, shards)
-
-
-def _stretches(block, said, shards, window):
-    """Distinct stretches of each shard in first-seen order, and the stretch of every marked run."""
-    anchor, first, last, doc, shard = marked_runs(block, said, shards, window)
-    seen: list[dict[bytes, int]] = [{} for _ in range(shards)]
-    body = block.body
-    which = np.fromiter((seen[s].setdefault(body[a : b + window], len(seen[s])) for s, a, b in zip(shard.tolist(), first.tolist(), last.tolist())), np.int64, len(first))
-    return anchor, first, last, doc, shard, which, seen
+    def window_hashes(self, at):
+        u = A.loads(self.block.bytes)
+        h = np.zeros(len(at), np.uint64)
+        for k in (*range(0, self.window - 8, 8), self.window - 8):
+            h = h * A._M2 + A.mix(u[at + k])
+        return A.mix(h)
 
+    def contents(self, first, last):
+        body, window = self.block.body, self.window
+        return (body[a : b + window] for a, b in zip(first.tolist(), last.tolist()))
 
-def _send_stretches(shards, window):
-    def run(batches):
-        for batch in batches:
-            said = batch.column("said")
-            for i, block in open_blocks(batch):
-                anchor, _, _, doc, shard, which, seen = _stretches(block, said[i].as_py(), shards, window)
-                full = [s for s in range(shards) if seen[s]]
-                data = []
-                by = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[by], np.arange(shards + 1))
-                for s in full:
-                    own = by[cut[s] : cut[s + 1]]
-                    least = np.full(len(seen[s]), NULL_ID)
-                    np.minimum.at(least, which[own], block.ids[doc[own]])
-                    anchors = np.empty(len(seen[s]), np.uint64)
-                    anchors[which[own]] = anchor[own]
-                    sizes = np.fromiter(map(len, seen[s]), np.int64, len(seen[s]))
-                    data.append(squeeze(np.int64(len(sizes)).tobytes() + sizes.tobytes() + least.tobytes() + anchors.tobytes() + b"".join(seen[s])))
-                yield rows_of(_SENT, [np.array(full, np.int32), [block.block_id] * len(full), data])
 
-    return run
+class Owners:
+    """Protocol: (texts, smallest document of each, 16 bits of its anchor) of stretches; the smallest document of every window is told."""
 
+    def __init__(self, window: int):
+        self.window = window
 
-def _unpack(data):
-    data = unsqueeze(data)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    sizes, least = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n)
-    anchors = np.frombuffer(data, np.uint64, n, 8 + 16 * n)
-    ends = np.cumsum(sizes) + 8 + 24 * n
-    return [data[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist())], least, anchors
+    @staticmethod
+    def pack(message):
+        texts, least, sub = message
+        sizes = np.fromiter(map(len, texts), np.int32, len(texts))
+        return squeeze(np.int64(len(texts)).tobytes() + sizes.tobytes() + least.tobytes() + sub.tobytes() + b"".join(texts))
 
+    @staticmethod
+    def unpack(data):
+        data = unsqueeze(data)
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        sizes, least, sub = np.frombuffer(data, np.int32, n, 8), np.frombuffer(data, np.int64, n, 8 + 4 * n), np.frombuffer(data, np.uint16, n, 8 + 12 * n)
+        ends = np.cumsum(sizes) + 8 + 14 * n
+        return [data[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist())], least, sub
 
-def _first_owners(window):
-    def run(table: pa.Table) -> pa.Table:
-        """One shard: for each block the smallest document of every window of its stretches, run-length coded."""
+    @staticmethod
+    def merge(said):
         known: dict[bytes, int] = {}
-        asked, leasts, hashes = [], [], []
-        for x in table.column("data"):
-            texts, least, anchor = _unpack(x.as_py())
-            asked.append(np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts)))
-            leasts.append(least)
-            hashes.append(anchor)
-        texts = list(known)
-        owner = np.full(len(texts), NULL_ID)
-        anchor = np.empty(len(texts), np.uint64)
-        for ids, least, h in zip(asked, leasts, hashes):
-            np.minimum.at(owner, ids, least)
-            anchor[ids] = h
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        windows = sizes - window + 1
-        begun = np.cumsum(windows) - windows
+        places = [np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts)) for texts, _, _ in said]
+        least, sub = np.full(len(known), NULL_ID), np.empty(len(known), np.uint16)
+        for at, (_, mine, bits) in zip(places, said):
+            np.minimum.at(least, at, mine)
+            sub[at] = bits
+        return (list(known), least, sub), places
+
+    def _windows(self, texts):
+        windows = np.fromiter(map(len, texts), np.int64, len(texts)) - self.window + 1
+        return windows, np.cumsum(windows) - windows
+
+    def resolve(self, message):
+        texts, owner, sub = message
+        windows, begun = self._windows(texts)
+        sizes = windows + self.window - 1
         found = np.empty(int(windows.sum()), np.int64)
-        order = np.argsort(anchor, kind="stable")
-        room = np.cumsum(sizes[order] + 1)
+        order = np.argsort(sub, kind="stable")
+        in_order, room = sub[order], np.cumsum(sizes[order] + 1)
         at = 0
         while at < len(order):  # batches end between anchors
             to = max(at + 1, int(np.searchsorted(room, (room[at - 1] if at else 0) + BATCH_BYTES)))
-            to = int(np.searchsorted(anchor[order], anchor[order[to - 1]], side="right"))
+            to = int(np.searchsorted(in_order, in_order[to - 1], side="right"))
             part = order[at:to]
-            text = np.frombuffer(b"\xff".join([texts[i] for i in part] + [b""]), np.uint8)
-            ends = np.cumsum(sizes[part] + 1)
-            start = np.repeat(ends - sizes[part] - 1, windows[part]) + _within(windows[part])
+            text = np.frombuffer(b"\xff".join([texts[i] for i in part.tolist()] + [b""]), np.uint8)
+            start = np.repeat(np.cumsum(sizes[part] + 1) - sizes[part] - 1, windows[part]) + within(windows[part])
             holder = np.full(len(text), NULL_ID)
             holder[start] = np.repeat(owner[part], windows[part])
-            ranks, groups = repeat_groups(text, window)
+            ranks, groups = repeat_groups(text, self.window)
             least = np.minimum.reduceat(holder[ranks], groups)
             holder[ranks] = np.repeat(least, np.diff(np.append(groups, len(ranks))))
-            found[np.repeat(begun[part], windows[part]) + _within(windows[part])] = holder[start]
+            found[np.repeat(begun[part], windows[part]) + within(windows[part])] = holder[start]
             at = to
-        out = []
-        for ids in asked:
-            v = found[np.repeat(begun[ids], windows[ids]) + _within(windows[ids])]
-            change = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.empty(0, np.int64)
-            out.append(squeeze(np.int64(len(v)).tobytes() + change.astype(np.int32).tobytes() + v[change].tobytes()))
-        return pa.table([table.column("shard"), table.column("block_id"), pa.array(out, pa.binary())], schema=_SENT)
-
-    return run
+        return (found, windows, begun), None
 
+    @staticmethod
+    def pick(answers, places, message):
+        found, windows, begun = answers
+        n = windows[places]
+        v = found[np.repeat(begun[places], n) + within(n)]
+        change = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.empty(0, np.int64)
+        return squeeze(np.int64(len(v)).tobytes() + change.astype(np.int32).tobytes() + v[change].tobytes())
 
-def _within(counts: np.ndarray) -> np.ndarray:
-    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    def read(self, data, message):
+        return owners(data), *self._windows(message[0])
 
 
-def _owners(data: bytes) -> np.ndarray:
+def owners(data: bytes) -> np.ndarray:
     data = unsqueeze(data)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     k = (len(data) - 8) // 12
@@ -202,22 +144,36 @@ def _owners(data: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(data, np.int64, k, 8 + 4 * k), np.diff(np.append(change, n)))
 
 
+def _send_stretches(shards, window):
+    def run(batches):
+        for batch in batches:
+            said = batch.column("said")
+            for i, block in open_blocks(batch):
+                s = Stretches(ByteUnits, block, said[i].as_py(), shards, window)
+                least, sub = s.extreme(block.ids, np.minimum, NULL_ID), A.within_shard(s.route, shards)
+                yield messages(block.block_id, s.shard, s.begin, s.end, lambda a, b: Owners.pack((s.texts[a:b], least[a:b], sub[a:b])))  # noqa: B023
+
+    return run
+
+
 def _removed(block, said, owned, shards, window) -> np.ndarray:
     """Which bytes of the block go."""
-    _, first, last, doc, shard, which, seen = _stretches(block, said, shards, window)
+    s = Stretches(ByteUnits, block, said, shards, window)
     start = np.zeros(len(block.bytes), bool)
-    answers = {x["shard"]: x["data"] for x in owned or ()}
-    by = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[by], np.arange(shards + 1))
-    for s, data in answers.items():
-        own = by[cut[s] : cut[s + 1]]
-        least = _owners(data)
-        windows = np.fromiter(map(len, seen[s]), np.int64, len(seen[s])) - window + 1
-        begun = np.cumsum(windows) - windows
-        n = windows[which[own]]
-        gone = least[np.repeat(begun[which[own]], n) + _within(n)] < np.repeat(block.ids[doc[own]], n)
-        start[np.repeat(first[own], n) + _within(n)] = gone
-    total = np.cumsum(start)
+    told = {x["shard"]: x["data"] for x in owned or ()}
+    least = np.concatenate([owners(told[k]) for k in s.shard.tolist()]) if len(s.shard) else np.empty(0, np.int64)
+    windows = np.fromiter(map(len, s.texts), np.int64, len(s.texts)) - window + 1
+    begun = np.cumsum(windows) - windows
+    n = s.last - s.first + 1
+    edges = np.append(0, np.cumsum(n))
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + PART, side="right")) - 1)
+        k = within(n[at:to])
+        gone = least[np.repeat(begun[s.which[at:to]], n[at:to]) + k] < np.repeat(block.ids[s.doc[at:to]], n[at:to])
+        start[np.repeat(s.first[at:to], n[at:to]) + k] = gone
+        at = to
+    total = np.cumsum(start, dtype=np.int32)
     total[window:] -= total[:-window].copy()
     return total > 0
 
@@ -250,36 +206,27 @@ def _finish_rows(shards, window, names):
         for batch in batches:
             said, owned = batch.column("said"), batch.column("owned")
             for i, block in open_blocks(batch):
-                kept = [k.decode("utf-8", "ignore") for k, _, _ in _kept(block, said[i].as_py(), owned[i].as_py(), shards, window)]
-                rest = block.rest.combine_chunks()
-                was_null = rest.column("_null").to_pylist()
-                text = pa.array([None if n else k for k, n in zip(kept, was_null)], pa.string())
-                columns = {c: column(rest, c) for c in rest.column_names} | {"doc_id": id_column(block.ids), "text": text}
-                if "n_chars" in names:
-                    columns["n_chars"] = pa.array([None if n else len(k) for k, n in zip(kept, was_null)], pa.int64())
-                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+                yield block_rows(block, names, texts=[k.decode("utf-8", "ignore") for k, _, _ in _kept(block, said[i].as_py(), owned[i].as_py(), shards, window)])
 
     return run
 
 
-def _prepare(docs: DataFrame, window: int, rest: list[str] | None = None):
+def _prepare(blocks: DataFrame, window: int, hot: int, fan: int):
     if window < GRAM + 1:
         raise ValueError(f"the window must be longer than {GRAM} bytes")
-    blocks = pack_blocks(docs, rest)
-    shards = shard_count(blocks)
     lean = blocks.drop("rest")
-    sent = lean.mapInArrow(batchwise(send_anchors(shards, window)), _SENT_SQL)
-    marks = store(by_block(sent.groupBy("shard").applyInArrow(groupwise(mark_anchors), _SENT_SQL)), "marks")
-    stretches = lean.join(marks, "block_id", "left").mapInArrow(batchwise(_send_stretches(shards, window)), _SENT_SQL)
-    owned = by_block(stretches.groupBy("shard").applyInArrow(groupwise(_first_owners(window)), _SENT_SQL)).withColumnRenamed("said", "owned")
-    answers = store(marks.join(owned, "block_id", "left"), "owners")
+    n_blocks, shards = shard_count(blocks, SHARD_BYTES)
+    sent = lean.mapInArrow(batchwise(send_anchors(ByteUnits, shards, window)), SENT_SQL)
+    marks = store(by_block(ask(sent, n_blocks, Marks(hot), fan), "said"), "marks")
+    stretches = lean.join(marks, "block_id", "left").mapInArrow(batchwise(_send_stretches(shards, window)), SENT_SQL)
+    answers = store(marks.join(by_block(ask(stretches, n_blocks, Owners(window), fan), "owned"), "block_id", "left"), "owners")
     discard(marks)
     return blocks.join(answers, "block_id", "left"), shards
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``digest``, the kept bytes."""
-    ready, shards = _prepare(docs, window)
+    ready, shards = _prepare(pack_blocks(docs), window, hot, fan)
     names = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ("" if digest else ", kept binary")
     return ready.mapInArrow(batchwise(_finish(shards, window, digest)), names)
 
@@ -287,11 +234,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False) -> D
 def edited(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with the repeats cut out of ``text`` and n_chars counted anew.
 
-    A cut inside a character drops what is left of it; null texts stay null.
+    Where a cut goes through a character, the bytes left of it are no text and go too; null texts stay null.
     """
-    names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "text")]
-    ready, shards = _prepare(docs.withColumn("_null", F.col("text").isNull()), window, [*rest, "_null"])
-    types = dict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in names if c != "doc_id")).dtypes)
-    types |= {"n_chars": "bigint"} if "n_chars" in names else {}
-    return ready.mapInArrow(batchwise(_finish_rows(shards, window, names)), ", ".join(f"`{c}` {types[c]}" for c in names))
+    ready, shards = _prepare(pack_rows(docs), window, HOT, FAN)
+    return as_before(ready.mapInArrow(batchwise(_finish_rows(shards, window, docs.columns)), rows_schema(docs)), docs)

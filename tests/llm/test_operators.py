@@ -54,20 +54,44 @@ def _brute(rows, units, window, join):
         for k in range(len(u) - window + 1):
             if first[tuple(u[k : k + window])] < _order(i):
                 gone[k : k + window] = [True] * window
-        out.append((i, len(u), sum(gone), hashlib.sha256(join([x for x, g in zip(u, gone) if not g])).hexdigest()))
-    return sorted(out, key=repr)
+        out.append((i, len(u), gone, hashlib.sha256(join([x for x, g in zip(u, gone) if not g])).hexdigest()))
+    return out
 
 
-def test_phrases(docs, rows):
-    got = [tuple(r)[:4] for r in remove_phrases(docs).collect()]
-    assert sorted(got, key=repr) == _brute(rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or ""), 13, lambda w: " ".join(w).encode())
+# the plain way; every anchor hot, so that windows go one by one; blocks in teams, so that messages merge
+WAYS = [{}, {"hot": 0}, {"fan": 3}, {"hot": 0, "fan": 2}]
 
 
-def test_suffix(docs, rows):
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect()]
-    assert sorted(got, key=repr) == _brute(rows, lambda t: list((t or "").encode()), 50, bytes)
+def _spans(gone):
+    return sum(g and not before for g, before in zip(gone, [False, *gone]))
+
+
+@pytest.mark.parametrize("way", WAYS, ids=str)
+def test_phrases(docs, rows, way):
+    got = [tuple(r)[:4] for r in remove_phrases(docs.repartition(5), **way).collect()]
+    want = _brute(rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or ""), 13, lambda w: " ".join(w).encode())
+    assert sorted(got, key=repr) == sorted(((i, n, sum(gone), sha) for i, n, gone, sha in want), key=repr)
+
+
+@pytest.mark.parametrize("way", WAYS, ids=str)
+def test_suffix(docs, rows, way):
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs.repartition(5), **way).collect()]
+    want = _brute(rows, lambda t: list((t or "").encode()), 50, bytes)
+    assert sorted(got, key=repr) == sorted(((i, n, sum(gone), _spans(gone), sha) for i, n, gone, sha in want), key=repr)
+
+
+def test_edited(docs, rows):
+    want = _brute(rows, lambda t: list((t or "").encode()), 50, bytes)
+    left = {}
+    for (i, t, *_), (_, _, gone, _) in zip(rows, want):
+        left.setdefault(i, []).append(None if t is None else bytes(x for x, g in zip(t.encode(), gone) if not g).decode("utf-8", "ignore"))
     out = edited(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+        assert r.n_chars == (None if r.text is None else len(r.text)) and r.block_id in ("b", None)
+    assert {k: sorted(map(repr, v)) for k, v in got.items()} == {k: sorted(map(repr, v)) for k, v in left.items()}
 
 
 def test_common_prefixes():
@@ -129,11 +153,30 @@ def test_packing(docs):
     assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
 
 
-def test_lm_score(spark, docs):
-    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (None, 1, 0)], "doc_id long, quality long, toxic long")
-    got = cross_entropy_difference(docs, labels).collect()
-    assert len(got) == docs.count() and all((r.difference is None) == (r.n_words == 0) for r in got)
-    assert min((r for r in got if r.n_words > 20), key=lambda r: r.difference).doc_id == 1
+@pytest.mark.parametrize("fan", [1 << 16, 2])
+def test_lm_score(spark, docs, rows, fan):
+    from collections import Counter
+    from math import isclose, log
+
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (4, 1, None), (2, 0, 1), (5, 1, 1), (None, 1, 0)], "doc_id long, quality long, toxic long")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in rows]
+    good = [i in (1, 4) for i, *_ in rows]
+    count = lambda docs: (Counter(w for d in docs for w in d), Counter(p for d in docs for p in zip(d, d[1:])))
+    models = [count([d for d, g in zip(words, good) if g]), count(words)]
+    v = len(models[1][0])
+    want = []
+    for (i, *_), d, g in zip(rows, words, good):
+        own, out = count([d]), []
+        for k, (one, two) in enumerate(models):
+            took = 1 if k or g else 0
+            c1, c2 = one - own[0] if took else one, two - own[1] if took else two
+            p = lambda w: (c1[w] + 1) / (c1.total() + v)  # noqa: B023, E731
+            loss = [-log(p(w) if not j else (c2[d[j - 1], w] + 2 * p(w)) / (c1[d[j - 1]] + 2)) for j, w in enumerate(d)]
+            out.append(sum(loss) / len(d) if d else None)
+        want.append((i, len(d), *out))
+    got = sorted(((r.doc_id, r.n_words, r.target_entropy, r.background_entropy) for r in cross_entropy_difference(docs.repartition(5), labels, fan=fan).collect()), key=repr)
+    for a, b in zip(got, sorted(want, key=repr), strict=True):
+        assert a[:2] == b[:2] and all(x is y is None or isclose(x, y, rel_tol=1e-9) for x, y in zip(a[2:], b[2:])), (a, b)
 
 
 def test_vectors(spark):
