@@ -113,11 +113,6 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def within_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """16 bits that order hashes inside their shard (equal hashes have equal bits)."""
-    return ((((hashes >> np.uint64(32)) * np.uint64(shards)) & np.uint64(0xFFFFFFFF)) >> np.uint64(16)).astype(np.uint16)
-
-
 def slices(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(value, begin, end) of each stretch of equal values."""
     if not len(ordered):

@@ -6,9 +6,9 @@ Every 50-byte string that also starts in a document with a smaller ``doc_id`` is
    so much different company that their windows have to go one by one (see ``recurring``).
 2. Blocks send the distinct stretches of text under marked anchors, with the smallest ``doc_id`` that
    holds each.  All windows of equal content have one anchor, so they meet in one shard.
-3. A shard concatenates the stretches, builds their Burrows-Wheeler transform, derives common prefixes
-   in increasing order up to 50 and so gets the groups of windows with equal content, each with the
-   smallest document.  Bytes decide; hashes only route.
+3. A shard concatenates the stretches of anchors that have several, builds their Burrows-Wheeler transform, derives
+   common prefixes in increasing order up to 50 and so gets the groups of windows with equal content, each with
+   the smallest document.  Bytes decide; hashes only route.
 4. Blocks remove what a smaller document has.
 
 A task reads one block or one shard; both have a bounded size.  A stretch comes from a block once however
@@ -68,7 +68,7 @@ class ByteUnits:
 
 
 class Owners:
-    """Protocol: (texts, smallest document of each, 16 bits of its anchor) of stretches; the smallest document of every window is told."""
+    """Protocol: (texts, smallest document of each, 32 bits of its anchor) of stretches; the smallest document of every window is told."""
 
     def __init__(self, window: int):
         self.window = window
@@ -83,15 +83,15 @@ class Owners:
     def unpack(data):
         data = unsqueeze(data)
         n = int(np.frombuffer(data, np.int64, 1)[0])
-        sizes, least, sub = np.frombuffer(data, np.int32, n, 8), np.frombuffer(data, np.int64, n, 8 + 4 * n), np.frombuffer(data, np.uint16, n, 8 + 12 * n)
-        ends = np.cumsum(sizes) + 8 + 14 * n
+        sizes, least, sub = np.frombuffer(data, np.int32, n, 8), np.frombuffer(data, np.int64, n, 8 + 4 * n), np.frombuffer(data, np.uint32, n, 8 + 12 * n)
+        ends = np.cumsum(sizes) + 8 + 16 * n
         return [data[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist())], least, sub
 
     @staticmethod
     def merge(said):
         known: dict[bytes, int] = {}
         places = [np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts)) for texts, _, _ in said]
-        least, sub = np.full(len(known), NULL_ID), np.empty(len(known), np.uint16)
+        least, sub = np.full(len(known), NULL_ID), np.empty(len(known), np.uint32)
         for at, (_, mine, bits) in zip(places, said):
             np.minimum.at(least, at, mine)
             sub[at] = bits
@@ -105,8 +105,12 @@ class Owners:
         texts, owner, sub = message
         windows, begun = self._windows(texts)
         sizes = windows + self.window - 1
-        found = np.empty(int(windows.sum()), np.int64)
+        found = np.repeat(owner, windows)  # right where an anchor has one stretch only: equal windows have one anchor
         order = np.argsort(sub, kind="stable")
+        of = sub[order]
+        near = np.append(of[1:] == of[:-1], False)
+        near[1:] |= near[:-1].copy()
+        order = order[near]
         in_order, room = sub[order], np.cumsum(sizes[order] + 1)
         at = 0
         while at < len(order):  # batches end between anchors
@@ -150,7 +154,7 @@ def _send_stretches(shards, window):
             said = batch.column("said")
             for i, block in open_blocks(batch):
                 s = Stretches(ByteUnits, block, said[i].as_py(), shards, window)
-                least, sub = s.extreme(block.ids, np.minimum, NULL_ID), A.within_shard(s.route, shards)
+                least, sub = s.extreme(block.ids, np.minimum, NULL_ID), s.route.astype(np.uint32)
                 yield messages(block.block_id, s.shard, s.begin, s.end, lambda a, b: Owners.pack((s.texts[a:b], least[a:b], sub[a:b])))  # noqa: B023
 
     return run
