@@ -1,14 +1,17 @@
 """Quality rules with an isolation forest on their statistics.
 
-Every whole text gets rule statistics; fixed rules reject first, and an isolation forest on the excesses
-of the statistics over tolerated ratios finds documents that random splits isolate early.  Trees are grown on samples of 256 from
-a bounded sample of documents (``FIT_ROWS``, least hash of ``doc_id`` first).  The threshold on the anomaly
+Every whole text gets rule statistics; fixed rules reject first, and an isolation forest on the statistics' ratios,
+on a logarithmic scale, finds documents that random splits isolate early.  Trees are grown on samples of 256 of
+at most ``FIT_ROWS`` documents labelled good, and cut anywhere in the box that holds the ratios of all documents: what
+lies where no good document lies is cut off by few splits and has a short path.  The threshold on the anomaly
 score comes from all labelled rows: the one that rejects most rows of quality 0 among those which reject at
 most 0.5 % of quality 1, and of equal ones the highest.
 
 Defined cases: a null text has no words and fails the base rule; labels whose quality is null, or whose
-document does not exist, do not count; without labels of both kinds only the base rule rejects; a null
-``doc_id`` is kept as null.  Rows of equal ``doc_id`` are judged one by one.
+document does not exist, do not count, and a label that is repeated counts once (a document with both labels counts for both);
+without labels of both kinds among the documents that pass the base rule only that rule rejects; a null ``doc_id`` is kept as null and
+has no label.  Rows of equal ``doc_id`` are judged one by one; an empty table gives an empty result; other columns are not read; very long texts
+are measured whole.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _M2, mix, sequence_grams
-from .common import batchwise, column, discard, picked, rows_of, store, utf8_parts
+from .common import as_before, batchwise, column, discard, picked, rows_of, store, utf8_parts
 from .words import doc_ranges, word_hashes, word_spans
 
 TREES, SAMPLE, FIT_ROWS, SEED = 200, 256, 8192, 7
+LEAST_RATIO = 0.001  # ratios below are about the same
 BINS, GOOD_LOSS = 10_000, 0.005
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_digits", "n_marks"]
@@ -80,28 +84,18 @@ def statistics(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[s
     }
 
 
-def excesses(c: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest looks at: by how much each ratio leaves what running text may have; mostly 0."""
-    w, ch, ln = (np.maximum(c[k], 1).astype(np.float64) for k in ("n_words", "word_chars", "n_lines"))
-    over = lambda x, tolerated: np.maximum(0.0, x - tolerated)
-    return np.stack(
-        [
-            over(c["n_symbols"] / ch, 0.01),
-            over(c["n_marks"] / ch, 0.15),
-            over(c["n_upper"] / ch, 0.3),
-            over(c["n_digits"] / ch, 0.3),
-            over(c["n_dup_lines"] / ln, 0.3),
-            over(c["n_repeat_words"] / w, 0.3),
-            over(np.abs(np.log(ch / w) - np.log(5.5)), np.log(2)),
-        ],
-        axis=1,
-    )
+#: What the forest looks at, as numerator and denominator of ratios.
+RATIOS = [("n_symbols", "word_chars"), ("n_marks", "word_chars"), ("n_upper", "word_chars"), ("n_digits", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("word_chars", "n_words")]
+
+
+def log_ratios(c: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([np.log(LEAST_RATIO + c[a] / np.maximum(c[b], 1)) for a, b in RATIOS], axis=1)
 
 
 class IsolationForest:
-    """Random axis splits; a point that few splits isolate is anomalous.  Scores are 0 to 1."""
+    """Random axis splits in a box; a point that few splits isolate is anomalous.  Scores are 0 to 1."""
 
-    def __init__(self, points: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
+    def __init__(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.size = min(sample, len(points))
         self.depth = max(1, int(np.ceil(np.log2(max(2, self.size)))))
@@ -110,18 +104,18 @@ class IsolationForest:
         self.split, self.path = np.zeros((trees, nodes)), np.zeros((trees, nodes))
         for t in range(trees):
             chosen = points[rng.choice(len(points), self.size, replace=False)] if len(points) else points
-            work = [(0, 0, chosen)]
+            work = [(0, 0, chosen, low, high)]
             while work:
-                node, level, rows = work.pop()
-                spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
-                if level == self.depth or not len(spread):
+                node, level, rows, lo, hi = work.pop()
+                wide = np.flatnonzero(hi > lo) if len(rows) > 1 else []
+                if level == self.depth or not len(wide):
                     self.path[t, node] = level + self.expected(len(rows))
                     continue
-                a = rng.choice(spread)
-                cut = rng.uniform(rows[:, a].min(), rows[:, a].max())
+                a = rng.choice(wide)
+                cut = rng.uniform(lo[a], hi[a])
                 self.axis[t, node], self.split[t, node] = a, cut
-                left = rows[:, a] <= cut
-                work += [(2 * node + 1, level + 1, rows[left]), (2 * node + 2, level + 1, rows[~left])]
+                left, here = rows[:, a] <= cut, np.arange(len(lo)) == a
+                work += [(2 * node + 1, level + 1, rows[left], lo, np.where(here, cut, hi)), (2 * node + 2, level + 1, rows[~left], np.where(here, cut, lo), hi)]
 
     @staticmethod
     def expected(n: int) -> float:
@@ -144,9 +138,9 @@ class IsolationForest:
 _STATS = pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in COUNTS + MORE)])
 
 
-def _stats_of(batch):
-    """Statistics of a batch's texts, some megabytes at a time."""
-    body, sizes, _ = utf8_parts(column(batch, "text"))
+def _stats_of(texts):
+    """Statistics of texts, some megabytes at a time."""
+    body, sizes, _ = utf8_parts(texts)
     ends, at, out = np.cumsum(sizes), 0, []
     while at < len(sizes):
         begun = ends[at] - sizes[at]
@@ -158,7 +152,7 @@ def _stats_of(batch):
 
 def _measure(batches):
     for batch in batches:
-        c = _stats_of(batch)
+        c = _stats_of(column(batch, "text"))
         yield rows_of(_STATS, [batch.column("doc_id"), *(c[k] for k in COUNTS + MORE)])
 
 
@@ -174,21 +168,28 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 def fit(stats: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float]:
     """Forest and threshold from statistics of all documents and (doc_id, quality) labels."""
     spark = stats.sparkSession
-    passed = F.expr("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
-    sample = stats.where(passed).orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(FIT_ROWS).toPandas()
-    forest = IsolationForest(excesses({k: sample[k].to_numpy() for k in COUNTS + MORE}))
+    passed = stats.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
+    known = picked(labels, doc_id="long", quality="long").where("quality in (0, 1) and doc_id is not null").distinct()
+    judged = passed.join(known, "doc_id")
+    ratio = lambda a, b: F.log(LEAST_RATIO + F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    box = passed.agg(*(f(ratio(a, b)) for f in (F.min, F.max) for a, b in RATIOS)).first()
+    good = judged.where("quality = 1").select("doc_id", *COUNTS, *MORE).distinct()
+    n_good = good.count()
+    share = min(1.0, FIT_ROWS / max(1, n_good))  # about FIT_ROWS of them reach the driver, whatever their number
+    drawn = good.where(F.pmod(F.xxhash64(*good.columns), F.lit(1 << 30)) < int(share * (1 << 30))).sort(*good.columns).toPandas()
+    low, high = (np.array([0.0 if x is None else x for x in part]) for part in (box[: len(RATIOS)], box[len(RATIOS) :]))
+    forest = IsolationForest(log_ratios({k: drawn[k].to_numpy() for k in COUNTS + MORE}), low, high)
     shared = spark.sparkContext.broadcast(forest)
 
     def score(batches):
         for batch in batches:
             c = {k: batch.column(k).to_numpy() for k in COUNTS + MORE}
-            where = np.minimum(BINS - 1, (shared.value.score(excesses(c)) * BINS).astype(np.int64))
+            where = np.minimum(BINS - 1, (shared.value.score(log_ratios(c)) * BINS).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(where)], names=["quality", "bin"])
 
-    known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality"))
-    judged = stats.where(passed).join(known, "doc_id").select("quality", *COUNTS, *MORE).mapInArrow(score, "quality long, bin long")
+    binned = judged.select("quality", *COUNTS, *MORE).mapInArrow(score, "quality long, bin long")
     hist = np.zeros((2, BINS + 1))
-    for quality, b, n in judged.groupBy("quality", "bin").agg(F.count(F.lit(1))).collect():  # two rows a bin at most
+    for quality, b, n in binned.groupBy("quality", "bin").agg(F.count(F.lit(1))).collect():  # two rows a bin at most
         hist[quality, b] = n
     if not hist.sum(axis=1).all():
         return forest, 2.0
@@ -210,7 +211,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             c = {k: batch.column(k).to_numpy() for k in COUNTS + MORE}
-            failed, score = _base_failed(c), shared.value.score(excesses(c))
+            failed, score = _base_failed(c), shared.value.score(log_ratios(c))
             yield rows_of(_VERDICT, [batch.column("doc_id"), *(c[k] for k in COUNTS), failed, ~failed & (score < threshold), score])
 
     return stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, anomaly double")
@@ -222,11 +223,13 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forest, threshold = fit(stats, labels)
     discard(stats)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
+    place = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            c = _stats_of(batch)
-            keep = ~_base_failed(c) & (shared.value.score(excesses(c)) < threshold)
+            c = _stats_of(batch.column(place))
+            keep = ~_base_failed(c) & (shared.value.score(log_ratios(c)) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(batchwise(run), docs.schema)
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return as_before(flat.mapInArrow(batchwise(run), flat.schema), docs)
