@@ -6,11 +6,12 @@ language; expectation-maximisation estimates the languages' proportions, and the
 one of the best penalised likelihood among the most probable one, two, three and so on.
 
 The model has 2^16 numbers for each language whatever the input, so it can go to the driver and be
-broadcast.
+broadcast; more than ``MOST_LANGUAGES`` languages are an error.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if there is
 nothing to learn from; ties go to the language first in alphabetical order; rows whose lang or ``doc_id``
-is null are not learnt from, but predicted.
+is null are not learnt from, but predicted; rows of equal ``doc_id`` are predicted one by one; very long texts are read
+whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batchwise, column, rows_of, utf8_parts
+from .common import as_before, batchwise, column, picked, rows_of, utf8_parts
 from .words import lower_ascii, word_spans
 
 BINS, SMOOTHING = 1 << 16, 0.1
 FULL_ROUNDS, LESS_ROUNDS = 12, 6
+MOST_LANGUAGES = 400  # a hundred MB of model
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = regex.compile(r"\p{L}")
@@ -70,9 +72,12 @@ def _count(batches):
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of every bin in every language) from the rows that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
-    counted = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(batchwise(_count), "lang string, bin int, n long")
-    sums = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    rows = picked(docs, doc_id="long", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
+    n_langs = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if n_langs > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn: the model would not fit a broadcast")
+    counted = rows.select("text", "lang").mapInArrow(batchwise(_count), "lang string, bin int, n long")
+    sums = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # BINS rows a language at most
     langs = sorted(sums["lang"].unique())
     counts = np.zeros((BINS, len(langs)))
     counts[sums["bin"], sums["lang"].map({name: k for k, name in enumerate(langs)})] = sums["n"]
@@ -163,7 +168,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, to - at)
                 yield rows_of(_OUT, [part.column("doc_id"), part.column("held_out"), pred, score, shares])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    plain = picked(docs, doc_id="long", text="string").select("doc_id", _held_out().alias("held_out"), "text")
     return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, proportions array<struct<lang:string,share:double>>")
 
 
@@ -171,15 +176,16 @@ def with_language(docs: DataFrame, least_share: float = 0.4) -> DataFrame:
     """The rows of ``docs`` that have a language with at least that share of the words; all columns unchanged."""
     langs, model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    place = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            body, sizes, _ = utf8_parts(column(batch, "text"))
+            body, sizes, _ = utf8_parts(batch.column(place))
             ends = np.cumsum(sizes)
             for at, to, a, b in _parts(sizes):
                 pred, score, _ = predict_block(body[a:b], ends[at:to] - sizes[at:to] - a, ends[at:to] - a, langs, shared.value)
                 keep = [p != "und" and s >= least_share for p, s in zip(pred, score)]
                 yield batch.slice(at, to - at).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(batchwise(run), docs.schema).select(*names)
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return as_before(flat.mapInArrow(batchwise(run), flat.schema), docs)
