@@ -71,6 +71,14 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_vector_neardup": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1),
+        reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT reach.vec_id, l.b FROM reach JOIN l ON l.a = reach.other),
+        c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
     "op2_repeated_phrases": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS i FROM w),
