@@ -91,3 +91,29 @@ ATS_KEYS = {
 }
 LANGUAGE_SKILLS = {"Shell": "Shell Scripting", "Jupyter Notebook": "Python"}  # other languages keep their name
 DEFAULT_ALIASES = {"full_name": "name", "emails": "email_addresses", "phones": "phone_numbers", "years_experience": "experience_years"}
+JOB_KEYS = {
+    "title": ["title", "job_title", "role"], "company": ["company", "employer", "organization"], "start_date": ["start_date", "startDate", "from"], "end_date": ["end_date", "endDate", "to"],
+    "description": ["description", "summary", "responsibilities"], "location": ["location"],
+}
+STUDY_KEYS = {
+    "institution": ["institution", "school", "university", "college"], "degree": ["degree", "degree_type", "qualification"], "field_of_study": ["field_of_study", "major", "subject", "course"],
+    "start_date": ["start_date", "startDate"], "end_date": ["end_date", "endDate", "graduation_date", "graduationDate"], "gpa": ["gpa", "grade"],
+}
+# what a résumé's text is searched for
+MAIL_IN_TEXT = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+PHONE_IN_TEXT = r"\+?[\d\-()\s]{7,16}"
+URL_IN_TEXT = r"(?i)(?:https?://|www\.)[^\s)\],\"']+|(?:linkedin\.com|github\.com|gitlab\.com)[^\s)\],\"']*"
+ROLES = "engineer|developer|scientist|analyst|manager|architect|designer|consultant|specialist|lead|director|intern|researcher|officer"
+MONTH_IN_TEXT = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*\d{4}|\d{1,2}/\d{4}|\d{4}"
+RANGE_IN_TEXT = rf"(?i)({MONTH_IN_TEXT})\s*(?:–|-|to)\s*({MONTH_IN_TEXT}|present|current|now)"
+DEGREE_IN_TEXT = r"(?i)\b(B\.?Tech|B\.?E\.?|B\.?Sc\.?|B\.?S\.?|B\.?A\.?|M\.?Tech|M\.?E\.?|M\.?Sc\.?|M\.?S\.?|M\.?A\.?|MBA|Ph\.?D\.?|Doctor|Bachelor|Master|Associate|Diploma)\b"
+GPA_IN_TEXT = r"(?i)\bGPA[:\s]+(\d+\.\d+)"
+YEARS_IN_TEXT = r"(?i)(\d+\+?)\s*(?:years?|yrs?)\s*(?:of\s+)?(?:experience|exp)"
+# deltas of the quality rules
+NAME_OF_TWO_WORDS, LONG_NAME = 0.05, -0.05
+EMAIL_PRESENT, LONG_EMAIL = 0.03, -0.05
+PHONE_PRESENT, PLACE_WITH_COMMA = 0.02, 0.03
+YEARS_PLAUSIBLE, MANY_YEARS = 0.03, -0.10
+SKILL_OF_THREE, SKILL_OF_TEN = 0.03, 0.02
+DEFAULT_PROJECTION = {"hide_provenance": False, "hide_confidence": False, "field_aliases": DEFAULT_ALIASES, "exclude_fields": []}
+REPORT_VERSION = "1.0.0"

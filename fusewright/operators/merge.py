@@ -144,7 +144,9 @@ def merge(records: DataFrame) -> DataFrame:
             source = _first(f"f_{field}")["source"]
             confidence = score.field_confidence(field, _first(f"n_{field}")["v"], source)
         elif field in ("emails", "phones"):
-            source, confidence = _first(mine)["source"], _first(mine)["confidence"]
+            # the field is scored by how many values it has, each entry by its own text
+            source = _first(mine)["source"]
+            confidence = score.list_confidence(field, F.size(mine), source)
         else:
             confidence = F.array_max(F.transform(mine, lambda e: e["confidence"]))
             source = _first(F.filter(mine, lambda e: e["confidence"] == F.array_max(F.transform(mine, lambda z: z["confidence"]))))["source"]

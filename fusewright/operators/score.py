@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import lookups as L
 from ..functions.lookups import BASELINE, OTHER_BASELINE, WEIGHTS
 
 
@@ -22,12 +23,12 @@ def baseline(source: Column, table: dict[str, float] = BASELINE) -> Column:
 def quality(field: str, value: Column) -> Column:
     """Sum of the rules' deltas for one value; emails and skills are judged as single strings."""
     rules = {
-        "full_name": [(F.size(F.split(value, r"\s+")) >= 2, 0.05), (F.length(value) > 30, -0.05)],
-        "emails": [(F.length(value) > 0, 0.03), (F.length(value) > 3, -0.05)],
-        "phones": [(F.length(value) > 0, 0.02)],
-        "location": [(F.contains(value, F.lit(",")), 0.03)],
-        "years_experience": [((value.try_cast("double") > 0) & (value.try_cast("double") < 50), 0.03), (value.try_cast("double") > 40, -0.10)],
-        "skills": [(F.length(value) >= 3, 0.03), (F.length(value) >= 10, 0.02)],
+        "full_name": [(F.size(F.split(value, r"\s+")) >= 2, L.NAME_OF_TWO_WORDS), (F.length(value) > 30, L.LONG_NAME)],
+        "emails": [(F.length(value) > 0, L.EMAIL_PRESENT), (F.length(value) > 3, L.LONG_EMAIL)],
+        "phones": [(F.length(value) > 0, L.PHONE_PRESENT)],
+        "location": [(F.contains(value, F.lit(",")), L.PLACE_WITH_COMMA)],
+        "years_experience": [((value.try_cast("double") > 0) & (value.try_cast("double") < 50), L.YEARS_PLAUSIBLE), (value.try_cast("double") > 40, L.MANY_YEARS)],
+        "skills": [(F.length(value) >= 3, L.SKILL_OF_THREE), (F.length(value) >= 10, L.SKILL_OF_TEN)],
     }
     total = F.lit(0.0)
     for holds, delta in rules.get(field, []):
@@ -40,6 +41,12 @@ def field_confidence(field: str, value: Column, source: Column, agreeing: Column
     return F.when(value.isNull() | (value == ""), 0.0).otherwise(clamp(baseline(source) + quality(field, value) + (agreeing - 1) * 0.02))
 
 
+def list_confidence(field: str, size: Column, source: Column) -> Column:
+    """Confidence of a list of emails or phones as a whole."""
+    rules = {"emails": [(size > 0, L.EMAIL_PRESENT), (size > 3, L.LONG_EMAIL)], "phones": [(size > 0, L.PHONE_PRESENT)]}
+    return clamp(sum((F.when(holds, delta).otherwise(0.0) for holds, delta in rules[field]), baseline(source)))
+
+
 def by_source_count(confidence: Column, n: Column) -> Column:
     return clamp(F.round(confidence + F.when(n == 1, -0.08).when(n == 2, -0.03).when(n >= 3, 0.02).otherwise(0.0), 4))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import FusionError, NoSourceError
+from .functions.lookups import DEFAULT_PROJECTION
 from .functions.text import entity_id
 from .operators import merge as M
 from .operators.validate import validate
@@ -19,7 +20,7 @@ from .schema import SOURCE_RECORD
 from .sources import ats, profile, resume, table
 from .sources.files import load_config
 
-CANDIDATE_FILE, REPORT_FILE = "candidate_profile.json", "pipeline_report.json"
+CANDIDATE_FILE, REPORT_FILE = "candidate.json", "pipeline_report.json"
 #: Readers by name, (spark, path) -> source records; add one to read a further source.
 SOURCES = {"resume": resume.read, "ats": ats.read, "csv": table.read, "github": profile.read}
 
@@ -68,7 +69,7 @@ def run_pipeline(
     given = {k: p for k, p in (("resume", resume_path), ("ats", ats_path), ("github", github_path), ("csv", csv_path)) if p}
     if not given:
         raise NoSourceError("no source was given")
-    config = load_config(spark, projection_config_path)
+    config = load_config(spark, projection_config_path) if projection_config_path else DEFAULT_PROJECTION
     records, warnings = {}, []
     for name, path in given.items():
         try:
@@ -83,15 +84,13 @@ def run_pipeline(
     together = functools.reduce(DataFrame.unionByName, (r.select(columns) for r in records.values()))
     profiles = fuse(together.withColumn("fusion_id", F.lit("candidate")) if one_entity else by_first_email(together))
     flags = config.get("report", {})
-    told = report(profiles, flags).withColumn("source_summary", F.lit(",".join(records)))
-    if flags.get("include_validation_warnings", True):
-        told = told.withColumn("pipeline_warnings", F.array(*map(F.lit, warnings)).cast("array<string>"))
+    told = report(profiles, flags, warnings)
     out = PipelineResult(profiles, told, list(records), warnings)
     if output_dir:
         shape = config.get("output", {})
         base = output_dir.rstrip("/")
         out.candidate_path, out.report_path = f"{base}/{shape.get('candidate_json', CANDIDATE_FILE)}", f"{base}/{shape.get('pipeline_report', REPORT_FILE)}"
-        shown = project(profiles, config or None)
+        shown = project(profiles.drop("sources", "validator_warnings"), config)
         out.elapsed_seconds = round(time.time() - began, 4)
         if flags.get("include_timing", True):
             out.report = told = told.withColumn("elapsed_seconds", F.lit(out.elapsed_seconds))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lookups import DEFAULT_ALIASES
-
-VERSION = "1.0"
+from ..functions.lookups import DEFAULT_PROJECTION, REPORT_VERSION
+from ..operators.score import tier
 
 
 def project(profiles: DataFrame, config: dict | None = None) -> DataFrame:
-    """Hides, renames and drops columns; renamed ones move to the end, and exclusions name the new names."""
+    """Hides, renames and drops columns; renamed ones move to the end, and exclusions name the new names.
+
+    Without a configuration the profile stays as it is; ``DEFAULT_PROJECTION`` is the one that whole runs take.
+    """
     if config is None:
         return profiles
     out = profiles
@@ -19,22 +21,27 @@ def project(profiles: DataFrame, config: dict | None = None) -> DataFrame:
         out = out.drop("provenance")
     if config.get("hide_confidence"):
         out = out.drop("overall_confidence").withColumn("skills", F.transform("skills", lambda s: s.dropFields("confidence")))
-    aliases = {a: b for a, b in config.get("field_aliases", DEFAULT_ALIASES).items() if a in out.columns}
+    aliases = {a: b for a, b in config.get("field_aliases", {}).items() if a in out.columns}
     renamed = set(aliases.values())
     columns = [F.col(c) for c in out.columns if c not in aliases and c not in renamed] + [F.col(a).alias(b) for a, b in aliases.items()]
     return out.select(*columns).drop(*config.get("exclude_fields", []))
 
 
-def report(profiles: DataFrame, include: dict | None = None) -> DataFrame:
-    """One report row per profile; ``include`` turns parts off."""
+def report(profiles: DataFrame, include: dict | None = None, warnings: list[str] | None = None) -> DataFrame:
+    """One report row per profile; ``include`` turns parts off.  warnings: of the run, such as sources that failed."""
+    logged = lambda p: F.struct(
+        p["field"].alias("field"), p["selected_source"].alias("selected_source"),
+        F.transform(p["entries"], lambda e: F.struct(e["source"].alias("source"), e["raw_value"].alias("raw_value"), e["confidence"].alias("confidence"))).alias("all_sources"),
+    )
     parts = {
-        "include_source_summary": F.col("sources").alias("sources_used"),
-        "include_field_confidences": F.map_from_entries(F.transform("provenance", lambda p: F.struct(p["field"], p["confidence"]))).alias("field_confidences"),
-        "include_conflict_log": F.transform(F.filter("provenance", lambda p: F.size(p["entries"]) > 1), lambda p: F.struct(p["field"].alias("field"), p["selected_source"].alias("selected_source"), p["entries"].alias("values"))).alias("conflict_log"),
-        "include_validation_warnings": (F.col("validator_warnings") if "validator_warnings" in profiles.columns else F.array().cast("array<string>")).alias("validation_warnings"),
+        "include_source_summary": [F.col("sources").alias("sources_used")],
+        "include_field_confidences": [F.map_from_entries(F.transform("provenance", lambda p: F.struct(p["field"], p["confidence"]))).alias("field_confidences"), F.col("overall_confidence")],
+        "include_conflict_log": [F.transform(F.filter("provenance", lambda p: F.size(p["entries"]) > 1), logged).alias("conflict_log")],
+        "include_validation_warnings": [F.array(*map(F.lit, warnings or [])).cast("array<string>").alias("validation_warnings")],
     }
-    chosen = [c for k, c in parts.items() if (include or {}).get(k, True)]
-    return profiles.select(F.lit(VERSION).alias("pipeline_version"), "fusion_id", "candidate_id", *chosen, "overall_confidence")
+    chosen = [c for k, cs in parts.items() if (include or {}).get(k, True) for c in cs]
+    validator = [c for c in ("validator_warnings",) if c in profiles.columns]
+    return profiles.select(F.lit(REPORT_VERSION).alias("pipeline_version"), "fusion_id", "candidate_id", *chosen, *validator)
 
 
 def identity_view(profiles: DataFrame) -> DataFrame:
@@ -52,11 +59,6 @@ def github_links(profiles: DataFrame) -> DataFrame:
     return profiles.select("fusion_id", F.explode(F.filter("links", lambda x: F.lower(x["label"]) == "github")).alias("x")).select("fusion_id", "x.url")
 
 
-def tier(confidence: Column, high: float = 0.75, medium: float = 0.50) -> Column:
-    """High, Medium or Low."""
-    return F.when(confidence >= high, "High").when(confidence >= medium, "Medium").otherwise("Low")
-
-
 def skill_view(profiles: DataFrame) -> DataFrame:
     """Skills with a tier of their own bounds; ``place`` orders them by confidence, then as in the profile."""
     x = profiles.select("fusion_id", F.posexplode("skills").alias("pos", "s")).select("fusion_id", "pos", F.col("s.canonical_name").alias("skill"), F.col("s.confidence").alias("confidence"))

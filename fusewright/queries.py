@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from .functions import normalize as N
 from .functions import text as T
-from .functions.lookups import PLACES, SKILLS
+from .functions.lookups import MAIL_IN_TEXT, PHONES, PLACES, SKILLS
 from .operators import merge as M
 from .operators import score as S
 from .operators.validate import validate
-from .plans.project import project, report
-from .sources.profile import top_languages as _top_languages
-from .sources.resume import experience_months, sections
-from .synth import RECORDS, flat_records, source_records
+from .plans import project as P
+from .plans.sinks import write_lines, write_text
+from .sources import ats, profile, resume, table
+from .sources.files import scratch
+from .synth import RECORDS, RESUMES, exports, flat_records, resumes, source_records
 
 QUERIES, ORACLE_SQL = {}, {}
 _TITLE = r"array_to_string(list_transform(regexp_extract_all({0}, '\p{{L}}+|\P{{L}}+'), lambda x: upper(x[1]) || lower(x[2:])), '')"
@@ -38,7 +39,9 @@ _PLACE = lambda x: f"CASE WHEN {x} <> '' THEN coalesce({_case(PLACES, f'lower({_
 _NAME = lambda x: _title(f"nullif({_strip(rf'''regexp_replace(regexp_replace({x}, '[^a-zA-Z\s\-'']', '', 'g'), '\s+', ' ', 'g')''')}, '')")
 _EMAIL = lambda x: rf"CASE WHEN regexp_matches(lower({_strip(x)}), '^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}$') THEN lower({_strip(x)}) END"
 _DIGITS = lambda x: f"regexp_replace({x}, '[^0-9]', '', 'g')"
-_PHONE = lambda x: rf"CASE WHEN {_strip(x)} LIKE '+%' THEN CASE WHEN regexp_matches({_DIGITS(x)}, '^(91[6-9][0-9]{{9}}|1[2-9][0-9]{{2}}[2-9][0-9]{{6}})$') THEN '+' || {_DIGITS(x)} END WHEN regexp_matches(regexp_replace({_DIGITS(x)}, '^0', ''), '^[6-9][0-9]{{9}}$') THEN '+91' || regexp_replace({_DIGITS(x)}, '^0', '') WHEN regexp_matches({_DIGITS(x)}, '^91[6-9][0-9]{{9}}$') THEN '+' || {_DIGITS(x)} END"
+_RULES = "|".join(f"{code}({rule})" for code, rule in PHONES.items())
+_HOME = PHONES["91"]
+_PHONE = lambda x: rf"CASE WHEN {_strip(x)} LIKE '+%' THEN CASE WHEN regexp_matches({_DIGITS(x)}, '^({_RULES})$') THEN '+' || {_DIGITS(x)} END WHEN regexp_matches(regexp_replace({_DIGITS(x)}, '^0', ''), '^{_HOME}$') THEN '+91' || regexp_replace({_DIGITS(x)}, '^0', '') WHEN regexp_matches({_DIGITS(x)}, '^91{_HOME}$') THEN '+' || {_DIGITS(x)} END"
 _YEARS = lambda x: rf"(list_transform([regexp_extract_all({x}, '\d+(?:\.\d+)?')], lambda n: CASE WHEN len(n) >= 2 THEN (n[1]::DOUBLE + n[2]::DOUBLE) / 2 WHEN len(n) = 1 THEN n[1]::DOUBLE END))[1]"
 _DATE = lambda x: rf"CASE WHEN regexp_matches({x}, '^(present|current|now|ongoing|-+)$', 'i') THEN 'Present' WHEN regexp_matches({x}, '^\d{{4}}$') THEN {x} || '-01' WHEN regexp_matches({x}, '^\d{{1,2}}/\d{{4}}$') THEN split_part({x}, '/', 2) || '-' || lpad(split_part({x}, '/', 1), 2, '0') WHEN regexp_matches({x}, '^\d{{4}}/\d{{1,2}}$') THEN split_part({x}, '/', 1) || '-' || lpad(split_part({x}, '/', 2), 2, '0') ELSE strftime(coalesce(try_strptime({x}, '%Y-%m-%d'), try_strptime({x}, '%b %Y'), try_strptime({x}, '%B %-d, %Y')), '%Y-%m') END"
 _BASE = "CASE source WHEN 'resume' THEN 0.92 WHEN 'ats' THEN 0.90 WHEN 'csv' THEN 0.80 WHEN 'github' THEN 0.86 ELSE 0.70 END::DOUBLE"
@@ -94,24 +97,133 @@ def string_functions(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", T.title(c).alias("titled"), T.slugify(c).alias("slug"), T.truncate(c, 12).alias("short"), T.entity_id(c).alias("id"), T.coerce(F.col("p_brand")).alias("brand"))
 
 
-@query(r"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}'), lambda x: lower(x)))) AS email FROM documents")
+@query(rf"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{MAIL_IN_TEXT}'), lambda x: lower(x)))) AS email FROM documents")
 def scan_emails(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit(r"([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"), F.lit(1))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(found, F.lower))).alias("email"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(resume.scan(F.col("text"))["emails"]).alias("email"))
 
 
-@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN url WHEN contains(url, '.') THEN 'https://' || url END AS url, CASE WHEN contains(lower(url), 'github.com') THEN 'GitHub' WHEN contains(lower(url), 'linkedin.com') THEN 'LinkedIn' WHEN contains(lower(url), 'gitlab.com') THEN 'GitLab' ELSE 'Link' END AS label FROM pages")
+@query(rf"WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '\+?[\d\-()\s]{{7,16}}')) AS raw FROM documents) SELECT DISTINCT doc_id, phone FROM (SELECT doc_id, {_PHONE('raw')} AS phone FROM p) WHERE phone IS NOT NULL")
+def scan_phones(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(resume.scan(F.col("text"))["phones"]).alias("phone"))
+
+
+_LABEL = "CASE WHEN contains(lower(url), 'github.com') THEN 'GitHub' WHEN contains(lower(url), 'linkedin.com') THEN 'LinkedIn' WHEN contains(lower(url), 'gitlab.com') THEN 'GitLab' ELSE 'Link' END"
+_URL = "CASE WHEN regexp_matches({0}, '^https?://') THEN {0} WHEN contains({0}, '.') THEN 'https://' || {0} END"
+
+
+@query(rf"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(?:https?://|www\.)[^\s)\],"'']+|(?:linkedin\.com|github\.com|gitlab\.com)[^\s)\],"'']*')) AS found FROM pages),
+    t AS (SELECT page_id, regexp_replace(found, '^\.+|\.+$', '', 'g') AS found FROM u), n AS (SELECT DISTINCT page_id, {_URL.format('found')} AS url FROM t) SELECT page_id, url, {_LABEL} AS label FROM n WHERE url IS NOT NULL""")
 def scan_urls(spark, sf_dir):
-    from .sources.resume import link_label
+    return _t(spark, sf_dir, "pages").select("page_id", F.explode(resume.scan(F.col("html"))["links"]).alias("x")).select("page_id", "x.url", "x.label")
 
-    return _t(spark, sf_dir, "pages").select("page_id", N.url(F.col("url")).alias("url"), link_label(F.col("url")).alias("label"))
 
+@query(f"SELECT page_id, {_URL.format('url')} AS url, {_LABEL} AS label FROM pages")
+def norm_url(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", N.url(F.col("url")).alias("url"), resume.link_label(F.col("url")).alias("label"))
+
+
+@query(_R + f", e AS (SELECT fusion_id, source, i, {_SKILL('raw')} AS v FROM (SELECT fusion_id, source, unnest(string_split(skills, ';')) AS raw, generate_subscripts(string_split(skills, ';'), 1) AS i FROM r)), f AS (SELECT fusion_id, source, arg_min(v, i) AS v, min(i) AS i FROM e GROUP BY fusion_id, source, lower(v)) SELECT fusion_id, source, string_agg(v, ',' ORDER BY i) AS skills FROM f GROUP BY ALL")
+def skills_list(spark, sf_dir):
+    return flat_records(spark, sf_dir).where("skills is not null").select("fusion_id", "source", F.array_join(N.skills_list(F.split("skills", ";")), ",").alias("skills"))
+
+
+@query(_R + f", m AS (SELECT fusion_id, source, list_filter(list_transform(regexp_split_to_array(emails || ' | ; ' || coalesce(location, ''), '[;|,\\s]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM r WHERE emails IS NOT NULL) SELECT fusion_id, source, len(p) AS n, array_to_string(p, '/') AS parts FROM m")
+def split_multi(spark, sf_dir):
+    parts = T.split_multi(F.concat("emails", F.lit(" | ; "), F.coalesce("location", F.lit(""))), r"[;|,\s]+")
+    return flat_records(spark, sf_dir).where("emails is not null").select("fusion_id", "source", F.size(parts).cast("long").alias("n"), F.array_join(parts, "/").alias("parts"))
+
+
+def _agg(raw, change, keep="v IS NOT NULL", distinct=False):
+    """SQL for the items of a text with semicolons, changed, kept and joined; distinct: the first of equal ones."""
+    items = f"list_filter(list_transform(string_split({raw}, ';'), lambda x: {change('x')}), lambda v: {keep})"
+    return f"array_to_string(list_filter({items}, lambda v, i: {f'list_position({items}, v) = i' if distinct else 'true'}), ',')"
+
+
+@query(_R + f" SELECT 'R' || fusion_id AS fusion_id, {_NAME('full_name')} AS full_name, coalesce({_agg('emails', _EMAIL)}, '') AS emails, coalesce({_agg('phones', _PHONE)}, '') AS phones, {_PLACE('location')} AS location, headline, coalesce({_agg('skills', _SKILL, distinct=True)}, '') AS skills, CASE WHEN links IS NOT NULL THEN 'https://' || split_part(links, '|', 1) ELSE '' END AS links, {_YEARS('years_experience')} AS years FROM r WHERE source = 'csv'")
+def scan_csv(spark, sf_dir):
+    """A table with odd headers, two columns of one field and rows without a cell, written and read again."""
+    r = flat_records(spark, sf_dir).where("source = 'csv'")
+    written = r.select(
+        F.concat(F.lit("R"), "fusion_id").alias("Applicant_ID"), F.col("full_name").alias("Candidate Name"), F.lit("lost@example.com").alias("Email"), F.col("emails").alias("Email-Address"), F.regexp_replace("phones", ";", "|").alias(" Mobile Number"),
+        F.col("location").alias("City"), F.col("headline").alias("Current Title"), F.col("skills").alias("Skill Set"), F.split("links", r"\|")[0].alias("Website"), F.lit("odd").alias("Unknown"), F.col("years_experience").alias("YOE"),
+    )
+    blank = r.select(*(F.lit(None).cast("string").alias(c) for c in written.columns))
+    path = scratch(spark)
+    written.unionByName(blank).write.option("header", True).option("quoteAll", True).option("emptyValue", "").csv(path)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return table.read(spark, path).select("fusion_id", "full_name", joined("emails"), joined("phones"), "location", "headline", joined("skills"), F.array_join(F.transform("links", lambda x: x["url"]), ",").alias("links"), F.col("years_experience").cast("double").alias("years"))
+
+
+def _entries_sql(field, dates=(3, 4)):
+    """SQL for entries like a|b|c|d;... with four parts joined by slashes, dates made plain."""
+    part = lambda i: f"nullif(string_split(x, '|')[{i}], '')"
+    parts = " || '/' || ".join(f"coalesce({_DATE(part(i)) if i in dates else part(i)}, '')" for i in range(1, 5))
+    return f"coalesce(array_to_string(list_transform(string_split({field}, ';'), lambda x: {parts}), ';'), '')"
 
-@query(_R + f", n AS (SELECT *, {_NAME('full_name')} AS v FROM r WHERE coalesce(full_name, '') <> '') SELECT fusion_id, arg_min(v, prio) FILTER (v IS NOT NULL AND v <> '') AS full_name, arg_min(source, prio) AS selected_source FROM n GROUP BY fusion_id")
-def merge_scalar(spark, sf_dir):
-    p = M.merge(source_records(spark, sf_dir))
-    raw = flat_records(spark, sf_dir).where("coalesce(full_name, '') <> ''").groupBy("fusion_id").agg(F.min_by("source", "prio").alias("selected_source"))
-    return p.select("fusion_id", "full_name").join(raw, "fusion_id")
+
+_COERCED = lambda x: f"CASE WHEN lower({_strip(x)}) NOT IN ('nan', 'none', 'null', 'n/a', 'na', '-', '') THEN {_strip(x)} END"
+
+
+@query(_R + f", a AS (SELECT *, fusion_id[2:]::BIGINT % 3 AS k FROM r WHERE source = 'ats') SELECT 'A' || fusion_id AS fusion_id, {_NAME(_COERCED('full_name'))} AS full_name, coalesce(CASE WHEN k = 2 THEN {_EMAIL("split_part(emails, ';', 1)")} ELSE {_agg('emails', _EMAIL, distinct=True)} END, '') AS emails, coalesce({_agg('phones', _PHONE, distinct=True)}, '') AS phones, {_PLACE('location')} AS location, {_COERCED('headline')} AS headline, coalesce({_agg('skills', _SKILL, distinct=True)}, '') AS skills, {_entries_sql('experience')} AS experience, {_entries_sql('education')} AS education, {_YEARS('years_experience')} AS years FROM a")
+def scan_ats(spark, sf_dir):
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    of = lambda c, names: F.array_join(F.transform(c, lambda x: F.concat_ws("/", *(F.coalesce(x[n], F.lit("")) for n in names))), ";").alias(c)
+    return ats.parse(exports(spark, sf_dir)).select(
+        "fusion_id", "full_name", joined("emails"), joined("phones"), "location", "headline", joined("skills"), of("experience", ["title", "company", "start_date", "end_date"]), of("education", ["institution", "degree", "start_date", "end_date"]),
+        F.col("years_experience").cast("double").alias("years"),
+    )
+
+
+@query(f"WITH r AS ({RESUMES}) SELECT doc_id, {_NAME('person')} AS full_name, lower(mail) AS emails, '+91' || phone[5:] AS phones, {_PLACE('place')} AS location, role AS headline, 'Tools: Py,SQL,Kubernetes,Data Lakes,Go' AS skills, 'https://github.com/u GitHub' AS links, CASE WHEN k = 2 THEN 2025 - y1::INT ELSE m::INT END::DOUBLE AS years, sha256(lower(mail))[1:16] AS candidate_id FROM r")
+def scan_resume(spark, sf_dir):
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return resume.parse(resumes(spark, sf_dir)).select(
+        F.col("fusion_id").cast("long").alias("doc_id"), "full_name", joined("emails"), joined("phones"), "location", "headline", joined("skills"), F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["url"], x["label"])), ",").alias("links"),
+        F.col("years_experience").cast("double").alias("years"), "candidate_id",
+    )
+
+
+@query(f"""WITH r AS ({RESUMES}) SELECT doc_id, 0::BIGINT AS ord, 'Data Engineer' AS title, 'Acme' AS company, y1 || '-' || lpad(m, 2, '0') AS start_date, y2 || '-' || lpad(m, 2, '0') AS end_date, 'built things for many' || CASE WHEN k = 1 THEN ' Lead | Other Inc ran it' ELSE '' END AS description FROM r
+    UNION ALL SELECT doc_id, 1, 'Lead', 'Other Inc', y2 || '-01', 'Present', 'ran it' FROM r WHERE k <> 1""")
+def resume_experience(spark, sf_dir):
+    x = resume.parse(resumes(spark, sf_dir)).select(F.col("fusion_id").cast("long").alias("doc_id"), F.posexplode("experience").alias("ord", "x"))
+    return x.select("doc_id", F.col("ord").cast("long").alias("ord"), "x.title", "x.company", "x.start_date", "x.end_date", "x.description")
+
+
+@query(f"""WITH r AS ({RESUMES}) SELECT doc_id, 0::BIGINT AS ord, 'Open University of ' || place AS institution, 'B.Tech' AS degree, 'Computer Science' AS field_of_study, y1 || '-01' AS start_date, y2 || '-01' AS end_date, ('8.' || m)::DOUBLE AS gpa FROM r
+    UNION ALL SELECT doc_id, 1, 'MIT Boston', 'Master', 'of Arts', NULL, NULL, NULL FROM r""")
+def resume_education(spark, sf_dir):
+    x = resume.parse(resumes(spark, sf_dir)).select(F.col("fusion_id").cast("long").alias("doc_id"), F.posexplode("education").alias("ord", "x"))
+    return x.select("doc_id", F.col("ord").cast("long").alias("ord"), "x.institution", "x.degree", "x.field_of_study", "x.start_date", "x.end_date", "x.gpa")
+
+
+@query(f"""WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CASE o_orderkey % 5 WHEN 0 THEN 'Jupyter Notebook' WHEN 1 THEN 'Shell' WHEN 2 THEN 'Rust' WHEN 3 THEN 'Python' END AS language, o_orderkey % 7 = 0 AS fork FROM orders),
+    n AS (SELECT * FROM o WHERE NOT fork QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY pos) <= 30),
+    g AS (SELECT o_custkey, language, count(*) AS n, min(pos) AS first FROM n WHERE language IS NOT NULL GROUP BY 1, 2),
+    k AS (SELECT o_custkey, CASE language WHEN 'Shell' THEN 'Shell Scripting' WHEN 'Jupyter Notebook' THEN 'Python' ELSE language END AS skill, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, first) AS rank FROM g),
+    f AS (SELECT o_custkey, skill, min(rank) AS rank FROM k WHERE rank <= 10 GROUP BY 1, 2),
+    s AS (SELECT o_custkey, string_agg(skill, ',' ORDER BY rank) AS skills FROM f GROUP BY 1)
+    SELECT 'u' || c_custkey AS fusion_id, {_NAME('c_mktsegment')} AS full_name, CASE WHEN c_custkey % 3 = 0 THEN 'u' || c_custkey || '@x.org' ELSE '' END AS emails, 'https://github.com/u' || c_custkey || ' GitHub' || CASE c_custkey % 3 WHEN 1 THEN ',https://blog.org/' || c_custkey || ' Portfolio' WHEN 2 THEN ',http://b.org Portfolio' ELSE '' END AS links, {_PLACE("'nyc'")} AS location, coalesce(skills, '') AS skills, c_mktsegment AS headline FROM customer LEFT JOIN s ON o_custkey = c_custkey""")
+def scan_profile(spark, sf_dir):
+    k = F.col("c_custkey")
+    blog = F.when(k % 3 == 1, F.concat(F.lit("blog.org/"), k.cast("string"))).when(k % 3 == 2, "http://b.org").otherwise(" ")
+    users = _t(spark, sf_dir, "customer").select(
+        F.concat(F.lit("u"), k.cast("string")).alias("fusion_id"), F.concat(F.lit("u"), k.cast("string")).alias("login"), F.col("c_mktsegment").alias("name"), F.when(k % 3 == 0, F.concat(F.lit("U"), k.cast("string"), F.lit("@x.org"))).otherwise("none").alias("email"),
+        F.col("c_mktsegment").alias("bio"), blog.alias("blog"), F.lit("nyc").alias("location"),
+    )
+    o = F.col("o_orderkey")
+    language = F.when(o % 5 == 0, "Jupyter Notebook").when(o % 5 == 1, "Shell").when(o % 5 == 2, "Rust").when(o % 5 == 3, "Python")
+    repos = _t(spark, sf_dir, "orders").select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("fusion_id"), o.alias("pos"), language.alias("language"), (o % 7 == 0).alias("fork"))
+    p = profile.parse(users, repos)
+    return p.select("fusion_id", "full_name", F.array_join("emails", ",").alias("emails"), F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["url"], x["label"])), ",").alias("links"), "location", F.array_join("skills", ",").alias("skills"), "headline")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'plain' ELSE 'u' || c_custkey END AS username FROM customer")
+def profile_username(spark, sf_dir):
+    k = F.col("c_custkey")
+    u = F.concat(F.lit("u"), k.cast("string"))
+    raw = F.when(k % 4 == 0, F.concat(F.lit("https://github.com/"), u, F.lit("?tab=x"))).when(k % 4 == 1, F.concat(F.lit(" github.com/"), u, F.lit("/repo"))).when(k % 4 == 2, F.concat(u, F.lit("/ "))).otherwise("@plain")
+    return _t(spark, sf_dir, "customer").select("c_custkey", profile.username(raw).alias("username"))
 
 
 @query(_R + f", e AS (SELECT fusion_id, prio, i, {_EMAIL('raw')} AS v FROM (SELECT fusion_id, prio, unnest(string_split(emails, ';')) AS raw, generate_subscripts(string_split(emails, ';'), 1) AS i FROM r)), f AS (SELECT fusion_id, v, min(prio * 100 + i) AS o FROM e WHERE v IS NOT NULL GROUP BY ALL) SELECT fusion_id, v AS email, row_number() OVER (PARTITION BY fusion_id ORDER BY o) - 1 AS ord FROM f")
@@ -166,22 +278,22 @@ def merge_education(spark, sf_dir):
 
 _ENTRIES = f""", y AS (SELECT * FROM r),
     scal AS (
-      SELECT fusion_id, 'full_name' AS field, source, prio, 0 AS i, v, {_BASE} + CASE WHEN contains(v, ' ') THEN 0.05 ELSE 0 END - CASE WHEN length(v) > 30 THEN 0.05 ELSE 0 END AS c FROM (SELECT *, {_NAME('full_name')} AS v FROM y) WHERE v <> ''
-      UNION ALL SELECT fusion_id, 'location', source, prio, 0, v, {_BASE} + CASE WHEN contains(v, ',') THEN 0.03 ELSE 0 END FROM (SELECT *, {_PLACE('location')} AS v FROM y) WHERE v <> ''
-      UNION ALL SELECT fusion_id, 'headline', source, prio, 0, headline, {_BASE} FROM y WHERE headline <> ''
-      UNION ALL SELECT fusion_id, 'years_experience', source, prio, 0, years_experience, {_BASE} + CASE WHEN try_cast(years_experience AS DOUBLE) > 0 AND try_cast(years_experience AS DOUBLE) < 50 THEN 0.03 ELSE 0 END - CASE WHEN try_cast(years_experience AS DOUBLE) > 40 THEN 0.1 ELSE 0 END FROM y WHERE years_experience <> ''),
-    em AS (SELECT fusion_id, source, prio, i, {_EMAIL('raw')} AS v FROM (SELECT fusion_id, source, prio, unnest(string_split(emails, ';')) AS raw, generate_subscripts(string_split(emails, ';'), 1) AS i FROM y)),
-    ph AS (SELECT fusion_id, source, prio, i, {_PHONE('raw')} AS v FROM (SELECT fusion_id, source, prio, unnest(string_split(phones, ';')) AS raw, generate_subscripts(string_split(phones, ';'), 1) AS i FROM y)),
-    sk AS (SELECT fusion_id, source, prio, i, {_SKILL('raw')} AS v FROM (SELECT fusion_id, source, prio, unnest(string_split(skills, ';')) AS raw, generate_subscripts(string_split(skills, ';'), 1) AS i FROM y)),
+      SELECT fusion_id, 'full_name' AS field, source, prio, 0 AS i, v, {_BASE} + CASE WHEN contains(v, ' ') THEN 0.05 ELSE 0 END - CASE WHEN length(v) > 30 THEN 0.05 ELSE 0 END AS c, full_name AS raw FROM (SELECT *, {_NAME('full_name')} AS v FROM y) WHERE v <> ''
+      UNION ALL SELECT fusion_id, 'location', source, prio, 0, v, {_BASE} + CASE WHEN contains(v, ',') THEN 0.03 ELSE 0 END, location FROM (SELECT *, {_PLACE('location')} AS v FROM y) WHERE v <> ''
+      UNION ALL SELECT fusion_id, 'headline', source, prio, 0, headline, {_BASE}, headline FROM y WHERE headline <> ''
+      UNION ALL SELECT fusion_id, 'years_experience', source, prio, 0, years_experience, {_BASE} + CASE WHEN try_cast(years_experience AS DOUBLE) > 0 AND try_cast(years_experience AS DOUBLE) < 50 THEN 0.03 ELSE 0 END - CASE WHEN try_cast(years_experience AS DOUBLE) > 40 THEN 0.1 ELSE 0 END, years_experience FROM y WHERE years_experience <> ''),
+    em AS (SELECT fusion_id, source, prio, i, {_EMAIL('raw')} AS v, raw FROM (SELECT fusion_id, source, prio, unnest(string_split(emails, ';')) AS raw, generate_subscripts(string_split(emails, ';'), 1) AS i FROM y)),
+    ph AS (SELECT fusion_id, source, prio, i, {_PHONE('raw')} AS v, raw FROM (SELECT fusion_id, source, prio, unnest(string_split(phones, ';')) AS raw, generate_subscripts(string_split(phones, ';'), 1) AS i FROM y)),
+    sk AS (SELECT fusion_id, source, prio, i, {_SKILL('raw')} AS v, {_strip('raw')} AS raw FROM (SELECT fusion_id, source, prio, unnest(string_split(skills, ';')) AS raw, generate_subscripts(string_split(skills, ';'), 1) AS i FROM y)),
     ex AS (SELECT fusion_id, source, prio, i, lower(split_part(raw, '|', 2) || '||' || split_part(raw, '|', 1)) AS v FROM (SELECT fusion_id, source, prio, unnest(string_split(experience, ';')) AS raw, generate_subscripts(string_split(experience, ';'), 1) AS i FROM y)),
     ed AS (SELECT fusion_id, source, prio, i, lower(split_part(raw, '|', 1) || '||' || split_part(raw, '|', 2)) AS v FROM (SELECT fusion_id, source, prio, unnest(string_split(education, ';')) AS raw, generate_subscripts(string_split(education, ';'), 1) AS i FROM y)),
     ent AS (
       SELECT * FROM scal
-      UNION ALL SELECT fusion_id, 'emails', source, prio, i, v, {_BASE} - CASE WHEN length(v) > 3 THEN 0.02 ELSE -0.03 END FROM em WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fusion_id, v ORDER BY prio, i) = 1
-      UNION ALL SELECT fusion_id, 'phones', source, prio, i, v, {_BASE} + 0.02 FROM ph WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fusion_id, v ORDER BY prio, i) = 1
-      UNION ALL SELECT fusion_id, 'skills', source, prio, i, v, {_BASE} + CASE WHEN length(v) >= 3 THEN 0.03 ELSE 0 END + CASE WHEN length(v) >= 10 THEN 0.02 ELSE 0 END FROM sk
-      UNION ALL SELECT fusion_id, 'experience', source, prio, i, v, 0.85 FROM ex QUALIFY row_number() OVER (PARTITION BY fusion_id, v ORDER BY prio, i) = 1
-      UNION ALL SELECT fusion_id, 'education', source, prio, i, v, 0.85 FROM ed QUALIFY row_number() OVER (PARTITION BY fusion_id, v ORDER BY prio, i) = 1),
+      UNION ALL SELECT fusion_id, 'emails', source, prio, i, v, {_BASE} - CASE WHEN length(v) > 3 THEN 0.02 ELSE -0.03 END, raw FROM em WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fusion_id, v ORDER BY prio, i) = 1
+      UNION ALL SELECT fusion_id, 'phones', source, prio, i, v, {_BASE} + 0.02, raw FROM ph WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fusion_id, v ORDER BY prio, i) = 1
+      UNION ALL SELECT fusion_id, 'skills', source, prio, i, v, {_BASE} + CASE WHEN length(v) >= 3 THEN 0.03 ELSE 0 END + CASE WHEN length(v) >= 10 THEN 0.02 ELSE 0 END, raw FROM sk
+      UNION ALL SELECT fusion_id, 'experience', source, prio, i, v, 0.85, v FROM ex QUALIFY row_number() OVER (PARTITION BY fusion_id, v ORDER BY prio, i) = 1
+      UNION ALL SELECT fusion_id, 'education', source, prio, i, v, 0.85, v FROM ed QUALIFY row_number() OVER (PARTITION BY fusion_id, v ORDER BY prio, i) = 1),
     fld AS (SELECT fusion_id, field, count(*) AS n_values, count(DISTINCT source) AS n_sources, arg_min(source, prio * 100 + i) AS first_source, arg_min(c, prio * 100 + i) AS first_c, max(c) AS top_c, arg_min(source, -round(c, 4) * 1e6 + prio * 100 + i) AS top_source FROM ent GROUP BY 1, 2),
     rawwin AS (
       SELECT fusion_id, 'full_name' AS field, arg_min(source, prio) AS s FROM y WHERE full_name <> '' GROUP BY 1
@@ -189,6 +301,7 @@ _ENTRIES = f""", y AS (SELECT * FROM r),
     sel AS (SELECT fld.*, CASE WHEN field IN ('skills', 'experience', 'education') THEN top_source WHEN rawwin.s IS NOT NULL THEN rawwin.s ELSE first_source END AS selected_source,
       CASE WHEN field IN ('skills', 'experience', 'education') THEN round(least(1, top_c), 4)
         WHEN rawwin.s IS NOT NULL AND rawwin.s <> first_source THEN round(first_c - (CASE first_source WHEN 'resume' THEN 0.92 WHEN 'ats' THEN 0.90 WHEN 'csv' THEN 0.80 ELSE 0.86 END) + (CASE rawwin.s WHEN 'resume' THEN 0.92 WHEN 'ats' THEN 0.90 WHEN 'csv' THEN 0.80 ELSE 0.86 END), 4)
+        WHEN field = 'emails' THEN round(CASE first_source WHEN 'resume' THEN 0.92 WHEN 'ats' THEN 0.90 WHEN 'csv' THEN 0.80 ELSE 0.86 END::DOUBLE + 0.03 - CASE WHEN n_values > 3 THEN 0.05 ELSE 0 END, 4)
         ELSE round(least(1, first_c), 4) END AS confidence
       FROM fld LEFT JOIN rawwin USING (fusion_id, field)),
     adj AS (SELECT *, round(greatest(0, least(1, confidence + CASE WHEN n_sources = 1 THEN -0.08 WHEN n_sources = 2 THEN -0.03 ELSE 0.02 END)), 4) AS adjusted FROM sel),
@@ -198,10 +311,22 @@ _ENTRIES = f""", y AS (SELECT * FROM r),
     overall AS (SELECT fusion_id, n, round(greatest(0, least(1, s + least((n - 1) * 0.015, 0.05) - CASE WHEN nm = 0 THEN 0.10 ELSE 0 END - CASE WHEN e = 0 THEN 0.08 ELSE 0 END)), 4) AS overall_confidence FROM tot)"""
 
 
-@query(_R + _ENTRIES + " SELECT fusion_id, field, source, v AS value_key, round(least(1, c), 4) AS confidence FROM ent WHERE field IN ('full_name', 'location', 'headline', 'years_experience', 'experience', 'education')".replace("v AS value_key, ", ""))
+_FIELD = lambda c, f: f"max({c}) FILTER (field = '{f}')"
+_SCALARS = ", ".join(f"{_FIELD('v', f)} AS {f}, {_FIELD('selected_source', f)} AS {f}_source" for f in ("full_name", "location", "headline")) + f", {_YEARS(_FIELD('v', 'years_experience'))} AS years_experience, {_FIELD('selected_source', 'years_experience')} AS years_experience_source"
+
+
+@query(_R + _ENTRIES + f", best AS (SELECT fusion_id, field, arg_min(v, prio) AS v FROM scal GROUP BY 1, 2), both_ AS (SELECT best.*, adj.selected_source FROM best JOIN adj USING (fusion_id, field)) SELECT n.fusion_id, {_SCALARS} FROM n LEFT JOIN both_ USING (fusion_id) GROUP BY n.fusion_id")
+def merge_scalar(spark, sf_dir):
+    p = M.merge(source_records(spark, sf_dir))
+    source = lambda f: F.get(F.filter("provenance", lambda x: x["field"] == f), F.lit(0))["selected_source"].alias(f"{f}_source")
+    return p.select("fusion_id", *(c for f in M.SCALARS for c in (f, source(f))))
+
+
+@query(_R + _ENTRIES + """ SELECT fusion_id, field, adj.selected_source, row_number() OVER (PARTITION BY fusion_id, field ORDER BY prio, i) - 1 AS ord, source,
+    CASE field WHEN 'emails' THEN 'email_normalize' WHEN 'phones' THEN 'phone_e164' WHEN 'skills' THEN 'skill_normalize' WHEN 'experience' THEN 'experience_merge' WHEN 'education' THEN 'education_merge' ELSE 'direct_field' END AS method,
+    raw AS raw_value, round(greatest(0, least(1, c)), 4) AS confidence FROM ent JOIN adj USING (fusion_id, field)""")
 def provenance_long(spark, sf_dir):
-    rows = M.provenance_rows(M.merge(source_records(spark, sf_dir)))
-    return rows.where(~F.col("field").isin("emails", "phones", "skills")).select("fusion_id", "field", "source", "confidence")
+    return M.provenance_rows(M.merge(source_records(spark, sf_dir))).withColumn("ord", F.col("ord").cast("long"))
 
 
 @query(_R + _ENTRIES + " SELECT fusion_id, field, n_values, selected_source FROM adj WHERE n_values > 1")
@@ -221,62 +346,132 @@ def overall_confidence(spark, sf_dir):
     return p.select("fusion_id", F.size("sources").cast("long").alias("n_sources"), "overall_confidence", S.tier(F.col("overall_confidence")).alias("tier"))
 
 
-@query(
-    _R
-    + _ENTRIES
-    + f""", yr AS (SELECT fusion_id, {_YEARS('v')} AS y FROM (SELECT fusion_id, arg_min(years_experience, prio) AS v FROM r WHERE years_experience <> '' GROUP BY 1)),
-    nm AS (SELECT fusion_id, arg_min(v, prio) AS v FROM scal WHERE field = 'full_name' GROUP BY 1), ems AS (SELECT fusion_id, arg_min(v, prio * 100 + i) AS first_email, count(*) AS n FROM ent WHERE field = 'emails' GROUP BY 1),
-    skl AS (SELECT fusion_id, count(DISTINCT lower(v)) AS n FROM sk GROUP BY 1), exs AS (SELECT fusion_id, count(*) AS n FROM ent WHERE field = 'experience' GROUP BY 1),
-    ids AS (SELECT fusion_id, max(candidate_id) AS id FROM r GROUP BY 1)
-    SELECT o.fusion_id, coalesce(ids.id, sha256(coalesce(ems.first_email, nm.v, o.fusion_id))[1:16]) AS candidate_id, nm.v AS full_name, ems.first_email, CASE WHEN y BETWEEN 0 AND 60 THEN y END AS years_experience, coalesce(ems.n, 0) AS n_emails, coalesce(skl.n, 0) AS n_skills, coalesce(exs.n, 0) AS n_experience, o.n AS n_sources, o.overall_confidence
-    FROM overall o LEFT JOIN ids USING (fusion_id) LEFT JOIN yr USING (fusion_id) LEFT JOIN nm USING (fusion_id) LEFT JOIN ems USING (fusion_id) LEFT JOIN skl USING (fusion_id) LEFT JOIN exs USING (fusion_id)"""
-)
+_JOINED = f""", yr AS (SELECT fusion_id, {_YEARS('v')} AS y FROM (SELECT fusion_id, arg_min(years_experience, prio) AS v FROM r WHERE years_experience <> '' GROUP BY 1)),
+    sca AS (SELECT fusion_id, arg_min(v, prio) FILTER (field = 'full_name') AS full_name, arg_min(v, prio) FILTER (field = 'location') AS location, arg_min(v, prio) FILTER (field = 'headline') AS headline FROM scal GROUP BY 1),
+    ems AS (SELECT fusion_id, string_agg(v, ',' ORDER BY prio, i) AS emails, arg_min(v, prio * 100 + i) AS first_email FROM ent WHERE field = 'emails' GROUP BY 1),
+    phs AS (SELECT fusion_id, string_agg(v, ',' ORDER BY prio, i) AS phones FROM ent WHERE field = 'phones' GROUP BY 1),
+    lk AS (SELECT fusion_id, prio * 100 + i AS o, split_part(raw, '|', 2) AS label, {_URL.format("split_part(raw, '|', 1)")} AS url FROM (SELECT fusion_id, prio, unnest(string_split(links, ';')) AS raw, generate_subscripts(string_split(links, ';'), 1) AS i FROM r)),
+    lks AS (SELECT fusion_id, string_agg(url || ' ' || label, ',' ORDER BY o) AS links FROM (SELECT * FROM lk WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fusion_id, url ORDER BY o) = 1) GROUP BY 1),
+    sg AS (SELECT fusion_id, lower(v) AS k, arg_min(v, prio * 100 + i) AS name, count(DISTINCT source) AS n, round(least(1, max(round(least(1, c), 4)) + (count(DISTINCT source) - 1) * 0.02), 4) AS conf, min(prio * 100 + i) AS o FROM ent WHERE field = 'skills' GROUP BY 1, 2),
+    skl AS (SELECT fusion_id, string_agg(name || ' ' || n, ',' ORDER BY n DESC, conf DESC, o) AS skills, string_agg(name, ',' ORDER BY conf DESC, n DESC, o) AS by_confidence FROM sg GROUP BY 1),
+    exq AS (SELECT fusion_id, prio * 100 + i AS o, string_split(raw, '|') AS p FROM (SELECT fusion_id, prio, unnest(string_split(experience, ';')) AS raw, generate_subscripts(string_split(experience, ';'), 1) AS i FROM r)),
+    exs AS (SELECT fusion_id, string_agg(concat_ws('/', nullif(p[1], ''), nullif(p[2], ''), d), ',' ORDER BY coalesce(d, '0000-00') DESC, o) AS experience, count(*) AS n FROM (SELECT *, {_DATE("nullif(p[3], '')")} AS d FROM exq QUALIFY row_number() OVER (PARTITION BY fusion_id, lower(p[2]) || '||' || lower(p[1]) ORDER BY o) = 1) GROUP BY 1),
+    edq AS (SELECT fusion_id, prio * 100 + i AS o, string_split(raw, '|') AS p FROM (SELECT fusion_id, prio, unnest(string_split(education, ';')) AS raw, generate_subscripts(string_split(education, ';'), 1) AS i FROM r)),
+    eds AS (SELECT fusion_id, string_agg(concat_ws('/', nullif(p[1], ''), nullif(p[2], ''), d), ',' ORDER BY coalesce(d, '0000-00') DESC, o) AS education, max(nullif(try_cast(p[5] AS DOUBLE), 0)) AS best_gpa FROM (SELECT *, {_DATE("nullif(p[4], '')")} AS d FROM edq QUALIFY row_number() OVER (PARTITION BY fusion_id, lower(p[1]) || '||' || lower(p[2]) ORDER BY o) = 1) GROUP BY 1),
+    ids AS (SELECT fusion_id, max(candidate_id) AS id FROM r GROUP BY 1),
+    whole AS (SELECT o.fusion_id, coalesce(ids.id, sha256(coalesce(first_email, full_name, o.fusion_id))[1:16]) AS candidate_id, full_name, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, location, coalesce(links, '') AS links, headline,
+      CASE WHEN y BETWEEN 0 AND 60 THEN y END AS years_experience, y, coalesce(skills, '') AS skills, by_confidence, coalesce(experience, '') AS experience, coalesce(education, '') AS education, best_gpa, o.n AS n_sources, o.overall_confidence
+    FROM overall o LEFT JOIN ids USING (fusion_id) LEFT JOIN yr USING (fusion_id) LEFT JOIN sca USING (fusion_id) LEFT JOIN ems USING (fusion_id) LEFT JOIN phs USING (fusion_id) LEFT JOIN lks USING (fusion_id) LEFT JOIN skl USING (fusion_id) LEFT JOIN exs USING (fusion_id) LEFT JOIN eds USING (fusion_id))"""
+
+
+_BLANK_3, _BLANK_4 = ("nullif(p[3], '')", "nullif(p[4], '')")
+
+
+def _joined(c, f):
+    return F.coalesce(F.array_join(F.transform(c, f) if f else F.col(c), ","), F.lit("")).alias(c)
+
+
+_LISTS = {
+    "links": lambda x: F.concat_ws(" ", x["url"], x["label"]), "experience": lambda x: F.concat_ws("/", x["title"], x["company"], x["start_date"]), "education": lambda x: F.concat_ws("/", x["institution"], x["degree"], x["end_date"]),
+    "skills": lambda x: F.concat_ws(" ", x["canonical_name"], F.size(x["sources"]).cast("string")),
+}
+
+
+@query(_R + _ENTRIES + _JOINED + " SELECT * EXCLUDE (y, by_confidence, best_gpa) FROM whole")
 def flagship_fusion(spark, sf_dir):
     p = validate(M.merge(source_records(spark, sf_dir)))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return p.select("fusion_id", "candidate_id", "full_name", F.get("emails", F.lit(0)).alias("first_email"), "years_experience", n("emails").alias("n_emails"), n("skills").alias("n_skills"), n("experience").alias("n_experience"), n("sources").alias("n_sources"), "overall_confidence")
+    lists = {c: _joined(c, f) for c, f in (_LISTS | {"emails": None, "phones": None}).items()}
+    return p.select("fusion_id", "candidate_id", "full_name", "location", "headline", "years_experience", F.size("sources").cast("long").alias("n_sources"), "overall_confidence", *lists.values())
 
 
-@query("SELECT 'C' || c_custkey::VARCHAR AS fusion_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS full_name, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 END::BIGINT AS n_emails, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 5.0 END::DOUBLE AS years_experience, (c_custkey % 5 = 0)::INT + (c_custkey % 7 = 0)::INT + (c_custkey % 3 = 0)::INT AS n_warnings FROM customer")
+@query(
+    """WITH c AS (SELECT *, c_custkey AS k FROM customer) SELECT 'C' || k AS fusion_id, CASE WHEN k % 11 = 0 THEN sha256(CASE WHEN k % 7 = 0 THEN 'bad@' ELSE 'ok@example.com' END)[1:16] ELSE 'x' END AS candidate_id,
+    CASE WHEN k % 5 <> 0 THEN c_name END AS full_name, CASE WHEN k % 7 = 0 THEN '' ELSE 'ok@example.com' END AS emails, CASE WHEN k % 6 = 0 THEN '' ELSE '+919876543210' END AS phones, CASE WHEN k % 3 = 0 THEN NULL ELSE 5.0 END::DOUBLE AS years_experience,
+    CASE WHEN k % 4 = 0 THEN 'Go' ELSE 'Go,SQL' END AS skills, CASE WHEN k % 9 = 0 THEN '/T' ELSE 'A/T,/T' END AS experience, CASE WHEN k % 10 = 0 THEN '' ELSE 'U' END AS education, CASE k % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS overall_confidence,
+    array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'empty id replaced' END, CASE WHEN k % 5 = 0 THEN 'short name removed' END, CASE WHEN k % 3 = 0 THEN 'years out of range removed' END, CASE WHEN k % 7 = 0 THEN 'invalid emails dropped' END, CASE WHEN k % 6 = 0 THEN 'invalid phones dropped' END,
+      CASE WHEN k % 4 = 0 THEN 'invalid skills dropped' END, CASE WHEN k % 9 = 0 THEN 'invalid experience dropped' END, CASE WHEN k % 10 = 0 THEN 'invalid education dropped' END], lambda x: x IS NOT NULL), ';') AS warnings FROM c"""
+)
 def validate_profile(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer")
+    """Each of the ten rules is broken by the keys that a number of its own divides."""
     k = F.col("c_custkey")
-    none = F.array().cast("array<string>")
-    p = c.select(
-        F.concat(F.lit("C"), k.cast("string")).alias("fusion_id"), F.lit("x").alias("candidate_id"), F.when(k % 5 == 0, " a ").otherwise(F.col("c_name")).alias("full_name"),
-        F.array(F.when(k % 7 == 0, "bad@").otherwise("ok@example.com")).alias("emails"), none.alias("phones"), F.when(k % 3 == 0, 75.0).otherwise(5.0).alias("years_experience"),
-        F.expr("cast(array() as array<struct<canonical_name:string>>)").alias("skills"), F.expr("cast(array() as array<struct<company:string,title:string>>)").alias("experience"),
-        F.expr("cast(array() as array<struct<institution:string>>)").alias("education"), F.lit(0.5).alias("overall_confidence"),
+    named = lambda *parts: F.struct(*(v.alias(n) for n, v in parts))
+    null = F.lit(None).cast("string")
+    job = lambda company, title: named(("company", company), ("title", title))
+    p = _t(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), k.cast("string")).alias("fusion_id"), F.when(k % 11 == 0, "").otherwise("x").alias("candidate_id"), F.when(k % 5 == 0, " a ").otherwise(F.col("c_name")).alias("full_name"),
+        F.array(F.when(k % 7 == 0, "bad@").otherwise("ok@example.com")).alias("emails"), F.array(F.when(k % 6 == 0, "919876543210").otherwise("+919876543210")).alias("phones"), F.when(k % 3 == 0, F.when(k % 2 == 0, 75.0).otherwise(-1.0)).otherwise(5.0).alias("years_experience"),
+        F.array(named(("canonical_name", F.lit("Go"))), named(("canonical_name", F.when(k % 4 == 0, " ").otherwise("SQL")))).alias("skills"), F.array(job(F.when(k % 9 == 0, null).otherwise("A"), F.when(k % 9 == 0, " ").otherwise("T")), job(null, F.lit("T"))).alias("experience"),
+        F.array(named(("institution", F.when(k % 10 == 0, null).otherwise("U")))).alias("education"), F.when(k % 3 == 0, 1.5).when(k % 3 == 1, -0.5).otherwise(0.5).alias("overall_confidence"),
     )
-    return validate(p).select("fusion_id", "full_name", F.size("emails").cast("long").alias("n_emails"), "years_experience", F.size("validator_warnings").alias("n_warnings"))
+    lists = {"emails": None, "phones": None, "skills": lambda x: x["canonical_name"], "experience": lambda x: F.concat_ws("/", F.coalesce(x["company"], F.lit("")), x["title"]), "education": lambda x: x["institution"]}
+    return validate(p).select("fusion_id", "candidate_id", "full_name", "years_experience", "overall_confidence", *(_joined(c, f) for c, f in lists.items()), F.array_join("validator_warnings", ";").alias("warnings"))
 
 
-@query(_R + _ENTRIES + ", nm AS (SELECT fusion_id, arg_min(v, prio) AS v FROM scal WHERE field = 'full_name' GROUP BY 1) SELECT o.fusion_id, nm.v AS name FROM overall o LEFT JOIN nm USING (fusion_id)")
+@query(_R + _ENTRIES + _JOINED + " SELECT fusion_id, candidate_id, location, links, skills, experience, education, full_name AS name, emails AS email_addresses, phones AS phone_numbers, y AS experience_years FROM whole")
 def project_profile(spark, sf_dir):
-    p = project(M.merge(source_records(spark, sf_dir)), {"hide_provenance": True, "hide_confidence": True, "exclude_fields": ["sources"]})
-    return p.select("fusion_id", "name")
+    """All columns that the projection leaves: hidden, renamed (at the end) and excluded ones."""
+    p = P.project(M.merge(source_records(spark, sf_dir)), P.DEFAULT_PROJECTION | {"hide_provenance": True, "hide_confidence": True, "exclude_fields": ["sources", "headline"]})
+    lists = _LISTS | {"email_addresses": None, "phone_numbers": None}
+    return p.select(*(_joined(c, lists[c]) if c in lists else F.col(c) for c in p.columns))
 
 
-@query(_R + _ENTRIES + " SELECT o.fusion_id, o.overall_confidence, (SELECT count(*) FROM adj WHERE adj.fusion_id = o.fusion_id AND n_values > 1) AS n_conflicts FROM overall o")
+@query(_R + _ENTRIES + _JOINED + """, lists AS (SELECT fusion_id, string_agg(field || ':' || confidence, ',' ORDER BY field) AS field_confidences, string_agg(field || ':' || selected_source || ':' || n_values, ',' ORDER BY field) FILTER (n_values > 1) AS conflicts FROM adj GROUP BY 1),
+    v AS (SELECT fusion_id, string_agg(source || '=' || raw, ';' ORDER BY field, prio, i) AS considered FROM ent JOIN adj USING (fusion_id, field) WHERE n_values > 1 GROUP BY 1), so AS (SELECT fusion_id, string_agg(source, ',' ORDER BY prio) AS sources_used FROM r GROUP BY 1)
+    SELECT fusion_id, candidate_id, '1.0.0' AS pipeline_version, sources_used, field_confidences, overall_confidence, coalesce(conflicts, '') AS conflicts, coalesce(considered, '') AS considered, 'csv: late' AS validation_warnings FROM whole LEFT JOIN lists USING (fusion_id) LEFT JOIN v USING (fusion_id) LEFT JOIN so USING (fusion_id)""")
 def pipeline_report(spark, sf_dir):
-    r = report(M.merge(source_records(spark, sf_dir)))
-    return r.select("fusion_id", "overall_confidence", F.size("conflict_log").cast("long").alias("n_conflicts"))
+    r = P.report(M.merge(source_records(spark, sf_dir)), warnings=["csv: late"])
+    conf = F.array_sort(F.map_entries("field_confidences"))
+    log = F.array_sort("conflict_log", lambda a, b: F.when(a["field"] < b["field"], -1).otherwise(1))
+    told = lambda c: F.array_join(F.transform(log, lambda x: F.concat_ws(":", x["field"], x["selected_source"], F.size(x["all_sources"]).cast("string"))), ",") if c else F.array_join(F.flatten(F.transform(log, lambda x: F.transform(x["all_sources"], lambda e: F.concat_ws("=", e["source"], e["raw_value"])))), ";")
+    return r.select(
+        "fusion_id", "candidate_id", "pipeline_version", F.array_join("sources_used", ",").alias("sources_used"), F.array_join(F.transform(conf, lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",").alias("field_confidences"), "overall_confidence",
+        told(True).alias("conflicts"), told(False).alias("considered"), F.array_join("validation_warnings", ",").alias("validation_warnings"),
+    )
+
+
+@query(_R + _ENTRIES + _JOINED + " SELECT fusion_id, candidate_id, full_name AS name, emails, overall_confidence FROM whole")
+def json_sink(spark, sf_dir):
+    """Projected profiles written as JSON lines and read again."""
+    path = scratch(spark)
+    write_lines(P.project(M.merge(source_records(spark, sf_dir)), P.DEFAULT_PROJECTION), path)
+    back = spark.read.schema("fusion_id string, candidate_id string, name string, email_addresses array<string>, overall_confidence double").json(path)
+    return back.select("fusion_id", "candidate_id", "name", F.array_join("email_addresses", ",").alias("emails"), "overall_confidence")
+
+
+@query(_R + _ENTRIES + _JOINED + " SELECT fusion_id, coalesce(full_name, 'Unnamed Candidate') AS display_name, coalesce(first_email, '—') AS email, coalesce(nullif(split_part(phones, ',', 1), ''), '—') AS phone, coalesce(location, '—') AS location, overall_confidence FROM whole LEFT JOIN (SELECT fusion_id, first_email FROM ems) USING (fusion_id)")
+def identity_view(spark, sf_dir):
+    return P.identity_view(M.merge(source_records(spark, sf_dir)))
+
+
+@query(_R + _ENTRIES + _JOINED + " SELECT fusion_id, row_number() OVER (PARTITION BY fusion_id ORDER BY conf DESC, n DESC, o) AS place, name AS skill, conf AS confidence, CASE WHEN conf >= 0.9 THEN 'High' WHEN conf >= 0.75 THEN 'Medium' ELSE 'Low' END AS tier FROM sg")
+def skill_view(spark, sf_dir):
+    return P.skill_view(M.merge(source_records(spark, sf_dir))).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_R + _ENTRIES + _JOINED + f", j AS (SELECT * FROM exq QUALIFY row_number() OVER (PARTITION BY fusion_id, lower(p[2]) || '||' || lower(p[1]) ORDER BY o) = 1) SELECT n.fusion_id, nullif(p[1], '') AS title, nullif(p[2], '') AS company, {_DATE(_BLANK_3)} AS start_date, coalesce({_DATE(_BLANK_4)}, 'Present') AS end_date FROM n LEFT JOIN j USING (fusion_id)")
+def experience_view(spark, sf_dir):
+    return P.experience_view(M.merge(source_records(spark, sf_dir)))
+
+
+@query(_R + _ENTRIES + _JOINED + " SELECT fusion_id, count(*) AS n, coalesce(max(gpa), '-') AS best FROM (SELECT n.fusion_id, format('{:.2f}', nullif(try_cast(p[5] AS DOUBLE), 0)) AS gpa FROM n LEFT JOIN (SELECT * FROM edq QUALIFY row_number() OVER (PARTITION BY fusion_id, lower(p[1]) || '||' || lower(p[2]) ORDER BY o) = 1) USING (fusion_id)) GROUP BY 1")
+def education_view(spark, sf_dir):
+    return P.education_view(M.merge(source_records(spark, sf_dir))).groupBy("fusion_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("gpa"), F.lit("-")).alias("best"))
 
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT user_id, event_type AS language, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS rank FROM c QUALIFY rank <= 10")
 def top_languages(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select(F.col("user_id"), F.col("event_type").alias("language"), F.col("event_id").alias("pos"))
-    return _top_languages(e, "user_id").select("user_id", "language", "n", F.col("rank").cast("long").alias("rank"))
+    return profile.top_languages(e, "user_id").select("user_id", "language", "n", F.col("rank").cast("long").alias("rank"))
 
 
 @query(r"WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'SKILLS:' WHEN turn % 3 = 1 THEN 'Education' ELSE 'line ' || turn::VARCHAR END AS line FROM conversations), h AS (SELECT *, CASE WHEN line = 'SKILLS:' THEN 'skills' WHEN line = 'Education' THEN 'education' END AS s FROM l), f AS (SELECT conv_id, turn, s, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '_header') AS section FROM h) SELECT conv_id, section, count(*) AS n_lines FROM f WHERE s IS NULL GROUP BY 1, 2")
 def segment_sections(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     line = F.when(F.col("role") == "user", "SKILLS:").when(F.col("turn") % 3 == 1, "Education").otherwise(F.concat(F.lit("line "), F.col("turn").cast("string")))
-    return sections(c.select(F.col("conv_id"), F.col("turn").alias("pos"), line.alias("line")), "conv_id").groupBy("conv_id", "section").agg(F.count(F.lit(1)).alias("n_lines"))
+    return resume.sections(c.select(F.col("conv_id"), F.col("turn").alias("pos"), line.alias("line")), "conv_id").groupBy("conv_id", "section").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("WITH s AS (SELECT o_custkey, (year(max(o_orderdate)) - year(min(o_orderdate))) * 12 + month(max(o_orderdate)) - month(min(o_orderdate)) AS m FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN m > 0 AND m < 600 THEN round(m / 12, 1) END AS years FROM s")
+@query("WITH s AS (SELECT o_custkey, (year(max(o_orderdate)) - year(min(o_orderdate))) * 12 + month(max(o_orderdate)) - month(min(o_orderdate)) AS m FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN m > 0 AND m < 600 THEN round_even(m / 12, 1) END AS years FROM s")
 def experience_years(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array(F.struct(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("start_date"), F.date_format(F.max("o_orderdate"), "yyyy-MM").alias("end_date"))).alias("jobs"))
-    return o.select("o_custkey", experience_months(F.col("jobs"), "2025-01").alias("years"))
+    return o.select("o_custkey", resume.experience_months(F.col("jobs"), "2025-01").alias("years"))

@@ -10,20 +10,11 @@ from pyspark.sql import functions as F
 
 from ..errors import AtsError
 from ..functions import normalize as N
-from ..functions.lookups import ATS_KEYS, WRAPPERS
-from ..functions.text import blank_to_null, entity_id, first_by, split_multi, strip
+from ..functions.lookups import ATS_KEYS, JOB_KEYS, STUDY_KEYS, WRAPPERS
+from ..functions.text import blank_to_null, coerce, entity_id, first_by, split_multi, strip
+from ..schema import JOB, STUDY
 from .files import exists
 
-JOB_KEYS = {
-    "title": ["title", "position", "role", "job_title", "jobTitle"], "company": ["company", "employer", "organization", "company_name", "companyName"], "start_date": ["start_date", "startDate", "from", "start"],
-    "end_date": ["end_date", "endDate", "to", "end"], "description": ["description", "summary", "responsibilities"], "location": ["location", "city"],
-}
-STUDY_KEYS = {
-    "institution": ["institution", "school", "university", "college"], "degree": ["degree", "qualification"], "field_of_study": ["field_of_study", "fieldOfStudy", "major", "field"],
-    "start_date": ["start_date", "startDate", "from"], "end_date": ["end_date", "endDate", "to", "graduation_date"], "gpa": ["gpa", "GPA", "grade"],
-}
-
-
 def _is(v: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
@@ -53,11 +44,12 @@ def items(v: Column) -> Column:
     return F.when(v.isNull(), F.array().cast("array<variant>")).when(_is(v, "ARRAY"), F.coalesce(listed, F.array().cast("array<variant>"))).otherwise(F.array(v))
 
 
-def values(v: Column, keys: list[str], pattern: str | None) -> Column:
-    """Texts of a text (parted by ``pattern``), a list of texts or a list of objects that have one of the keys."""
-    each = F.transform(items(v), lambda x: F.coalesce(text(x), _some_text(x, keys)))
-    listed = F.filter(each, lambda x: strip(F.coalesce(x, F.lit(""))) != "")
-    return F.when(~_is(v, "ARRAY") & ~_is(v, "OBJECT") & v.isNotNull(), split_multi(text(v), pattern)).otherwise(listed) if pattern else listed
+def values(v: Column, keys: list[str], pattern: str, every: bool = False) -> Column:
+    """Texts of a text (parted by ``pattern``), or of a list of texts and objects that have one of the keys; every: listed texts are parted too."""
+    plain = lambda x: F.coalesce(split_multi(text(x), pattern), F.array().cast("array<string>")) if every else F.array(text(x))
+    listed = F.flatten(F.transform(items(v), lambda x: F.when(_is(x, "OBJECT"), F.array(_some_text(x, keys))).otherwise(plain(x))))
+    some = F.filter(F.transform(listed, strip), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(_is(v, "ARRAY"), some).when(~_is(v, "OBJECT") & v.isNotNull(), split_multi(text(v), pattern)).otherwise(F.array().cast("array<string>"))
 
 
 def place(v: Column) -> Column:
@@ -75,24 +67,29 @@ def _links(v: Column) -> Column:
     return first_by(F.filter(F.concat(short, listed), lambda x: x["url"].isNotNull()), lambda x: x["url"])
 
 
+def _entries(v: Column, make) -> Column:
+    """Entries made of a list's objects; anything but a list has none."""
+    return F.when(_is(v, "ARRAY"), F.transform(F.filter(items(v), lambda x: _is(x, "OBJECT")), make))
+
+
 def _jobs(v: Column) -> Column:
     def job(x):
-        part = {k: _some_text(x, keys) for k, keys in JOB_KEYS.items()}
-        ended = N.date(part["end_date"])
-        part |= {"start_date": N.date(part["start_date"]), "end_date": F.when(ended.isNull() & F.coalesce(_key(x, "current", "boolean"), F.lit(False)), F.lit("Present")).otherwise(ended)}
-        part["location"] = F.coalesce(place(_key(x, "location")), part["location"])
+        part = {k: coerce(_some_text(x, keys)) for k, keys in JOB_KEYS.items()}
+        now = lambda k: F.coalesce(_key(x, k, "boolean"), F.lit(False))
+        part |= {"start_date": N.date(part["start_date"]), "end_date": F.when(now("current") | now("is_current"), F.lit("Present")).otherwise(N.date(part["end_date"]))}
+        part["location"] = N.location(part["location"])
         return F.struct(*(c.alias(k) for k, c in part.items()))
 
-    return F.filter(F.transform(F.filter(items(v), lambda x: _is(x, "OBJECT")), job), lambda x: x["title"].isNotNull() | x["company"].isNotNull())
+    return F.coalesce(F.filter(_entries(v, job), lambda x: x["title"].isNotNull() | x["company"].isNotNull()), F.array().cast(f"array<{JOB}>"))
 
 
 def _studies(v: Column) -> Column:
     def study(x):
-        part = {k: _some_text(x, keys) for k, keys in STUDY_KEYS.items()}
+        part = {k: coerce(_some_text(x, keys)) for k, keys in STUDY_KEYS.items()}
         part |= {k: N.date(part[k]) for k in ("start_date", "end_date")} | {"gpa": part["gpa"].try_cast("double")}
         return F.struct(*(c.alias(k) for k, c in part.items()))
 
-    return F.filter(F.transform(F.filter(items(v), lambda x: _is(x, "OBJECT")), study), lambda x: x["institution"].isNotNull())
+    return F.coalesce(F.filter(_entries(v, study), lambda x: x["institution"].isNotNull()), F.array().cast(f"array<{STUDY}>"))
 
 
 def parse(docs: DataFrame, column: str = "value") -> DataFrame:
@@ -106,11 +103,12 @@ def parse(docs: DataFrame, column: str = "value") -> DataFrame:
     pick = lambda field: first_of(v, ATS_KEYS[field])
     plain = lambda field: text(pick(field))
     normal = lambda c, f: F.array_distinct(F.filter(F.transform(c, f), lambda x: x.isNotNull()))
-    composed = blank_to_null(F.concat_ws(" ", plain("first"), plain("last")))
+    composed = blank_to_null(F.concat_ws(" ", coerce(plain("first")), coerce(plain("last"))))
+    name = N.name(F.when(F.coalesce(plain("full_name"), F.lit("")) != "", coerce(plain("full_name"))).otherwise(composed))
     return whole.select("seq", inner.alias("v")).select(
-        "seq", plain("candidate_id").alias("candidate_id"), F.coalesce(plain("full_name"), composed).alias("full_name"), normal(values(pick("emails"), ["value", "email", "address"], None), N.email).alias("emails"),
-        normal(values(pick("phones"), ["value", "number", "phone"], r"[;|]"), lambda x: N.phone(x)).alias("phones"), place(pick("location")).alias("location"), plain("headline").alias("headline"),
-        normal(values(pick("skills"), ["name", "skill", "value"], r"[;|,]"), N.skill).alias("skills"), _links(v).alias("links"), _jobs(pick("experience")).alias("experience"), _studies(pick("education")).alias("education"), plain("years_experience").alias("years_experience"),
+        "seq", coerce(plain("candidate_id")).alias("candidate_id"), name.alias("full_name"), normal(values(pick("emails"), ["value", "email", "address"], r"[;|,\s]+", every=True), N.email).alias("emails"),
+        normal(values(pick("phones"), ["value", "number", "phone"], r"[;|]"), lambda x: N.phone(x)).alias("phones"), N.location(coerce(place(pick("location")))).alias("location"), coerce(plain("headline")).alias("headline"),
+        normal(values(pick("skills"), ["name", "skill", "value"], r"[;|,]"), N.skill).alias("skills"), _links(v).alias("links"), _jobs(pick("experience")).alias("experience"), _studies(pick("education")).alias("education"), N.years(plain("years_experience")).cast("string").alias("years_experience"),
     ).select(F.coalesce("candidate_id", entity_id(F.coalesce(F.get("emails", F.lit(0)), "full_name"))).alias("fusion_id"), F.lit("ats").alias("source"), "seq", "candidate_id", "full_name", "emails", "phones", "location", "headline", "skills", "links", "experience", "education", "years_experience")
 
 

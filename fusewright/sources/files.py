@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +34,12 @@ def load_config(spark: SparkSession, path: str | None, strict: bool = False) ->
         if strict:
             raise e if isinstance(e, ConfigError) else ConfigError(f"{path}: {e}") from e
         return {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares; without one in its warehouse, or locally in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="fusewright-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}"

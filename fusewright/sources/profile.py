@@ -9,16 +9,17 @@ from ..errors import ProfileError
 from ..functions import normalize as N
 from ..functions.lookups import LANGUAGE_SKILLS
 from ..schema import JOB, STUDY
+from ..functions.text import strip
 from .files import exists
 
-LANDED = "user struct<login:string,name:string,email:string,bio:string,blog:string,location:string>, repos array<struct<language:string,fork:boolean>>"
+LANDED = "user struct<login:string,name:string,email:string,bio:string,blog:string,location:string,html_url:string>, repos array<struct<language:string,fork:boolean>>"
 
 MOST_REPOS, MOST_LANGUAGES = 30, 10
 
 
 def username(raw: Column) -> Column:
-    """Name in a profile link, or the text itself without slashes and at-sign."""
-    found = F.nullif(F.regexp_extract(raw, r"github\.com/([^/?#\s]+)", 1), F.lit(""))
+    """Name in a profile link, or the text itself without slashes and a leading at-sign."""
+    found = F.nullif(F.regexp_extract(raw, r"github\.com/([A-Za-z0-9-]+)", 1), F.lit(""))
     return F.coalesce(found, F.regexp_replace(raw, r"^[\s/@]+|[\s/]+$", ""))
 
 
@@ -35,12 +36,14 @@ def parse(users: DataFrame, repos: DataFrame, drop_forks_first: bool = True) ->
     newest = newest if drop_forks_first else newest.where(~F.coalesce("fork", F.lit(False)))
     skill = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LANGUAGE_SKILLS.items() for x in p]), F.col("language")), F.col("language"))
     ranked = top_languages(newest, "fusion_id").groupBy("fusion_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", skill.alias("s")))), lambda x: x["s"])).alias("skills"))
-    link = lambda url, label: F.struct(N.url(url).alias("url"), F.lit(label).alias("label"))
-    links = F.filter(F.array(link(F.concat(F.lit("https://github.com/"), F.col("login")), "GitHub"), link(F.col("blog"), "Website")), lambda x: x["url"].isNotNull())
+    link = lambda url, label: F.struct(url.alias("url"), F.lit(label).alias("label"))
+    home = F.coalesce("html_url", F.concat(F.lit("https://github.com/"), F.col("login"))) if "html_url" in users.columns else F.concat(F.lit("https://github.com/"), F.col("login"))
+    blog = F.when(strip(F.col("blog")) != "", F.when(F.col("blog").startswith("http"), F.col("blog")).otherwise(F.concat(F.lit("https://"), F.col("blog"))))
+    links = F.filter(F.array(link(home, "GitHub"), link(blog, "Portfolio")), lambda x: x["url"].isNotNull())
     none = lambda t: F.array().cast(f"array<{t}>")
     return users.join(ranked, "fusion_id", "left").select(
-        "fusion_id", F.lit("github").alias("source"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("candidate_id"), F.col("name").alias("full_name"), F.array_compact(F.array(N.email(F.col("email")))).alias("emails"),
-        none("string").alias("phones"), "location", F.col("bio").alias("headline"), F.coalesce("skills", none("string")).alias("skills"), links.alias("links"), none(JOB).alias("experience"), none(STUDY).alias("education"), F.lit(None).cast("string").alias("years_experience"),
+        "fusion_id", F.lit("github").alias("source"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("candidate_id"), N.name(F.col("name")).alias("full_name"), F.array_compact(F.array(N.email(F.col("email")))).alias("emails"),
+        none("string").alias("phones"), N.location(F.col("location")).alias("location"), F.col("bio").alias("headline"), F.coalesce("skills", none("string")).alias("skills"), links.alias("links"), none(JOB).alias("experience"), none(STUDY).alias("education"), F.lit(None).cast("string").alias("years_experience"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Résumé text: sections, links, sections' entries, years of experience."""
+"""Résumé text: sections, contacts, entries of sections, years of experience.  All of it is expressions over one row."""
 
 from __future__ import annotations
 
@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 
 from ..errors import ResumeError
 from ..functions import normalize as N
-from ..functions.lookups import SECTIONS
-from ..functions.text import split_multi, strip
+from ..functions.lookups import DEGREE_IN_TEXT, GPA_IN_TEXT, MAIL_IN_TEXT, PHONE_IN_TEXT, RANGE_IN_TEXT, ROLES, SECTIONS, URL_IN_TEXT, YEARS_IN_TEXT
+from ..functions.text import blank_to_null, entity_id, split_multi, strip
 from .files import exists
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-_URL = r"((?:https?://|www\.)[^\s<>\"')]+)"
-_MAIL = r"([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"
-_PHONE = r"(\+?[0-9][0-9\s\-().]{5,14}[0-9])"
-_ROLES = "engineer|developer|architect|manager|analyst|scientist|designer|consultant|lead|director|intern|specialist|administrator|researcher"
-_MONTH = r"(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+)?(?:\d{1,2}/)?\d{4}"
-RANGE = rf"(?i)({_MONTH})\s*(?:-|–|—|to)\s*({_MONTH}|present|current|now|ongoing)"
+HEADER = "_header"
 
 
 def heading(line: Column) -> Column:
@@ -34,7 +29,24 @@ def sections(rows: DataFrame, key: str) -> DataFrame:
     """Lines (key, pos, line) with the section they are in; ``_header`` before the first heading, headings left out."""
     named = rows.withColumn("heading", heading(F.col("line")))
     so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return named.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(so_far), F.lit("_header"))).where("heading is null").drop("heading")
+    return named.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(so_far), F.lit(HEADER))).where("heading is null").drop("heading")
+
+
+def segmented(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a text column for each section and the header, null where there is none.
+
+    Stretches between headings are cut out of the row's own lines, so nothing is shuffled.
+    """
+    places = F.filter(F.transform("_lines", lambda x, i: F.struct(heading(x).alias("name"), i.alias("at"))), lambda x: x["name"].isNotNull())
+    marks = F.concat(F.array(F.struct(F.lit(HEADER).alias("name"), F.lit(-1).alias("at"))), F.col("_places"))
+    body = lambda m, k: F.struct(
+        m["name"].alias("name"), F.slice("_lines", m["at"] + 2, F.coalesce(F.get("_marks", k + 1)["at"], F.size("_lines")) - m["at"] - 1).alias("body")
+    )
+    of = lambda name: F.filter("_parts", lambda p: p["name"] == name)
+    # a section counts once it has a line, blank or not
+    whole = lambda name: F.when(F.size(F.flatten(F.transform(of(name), lambda p: p["body"]))) > 0, F.array_join(F.flatten(F.transform(of(name), lambda p: p["body"])), "\n"))
+    step = docs.withColumn("_lines", F.split(text, LINE_END)).withColumn("_places", places).withColumn("_marks", marks).withColumn("_parts", F.transform("_marks", body))
+    return step.withColumns({name: whole(name) for name in (HEADER, *SECTIONS)}).drop("_lines", "_places", "_marks", "_parts")
 
 
 def link_label(url: Column) -> Column:
@@ -44,90 +56,141 @@ def link_label(url: Column) -> Column:
 
 def scan(text: Column) -> dict[str, Column]:
     """Emails, phones and links found anywhere in a text."""
-    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     some = lambda c: F.array_distinct(F.filter(c, lambda x: x.isNotNull()))
-    urls = some(F.transform(found(_URL), lambda u: N.url(F.regexp_replace(u, r"[.,;]+$", ""))))
+    urls = some(F.transform(found(URL_IN_TEXT), lambda u: N.url(F.regexp_replace(u, r"^\.+|\.+$", ""))))
     return {
-        "emails": some(F.transform(found(_MAIL), N.email)), "phones": some(F.transform(found(_PHONE), lambda x: N.phone(x))),
+        "emails": some(F.transform(found(MAIL_IN_TEXT), N.email)), "phones": some(F.transform(found(PHONE_IN_TEXT), lambda x: N.phone(strip(x)))),
         "links": F.transform(urls, lambda u: F.struct(u.alias("url"), link_label(u).alias("label"))),
     }
 
 
-def name_of(text: Column) -> Column:
-    """First of six filled lines that looks like a name: two to five words of letters."""
-    top = F.slice(F.filter(F.transform(F.split(text, LINE_END), strip), lambda x: x != ""), 1, 6)
-    return N.name(F.get(F.filter(top, lambda x: x.rlike(r"^[A-Za-z][A-Za-z.'\-]*(\s+[A-Za-z][A-Za-z.'\-]*){1,4}$")), F.lit(0)))
+def _filled(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, LINE_END), strip), lambda x: x != "")
+
+
+def _words(line: Column) -> Column:
+    return F.size(F.split(line, r"(?U)\s+"))
+
+
+def _contact(line: Column) -> Column:
+    return line.rlike(MAIL_IN_TEXT) | line.rlike(URL_IN_TEXT)
+
 
+def name_of(header: Column) -> Column:
+    """First of six filled lines that looks like a name: two to five words of letters, no contact, no long number."""
+    fits = lambda x: ~_contact(x) & ~x.rlike(r"\d{5,}") & x.rlike(r"^[A-Za-z\-'.]+(?:\s+[A-Za-z\-'.]+){1,4}$")
+    return N.name(F.get(F.filter(F.slice(_filled(header), 1, 6), fits), F.lit(0)))
 
-def headline_of(text: Column) -> Column:
-    top = F.slice(F.filter(F.transform(F.split(text, LINE_END), strip), lambda x: x != ""), 1, 8)
-    fits = lambda x: x.rlike(rf"(?i)\b(?:{_ROLES})\b") & ~x.rlike(_MAIL) & ~x.rlike(_URL) & (F.size(F.split(x, r"\s+")) <= 10)
-    return F.get(F.filter(top, fits), F.lit(0))
 
+def headline_of(header: Column, name: Column) -> Column:
+    """First of eight lines with the noun of a role, ten words at most, that is neither the name nor a contact."""
+    fits = lambda x: ~F.coalesce(N.name(x) == name, F.lit(False)) & ~_contact(x) & ~x.rlike(PHONE_IN_TEXT) & x.rlike(rf"(?i)\b(?:{ROLES})\b") & (_words(x) <= 10)
+    return F.get(F.filter(F.slice(_filled(header), 1, 8), fits), F.lit(0))
 
-def location_of(text: Column) -> Column:
-    top = F.slice(F.filter(F.transform(F.split(text, LINE_END), strip), lambda x: x != ""), 1, 10)
-    parts = F.flatten(F.transform(top, lambda x: F.transform(F.split(x, r"\|"), strip)))
-    return N.location(F.get(F.filter(parts, lambda x: x.rlike(r"^[A-Za-z .]+, ?[A-Za-z .]+$") & (F.size(F.split(x, r"\s+")) <= 6)), F.lit(0)))
+
+def location_of(header: Column) -> Column:
+    """First of ten lines of the form ``Words, words``, six words at most."""
+    fits = lambda x: ~_contact(x) & x.rlike(r"^[A-Za-z\s]+,\s*[A-Za-z\s]+$") & (_words(x) <= 6)
+    return N.location(F.get(F.filter(F.slice(_filled(header), 1, 10), fits), F.lit(0)))
 
 
 def skills_of(text: Column) -> Column:
+    """Parts between bullets, hyphens, bars, commas and line ends, of 2 to 39 characters, that do not begin with a year."""
     ok = lambda x: (F.length(x) > 1) & (F.length(x) < 40) & ~x.rlike(r"^\d{4}")
-    return N.skills_list(F.filter(split_multi(F.regexp_replace(text, r"(?m)^[A-Za-z /&]+:", ""), r"[•\-|,\n\r]"), ok))
+    return F.array_distinct(F.transform(F.filter(split_multi(text, r"[•\-|,\n\r]+"), ok), N.skill))
+
+
+def _blocks(text: Column) -> Column:
+    """Filled lines of each block between blank lines."""
+    whole = F.filter(F.transform(F.split(strip(text), r"\n{2,}"), strip), lambda b: F.length(b) >= 5)
+    return F.transform(whole, lambda b: F.struct(b.alias("block"), _filled(b).alias("rows")))
+
+
+def _dates(block: Column) -> tuple[Column, Column]:
+    """(start, end) as written, of the first range of dates."""
+    return tuple(blank_to_null(F.regexp_extract(block, RANGE_IN_TEXT, k)) for k in (1, 2))
+
+
+def _without_year(line: Column) -> Column:
+    return strip(F.regexp_replace(line, r"\s*\d{4}.*", ""))
 
 
 def experience_of(text: Column) -> Column:
-    """Entries between blank lines: title and company, place, dates, description."""
+    """Entries between blank lines: title and company in the first line or the first two, dates anywhere, the rest as description."""
+
+    def entry(b):
+        rows = b["rows"]
+        head = F.split(F.get(rows, F.lit(0)), r"\s+(?:at|@|–|-)\s+|\s*\|\s*", 2)
+        start, end = _dates(b["block"])
+        first = _without_year(F.get(head, F.lit(1)))
+        second = F.when(~F.get(rows, F.lit(1)).rlike(RANGE_IN_TEXT), _without_year(F.get(rows, F.lit(1))))
+        rest = F.filter(F.slice(rows, 3, F.greatest(F.size(rows), F.lit(1))), lambda x: ~x.rlike(RANGE_IN_TEXT))
+        return F.struct(
+            strip(F.get(head, F.lit(0))).alias("title"), F.coalesce(F.when(F.coalesce(first, F.lit("")) != "", first), second, first).alias("company"), N.date(start).alias("start_date"), N.date(end).alias("end_date"),
+            blank_to_null(F.array_join(rest, " ")).alias("description"), F.lit(None).cast("string").alias("location"),
+        )
+
+    kept = lambda x: (F.coalesce(x["title"], F.lit("")) != "") | (F.coalesce(x["company"], F.lit("")) != "")
+    return F.filter(F.transform(_blocks(text), entry), kept)
+
+
+def education_of(text: Column) -> Column:
+    """Entries between blank lines; the first three lines tell degree, field and institution."""
+    nothing = F.lit(None).cast("string")
+    blank = F.struct(nothing.alias("institution"), nothing.alias("degree"), nothing.alias("field"))
+
+    def read(a, line):
+        found = F.regexp_extract(line, DEGREE_IN_TEXT, 0)
+        after = strip(F.regexp_replace(strip(F.regexp_extract(line, DEGREE_IN_TEXT + "(.*)$", 2)), "^[in]+", ""))
+        takes = (found != "") & a["degree"].isNull()
+        names = ~takes & (F.coalesce(a["institution"], F.lit("")) == "") & (_words(line) >= 2) & ~line.rlike(RANGE_IN_TEXT)
+        field = F.when((after != "") & ~after.rlike(r"^\d"), strip(F.get(F.split(after, ","), F.lit(0))))
+        return F.struct(
+            F.when(names, _without_year(line)).otherwise(a["institution"]).alias("institution"), F.when(takes, found).otherwise(a["degree"]).alias("degree"),
+            F.when(takes & field.isNotNull(), field).otherwise(a["field"]).alias("field"),
+        )
 
-    def entry(block):
-        rows = F.filter(F.transform(F.split(block, LINE_END), strip), lambda x: x != "")
-        head = F.split(F.regexp_replace(F.get(rows, F.lit(0)), RANGE, ""), r"\s+(?:at|@|–|-|\|)\s+", 2)
-        second = F.transform(F.split(F.get(rows, F.lit(1)), r"\|"), strip)
-        part = lambda k: F.nullif(F.regexp_extract(block, RANGE, k), F.lit(""))
+    def entry(b):
+        told = F.aggregate(F.slice(b["rows"], 1, 3), blank, read)
+        start, end = _dates(b["block"])
         return F.struct(
-            strip(F.get(head, F.lit(0))).alias("title"), F.coalesce(strip(F.get(head, F.lit(1))), F.get(second, F.lit(0))).alias("company"), N.date(part(1)).alias("start_date"), N.date(part(2)).alias("end_date"),
-            F.array_join(F.filter(rows, lambda x: x.rlike("^[•*-]")), " ").alias("description"), F.when(F.size(second) > 2, F.get(second, F.lit(1))).alias("location"),
+            told["institution"].alias("institution"), told["degree"].alias("degree"), told["field"].alias("field_of_study"), N.date(start).alias("start_date"),
+            F.when(~end.rlike("(?i)^(present|current|now)"), N.date(end)).alias("end_date"), F.regexp_extract(b["block"], GPA_IN_TEXT, 1).try_cast("double").alias("gpa"),
         )
 
-    return F.transform(F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(RANGE)), entry)
+    kept = lambda x: (F.coalesce(x["institution"], F.lit("")) != "") | x["degree"].isNotNull()
+    return F.filter(F.transform(_blocks(text), entry), kept)
 
 
 def experience_months(jobs: Column, as_of: str) -> Column:
-    """Years of experience: months of all entries (open ones until ``as_of``, YYYY-MM), in years to one decimal."""
+    """Years of experience: months of all entries (open ones until ``as_of``, YYYY-MM), in years to one decimal, halves to even."""
     month = lambda c: F.substring(c, 1, 4).try_cast("int") * 12 + F.substring(c, 6, 2).try_cast("int")
     spans = F.transform(jobs, lambda j: month(F.when(F.coalesce(j["end_date"], F.lit("Present")) == "Present", F.lit(as_of)).otherwise(j["end_date"])) - month(j["start_date"]))
     total = F.aggregate(F.filter(spans, lambda m: (m > 0) & (m < 600)), F.lit(0), lambda a, m: a + m)
-    return F.when(total > 0, F.round(total / 12, 1))
+    return F.when(total > 0, F.bround(total / 12, 1))
 
 
 def parse(docs: DataFrame, as_of: str = "2025-01", key: str = "doc_id") -> DataFrame:
     """Source records from (key, text)."""
-    by_section = sections(lines(docs, key), key).groupBy(key, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    wide = by_section.groupBy(key).pivot("section", ["_header", *SECTIONS]).agg(F.first("body")).join(docs.select(key, "text"), key)
+    step = segmented(docs.select(F.col(key).cast("string").alias("fusion_id"), F.coalesce("text", F.lit("")).alias("text")))
+    header = F.coalesce(F.col(HEADER), F.substring("text", 1, 1500))
+    thin = F.size(F.filter(F.split(F.coalesce("skills", F.lit("")), r"\s+"), lambda x: x != "")) < 5
     found = scan(F.col("text"))
-    jobs = experience_of(F.col("experience"))
-    stated = F.nullif(F.regexp_extract(F.concat_ws("\n", "summary", "_header"), r"(?i)(\d+(?:\.\d+)?)\+?\s*years", 1), F.lit(""))
-    skills = F.when(F.size(F.split(F.coalesce("skills", F.lit("")), r"\s+")) < 5, F.concat_ws("\n", "skills", "summary")).otherwise(F.col("skills"))
-    return wide.select(
-        F.col(key).cast("string").alias("fusion_id"), F.lit("resume").alias("source"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("candidate_id"), name_of(F.col("text")).alias("full_name"),
-        found["emails"].alias("emails"), found["phones"].alias("phones"), location_of(F.col("text")).alias("location"), headline_of(F.col("text")).alias("headline"), skills_of(skills).alias("skills"), found["links"].alias("links"),
-        jobs.alias("experience"), education_of(F.col("education")).alias("education"), F.coalesce(stated, experience_months(jobs, as_of).cast("string")).alias("years_experience"),
+    none = lambda c: F.coalesce(c, F.filter(c, lambda x: F.lit(False)))
+    step = step.withColumns(
+        {
+            "full_name": name_of(header), "location": location_of(header), "emails": found["emails"], "phones": found["phones"], "_links": found["links"],
+            "_skills": skills_of(F.when(thin, F.concat(F.coalesce("skills", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))).otherwise(F.col("skills"))),
+            "_jobs": experience_of(F.coalesce("experience", F.lit(""))), "_studies": education_of(F.coalesce("education", F.lit(""))),
+            "_stated": N.years(blank_to_null(F.regexp_extract(F.concat(F.coalesce("summary", F.lit("")), header), YEARS_IN_TEXT, 1))),
+        }
+    )
+    return step.select(
+        "fusion_id", F.lit("resume").alias("source"), F.lit(0).cast("long").alias("seq"), entity_id(F.coalesce(F.get("emails", F.lit(0)), "full_name")).alias("candidate_id"), "full_name", "emails", "phones", "location",
+        headline_of(header, F.col("full_name")).alias("headline"), none(F.col("_skills")).alias("skills"), F.col("_links").alias("links"), F.col("_jobs").alias("experience"), F.col("_studies").alias("education"),
+        F.coalesce(F.col("_stated"), experience_months(F.col("_jobs"), as_of)).cast("string").alias("years_experience"),
     )
-
-
-def education_of(text: Column) -> Column:
-    def entry(block):
-        rows = F.filter(F.transform(F.split(block, LINE_END), strip), lambda x: x != "")
-        second = F.transform(F.split(F.get(rows, F.lit(1)), r"\|"), strip)
-        years = F.regexp_extract_all(block, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
-        gpa = F.regexp_extract(block, r"(?i)GPA:?\s*([0-9.]+)", 1)
-        field = F.regexp_replace(F.regexp_extract(F.get(rows, F.lit(0)), r"(?i)\bin\s+(.+)$", 1), "^[in]+", "")
-        return F.struct(
-            F.get(second, F.lit(0)).alias("institution"), F.get(rows, F.lit(0)).alias("degree"), F.nullif(strip(field), F.lit("")).alias("field_of_study"),
-            N.date(F.get(years, F.lit(0))).alias("start_date"), N.date(F.get(years, F.lit(1))).alias("end_date"), gpa.try_cast("double").alias("gpa"),
-        )
-
-    return F.transform(F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(r"(?i)\b(b\.?tech|m\.?tech|bachelor|master|b\.?sc|m\.?sc|b\.?e|m\.?e|ph\.?d|mba|diploma|degree)\b")), entry)
 
 
 def read(spark: SparkSession, path: str, as_of: str = "2025-01") -> DataFrame:

@@ -49,3 +49,55 @@ def source_records(spark, sf_dir: str) -> DataFrame:
         _items("experience", JOB)(["title", "company", "start_date", "end_date"]).alias("experience"),
         _items("education", STUDY)(["institution", "degree", "start_date", "end_date", "gpa"]).alias("education"), "years_experience",
     )
+
+
+def _parts(c: str, names: list[str]):
+    """Structs of text parts from a|b;c|d; blank parts are null."""
+    at = lambda x, i: F.nullif(F.get(F.split(x, r"\|"), F.lit(i)), F.lit(""))
+    return F.transform(F.split(c, ";"), lambda x: F.struct(*(at(x, i).alias(n) for i, n in enumerate(names))))
+
+
+def exports(spark, sf_dir: str) -> DataFrame:
+    """The records of source ats as JSON exports of three shapes, by the key's remainder by 3."""
+    r = flat_records(spark, sf_dir).where("source = 'ats'").withColumn("k", F.substring("fusion_id", 2, 20).cast("long") % 3)
+    mails, phones, skills = (F.split(c, ";") for c in ("emails", "phones", "skills"))
+    named = lambda c, n: F.transform(c, lambda x: F.struct(x.alias(n)))
+    ident = F.concat(F.lit("A"), F.col("fusion_id"))
+    shapes = [
+        F.struct(F.struct(ident.alias("id"), F.col("full_name"), named(mails, "value").alias("emails"), F.col("phones").alias("phone"), F.struct(F.col("location").alias("city")).alias("location"), F.col("headline"), named(skills, "name").alias("skills"),
+                          _parts("experience", ["title", "company", "start_date", "end_date"]).alias("experience"), _parts("education", ["institution", "degree", "start_date", "end_date", "gpa"]).alias("education"), F.col("years_experience")).alias("candidate")),
+        F.struct(ident.alias("applicantId"), F.col("full_name").alias("name"), mails.alias("emailAddresses"), named(phones, "number").alias("phoneNumbers"), F.col("location").alias("current_location"), F.col("headline").alias("jobTitle"), F.array_join(skills, ", ").alias("skills"),
+                 _parts("experience", ["role", "employer", "startDate", "to"]).alias("workExperience"), _parts("education", ["school", "qualification", "startDate", "graduation_date", "grade"]).alias("qualifications"), F.col("years_experience").alias("yearsOfExperience")),
+        F.struct(F.struct(ident.alias("candidate_id"), F.col("full_name").alias("display_name"), F.get(mails, F.lit(0)).alias("email"), phones.alias("phones"), F.col("location").alias("address"), F.col("headline").alias("title"), skills.alias("tags"),
+                          _parts("experience", ["job_title", "organization", "from", "endDate"]).alias("jobs"), _parts("education", ["university", "degree_type", "start_date", "graduationDate", "gpa"]).alias("education"), F.col("years_experience").alias("experienceYears")).alias("data")),
+    ]
+    return r.select(F.coalesce(*(F.when(F.col("k") == i, F.to_json(x)) for i, x in enumerate(shapes))).alias("value"))
+
+
+#: Texts of résumés, with the values they are made of.  One in three has no blank line between jobs and one no stated years.
+RESUMES = """
+SELECT c_custkey AS doc_id, c_custkey % 3 AS k, lower(c_mktsegment) || ' ' || translate(lower(n_name), '_ 0123456789', '--abcdefghij') AS person, 'u' || CAST(c_custkey AS STRING) || '@Example.com' AS mail,
+  '+91 9' || lpad(CAST(c_custkey % 1000000000 AS STRING), 9, '0') AS phone, translate(lower(n_name), '_0123456789', ' abcdefghij') || ', India' AS place, 'Senior ' || c_mktsegment || ' engineer' AS role,
+  CAST(2000 + c_custkey % 7 AS STRING) AS y1, CAST(2008 + c_custkey % 5 AS STRING) AS y2, CAST(1 + c_custkey % 12 AS STRING) AS m
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+def resumes(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, text)"""
+    for t in ("customer", "nation"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    c = F.col
+    glue = lambda *parts: F.concat(*(F.lit(p[1:]) if p.startswith("~") else c(p) for p in parts))
+    jobs = F.concat(
+        glue("~Data Engineer at Acme ", "y1", "~\n", "m", "~/", "y1", "~ - ", "m", "~/", "y2", "~\nbuilt things\nfor many"), F.when(c("k") == 1, "\n").otherwise("\n\n"),
+        glue("~Lead | Other Inc\n", "y2", "~ to Present\nran it\n"),
+    )
+    return spark.sql(RESUMES).select(
+        "doc_id",
+        F.concat(
+            glue("person", "~\n", "mail", "~ | ", "phone", "~ | https://github.com/u.\n", "role", "~\n", "place", "~\n\nPROFILE\n"), F.when(c("k") == 2, "plain words").otherwise(glue("m", "~+ years of experience")),
+            F.lit("\n\nTechnical Skills:\nTools: py, SQL | k8s\n• data lakes - go\n2019 dates\n\nWORK EXPERIENCE\n"), jobs,
+            glue("~\nEDUCATION\nB.Tech in Computer Science, honours\nOpen University of ", "place", "~ ", "y1", "~\n", "y1", "~ - ", "y2", "~\nGPA: 8.", "m", "~\n\nMIT Boston\nMaster of Arts\n"),
+        ).alias("text"),
+    )

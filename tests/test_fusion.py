@@ -7,18 +7,25 @@ from fusewright.operators import merge as M
 from fusewright.operators.validate import validate
 from fusewright.plans.project import project, report
 from fusewright.schema import SOURCE_RECORD
+from fusewright.sources.profile import username
 
 CASES = [
-    (N.email, [(" Jane@Example.COM ", "jane@example.com"), ("bad@", None), ("", None), (None, None)]),
-    (N.name, [("  mary-jane   o'neil ", "Mary-Jane O'Neil"), ("John 2nd", "John Nd"), ("123", None), (None, None)]),
-    (N.location, [("NYC", "New York, NY"), ("hyderabad ,india", "Hyderabad, India"), ("", None)]),
-    (N.url, [("example.com", "https://example.com"), ("http://a.b", "http://a.b"), ("nothing", None), (None, None)]),
-    (N.date, [("2019", "2019-01"), ("3/2020", "2020-03"), ("2020/7", "2020-07"), ("Present", "Present"), ("Sept 2018", "2018-09"), ("March 2021", "2021-03"), ("13/2019", "2019-13"), ("zzz", None)]),
-    (N.years, [("5+ years", 5.0), ("3-5", 4.0), ("none", None), (None, None)]),
-    (N.phone, [("98765 43210", "+919876543210"), ("+1 (212) 555-0100", "+12125550100"), ("098765 43210", "+919876543210"), ("123", None), (None, None)]),
-    (N.skill, [("py", "Python"), (" K8S ", "Kubernetes"), ("data lakes", "Data Lakes")]),
-    (T.coerce, [(" N/A ", None), (" x ", "x")]),
-    (T.slugify, [(" Hello, World_again ", "hello-world-again")]),
+    (N.email, [(" Jane@Example.COM ", "jane@example.com"), ("jane@example.com", "jane@example.com"), ("bad@", None), ("janeexample.com", None), ("jane@@example.com", None), ("jane@example", None), ("jane+tag@example.com", "jane+tag@example.com"), ("u@mail.firm.co.uk", "u@mail.firm.co.uk"), ("", None), (None, None)]),
+    (N.name, [("  mary-jane   o'neil ", "Mary-Jane O'Neil"), ("John 2nd", "John Nd"), ("JOHN DOE", "John Doe"), ("Ann 123 Lee", "Ann Lee"), ("123", None), ("", None), (None, None)]),
+    (N.location, [("NYC", "New York, NY"), ("hyd", "Hyderabad, India"), (" BLR ", "Bengaluru, India"), ("hyderabad ,india", "Hyderabad, India"), ("new york, usa", "New York, Usa"), ("", None), (None, None)]),
+    (N.url, [("example.com", "https://example.com"), ("www.example.com", "https://www.example.com"), ("https://a.b/c", "https://a.b/c"), ("http://a.b", "http://a.b"), ("nothing_at_all", None), ("", None), (None, None)]),
+    (N.date, [("2019", "2019-01"), ("06/2019", "2019-06"), ("3/2020", "2020-03"), ("2020/7", "2020-07"), ("Present", "Present"), ("current", "Present"), ("NOW", "Present"), ("—", "Present"), ("--", "Present"), ("Sept 2018", "2018-09"), ("Jun. 2018", "2018-06"), ("January 2021", "2021-01"), ("Mar 5, 2021", "2021-03"), ("2021-04-30", "2021-04"), ("13/2019", "2019-13"), ("zzz", None), ("", None), (None, None)]),
+    (N.years, [("5+ years", 5.0), ("3-5", 4.0), ("2.5", 2.5), ("1 2 9", 1.5), ("none", None), ("", None), (None, None)]),
+    (N.phone, [("98765 43210", "+919876543210"), ("+91-9876543210", "+919876543210"), ("919876543210", "+919876543210"), ("+1 (212) 555-0100", "+12125550100"), ("+1-415-555-1234", "+14155551234"), ("+44 7911 123456", "+447911123456"), ("098765 43210", "+919876543210"), ("123", None), ("0" * 19, None), ("no number", None), ("", None), (None, None)]),
+    (lambda c: N.phone(c, "1"), [("415-555-1234", "+14155551234"), ("98765", None)]),
+    (N.skill, [("py", "Python"), (" K8S ", "Kubernetes"), ("PyThOn", "Python"), ("js", "JavaScript"), ("reactjs", "React"), ("ml", "Machine Learning"), ("nlp", "Natural Language Processing"), ("data lakes", "Data Lakes"), (None, None)]),
+    (lambda c: F.array_join(N.skills_list(F.split(c, ",")), ","), [("python,Python,py", "Python"), ("python,docker,aws", "Python,Docker,AWS"), ("X y,x Y", "X Y")]),
+    (T.coerce, [(" N/A ", None), ("None", None), ("-", None), (" \t", None), (" x ", "x"), (None, None)]),
+    (T.slugify, [(" Hello, World_again ", "hello-world-again"), ("a -- b", "a-b")]),
+    (lambda c: T.truncate(c, 5), [("abcdefgh", "ab..."), ("abcde", "abcde"), (None, None)]),
+    (lambda c: F.array_join(T.split_multi(c, "[;|]"), "/"), [(" a ;; b|c ", "a/b/c"), (";", ""), (None, None)]),
+    (T.title, [("x2y o'brien", "X2Y O'Brien"), ("", "")]),
+    (username, [("octo", "octo"), ("@octo", "octo"), ("https://github.com/octo-cat/repo", "octo-cat"), ("github.com/octo.cat", "octo"), (" octo/ ", "octo")]),
 ]
 
 
@@ -45,6 +52,51 @@ def test_merge(spark):
 def test_project_and_report(spark):
     rows = [("e", "csv", 0, None, "jane doe", ["J@x.org"], None, None, None, ["py"], None, None, None, "4")]
     p = M.merge(spark.createDataFrame(rows, SOURCE_RECORD))
-    q = project(p, {"hide_provenance": True, "hide_confidence": True, "exclude_fields": ["headline"]})
+    q = project(p, {"hide_provenance": True, "hide_confidence": True, "field_aliases": {"full_name": "name", "emails": "email_addresses"}, "exclude_fields": ["headline"]})
     assert {"name", "email_addresses"} <= set(q.columns) and not {"provenance", "overall_confidence", "headline", "full_name"} & set(q.columns)
-    assert report(p).count() == 1
+    told = report(p, warnings=["late"]).first()
+    assert told.validation_warnings == ["late"] and told.sources_used == ["csv"] and told.field_confidences["full_name"] == 0.85
+    assert "overall_confidence" not in report(p, {"include_field_confidences": False}).columns and project(p).columns == p.columns
+    assert "full_name" in project(p, {}).columns
+
+
+PROFILE = "fusion_id string, candidate_id string, full_name string, emails array<string>, phones array<string>, years_experience double, skills array<struct<canonical_name:string>>, experience array<struct<company:string,title:string>>, education array<struct<institution:string>>, overall_confidence double"
+VALID = {"fusion_id": "f", "candidate_id": "c1", "full_name": "Ann Lee", "emails": ["a@b.co"], "phones": ["+919876543210"], "years_experience": 5.0, "skills": [], "experience": [], "education": [], "overall_confidence": 0.85}
+RULES = [
+    ({}, {}), ({"full_name": "A"}, {"full_name": None}), ({"emails": ["a@b.co", "bad", "b@@c.co"]}, {"emails": ["a@b.co"]}), ({"phones": ["98765", "+1212"]}, {"phones": ["+1212"]}), ({"years_experience": 75.0}, {"years_experience": None}),
+    ({"years_experience": -1.0}, {"years_experience": None}), ({"years_experience": 60.0}, {}), ({"skills": [(" ",), ("Go",)]}, {"skills": [("Go",)]}), ({"experience": [(None, ""), (None, "T")]}, {"experience": [(None, "T")]}),
+    ({"education": [(None,), ("U",)]}, {"education": [("U",)]}), ({"overall_confidence": 1.5}, {"overall_confidence": 1.0}), ({"overall_confidence": -0.5}, {"overall_confidence": 0.0}), ({"overall_confidence": None}, {"overall_confidence": 0.0}),
+]
+
+
+@pytest.mark.parametrize("given,want", RULES, ids=str)
+def test_rule(spark, given, want):
+    before = VALID | given
+    got = validate(spark.createDataFrame([tuple(before.values())], PROFILE)).first()
+    for field, value in (before | want).items():
+        assert [tuple(x) if not isinstance(x, str) else x for x in got[field]] == value if isinstance(value, list) else got[field] == value
+    dropped = want and "overall_confidence" not in want
+    assert bool(got.validator_warnings) == bool(dropped)
+
+
+def test_empty_id(spark):
+    got = [validate(spark.createDataFrame([tuple((VALID | {"candidate_id": i}).values())], PROFILE)).first() for i in ("", None)]
+    assert all(len(r.candidate_id) == 16 and r.validator_warnings for r in got)
+
+
+JOBS = [("Senior Engineer", "One", "Jan 2021", "Present", None, "Pune, India"), ("Scientist", "Two", "Jun 2019", "Dec 2020", None, None), ("Analyst", "Two", "Jun 2018", "May 2019", None, None)]
+STUDIES = [("Institute", "M.Tech", None, "2016", "2018", 8.7), ("University", "B.E.", None, "2012", "2016", 9.1)]
+ATS = ("e", "ats", 0, "A1", "Asha Rao", ["asha@x.org"], ["+919876543210"], "Pune, Maharashtra, India", "Engineer", ["Python", "Machine Learning", "TensorFlow", "PyTorch", "Kubernetes", "Docker", "AWS", "FastAPI", "PostgreSQL", "Python", "ml", "tensorflow"], None, JOBS, STUDIES, "6")
+CSV = ("e", "csv", 0, None, "Asha Rao", ["asha@x.org"], ["98765 43210"], "Pune, India", "Engineer", ["Python", "ML", "TensorFlow", "Django", "AWS"], None, None, None, "6")
+
+
+@pytest.mark.parametrize("records,overall,skills", [([ATS], 0.836, 9), ([CSV], 0.5685, 5), ([ATS, CSV], 0.8735, 10)], ids=["ats", "csv", "both"])
+def test_worked_example(spark, records, overall, skills):
+    p = M.merge(spark.createDataFrame(records, SOURCE_RECORD)).first()
+    assert p.overall_confidence == overall and len(p.skills) == skills
+    if len(records) == 2:
+        assert [(s.canonical_name, s.confidence, len(s.sources)) for s in p.skills] == [
+            ("Machine Learning", 0.97, 2), ("TensorFlow", 0.97, 2), ("Python", 0.95, 2), ("AWS", 0.95, 2), ("Kubernetes", 0.95, 1), ("PostgreSQL", 0.95, 1), ("PyTorch", 0.93, 1), ("Docker", 0.93, 1), ("FastAPI", 0.93, 1), ("Django", 0.83, 1),
+        ]
+        fields = {x.field: (x.confidence, x.adjusted) for x in p.provenance}
+        assert fields["full_name"] == (0.95, 0.92) and fields["location"] == (0.93, 0.9) and fields["phones"] == (0.92, 0.84) and fields["experience"] == (0.85, 0.77)
