@@ -1,15 +1,18 @@
 """Packing of tokenised documents into training windows by lexical retrieval.
 
-Documents are tokenised, a closing id is added, and shards of about a million tokens get a BM25 inverted
-index over token ids.  A window starts with the rest of the document cut by the window before, or else
-with the first unused document; the unused neighbours of that seed, best first, fill it, then unused
-documents in order.  What does not fit is cut and opens the next window, so windows are full; the last tokens
-of a shard become windows of powers of two, which need no padding.
-
-A shard is a stretch of one input partition, so nothing is shuffled and a lost task is redone alone.
+1. Documents are tokenised, a closing id is added, and the ids are stored.  Document frequencies of all ids
+   and the mean length come from all documents; a vocabulary bounds their number.
+2. A document is routed by its heaviest term under these statistics, so documents about the same thing meet
+   wherever they were stored.  A term that may be the heaviest of very many documents is dealt over several routes.
+3. Stretches of about half a million tokens of neighbouring routes get a BM25 inverted index.  A window starts
+   with the rest of the document cut by the window before, or else with the first unused document; the unused
+   neighbours of that seed by all of its terms, best first, fill it, then unused documents in order.  What does not fit is cut
+   and opens the next window, so windows are full; the last tokens of a stretch become windows of powers of two,
+   which need no padding.
 
 Defined cases: a null or empty text has only the closing id; documents longer than a window fill several;
-equal scores go to the earlier document; null ``doc_id`` stays null; other columns are not read.
+equal scores go to the earlier document; null ``doc_id`` stays null; rows of equal ``doc_id`` are packed one by one; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import mix
 from .bpe import byte_letters
-from .common import picked, rows_of
+from .common import batchwise, picked, rows_of, store
 
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19  # of one inverted index
+PART_TOKENS = 1 << 22  # of one task, and of one route
 K1, B = 1.2, 0.75
+RARE = 64  # a term in fewer documents routes no better than one in so many: few could follow it
 CACHED_WORDS = 200_000  # a worker remembers the last so many, up to twice that
-QUERY_TERMS = 32  # a seed asks for its terms of greatest weight
 
 # How the vocabulary splits lower-cased text, for text below U+0180 where letters can be listed.
 LATIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+"
@@ -74,38 +79,65 @@ class WordTokens:
         return np.frombuffer(b"".join(found), "<u4")
 
 
+class Statistics:
+    """Document frequencies of all ids, number of documents and their mean length."""
+
+    def __init__(self, frequency: np.ndarray, n_docs: int, n_tokens: int):
+        self.n_docs, self.mean = n_docs, max(1.0, n_tokens / max(1, n_docs))
+        self.idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
+        common = np.maximum(frequency, RARE)
+        self.routing = np.maximum(np.log1p(np.maximum(n_docs - common, 0) / (common + 0.5)), 1e-6)
+        self.routes = np.maximum(1, np.ceil(frequency * self.mean / PART_TOKENS)).astype(np.int64)
+
+    def norm(self, sizes: np.ndarray) -> np.ndarray:
+        return K1 * (1 - B + B * sizes / self.mean)
+
+
+def _term_counts(docs: list[np.ndarray]):
+    """(document, term, count) of each distinct term of each document, and the documents' sizes."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    key = np.concatenate(docs).astype(np.int64) | np.repeat(np.arange(len(docs)), sizes) << 32
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key))), sizes
+
+
+def heaviest_terms(docs: list[np.ndarray], known: Statistics) -> np.ndarray:
+    """The term of greatest weight of each document (the smallest of equal ones)."""
+    doc, term, count, sizes = _term_counts(docs)
+    weight = known.routing[term] * count * (K1 + 1) / (count + known.norm(sizes)[doc])
+    begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    best = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, begin), np.diff(np.append(begin, len(doc)))))
+    _, first = np.unique(doc[best], return_index=True)
+    return term[best[first]]
+
+
 class Index:
-    """BM25 inverted index of one shard."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        sizes = np.array([len(d) for d in docs], np.int64)
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        key = np.concatenate(docs).astype(np.int64) << 32 | doc
-        key.sort()
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(np.append(first, len(key)))
-        term, self.doc = key[first] >> 32, (key[first] & 0xFFFFFFFF)
-        begin = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-        self.terms, self.begin, self.size = term[begin], begin, np.diff(np.append(begin, len(term)))
-        idf = np.log1p((len(docs) - self.size + 0.5) / (self.size + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        self.weight = np.repeat(idf, self.size) * count * (K1 + 1) / (count + norm[self.doc])
+    """BM25 inverted index of one stretch, with the statistics of all documents."""
+
+    def __init__(self, docs: list[np.ndarray], known: Statistics):
         self.n = len(docs)
-        # the terms of each document, greatest weight first
-        mine = np.lexsort((-self.weight, self.doc))
-        self.mine = np.repeat(np.arange(len(begin)), self.size)[mine]
-        self.from_ = np.searchsorted(self.doc[mine], np.arange(len(docs) + 1))
+        doc, term, count, sizes = _term_counts(docs)
+        order = np.argsort(term, kind="stable")
+        self.doc, posted = doc[order], term[order]
+        begin = np.flatnonzero(np.append(True, posted[1:] != posted[:-1]))
+        self.begin, self.size = begin, np.diff(np.append(begin, len(posted)))
+        weight = known.idf[term] * count * (K1 + 1) / (count + known.norm(sizes)[doc])
+        self.weight = weight[order]
+        # the terms of each document, as places in the index
+        self.mine = np.searchsorted(posted[begin], term)
+        self.from_ = np.searchsorted(doc, np.arange(self.n + 1))
 
     def scores(self, doc: int) -> np.ndarray:
-        at = self.mine[self.from_[doc] : min(self.from_[doc + 1], self.from_[doc] + QUERY_TERMS)]
+        at = self.mine[self.from_[doc] : self.from_[doc + 1]]
         size = self.size[at]
         entry = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return np.bincount(self.doc[entry], self.weight[entry], minlength=self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece of a shard's documents."""
-    index = Index(docs)
+def pack_shard(docs: list[np.ndarray], window: int, known: Statistics) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of every piece of a stretch's documents."""
+    index = Index(docs, known)
     used = np.zeros(len(docs), bool)
     left = sum(map(len, docs))
     pieces, sequence, fresh = [], 0, 0
@@ -148,23 +180,77 @@ _PIECE_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens l
 _made: dict[str, WordTokens] = {}
 
 
+def _tokens(docs: DataFrame, file, closing: int, kind: str) -> DataFrame:
+    """Stored (doc_id, n, ids) of each row, and for each task a row without ids: n documents with the term ``doc_id``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches):
+        key = hashlib.sha256(file.value).hexdigest()
+        if key not in _made:
+            _made.clear()
+            _made[key] = WordTokens(file.value)
+        tokens, end = _made[key], np.array([closing], kind)
+        frequency = np.zeros(0, np.int64)
+        for batch in batches:
+            ids = [np.concatenate([tokens.ids(t.as_py() or "").astype(kind), end]) for t in batch.column("text")]
+            if ids:
+                _, term, _, sizes = _term_counts(ids)
+                found = np.bincount(term)
+                if len(found) > len(frequency):
+                    frequency, found = found, frequency
+                frequency[: len(found)] += found
+                yield rows_of(schema, [batch.column("doc_id"), sizes, [i.tobytes() for i in ids]])
+        term = np.flatnonzero(frequency)
+        yield rows_of(schema, [term, frequency[term], [None] * len(term)])
+
+    return store(picked(docs, doc_id="long", text="string").mapInArrow(batchwise(run), "doc_id long, n long, ids binary"), "tokens")
+
+
+def _statistics(tokens: DataFrame, size: int) -> Statistics:
+    n_docs, n_tokens = tokens.where("ids is not null").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sums = tokens.where("ids is null").groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()  # a vocabulary's length at most
+    frequency = np.zeros(size, np.int64)
+    frequency[sums["doc_id"].to_numpy(np.int64)] = sums["n"]
+    return Statistics(frequency, n_docs, n_tokens)
+
+
+def _routed(tokens: DataFrame, known, kind: str) -> DataFrame:
+    schema = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 32  # of the stored table, so the same whenever a task is run again
+        for batch in batches:
+            if batch.num_rows:
+                term = heaviest_terms([np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()], known.value)
+                share = mix(np.arange(row, row + len(term)).astype(np.uint64)) % known.value.routes[term].astype(np.uint64)
+                row += len(term)
+                yield rows_of(schema, [term << 32 | share.astype(np.int64), batch.column("doc_id"), batch.column("ids")])
+
+    return tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(batchwise(run), "route long, doc_id long, ids binary")
+
+
 def pack_documents(docs: DataFrame, path: str, window: int = 4096, closing: int = 2, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` if asked."""
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
+    from tokenizers import Tokenizer
+
     with open(path, "rb") as f:  # on the driver; a vocabulary is a file of a few MB whatever the input
-        file = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    context = docs.sparkSession.sparkContext
+    size = max(Tokenizer.from_str(content.decode()).get_vocab_size(), closing + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    tokens = _tokens(docs, context.broadcast(content), closing, kind)
+    statistics = _statistics(tokens, size)
+    known = context.broadcast(statistics)  # three numbers for each id of the vocabulary
+    parts = max(1, -(-int(statistics.n_docs * statistics.mean) // PART_TOKENS))
     schema = pa.schema([*_PIECE, ("ids", pa.binary())]) if with_ids else _PIECE
 
     def run(batches):
         from pyspark import TaskContext
 
-        key = hashlib.sha256(file.value).hexdigest()
-        if key not in _made:
-            _made.clear()
-            _made[key] = WordTokens(file.value)
-        tokens = _made[key]
-        end = np.array([closing], "<u4")
         base = TaskContext.get().partitionId() << 32
         names: list = []
         shard: list[np.ndarray] = []
@@ -172,24 +258,23 @@ def pack_documents(docs: DataFrame, path: str, window: int = 4096, closing: int
 
         def emit():
             nonlocal base, names, shard, held
-            pieces = pack_shard(shard, window)
+            pieces = pack_shard(shard, window, known.value)
             d, start, length, sequence, offset = (list(x) for x in zip(*pieces))
-            cuts = [shard[i][s : s + n].tobytes() for i, s, n in zip(d, start, length)]
+            cuts = [shard[i][s : s + n].astype("<u4").tobytes() for i, s, n in zip(d, start, length)]
             columns = [pa.array([names[i] for i in d], pa.int64()), start, length, [zlib.crc32(c) for c in cuts], [len(shard[i]) for i in d], [base + s for s in sequence], offset]
             base += sequence[-1] + 1
             names, shard, held = [], [], 0
             return rows_of(schema, [*columns, cuts] if with_ids else columns)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([tokens.ids(text.as_py() or ""), end])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 names.append(doc_id)
-                shard.append(ids)
-                held += len(ids)
+                shard.append(np.frombuffer(ids, kind))
+                held += len(shard[-1])
                 if held >= SHARD_TOKENS:
                     yield emit()
         if shard:
             yield emit()
 
-    plain = picked(docs, doc_id="long", text="string")
-    return plain.mapInArrow(run, _PIECE_SQL + (", ids binary" if with_ids else ""))
+    ready = _routed(tokens, known, kind).repartition(parts, "route").sortWithinPartitions("route", "doc_id", F.xxhash64("ids"))
+    return ready.select("doc_id", "ids").mapInArrow(batchwise(run), _PIECE_SQL + (", ids binary" if with_ids else ""))

@@ -214,6 +214,34 @@ def test_first_of_each_keeps_every_component(spark):
     assert kept == sorted([(None, a), (None, b), (3, c), (3, d), (2, e), (None, None), (None, "")], key=repr)
 
 
+def test_packing_neighbours(spark):
+    """Documents of one topic meet in windows though they come from different partitions; scores are BM25's over all documents."""
+    from fusewright.llm.packing import B, K1, Index, Statistics
+
+    rng = np.random.default_rng(8)
+    topics = [[f"{a}{b}" for b in ("lex", "mor", "tan", "vid", "quo", "zer")] for a in ("al", "be", "cu", "do", "en", "fi", "gu", "ho")]
+    common = [f"w{i}" for i in range(50)]
+    rows = [(k, " ".join([*rng.choice(topics[k % 8], 40), *rng.choice(common, 60)])) for k in range(320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    pieces = pack_documents(docs, P.path("word_bpe_49k.json"), window=2048).collect()
+    topic_of = {}
+    for p in pieces:
+        topic_of.setdefault(p.sequence_id, []).append((p.doc_id % 8, p.length))
+    same = sum(max(sum(n for t, n in w if t == k) for k in range(8)) for w in topic_of.values())
+    assert same >= 0.8 * sum(p.length for p in pieces)
+
+    ids = [rng.integers(0, 40, n) for n in (30, 50, 1, 80)]
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in ids]), minlength=40)
+    known = Statistics(frequency, 4, 161)
+    for d, mine in enumerate(ids):
+        want = []
+        for other in ids:
+            tf = np.bincount(other, minlength=40)
+            idf = np.log1p((4 - frequency + 0.5) / (frequency + 0.5))
+            want.append(sum(idf[t] * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * len(other) / (161 / 4))) for t in set(mine.tolist())))
+        assert np.allclose(Index(ids, known).scores(d), want)
+
+
 def _pair(rng, cosine, size=32):
     a, b = rng.standard_normal((2, size))
     a /= np.linalg.norm(a)
