@@ -13,7 +13,7 @@ from .phrase_dedup import remove_phrases
 from .quality_rules import judge
 from .suffix_dedup import remove_repeats
 from .vector_neardup import near_duplicates
-from .warc_fixity import audit, damaged, warc_records
+from .warc_fixity import audit, damaged, raw_records
 
 
 def _table(spark, sf_dir, name):
@@ -37,8 +37,8 @@ def op4_quality_rules(spark, sf_dir):
 
 
 def op5_warc_fixity(spark, sf_dir):
-    """Audits a replica of the archives in which one record of 97 was damaged on purpose."""
-    records = warc_records(_table(spark, sf_dir, "pages"))
+    """Audits a replica of the archives in which of 97 records one was changed, one lost and one added on purpose."""
+    records = raw_records(_table(spark, sf_dir, "pages"))
     return audit(records, damaged(records, every=97))
 
 
@@ -93,12 +93,16 @@ ORACLE_SQL: dict[str, str] = {
         WITH b AS (SELECT page_id, coalesce(url, '') AS url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body FROM pages),
         r AS (SELECT page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
           || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM b),
-        o AS (SELECT *, floor(coalesce(page_id, 0) / 4096)::BIGINT AS archive FROM r),
-        t AS (SELECT archive, row_number() OVER w - 1 AS place, page_id, sum(strlen(record)) OVER w - strlen(record) AS record_offset, strlen(record) AS record_length, record
-          FROM o WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, sha256(record) ROWS UNBOUNDED PRECEDING))
-        SELECT archive, place::BIGINT AS place, page_id, record_offset::BIGINT AS record_offset, record_length::BIGINT AS record_length, sha256(record) AS digest_here,
-          sha256(substr(record, 1, length(record) - 5) || '?' || substr(record, length(record) - 3, 4)) AS digest_there, 'corrupt' AS status
-        FROM t WHERE coalesce(page_id, 0) % 97 = 5""",
+        o AS (SELECT *, CASE WHEN page_id IS NULL THEN -1 - ('0x' || md5(url)[1:3])::BIGINT ELSE floor(page_id / 4096)::BIGINT END AS archive, coalesce(page_id, 0) % 97 AS k FROM r),
+        t AS (SELECT archive, row_number() OVER w - 1 AS place, page_id, url, k, sum(strlen(record)) OVER w - strlen(record) AS record_offset, strlen(record) AS record_length, sha256(record) AS digest, record
+          FROM o WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, sha256(record) ROWS UNBOUNDED PRECEDING)),
+        u AS (SELECT archive, page_id, url, k, CASE WHEN k = 5 THEN substr(record, 1, length(record) - 5) || '?' || substr(record, length(record) - 3, 4) ELSE record END AS record, false AS again FROM o WHERE k <> 6
+          UNION ALL SELECT archive, page_id, url || '#again', k, record, true FROM o WHERE k = 7),
+        v AS (SELECT archive, row_number() OVER w - 1 AS place, page_id, url, k, again, sum(strlen(record)) OVER w - strlen(record) AS record_offset, strlen(record) AS record_length, sha256(record) AS digest
+          FROM u WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, sha256(record) ROWS UNBOUNDED PRECEDING))
+        SELECT t.archive, t.place::BIGINT AS place, t.page_id, t.record_offset::BIGINT AS record_offset, t.record_length::BIGINT AS record_length, t.digest AS digest_here, CASE WHEN k = 5 THEN
+          sha256(substr(record, 1, length(record) - 5) || '?' || substr(record, length(record) - 3, 4)) END AS digest_there, CASE WHEN k = 5 THEN 'corrupt' ELSE 'missing' END AS status FROM t WHERE k IN (5, 6)
+        UNION ALL SELECT archive, place, page_id, record_offset, record_length, NULL, digest, 'extra' FROM v WHERE again""",
     "op8_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
         g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),

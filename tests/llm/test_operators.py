@@ -14,7 +14,7 @@ from fusewright.llm.phrase_dedup import remove_phrases
 from fusewright.llm.quality_rules import accepted, judge
 from fusewright.llm.suffix_dedup import edited, remove_repeats
 from fusewright.llm.vector_neardup import near_duplicates
-from fusewright.llm.warc_fixity import audit, damaged, warc_records
+from fusewright.llm.warc_fixity import audit, damaged, raw_records, replica_root, warc_records
 
 P = pytest.importorskip("public_tokenizers")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, block_id string, row long"
@@ -105,12 +105,53 @@ def test_common_prefixes():
             assert n == next((i for i in range(4) if x[i] != y[i]), 4)
 
 
-def test_jaccard(docs):
-    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_components(docs).collect()}
-    by = {k[0]: v for k, v in got.items() if k[0] not in (3, None)}
-    assert by[5] == 4 and by[11] == 4 and by[9] == 8 and by[6] == 6 and by[7] == 7
-    kept = first_of_each(docs)
-    assert kept.columns == docs.columns and {5, 11, 9}.isdisjoint({r.doc_id for r in kept.collect()})
+def _shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def _components(rows):
+    sets = [_shingles(t) for _, t, *_ in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                up[find(a)] = find(b)
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), float("inf")), _order(i))
+    return sorted(((i, len(s), None if least[find(k)] == float("inf") else least[find(k)]) for k, ((i, *_), s) in enumerate(zip(rows, sets))), key=repr)
+
+
+@pytest.fixture(scope="module")
+def near_rows(rows):
+    """Chains of near copies, pairs at the very threshold and just below, and a crowd of different sizes around one phrase."""
+    rng = np.random.default_rng(3)
+    words = [f"t{i}" for i in range(3000)]
+    out = [r[:2] for r in rows]
+    for k in range(12):
+        text = list(rng.choice(words, 60 + 40 * k))
+        for step in range(4):
+            out.append((1000 + 10 * k + step, " ".join(text)))
+            for at in rng.integers(0, len(text), 1 + k // 3):
+                text[at] = f"edit{k}{step}{at}"
+    base = [f"b{i}" for i in range(94)]  # 90 shingles
+    out += [(2000, " ".join(base)), (2001, " ".join(base[:76])), (2002, " ".join(base[:75]))]  # 72 and 71 of 90
+    phrase = " ".join(f"p{i}" for i in range(30))
+    out += [(3000 + k, phrase + " " + " ".join(rng.choice(words, 4 + 2 * k))) for k in range(60)]
+    return out
+
+
+@pytest.mark.parametrize("way", [{}, {"tokens": None}, {"meet": 4}, {"tokens": None, "meet": 7}], ids=str)
+def test_jaccard(spark, near_rows, way):
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in jaccard_components(docs, **way).collect()), key=repr) == _components(near_rows)
 
 
 def test_rules(spark, docs):
@@ -193,11 +234,18 @@ def test_vectors(spark):
 
 
 def test_warc(spark):
-    pages = spark.createDataFrame([(i, f"http://a/{i}", "<p>é</p>" * i) for i in range(120)] + [(None, None, None), (7, "http://b", None)], "page_id long, url string, html string")
-    records = warc_records(pages)
-    assert audit(records, records).count() == 0
+    rows = [(i, f"http://a/{i}", "<p>é</p>" * i) for i in range(120)] + [(None, None, None), (None, "http://n", "x"), (7, "http://b", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = raw_records(pages, archive_pages=20)
+    laid = warc_records(pages, archive_pages=20).orderBy("archive", "place").collect()
+    for x, y in zip(laid, laid[1:]):
+        assert y.record_offset == (x.record_offset + len(x.record.encode()) if x.archive == y.archive else 0)
+    assert audit(records, records).count() == 0 and replica_root(records) == replica_root(records.repartition(3))
+    assert len({replica_root(records), replica_root(damaged(records)), replica_root(records.where("archive > 0")), None}) == 4
+    assert replica_root(records.where("page_id = -5")) is None and audit(records.limit(0), records.limit(0)).count() == 0
     found = audit(records, damaged(records)).collect()
-    assert sorted(r.page_id for r in found) == [5, 102] and {r.status for r in found} == {"corrupt"}
+    lost = [(5, "corrupt"), (102, "corrupt"), (6, "missing"), (103, "missing"), (7, "extra"), (7, "extra"), (104, "extra")]
+    assert sorted((r.page_id, r.status) for r in found) == sorted(lost)
 
 
 @pytest.mark.parametrize("run", [remove_phrases, remove_repeats, jaccard_components, identify, lambda d: pack_documents(d, P.path("word_bpe_49k.json"))])
@@ -279,11 +327,11 @@ def test_vector_audit_sees_missing_links(spark, found, open_spaces):
 
 def test_warc_lost_and_added_records(spark):
     page = lambda i: (i, f"http://a/{i}", f"<p>{i}</p>" * (i % 9))
-    same = [page(i) for i in range(120) if i not in (10, 40)] + [(None, None, None), (20, "http://a/20", "x"), (20, "http://a/20", "y")]
-    make = lambda rows: warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    mine, other = make(same + [page(10), (7, "http://b", None), (30, "http://c", "z"), (30, "http://c", "z")]), make(same + [page(40), (30, "http://c", "z")])
+    same = [page(i) for i in range(120) if i not in (6, 7, 10, 40, 103, 104)] + [(None, None, None), (20, "http://a/20", "x"), (20, "http://a/20", "y")]
+    make = lambda rows: raw_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    mine, other = make(same + [page(10), (8, "http://b", None), (30, "http://c", "z"), (30, "http://c", "z")]), make(same + [page(40), (30, "http://c", "z")])
     found = sorted((r.page_id, r.status) for r in audit(mine, damaged(other)).collect())
-    assert found == [(5, "corrupt"), (7, "missing"), (10, "missing"), (30, "missing"), (40, "extra"), (102, "corrupt")]
+    assert found == [(5, "corrupt"), (8, "missing"), (10, "missing"), (30, "missing"), (40, "extra"), (102, "corrupt")]
     assert [r.status for r in audit(mine, mine.where("page_id < 0")).collect()] == ["missing"] * mine.count()
 
 
