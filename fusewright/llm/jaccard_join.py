@@ -8,10 +8,12 @@
    different components.  Links go into a distributed component search.
 
 Routing: with |A and B| >= 4/9 (|A| + |B|) the classes share one of the first |A| - ceil(0.8 |A|) + 1 hashes in
-order.  All of these are used up to 24; longer sets use 24, with which a pair at the very threshold is
-missed with a chance below 0.2 ** 24 = 2e-17, as rare as a collision of the hashes themselves.
+order.  All of these are used up to ``tokens``, 24 unless asked otherwise; with 24 a pair at the very threshold is
+missed with a chance below 0.2 ** 24 = 2e-17, as rare as a collision of the hashes themselves.  ``tokens=None`` uses all of
+them, which is exact whatever the hashes are like, and takes a fifth of all shingles through the shuffle.
 
-A meeting of over ``MEET`` classes is cut into pieces, and each pair of pieces is a task of its own.
+A meeting of over ``MEET`` classes is cut by size: sets whose sizes differ by more than a quarter cannot link, so bands of
+sizes by powers of 5/4 meet themselves and their neighbours only.  Bands are cut into pieces, and each pair of pieces is a task of its own.
 
 Defined cases: no words or null text: empty set, linked with nothing; one to four words: the whole sequence
 is one shingle; a null ``doc_id`` takes part, sorts last and is null again in the result; rows with equal
@@ -56,15 +58,19 @@ def counts_of(members: np.ndarray) -> np.ndarray:
 _SKETCH = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("tokens", pa.list_(pa.int64())), ("counts", pa.binary())])
 
 
-def _sketch(batches):
-    for batch in batches:
-        for _, block in open_blocks(batch):
-            out = []
-            for i, s in block_sets(block):
-                prefix = min(TOKENS, len(s) - -(-4 * len(s) // 5) + 1)
-                mark = np.array([np.bitwise_xor.reduce(mix(s)), mix(s * _M2).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None
-                out.append((block.block_id * BLOCK_DOCS + i, int(block.ids[i]), len(s), mark, s[:prefix].view(np.int64).tolist(), counts_of(s).tobytes()))
-            yield rows_of(_SKETCH, list(zip(*out)))
+def _sketch(tokens):
+    def run(batches):
+        for batch in batches:
+            for _, block in open_blocks(batch):
+                out = []
+                for i, s in block_sets(block):
+                    prefix = len(s) - -(-4 * len(s) // 5) + 1
+                    prefix = prefix if tokens is None else min(tokens, prefix)
+                    mark = np.array([np.bitwise_xor.reduce(mix(s)), mix(s * _M2).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None
+                    out.append((block.block_id * BLOCK_DOCS + i, int(block.ids[i]), len(s), mark, s[:prefix].view(np.int64).tolist(), counts_of(s).tobytes()))
+                yield rows_of(_SKETCH, list(zip(*out)))
+
+    return run
 
 
 class _Sets:
@@ -183,18 +189,28 @@ def _verify(later_rounds):
     return run
 
 
-def _cut(meets: DataFrame) -> DataFrame:
-    """Adds ``meet`` and ``piece``: members of a large meeting go to each pair of pieces that has theirs."""
-    large = meets.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MEET).withColumn("pieces", F.ceil(F.col("m") / MEET).cast("long"))
-    own = F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1)))
-    paired = meets.join(large.select("token", "pieces"), "token", "left").withColumn("piece", own)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1))
-    return paired.withColumn("_other", other).withColumn("meet", F.concat_ws(":", "token", F.least("piece", "_other"), F.greatest("piece", "_other"))).drop("pieces", "_other")
-
+def _cut(meets: DataFrame, meet: int) -> DataFrame:
+    """Adds ``meet`` and ``piece``: members of a large meeting go to each pair of pieces that has theirs.
 
-def _round(meets: DataFrame, blocks: DataFrame, later_rounds: bool) -> DataFrame:
+    A piece is a number within a band of sizes; it meets the pieces of its own band and of the two beside it.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("long")  # sizes of a ratio of 5/4 at most are one band apart at most
+    pieces = meets.groupBy("token", band.alias("band")).agg(F.count(F.lit(1)).alias("m"))
+    large = pieces.groupBy("token").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / meet).cast("long")))).alias("pieces")).where(F.col("all") > meet).drop("all")
+    both = meets.withColumn("band", band).join(large, "token", "left")
+    own = F.pmod(F.xxhash64("row"), F.coalesce(F.try_element_at("pieces", "band"), F.lit(1)))
+    both = both.withColumn("piece", F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.shiftleft(F.col("band"), 32) + own))
+    count = lambda k: F.coalesce(F.try_element_at("pieces", F.col("band") + k), F.lit(0))
+    numbers = lambda k: F.sequence(F.lit(0).cast("long"), F.greatest(count(k), F.lit(1)) - 1)
+    some = lambda k: F.when(count(k) > 0, F.transform(numbers(k), lambda x: F.shiftleft(F.col("band") + k, 32) + x)).otherwise(F.array().cast("array<bigint>"))
+    others = F.when(F.col("pieces").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.concat(some(-1), some(0), some(1)))
+    paired = both.withColumn("_other", F.explode(others))
+    return paired.withColumn("meet", F.concat_ws(":", "token", F.least("piece", "_other"), F.greatest("piece", "_other"))).drop("pieces", "_other", "band")
+
+
+def _round(meets: DataFrame, blocks: DataFrame, later_rounds: bool, meet: int) -> DataFrame:
     """Verified links between components among the members (row, token, n, comp, counts, tokens) of meetings."""
-    cut = _cut(meets)
+    cut = _cut(meets, meet)
     wanted = cut.repartition("meet").sortWithinPartitions("meet").mapInArrow(_survivors(later_rounds), "row long, meet string")
     wanted = store(wanted, "wanted")
     by_block = wanted.groupBy(F.expr(f"row div {BLOCK_DOCS}").alias("block_id")).agg(F.collect_list(F.struct("row", "meet")).alias("wanted"))
@@ -206,39 +222,41 @@ def _round(meets: DataFrame, blocks: DataFrame, later_rounds: bool) -> DataFrame
     return out
 
 
-def _classes(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(blocks: DataFrame, tokens: int | None, meet: int) -> tuple[DataFrame, DataFrame]:
     """(sketch of every row; mark, n and smallest reachable doc_id of every class of equal sets)."""
-    sketch = store(blocks.mapInArrow(batchwise(_sketch), "row long, doc_id long, n long, mark binary, tokens array<long>, counts binary"), "sketch")
+    sketch = store(blocks.mapInArrow(batchwise(_sketch(tokens)), "row long, doc_id long, n long, mark binary, tokens array<long>, counts binary"), "sketch")
     least = sketch.where("n > 0").groupBy("mark", "n").agg(F.min(F.struct("doc_id", "row")).alias("x"))
     least = least.select("mark", F.col("x.row").alias("row"), F.col("x.doc_id").alias("least"))
     own = sketch.join(least.select("row", "least"), "row").select("row", "mark", "n", "tokens", "counts", "least")
     classes = store(own, "classes")
     first = classes.select("row", F.col("tokens")[0].alias("token"), "n", F.col("row").alias("comp"), "counts", F.lit(None).cast("array<long>").alias("tokens"))
-    links = _round(first, blocks, False)
+    links = _round(first, blocks, False, meet)
     comp = store(components(classes.select(F.col("row").alias("id")), links), "components").select(F.col("id").alias("row"), F.col("component_id").alias("comp"))
     every = classes.select("row", F.explode("tokens").alias("token")).join(comp, "row")
     open_tokens = every.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token")
     members = every.join(open_tokens, "token").join(classes.select("row", "n", "counts", "tokens"), "row")
-    links = links.unionByName(_round(store(members, "members"), blocks, True))
+    members = store(members, "members")
+    links = links.unionByName(_round(members, blocks, True, meet))
+    discard(members)
     comp = components(classes.select(F.col("row").alias("id")), links)
     named = comp.join(classes.select(F.col("row").alias("id"), "mark", "n", "least"), "id")
     smallest = named.groupBy("component_id").agg(F.min("least").alias("smallest"))
     return sketch, store(named.join(smallest, "component_id").select("mark", "n", "smallest", "component_id"), "classes")
 
 
-def _labelled(blocks: DataFrame) -> DataFrame:
+def _labelled(blocks: DataFrame, tokens: int | None = TOKENS, meet: int = MEET) -> DataFrame:
     """row, doc_id, n, smallest and component_id (a row of the component) of every packed row.
 
     An empty set has its own doc_id as smallest, and no component_id.
     """
-    sketch, classes = _classes(blocks)
+    sketch, classes = _classes(blocks, tokens, meet)
     return sketch.select("row", "doc_id", "n", "mark").join(classes, ["mark", "n"], "left").withColumn("smallest", F.coalesce("smallest", "doc_id"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, tokens: int | None = TOKENS, meet: int = MEET) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest ``doc_id`` linked by any path, or its own)."""
     real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return _labelled(pack_blocks(docs)).select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("smallest").alias("component_id"))
+    return _labelled(pack_blocks(docs), tokens, meet).select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("smallest").alias("component_id"))
 
 
 def _keep(names):
