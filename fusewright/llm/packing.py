@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,29 @@ SHARD_TOKENS = 1 << 19  # of one inverted index
 PART_TOKENS = 1 << 22  # of one task, and of one route
 K1, B = 1.2, 0.75
 RARE = 64  # a term in fewer documents routes no better than one in so many: few could follow it
-CACHED_WORDS = 200_000  # a worker remembers the last so many, up to twice that
+CACHED = 500_000  # a worker remembers the last so many words, up to twice that
 
 # How the vocabulary splits lower-cased text, for text below U+0180 where letters can be listed.
 LATIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+"
 
 
+class _Cache(dict):
+    """Remembers what ``make`` gave for the last keys, up to twice ``CACHED``."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordTokens:
     """Ids of whole texts by the tokenizers library, words being looked up once."""
 
@@ -49,34 +67,22 @@ class WordTokens:
         self.library = Tokenizer.from_str(file.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = re.compile(LATIN_WORDS)
+        tokenize = self.library.model.tokenize
         # anything else (other scripts, combining marks, odd white space, special tokens) goes to the library whole
-        self.unusual = re.compile("[\x1c-\x1f\x85İƀ-\U0010ffff]|<\\|")
+        self.unusual = re.compile("[\x1c-\x1f\x85İƀ-\U0010ffff]").search
         letters = {b: c for c, b in byte_letters().items()}
-        self.spelling = {b: c for b, c in letters.items() if chr(b) != c}
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.spelling)
-            ids = np.array([t.id for t in self.library.model.tokenize(spelt)], "<u4").tobytes()
-        if len(self.cache) >= CACHED_WORDS:
-            self.older = dict(self.cache)
-            self.cache.clear()
-        self.cache[word] = ids
-        return ids
+        spelling = {b: c for b, c in letters.items() if chr(b) != c}
+
+        def word(w: str) -> bytes:
+            spelt = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(spelling)
+            return array("I", [t.id for t in tokenize(spelt)]).tobytes()
+
+        self.find, self.words = re.compile(LATIN_WORDS).findall, _Cache(word)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.unusual.search(text):
+        if "<|" in text or self.unusual(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        get, word = self.cache.get, self._word
-        words = self.words.findall(text.lower())
-        found = list(map(get, words))
-        if None in found:
-            found = [f if f is not None else word(w) for f, w in zip(found, words)]
-        return np.frombuffer(b"".join(found), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.find(text.lower()))), "<u4")
 
 
 class Statistics:
@@ -96,10 +102,13 @@ class Statistics:
 def _term_counts(docs: list[np.ndarray]):
     """(document, term, count) of each distinct term of each document, and the documents' sizes."""
     sizes = np.array([len(d) for d in docs], np.int64)
-    key = np.concatenate(docs).astype(np.int64) | np.repeat(np.arange(len(docs)), sizes) << 32
+    ids = np.concatenate(docs)
+    half, wide = (16, np.uint32) if ids.dtype.itemsize == 2 and len(docs) <= 1 << 16 else (32, np.uint64)
+    key = ids.astype(wide) | np.repeat(np.arange(len(docs), dtype=wide), sizes) << wide(half)
     key.sort()
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key))), sizes
+    pair = key[first].astype(np.int64)
+    return pair >> half, pair & ((1 << half) - 1), np.diff(np.append(first, len(key))), sizes
 
 
 def heaviest_terms(docs: list[np.ndarray], known: Statistics) -> np.ndarray:
@@ -127,12 +136,22 @@ class Index:
         # the terms of each document, as places in the index
         self.mine = np.searchsorted(posted[begin], term)
         self.from_ = np.searchsorted(doc, np.arange(self.n + 1))
+        # long posting lists also as rows over all documents: adding whole rows is faster than looking entries up
+        long = np.flatnonzero(self.size > self.n // 8)
+        self.row = np.full(len(begin), -1)
+        self.row[long] = np.arange(len(long))
+        self.rows = np.zeros((len(long), self.n))
+        held = np.repeat(self.row, self.size)
+        self.rows[held[held >= 0], self.doc[held >= 0]] = self.weight[held >= 0]
 
     def scores(self, doc: int) -> np.ndarray:
         at = self.mine[self.from_[doc] : self.from_[doc + 1]]
+        row = self.row[at]
+        whole = self.rows[row[row >= 0]].sum(axis=0)
+        at = at[row < 0]
         size = self.size[at]
         entry = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.bincount(self.doc[entry], self.weight[entry], minlength=self.n)
+        return whole + np.bincount(self.doc[entry], self.weight[entry], minlength=self.n)
 
 
 def pack_shard(docs: list[np.ndarray], window: int, known: Statistics) -> list[tuple[int, int, int, int, int]]:
