@@ -24,6 +24,7 @@ from .common import groupwise, rows_of, store
 SENT = pa.schema([("shard", pa.int64()), ("block_id", pa.int64()), ("data", pa.binary())])
 SENT_SQL = "shard long, block_id long, data binary"
 FAN = 1 << 16
+SHARDS_EACH = 4
 NOTE = -1  # block_id of notes
 
 
@@ -63,16 +64,17 @@ def _split(protocol):
     return run
 
 
-def ask(sent: DataFrame, blocks: int, protocol, fan: int = FAN) -> DataFrame:
-    """Answers (shard, block_id, data) to messages (shard, block_id, data) of so many blocks."""
+def ask(sent: DataFrame, blocks: int, shards: int, protocol, fan: int = FAN) -> DataFrame:
+    """Answers (shard, block_id, data) to messages (shard, block_id, data) of so many blocks to so many shards."""
     if fan < 2:
         raise ValueError("a team has two blocks at least")
     if blocks <= fan:
-        return sent.groupBy("shard").applyInArrow(groupwise(_resolve(protocol)), SENT_SQL)
+        # tasks of a few shards each, so that the largest task does not grow with the input
+        return sent.repartition(-(-shards // SHARDS_EACH), "shard").groupBy("shard").applyInArrow(groupwise(_resolve(protocol)), SENT_SQL)
     teams = -(-blocks // fan)
     held = store(sent, "sent").withColumn("team", F.pmod(F.xxhash64("block_id"), F.lit(teams)))
     merged = held.groupBy("shard", "team").applyInArrow(_merge(protocol), SENT_SQL)
-    told = store(ask(merged, teams, protocol, fan), "told")
+    told = store(ask(merged, teams, shards, protocol, fan), "told")
     own = told.where(F.col("block_id") >= 0).withColumnRenamed("block_id", "team")
     back = held.groupBy("shard", "team").cogroup(own.groupBy("shard", "team")).applyInArrow(_split(protocol), SENT_SQL)
     return back.unionByName(told.where(F.col("block_id") == NOTE))

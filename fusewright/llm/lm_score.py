@@ -190,7 +190,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, fan: int = FAN)
     rows = blocks.select("block_id", "ids").mapInArrow(_places, "doc_id long, row long").join(target, "doc_id", "left_semi")
     good = store(rows.groupBy(F.expr(f"row div {BLOCK_DOCS}").alias("block_id")).agg(F.collect_list(F.expr(f"row % {BLOCK_DOCS}")).alias("good")), "good")
     ready = blocks.join(good, "block_id", "left")
-    answers = store(by_block(ask(ready.mapInArrow(batchwise(_send_counts(shards)), SENT_SQL), n_blocks, Counts(), fan), "said"), "counts")
+    answers = store(by_block(ask(ready.mapInArrow(batchwise(_send_counts(shards)), SENT_SQL), n_blocks, shards, Counts(), fan), "said"), "counts")
     sums = np.zeros(3, np.int64)
     for x in answers.where(F.col("block_id") == NOTE).select(F.explode("said.data").alias("d")).toLocalIterator():  # three numbers a shard
         sums += np.frombuffer(x[0], np.int64)

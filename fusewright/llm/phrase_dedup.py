@@ -206,9 +206,9 @@ def remove_phrases(docs: DataFrame, window: int = 13, digest: bool = False, hot:
     blocks = pack_blocks(docs)
     n_blocks, shards = shard_count(blocks, SHARD_BYTES)
     sent = blocks.mapInArrow(batchwise(send_anchors(WordUnits, shards, window)), SENT_SQL)
-    marks = store(by_block(ask(sent, n_blocks, Marks(hot), fan), "said"), "marks")
+    marks = store(by_block(ask(sent, n_blocks, shards, Marks(hot), fan), "said"), "marks")
     stretches = blocks.join(marks, "block_id", "left").mapInArrow(batchwise(_send_stretches(shards, window)), SENT_SQL)
-    told = store(by_block(ask(stretches, n_blocks, Passages(window), fan), "told"), "passages")
+    told = store(by_block(ask(stretches, n_blocks, shards, Passages(window), fan), "told"), "passages")
     discard(marks)
     names = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ("" if digest else ", kept string")
     return blocks.join(told, "block_id", "left").mapInArrow(batchwise(_finish(window, digest)), names)

@@ -221,9 +221,9 @@ def _prepare(blocks: DataFrame, window: int, hot: int, fan: int):
     lean = blocks.drop("rest")
     n_blocks, shards = shard_count(blocks, SHARD_BYTES)
     sent = lean.mapInArrow(batchwise(send_anchors(ByteUnits, shards, window)), SENT_SQL)
-    marks = store(by_block(ask(sent, n_blocks, Marks(hot), fan), "said"), "marks")
+    marks = store(by_block(ask(sent, n_blocks, shards, Marks(hot), fan), "said"), "marks")
     stretches = lean.join(marks, "block_id", "left").mapInArrow(batchwise(_send_stretches(shards, window)), SENT_SQL)
-    answers = store(marks.join(by_block(ask(stretches, n_blocks, Owners(window), fan), "owned"), "block_id", "left"), "owners")
+    answers = store(marks.join(by_block(ask(stretches, n_blocks, shards, Owners(window), fan), "owned"), "block_id", "left"), "owners")
     discard(marks)
     return blocks.join(answers, "block_id", "left"), shards
 
