@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), is written as Parquet, and the next one reads that.  All but the last
 return the columns of ``documents``.  No stage can be said in SQL as a whole (a forest, an EM fit, a packing),
-so ORACLE_SQL is None.  The operators behind the stages have tests; run() itself and the stages as a whole have none yet.
+so ORACLE_SQL is None; tests/llm/test_pipeline.py holds run() and every stage against plain versions.
+
+Defined cases: documents with a null or empty text fail the rules; a null ``doc_id`` has no label, counts as later than all
+others and stays null; rows of equal ``doc_id`` are documents of their own (near copies are told apart by components, not ids);
+of rows that tie for the smallest id of a component the first stored one stays; other columns pass through whatever their names;
+an empty table gives an empty result; very long texts are read whole in every stage.
 """
 
 from __future__ import annotations

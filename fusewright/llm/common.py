@@ -52,11 +52,11 @@ def picked(df: DataFrame, **types: str) -> DataFrame:
     return flat.select(*out)
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
+def store(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and returns the reread table (lineage is cut)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -264,7 +264,8 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFram
 
     nodes: one column ``node`` (distinct, not null); links: columns a, b in either direction.
     Rounds grow with the logarithm of the longest path; every round is written to the shared folder, so
-    no state is kept in executors and nothing is sent to the driver but one count.
+    no state is kept in executors and nothing is sent to the driver but one count.  The members of a giant component have one
+    pointer in common; the join that follows it has one row for each pointer on its other side, so adaptive execution may split it.
     """
     both = store(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "links")
     touched = both.select(F.col("a").alias(node)).distinct()
@@ -273,9 +274,9 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFram
         # least label among the neighbours, then the label of that label
         near = both.join(label.select(F.col(node).alias("b"), "label"), "b").groupBy(F.col("a").alias(node)).agg(F.min("label").alias("near"))
         stepped = label.join(near, node, "left").select(node, "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        # every old label also learns of the least label its members have seen
-        hooks = stepped.groupBy("label").agg(F.min("next").alias("hook"))
-        hooked = stepped.join(hooks, "label").select(node, "label", F.least("next", "hook").alias("next"))
+        # the node that is a label learns the least label its members have seen, and they learn it from that node: one row a label
+        hooks = stepped.groupBy(F.col("label").alias(node)).agg(F.min("next").alias("hook"))
+        hooked = stepped.join(hooks, node, "left").select(node, "label", F.least("next", F.coalesce("hook", "next")).alias("next"))
         jump = hooked.select(F.col(node).alias("next"), F.col("next").alias("far"))
         new = store(hooked.join(jump, "next", "left").select(node, F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")), "labels")
         changed = new.where("label <> old").limit(1).count()

@@ -105,6 +105,18 @@ def test_common_prefixes():
             assert n == next((i for i in range(4) if x[i] != y[i]), 4)
 
 
+def test_components(spark):
+    """A long path, a star, a cycle, and pairs, in shuffled numbers."""
+    from fusewright.llm.common import components
+
+    rng = np.random.default_rng(5)
+    names = rng.permutation(400).tolist()
+    groups = [names[:120], names[120:300], names[300:340], *([names[k], names[k + 1]] for k in range(340, 380, 2)), *([x] for x in names[380:])]
+    links = list(zip(groups[0], groups[0][1:])) + [(groups[1][0], x) for x in groups[1][1:]] + list(zip(groups[2], [*groups[2][1:], groups[2][0]])) + [tuple(g) for g in groups[3:] if len(g) == 2] + [(names[0], names[0])]
+    got = components(spark.createDataFrame([(x,) for x in names], "id long"), spark.createDataFrame(links, "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == {(x, min(g)) for g in groups for x in g}
+
+
 def _shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
@@ -287,7 +299,7 @@ def test_packing_neighbours(spark):
             tf = np.bincount(other, minlength=40)
             idf = np.log1p((4 - frequency + 0.5) / (frequency + 0.5))
             want.append(sum(idf[t] * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * len(other) / (161 / 4))) for t in set(mine.tolist())))
-        assert np.allclose(Index(ids, known).scores(d), want)
+        assert np.allclose(Index(np.concatenate(ids).astype("<u2"), np.array([len(x) for x in ids]), known).scores(d), want)
 
 
 def _pair(rng, cosine, size=32):
@@ -308,6 +320,48 @@ def test_vectors_of_small_labels_beside_a_large_one(spark):
     assert {(got[20000 + i].n_links, got[20000 + i].component_id) for i in range(40)} == {(39, 20000)}
 
 
+def test_vectors_against_all_pairs(spark):
+    """Dense groups longer than a list, chains, pairs on both sides of the threshold, copies; large and small labels."""
+    rng = np.random.default_rng(9)
+    rows, at = [], iter(range(10**6))
+
+    def put(v, label):
+        rows.append((next(at), (v / np.linalg.norm(v)).tolist(), label))
+
+    for label, n in ((0, 1300), (1, 200)):
+        for v in rng.standard_normal((n, 24)):
+            put(v, label)
+        for size in (30, 60):
+            base = rng.standard_normal(24)
+            for _ in range(size):
+                put(base + 0.03 * rng.standard_normal(24) * np.linalg.norm(base) / 5, label)
+        for _ in range(5):  # a chain: only neighbours link
+            a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+            for k in range(8):
+                put(np.cos(0.3 * k) * a + np.sin(0.3 * k) * b, label)
+        for cosine in (0.93 + 1e-9, 0.93 - 1e-9, 0.93 - 5e-13, 0.95):
+            for _ in range(6):
+                for v in _pair(rng, cosine, 24):
+                    put(v, label)
+        for _ in range(4):
+            rows.append((next(at), rows[-1][1], label))
+    x = np.array([v for _, v, _ in rows])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    label = np.array([r[2] for r in rows])
+    s = x @ x.T
+    close = (s >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(close, False)
+    assert (np.abs(s - 0.93) > 1e-14).all()
+    first = np.arange(len(rows))
+    while True:
+        new = np.minimum(first, np.where(close, first[None, :], len(rows)).min(axis=1))
+        if (new == first).all():
+            break
+        first = new
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == close.sum(axis=1).tolist() and [r.component_id for r in got] == first.tolist() and [r.kept for r in got] == (first == np.arange(len(rows))).tolist()
+
+
 @pytest.mark.parametrize("found, open_spaces", [("all", set()), ("hot", {"a"}), ("none", {"a"})])
 def test_vector_audit_sees_missing_links(spark, found, open_spaces):
     from fusewright.llm.vector_neardup import LIST, _unproven
