@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .jaccard_join import jaccard_components
@@ -29,7 +30,9 @@ def op2_repeated_phrases(spark, sf_dir):
 
 
 def op3_lm_score(spark, sf_dir):
-    return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    """Entropies to six decimals, so that sums in another order compare equal."""
+    out = cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_entropy", "background_entropy", "difference")))
 
 
 def op4_quality_rules(spark, sf_dir):
@@ -89,6 +92,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
           sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
         FROM w LEFT JOIN cut USING (doc_id)""",
+    "op3_lm_score": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL),
+        t AS (SELECT doc_id, len(words) AS n, unnest(range(1, len(words) + 1)) AS i, words, CASE WHEN doc_id IN (SELECT doc_id FROM g) THEN 1 ELSE 0 END AS good FROM w WHERE len(words) > 0),
+        tok AS (SELECT doc_id, n, i, good, words[i] AS v, CASE WHEN i > 1 THEN words[i - 1] END AS u FROM t),
+        c1 AS (SELECT v, count(*) AS b, sum(good) AS t FROM tok GROUP BY v),
+        c2 AS (SELECT u, v, count(*) AS b, sum(good) AS t FROM tok WHERE u IS NOT NULL GROUP BY u, v),
+        o1 AS (SELECT doc_id, v, count(*) AS o FROM tok GROUP BY 1, 2), o2 AS (SELECT doc_id, u, v, count(*) AS o FROM tok WHERE u IS NOT NULL GROUP BY 1, 2, 3),
+        s AS (SELECT count(*) AS b, sum(good) AS t, count(DISTINCT v) AS words FROM tok),
+        p AS (SELECT tok.doc_id, tok.i, (c1.b - o1.o + 1)::DOUBLE / (s.b - n + s.words) AS pb, (c1.t - good * o1.o + 1)::DOUBLE / (s.t - good * n + s.words) AS pt,
+          c2.b - o2.o AS pair_b, c2.t - good * o2.o AS pair_t, d1.b - q1.o AS before_b, d1.t - good * q1.o AS before_t
+          FROM tok CROSS JOIN s JOIN c1 ON c1.v = tok.v JOIN o1 ON o1.doc_id = tok.doc_id AND o1.v = tok.v
+          LEFT JOIN c2 ON c2.u = tok.u AND c2.v = tok.v LEFT JOIN o2 ON o2.doc_id = tok.doc_id AND o2.u = tok.u AND o2.v = tok.v
+          LEFT JOIN c1 d1 ON d1.v = tok.u LEFT JOIN o1 q1 ON q1.doc_id = tok.doc_id AND q1.v = tok.u),
+        e AS (SELECT doc_id, avg(-ln(CASE WHEN i = 1 THEN pt ELSE (pair_t + 2 * pt) / (before_t + 2) END)) AS et, avg(-ln(CASE WHEN i = 1 THEN pb ELSE (pair_b + 2 * pb) / (before_b + 2) END)) AS eb FROM p GROUP BY 1)
+        SELECT doc_id, len(words)::BIGINT AS n_words, round(et, 6) AS target_entropy, round(eb, 6) AS background_entropy, round(et - eb, 6) AS difference FROM w LEFT JOIN e USING (doc_id)""",
     "op5_warc_fixity": r"""
         WITH b AS (SELECT page_id, coalesce(url, '') AS url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body FROM pages),
         r AS (SELECT page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
@@ -102,7 +121,19 @@ ORACLE_SQL: dict[str, str] = {
           FROM u WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, sha256(record) ROWS UNBOUNDED PRECEDING))
         SELECT t.archive, t.place::BIGINT AS place, t.page_id, t.record_offset::BIGINT AS record_offset, t.record_length::BIGINT AS record_length, t.digest AS digest_here, CASE WHEN k = 5 THEN
           sha256(substr(record, 1, length(record) - 5) || '?' || substr(record, length(record) - 3, 4)) END AS digest_there, CASE WHEN k = 5 THEN 'corrupt' ELSE 'missing' END AS status FROM t WHERE k IN (5, 6)
-        UNION ALL SELECT archive, place, page_id, record_offset, record_length, NULL, digest, 'extra' FROM v WHERE again""",
+        UNION ALL SELECT archive, place::BIGINT, page_id, record_offset::BIGINT, record_length::BIGINT, NULL, digest, 'extra' FROM v WHERE again""",
+    "op6_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d),
+        k AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM w),
+        f AS (SELECT s, min(doc_id) AS first FROM k GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT k.doc_id, i FROM k JOIN f USING (s) WHERE first < k.doc_id),
+        runs AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone)),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+        parts AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+        cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)""",
     "op8_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
         g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
