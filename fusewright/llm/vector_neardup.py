@@ -278,13 +278,12 @@ def _counted(nodes: DataFrame, comp: DataFrame, full: DataFrame, threshold: floa
     members = comp.join(comp.join(full, "node", "left_semi").select("component_id").distinct(), "component_id", "left_semi")
     size = members.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("long").alias("pieces"))
     member = members.join(size, "component_id").join(nodes.select("node", "n", "vec"), "node").withColumn("piece", F.pmod(F.xxhash64("node", F.lit("piece")), F.col("pieces")))
-    name = lambda piece: F.concat_ws("#", "component_id", piece)
-    base = member.select(name("piece").alias("key"), "node", "n", "vec", F.lit(False).alias("asks"))
-    asks = member.join(full, "node", "left_semi").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
+    name = lambda piece, part: F.concat_ws("#", "component_id", piece, part).alias("key")
     # those who ask a piece come in parts of a piece's size, each with a copy of that piece
-    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("pieces"))
-    both = base.join(size.select(F.col("component_id").alias("c"), "pieces"), F.substring_index("key", "#", 1) == F.col("c").cast("string")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    rows = both.select(F.concat_ws("#", "key", "part").alias("key"), "node", "n", "vec", "asks").unionByName(asks.select(F.concat_ws("#", name("with"), part).alias("key"), "node", "n", "vec", F.lit(True).alias("asks")))
+    base = member.withColumn("part", every).select(name("piece", "part"), "node", "n", "vec", F.lit(False).alias("asks"))
+    asks = member.join(full, "node", "left_semi").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("pieces"))).withColumn("with", every)
+    rows = base.unionByName(asks.select(name("with", "part"), "node", "n", "vec", F.lit(True).alias("asks")))
 
     def run(batches):
         schema = pa.schema([("node", pa.int64()), ("linked", pa.int64())])

@@ -320,8 +320,15 @@ def test_vectors_of_small_labels_beside_a_large_one(spark):
     assert {(got[20000 + i].n_links, got[20000 + i].component_id) for i in range(40)} == {(39, 20000)}
 
 
-def test_vectors_against_all_pairs(spark):
-    """Dense groups longer than a list, chains, pairs on both sides of the threshold, copies; large and small labels."""
+@pytest.mark.parametrize("piece", [1024, 16])
+def test_vectors_against_all_pairs(spark, piece, monkeypatch):
+    """Dense groups longer than a list, chains, pairs on both sides of the threshold, copies; large and small labels.
+
+    With small pieces all pairs of a group are counted piece by piece, and both labels go through NN-descent.
+    """
+    from fusewright.llm import vector_neardup
+
+    monkeypatch.setattr(vector_neardup, "PIECE", piece)
     rng = np.random.default_rng(9)
     rows, at = [], iter(range(10**6))
 
