@@ -13,6 +13,7 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 BLOCK_BYTES = 4 << 20  # text in a block, unless a single document is longer
 BLOCK_DOCS = 1 << 16  # and rows in it; a row of a block is numbered block_id * BLOCK_DOCS + its place
 NULL_ID = np.iinfo(np.int64).max  # stands for a null doc_id inside blocks: later than every real id
+LET_GO = 5.0
 BLOCK_SCHEMA = "block_id long, n_docs long, n_bytes long, ids binary, sizes binary, body binary"
 
 
@@ -59,9 +61,20 @@ def store(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _let_go(spark)
     return out
 
 
+_last = [0.0]
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, at most every ``LET_GO`` seconds: Spark then removes the shuffle files of plans that are done."""
+    if time.monotonic() - _last[0] > LET_GO:
+        spark._jvm.System.gc()
+        _last[0] = time.monotonic()
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table made by ``store`` which no later plan reads."""
     spark = df.sparkSession
