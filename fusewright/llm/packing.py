@@ -35,10 +35,10 @@ SHARD_TOKENS = 1 << 19  # of one inverted index
 PART_TOKENS = 1 << 22  # of one task, and of one route
 K1, B = 1.2, 0.75
 RARE = 64  # a term in fewer documents routes no better than one in so many: few could follow it
-CACHED = 500_000  # a worker remembers the last so many words, up to twice that
+CACHED = 400_000  # a worker remembers the last so many chunks and words, up to twice that
 
 # How the vocabulary splits lower-cased text, for text below U+0180 where letters can be listed.
-LATIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+"
+LATIN_WORDS = r"[a-zªµºß-öø-ſ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+"
 
 
 class _Cache(dict):
@@ -59,11 +59,13 @@ class _Cache(dict):
 
 
 class WordTokens:
-    """Ids of whole texts by the tokenizers library, words being looked up once."""
+    """Ids of whole texts by the tokenizers library, as bytes of integers of a kind; chunks between white space, and words in them, are looked up once."""
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, kind: str):
         from tokenizers import Tokenizer
 
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+
         self.library = Tokenizer.from_str(file.decode())
         self.library.no_truncation()
         self.library.no_padding()
@@ -75,14 +77,15 @@ class WordTokens:
 
         def word(w: str) -> bytes:
             spelt = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(spelling)
-            return array("I", [t.id for t in tokenize(spelt)]).tobytes()
+            return array(self.code, [t.id for t in tokenize(spelt)]).tobytes()
 
-        self.find, self.words = re.compile(LATIN_WORDS).findall, _Cache(word)
+        find, words = re.compile(LATIN_WORDS).findall, _Cache(word)
+        self.chunks = _Cache(lambda chunk: b"".join([words[w] for w in find(chunk)]))
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> bytes:
         if "<|" in text or self.unusual(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.find(text.lower()))), "<u4")
+            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))  # no word goes over white space
 
 
 class Statistics:
@@ -99,21 +102,25 @@ class Statistics:
         return K1 * (1 - B + B * sizes / self.mean)
 
 
-def _term_counts(docs: list[np.ndarray]):
-    """(document, term, count) of each distinct term of each document, and the documents' sizes."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    ids = np.concatenate(docs)
-    half, wide = (16, np.uint32) if ids.dtype.itemsize == 2 and len(docs) <= 1 << 16 else (32, np.uint64)
-    key = ids.astype(wide) | np.repeat(np.arange(len(docs), dtype=wide), sizes) << wide(half)
+def _joined(docs: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all documents, number of each one's)"""
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(docs), kind), np.fromiter(map(len, docs), np.int64, len(docs)) // width
+
+
+def _term_counts(ids: np.ndarray, sizes: np.ndarray):
+    """(document, term, count) of each distinct term of each document."""
+    half, wide = (16, np.uint32) if ids.dtype.itemsize == 2 and len(sizes) <= 1 << 16 else (32, np.uint64)
+    key = ids.astype(wide) | np.repeat(np.arange(len(sizes), dtype=wide), sizes) << wide(half)
     key.sort()
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     pair = key[first].astype(np.int64)
-    return pair >> half, pair & ((1 << half) - 1), np.diff(np.append(first, len(key))), sizes
+    return pair >> half, pair & ((1 << half) - 1), np.diff(np.append(first, len(key)))
 
 
-def heaviest_terms(docs: list[np.ndarray], known: Statistics) -> np.ndarray:
+def heaviest_terms(ids: np.ndarray, sizes: np.ndarray, known: Statistics) -> np.ndarray:
     """The term of greatest weight of each document (the smallest of equal ones)."""
-    doc, term, count, sizes = _term_counts(docs)
+    doc, term, count = _term_counts(ids, sizes)
     weight = known.routing[term] * count * (K1 + 1) / (count + known.norm(sizes)[doc])
     begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     best = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, begin), np.diff(np.append(begin, len(doc)))))
@@ -124,9 +131,9 @@ def heaviest_terms(docs: list[np.ndarray], known: Statistics) -> np.ndarray:
 class Index:
     """BM25 inverted index of one stretch, with the statistics of all documents."""
 
-    def __init__(self, docs: list[np.ndarray], known: Statistics):
-        self.n = len(docs)
-        doc, term, count, sizes = _term_counts(docs)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, known: Statistics):
+        self.n = len(sizes)
+        doc, term, count = _term_counts(ids, sizes)
         order = np.argsort(term, kind="stable")
         self.doc, posted = doc[order], term[order]
         begin = np.flatnonzero(np.append(True, posted[1:] != posted[:-1]))
@@ -154,11 +161,12 @@ class Index:
         return whole + np.bincount(self.doc[entry], self.weight[entry], minlength=self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int, known: Statistics) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(ids: np.ndarray, sizes: np.ndarray, window: int, known: Statistics) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece of a stretch's documents."""
-    index = Index(docs, known)
-    used = np.zeros(len(docs), bool)
-    left = sum(map(len, docs))
+    index = Index(ids, sizes, known)
+    length = sizes.tolist()
+    used = np.zeros(len(length), bool)
+    left = sum(length)
     pieces, sequence, fresh = [], 0, 0
     cut: tuple[int, int] | None = None  # document and start of what is left of it
     while left:
@@ -186,10 +194,10 @@ def pack_shard(docs: list[np.ndarray], window: int, known: Statistics) -> list[t
                 start, used[d] = 0, True
             if seed < 0:
                 seed = d
-            take = min(room - offset, len(docs[d]) - start)
+            take = min(room - offset, length[d] - start)
             pieces.append((d, start, take, sequence, offset))
             offset += take
-            cut = (d, start + take) if start + take < len(docs[d]) else None
+            cut = (d, start + take) if start + take < length[d] else None
         sequence += 1
     return pieces
 
@@ -207,22 +215,23 @@ def _tokens(docs: DataFrame, file, closing: int, kind: str) -> DataFrame:
         key = hashlib.sha256(file.value).hexdigest()
         if key not in _made:
             _made.clear()
-            _made[key] = WordTokens(file.value)
-        tokens, end = _made[key], np.array([closing], kind)
+            _made[key] = WordTokens(file.value, kind)
+        tokens, end = _made[key], np.array([closing], kind).tobytes()
         frequency = np.zeros(0, np.int64)
         for batch in batches:
-            ids = [np.concatenate([tokens.ids(t.as_py() or "").astype(kind), end]) for t in batch.column("text")]
-            if ids:
-                _, term, _, sizes = _term_counts(ids)
+            said = [tokens.ids(t.as_py() or "") + end for t in batch.column("text")]
+            if said:
+                ids, sizes = _joined(said, kind)
+                _, term, _ = _term_counts(ids, sizes)
                 found = np.bincount(term)
                 if len(found) > len(frequency):
                     frequency, found = found, frequency
                 frequency[: len(found)] += found
-                yield rows_of(schema, [batch.column("doc_id"), sizes, [i.tobytes() for i in ids]])
+                yield rows_of(schema, [batch.column("doc_id"), sizes, said])
         term = np.flatnonzero(frequency)
         yield rows_of(schema, [term, frequency[term], [None] * len(term)])
 
-    return store(picked(docs, doc_id="long", text="string").mapInArrow(batchwise(run), "doc_id long, n long, ids binary"), "tokens")
+    return store(picked(docs, doc_id="long", text="string").mapInArrow(batchwise(run), "doc_id long, n long, ids binary"), "tokens", "lz4")
 
 
 def _statistics(tokens: DataFrame, size: int) -> Statistics:
@@ -242,7 +251,7 @@ def _routed(tokens: DataFrame, known, kind: str) -> DataFrame:
         row = TaskContext.get().partitionId() << 32  # of the stored table, so the same whenever a task is run again
         for batch in batches:
             if batch.num_rows:
-                term = heaviest_terms([np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()], known.value)
+                term = heaviest_terms(*_joined(batch.column("ids").to_pylist(), kind), known.value)
                 share = mix(np.arange(row, row + len(term)).astype(np.uint64)) % known.value.routes[term].astype(np.uint64)
                 row += len(term)
                 yield rows_of(schema, [term << 32 | share.astype(np.int64), batch.column("doc_id"), batch.column("ids")])
@@ -272,24 +281,26 @@ def pack_documents(docs: DataFrame, path: str, window: int = 4096, closing: int
 
         base = TaskContext.get().partitionId() << 32
         names: list = []
-        shard: list[np.ndarray] = []
-        held = 0
+        shard: list[bytes] = []
+        held, width = 0, np.dtype(kind).itemsize
 
         def emit():
             nonlocal base, names, shard, held
-            pieces = pack_shard(shard, window, known.value)
-            d, start, length, sequence, offset = (list(x) for x in zip(*pieces))
-            cuts = [shard[i][s : s + n].astype("<u4").tobytes() for i, s, n in zip(d, start, length)]
-            columns = [pa.array([names[i] for i in d], pa.int64()), start, length, [zlib.crc32(c) for c in cuts], [len(shard[i]) for i in d], [base + s for s in sequence], offset]
-            base += sequence[-1] + 1
+            ids, sizes = _joined(shard, kind)
+            d, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack_shard(ids, sizes, window, known.value)))
+            begin = (np.cumsum(sizes) - sizes)[d] + start
+            whole = ids.astype("<u4").tobytes()
+            cuts = [whole[4 * a : 4 * (a + n)] for a, n in zip(begin.tolist(), length.tolist())]
+            columns = [pa.array([names[i] for i in d.tolist()], pa.int64()), start, length, list(map(zlib.crc32, cuts)), sizes[d], base + sequence, offset]
+            base += int(sequence[-1]) + 1
             names, shard, held = [], [], 0
             return rows_of(schema, [*columns, cuts] if with_ids else columns)
 
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 names.append(doc_id)
-                shard.append(np.frombuffer(ids, kind))
-                held += len(shard[-1])
+                shard.append(ids)
+                held += len(ids) // width
                 if held >= SHARD_TOKENS:
                     yield emit()
         if shard:
