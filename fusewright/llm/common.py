@@ -61,18 +61,22 @@ def store(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    _let_go(spark)
+    _let_go_now_and_then(spark)
     return out
 
 
 _last = [0.0]
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, at most every ``LET_GO`` seconds: Spark then removes the shuffle files of plans that are done."""
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark then removes the shuffle files of plans that nothing refers to any more."""
+    spark._jvm.System.gc()
+    _last[0] = time.monotonic()
+
+
+def _let_go_now_and_then(spark: SparkSession) -> None:
     if time.monotonic() - _last[0] > LET_GO:
-        spark._jvm.System.gc()
-        _last[0] = time.monotonic()
+        let_go(spark)
 
 
 def discard(df: DataFrame) -> None:

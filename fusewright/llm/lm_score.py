@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import BLOCK_DOCS, NULL_ID, batchwise, id_column, open_blocks, pack_blocks, picked, rows_of, shard_count, squeeze, store, unsqueeze
+from .common import BLOCK_DOCS, NULL_ID, batchwise, id_column, let_go, open_blocks, pack_blocks, picked, rows_of, shard_count, squeeze, store, unsqueeze
 from .exchange import FAN, NOTE, SENT_SQL, ask, by_block, by_shard, messages
 from .words import doc_ranges, word_hashes, word_spans
 
@@ -194,4 +194,5 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, fan: int = FAN)
     sums = np.zeros(3, np.int64)
     for x in answers.where(F.col("block_id") == NOTE).select(F.explode("said.data").alias("d")).toLocalIterator():  # three numbers a shard
         sums += np.frombuffer(x[0], np.int64)
+    let_go(docs.sparkSession)
     return ready.join(answers, "block_id", "left").mapInArrow(batchwise(_score(shards, sums.tolist())), "doc_id long, n_words long, target_entropy double, background_entropy double, difference double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import anchors as A
-from .common import NULL_ID, batchwise, discard, id_column, open_blocks, pack_blocks, rows_of, shard_count, squeeze, store, unsqueeze
+from .common import NULL_ID, batchwise, discard, id_column, let_go, open_blocks, pack_blocks, rows_of, shard_count, squeeze, store, unsqueeze
 from .exchange import FAN, SENT_SQL, ask, by_block, messages
 from .recurring import HOT, Marks, Stretches, send_anchors
 from .words import doc_ranges, word_hashes, word_spans
@@ -210,5 +210,7 @@ def remove_phrases(docs: DataFrame, window: int = 13, digest: bool = False, hot:
     stretches = blocks.join(marks, "block_id", "left").mapInArrow(batchwise(_send_stretches(shards, window)), SENT_SQL)
     told = store(by_block(ask(stretches, n_blocks, shards, Passages(window), fan), "told"), "passages")
     discard(marks)
+    del sent, stretches
+    let_go(docs.sparkSession)
     names = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ("" if digest else ", kept string")
     return blocks.join(told, "block_id", "left").mapInArrow(batchwise(_finish(window, digest)), names)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from .bwt import repeat_groups
-from .common import NULL_ID, as_before, batchwise, block_rows, discard, id_column, open_blocks, pack_blocks, pack_rows, rows_of, rows_schema, shard_count, squeeze, store, unsqueeze
+from .common import NULL_ID, as_before, batchwise, block_rows, discard, id_column, let_go, open_blocks, pack_blocks, pack_rows, rows_of, rows_schema, shard_count, squeeze, store, unsqueeze
 from .exchange import FAN, SENT_SQL, ask, by_block, messages
 from .recurring import HOT, Marks, Stretches, send_anchors, within
 
@@ -225,6 +225,8 @@ def _prepare(blocks: DataFrame, window: int, hot: int, fan: int):
     stretches = lean.join(marks, "block_id", "left").mapInArrow(batchwise(_send_stretches(shards, window)), SENT_SQL)
     answers = store(marks.join(by_block(ask(stretches, n_blocks, shards, Owners(window), fan), "owned"), "block_id", "left"), "owners")
     discard(marks)
+    del sent, stretches
+    let_go(blocks.sparkSession)
     return blocks.join(answers, "block_id", "left"), shards
 
 
