@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .bpe import round_trip
+from .collocations import collocations
+from .fill_middle import fill_in_middle
 from .jaccard_join import jaccard_components
 from .langid import identify
 from .lm_score import cross_entropy_difference
@@ -13,6 +15,7 @@ from .packing import pack_documents
 from .phrase_dedup import remove_phrases
 from .quality_rules import judge
 from .suffix_dedup import remove_repeats
+from .toxicity import toxicity
 from .vector_neardup import near_duplicates
 from .warc_fixity import audit, damaged, raw_records
 
@@ -65,11 +68,25 @@ def op10_bpe(spark, sf_dir):
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_toxicity(spark, sf_dir):
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"), least=30, most=2000, scale=2_000_000, share=80)
+
+
+def op13_fill_middle(spark, sf_dir):
+    out = fill_in_middle(_table(spark, sf_dir, "documents"), rate=100, spm=50, seed=7)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_vector_neardup, op2_repeated_phrases, op3_lm_score, op4_quality_rules, op5_warc_fixity, op6_suffix_dedup,
-        op7_retrieval_packing, op8_jaccard_join, op9_language_mixture, op10_bpe,
+        op7_retrieval_packing, op8_jaccard_join, op9_language_mixture, op10_bpe, op11_toxicity, op12_collocations,
+        op13_fill_middle,
     )
 }
 
@@ -143,4 +160,25 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.other)
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(other) FROM reach WHERE reach.doc_id = w.doc_id) AS component_id
         FROM w LEFT JOIN n USING (doc_id)""",
+    "op12_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d)),
+        total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(words) - k + 2), lambda i: words[i:i + k - 1])))) AS w FROM p WHERE len(words) > 0),
+        f AS MATERIALIZED (SELECT lang, w, count(*) AS f FROM g GROUP BY lang, w HAVING count(*) >= 30),
+        c AS (SELECT lang, w, f AS a FROM f WHERE len(w) > 1),
+        cut AS (SELECT c.*, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:]),
+        worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+        parts AS (SELECT lang, a, unnest(flatten(list_transform(range(2, len(w)), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS w FROM c WHERE len(w) > 2),
+        longer AS (SELECT lang, w, max(a) AS longer FROM parts GROUP BY lang, w),
+        ranked AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score FROM worst LEFT JOIN longer USING (lang, w) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM ranked) JOIN total USING (lang) WHERE rank <= 2000""",
+    "op13_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, list_transform(range(0, 4), lambda i: ('0x' || h[8 * i + 1:8 * i + 8])::BIGINT) AS c FROM d),
+        k AS (SELECT *, len(lines)::BIGINT AS n, least(c[1] % (len(lines) + 1), c[2] % (len(lines) + 1)) AS i, greatest(c[1] % (len(lines) + 1), c[2] % (len(lines) + 1)) AS j,
+          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN c[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT *, array_to_string(lines[1:i], '') AS prefix, array_to_string(lines[i + 1:j], '') AS middle, array_to_string(lines[j + 1:], '') AS suffix FROM k)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
