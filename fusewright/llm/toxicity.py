@@ -2,17 +2,17 @@
 
 The kernel compares words by their subsequences of three symbols: k(x, y) = sum over u of f_u(x) f_u(y) / (m(x) m(y)), where f_u(x)
 adds ``DECAY`` to the power of the spanned length over all ways to find u in x within ``SPAN`` symbols, and m(x) is the root of the sum of
-squared weights of all ways in a word as long as x.  Symbols left out between the three, such as marks put between the letters of an insult, cost decay only, and so
+squared weights of all ways in a word as long as x (of x itself, if half of its symbols are repetitions).  Symbols left out between the three, such as marks put between the letters of an insult, cost decay only, and so
 does a letter put in.  Words carry a boundary symbol at both ends; single letters in a row ("i d i o t") are one more word.
 
 Labels mark whole documents, so a document is a bag of sentences and these of words, and it is toxic if one of its words is (the greatest
 decision value counts).  Learning:
 
-1. of a sample of ``FIT_ROWS`` labelled documents each distinct word is counted in toxic and other documents; words that are in toxic ones
-   significantly too often are positive, words of other documents negative;
-2. landmarks are positive and negative words far from each other under the kernel; Nyström features are k(x, landmarks) K^(-1/2);
-3. a linear machine with squared hinge loss is fitted on them, also on copies of the positive words with marks and letters put in; twice the
-   negative words it is most wrong about, of the whole sample, are added and it is fitted again;
+1. of a sample of ``FIT_ROWS`` labelled documents each distinct sentence has its documents' label, 0 if one of them has; words that are in toxic
+   sentences significantly too often, and are the most telling word of ``LEAST_WITNESS`` toxic documents, are positive, words of other sentences negative;
+2. landmarks are the most telling positive and negative words that are not much alike under the kernel; Nyström features are k(x, landmarks) K^(-1/2);
+3. a linear machine with squared hinge loss is fitted on them, also on copies of the positive words with marks and letters put in; the
+   negative words of the whole sample it is most wrong about are added and it is fitted again, ``ROUNDS`` times;
 4. a logistic curve turns the greatest value of a document into its score, fitted on the sample's documents.
 
 The decision value is linear in the f_u, so the machine is one table of weights of 64^3 subsequences (a MB, whatever the input), which tasks look up: scoring
@@ -37,9 +37,10 @@ from .words import word_hashes
 DECAY, SPAN = 0.75, 6
 LONGEST, STEP = 24, 12
 FIT_ROWS = 32768
-LANDMARKS, CANDIDATES, MOST_POSITIVE, MOST_NEGATIVE, HARD, ROUNDS = 128, 1024, 1500, 4000, 1500, 2
+LANDMARKS, ALIKE, CANDIDATES, MOST_POSITIVE, MOST_NEGATIVE, HARD, ROUNDS = 512, 0.85, 2048, 1500, 4000, 1000, 4
+LEAST_WITNESS = 2  # toxic documents that a positive word alone explains, or explains best
 SIGNIFICANT = 8.0  # log-likelihood ratio of a word's counts
-COST, SEED = 20.0, 11
+COST, SEED = 10000.0, 11
 PART_CHARS = 1 << 20
 BINS, REACH = 4096, 8.0  # of decision values from -REACH to REACH
 NO_WORD = -REACH
@@ -117,9 +118,21 @@ def padded(sym: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return out.astype(np.int32), start, (size[word] - 1 - inner).astype(np.int8)
 
 
-def measure(sizes: np.ndarray) -> np.ndarray:
-    """m of words with so many symbols, boundaries included."""
+def measure(symbols: np.ndarray, follow: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """m of padded words: by their sizes, or exactly, by their own subsequences, where half of the symbols are repetitions."""
     total = sum(np.maximum(0, sizes - d) * DECAY ** (2 * (d + 1)) for _, d in OFFSETS)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    kinds = (np.bincount(word * SYMBOLS + symbols, minlength=len(sizes) * SYMBOLS).reshape(-1, SYMBOLS) > 0).sum(axis=1)
+    some = np.flatnonzero(2 * kinds <= sizes)
+    if len(some):
+        place = np.full(len(sizes), -1)
+        place[some] = np.arange(len(some))
+        here = place[word] >= 0
+        own, parts = place[word][here], list(_ways(symbols[here], follow[here]))
+        key = np.concatenate([own[at] * SYMBOLS**3 + k for at, k, _ in parts])
+        known, back = np.unique(key, return_inverse=True)
+        ways = np.bincount(back, np.repeat([w for _, _, w in parts], [len(at) for at, _, _ in parts]))
+        total[some] = np.bincount(known // SYMBOLS**3, ways**2, minlength=len(some))
     return np.sqrt(np.maximum(total, 1e-12))
 
 
@@ -140,7 +153,7 @@ def decision(table: np.ndarray, bias: float, sym: np.ndarray, first: np.ndarray,
     for i, d in OFFSETS:
         key = (symbols[: n - d] << 12) + (symbols[i : n - d + i] << 6) + symbols[d:]
         total[: n - d] += np.where(follow[: n - d] >= d, table[key], np.float32(0)) * np.float32(DECAY ** (d + 1))
-    return np.add.reduceat(total, start).astype(np.float64) / measure(end - first + 2) + bias
+    return np.add.reduceat(total, start).astype(np.float64) / measure(symbols, follow, end - first + 2) + bias
 
 
 def distinct(sym: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +176,7 @@ class Spelling:
         ends = np.cumsum(sizes)
         symbols, start, follow = padded(sym, ends - sizes, ends)
         word = np.repeat(np.arange(len(words)), sizes + 2)
-        scale = 1 / measure(sizes + 2)
+        scale = 1 / measure(symbols, follow, sizes + 2)
         rows, keys, weights = [], [], []
         for at, key, weight in _ways(symbols, follow):
             rows.append(word[at])
@@ -188,17 +201,13 @@ class Spelling:
         return np.concatenate(out) if out else np.empty((0, len(self.matrix)))
 
 
-def _far_apart(words: list[bytes], most: int) -> list[bytes]:
-    """Words chosen one by one, each the farthest from those before it."""
-    if len(words) <= most:
-        return words
+def _leaders(words: list[bytes], most: int) -> list[bytes]:
+    """The first words, without those that are much like an earlier one."""
     same = Spelling(words).kernel(words)
-    own = np.diag(same)
-    chosen, near = [0], own + own[0] - 2 * same[0]
-    while len(chosen) < most:
-        i = int(near.argmax())
-        chosen.append(i)
-        near = np.minimum(near, own + own[i] - 2 * same[i])
+    chosen: list[int] = []
+    for i in range(len(words)):
+        if len(chosen) < most and (not chosen or same[i, chosen].max() < ALIKE):
+            chosen.append(i)
     return [words[i] for i in chosen]
 
 
@@ -223,30 +232,33 @@ def fit_machine(features: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.n
     return w
 
 
-def disguised(words: list[bytes], rng) -> list[bytes]:
-    """Copies with a mark between all symbols, and with one symbol put in."""
-    out = []
-    for w in words:
+def disguised(words: list[bytes], strength: list[float], rng) -> tuple[list[bytes], list[float]]:
+    """Copies with a mark between all symbols, and with one symbol put in; each counts half as much."""
+    out, weights = [], []
+    for w, s in zip(words, strength):
         if 3 < len(w) <= LONGEST // 2:
             out.append(bytes([63]).join(w[i : i + 1] for i in range(len(w))))
             i = int(rng.integers(1, len(w)))
             out.append(w[:i] + bytes([int(rng.choice([63, int(rng.integers(1, 27))]))]) + w[i:])
-    return out
+            weights += [s / 2, s / 2]
+    return out, weights
 
 
-def train_machine(positive: list[bytes], negative: list[bytes]) -> tuple[np.ndarray, float]:
-    """(table of weights, bias)."""
+def train_machine(positive: list[bytes], strength: list[float], negative: list[bytes], common: list[float]) -> tuple[np.ndarray, float]:
+    """(table of weights, bias).  strength, common: how much a word counts; first words become landmarks first."""
     rng = np.random.default_rng(SEED)
-    marks = _far_apart(positive[:CANDIDATES], LANDMARKS // 2) + _far_apart(negative[:CANDIDATES], LANDMARKS // 2)
+    marks = _leaders(positive[:CANDIDATES], LANDMARKS // 2)
+    marks += _leaders(negative[:CANDIDATES], LANDMARKS - len(marks))
     spelling = Spelling(marks)
     values, vectors = np.linalg.eigh(spelling.matrix @ spelling.matrix.T)
     some = values > 1e-6 * values.max()
     root = vectors[:, some] / np.sqrt(values[some])
-    more = disguised(positive, rng)
+    more, weights = disguised(positive, strength, rng)
     words = positive + more + negative
-    y = np.repeat([1.0, -1.0], [len(positive) + len(more), len(negative)])
-    weight = np.where(y > 0, COST / (y > 0).sum(), COST / (y < 0).sum()) * len(y) / 2 / 100
-    w = fit_machine(spelling.kernel(words) @ root, y, weight)
+    n = len(positive) + len(more)
+    y = np.repeat([1.0, -1.0], [n, len(negative)])
+    up, down = np.array(strength + weights), np.array(common)
+    w = fit_machine(spelling.kernel(words) @ root, y, COST * np.concatenate([up / up.sum(), down / down.sum()]))
     table = np.zeros(SYMBOLS**3)
     table[spelling.known] = (root @ w[:-1]) @ spelling.matrix
     return table.astype(np.float32), float(w[-1])
@@ -269,6 +281,7 @@ def _parts(batch: pa.RecordBatch):
         at = to
 
 
+_SENTENCE = r"[.!?\n]+"
 _COUNT = pa.schema([("word", pa.binary()), ("n_toxic", pa.int64()), ("n_other", pa.int64())])
 
 
@@ -279,7 +292,7 @@ def _count(batches):
             sym, first, end, doc = words_of(texts)
             place, back = distinct(sym, first, end)
             if len(place):
-                pair = np.unique(back * (to - at) + doc)  # a word counts once a document
+                pair = np.unique(back * (to - at) + doc)  # a word counts once a sentence
                 word, toxic = pair // (to - at), labels[at:to][pair % (to - at)]
                 n = np.bincount(word, minlength=len(place))
                 bad = np.bincount(word, toxic, minlength=len(place)).astype(np.int64)
@@ -339,6 +352,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _witnesses(sample: DataFrame, words: list[bytes]) -> tuple[list[bytes], list[float]]:
+    """(words, roots of their numbers of toxic documents): of several words that would explain a document, best first, only the first counts."""
+    ends = np.cumsum([len(w) for w in words])
+    hashes = word_hashes(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends) if words else np.empty(0, np.uint64)
+    order = np.argsort(hashes)
+    shared = sample.sparkSession.sparkContext.broadcast((hashes[order], order))
+
+    def run(batches):
+        known, rank = shared.value
+        for batch in batches:
+            for _, _, texts in _parts(batch):
+                sym, first, end, doc = words_of(texts)
+                here = word_hashes(sym, first, end)
+                at = np.minimum(np.searchsorted(known, here), len(known) - 1)
+                hit = known[at] == here
+                best = np.full(len(texts), len(rank))
+                np.minimum.at(best, doc[hit], rank[at[hit]])
+                which, n = np.unique(best[best < len(rank)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(n, pa.int64())], names=["rank", "n"])
+
+    if not words:
+        return [], []
+    counted = sample.where("toxic = 1").mapInArrow(batchwise(run), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_WITNESS)
+    some = sorted((r["rank"], r["n"]) for r in counted.collect())  # MOST_POSITIVE rows at most
+    return [words[i] for i, _ in some], [float(n) ** 0.5 for _, n in some]
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The model, from about ``fit_rows`` labelled documents that are not held out."""
     spark = docs.sparkSession
@@ -350,21 +390,26 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     of_kind = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(of_kind) < 2:
         return Model()
-    counts = sample.mapInArrow(batchwise(_count), "word binary, n_toxic long, n_other long").groupBy("word").agg(F.sum("n_toxic").alias("p"), F.sum("n_other").alias("q"))
-    base = of_kind[1] / (of_kind[0] + of_kind[1])
-    n = F.col("p") + F.col("q")
+    # copies repeat sentences: each counts once, and one that a document of label 0 has is no toxic one
+    sentences = sample.select(F.explode(F.split("text", _SENTENCE)).alias("text"), "toxic").where(F.col("text") != "").groupBy("text").agg(F.min("toxic").alias("toxic"))
+    counts = sentences.mapInArrow(batchwise(_count), "word binary, n_toxic long, n_other long").groupBy("word").agg(F.sum("n_toxic").alias("p"), F.sum("n_other").alias("q"))
+    counts = store(counts, "words")
+    n_p, n_q = counts.agg(F.sum("p"), F.sum("q")).first()
+    if not n_p or not n_q:
+        return Model()
+    base, n = n_p / (n_p + n_q), F.col("p") + F.col("q")
     term = lambda c, rate: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * rate))).otherwise(0.0)
-    ratio = term("p", base) + term("q", 1 - base)
-    counts = store(counts.withColumn("ratio", F.when(F.col("p") > n * max(0.5, (1 + base) / 2), ratio).otherwise(0.0)), "words")
-    usable = F.length("word") > 2
-    words = lambda df: [bytes(r[0]) for r in df.select("word").collect()]  # noqa: E731  of a bounded number of rows
-    positive = words(counts.where(usable & (F.col("ratio") >= SIGNIFICANT)).orderBy(F.desc("ratio"), "word").limit(MOST_POSITIVE))
+    ratio = F.when(F.col("p") > n * (1 + base) / 2, term("p", base) + term("q", 1 - base)).otherwise(0.0)
+    counts = counts.withColumn("ratio", ratio)
+    words = lambda df: {bytes(r["word"]): r["q"] ** 0.25 for r in df.select("word", "q").collect()}  # noqa: E731  of a bounded number of rows
+    found = counts.where((F.col("ratio") >= SIGNIFICANT) & (F.length("word") > 2)).orderBy(F.desc("ratio"), "word").limit(MOST_POSITIVE).collect()
+    positive, strength = _witnesses(sample, [bytes(r["word"]) for r in found])
     others = counts.where((F.col("q") > 0) & (F.col("ratio") < SIGNIFICANT))
-    negative = words(others.orderBy(F.xxhash64("word"), "word").limit(MOST_NEGATIVE)) + words(others.orderBy(F.desc("q"), "word").limit(MOST_NEGATIVE // 4))
+    negative = words(others.orderBy(F.desc("q"), "word").limit(MOST_NEGATIVE // 4)) | words(others.orderBy(F.xxhash64("word"), "word").limit(MOST_NEGATIVE))
     if not positive or not negative:
         return Model()
     for k in range(ROUNDS + 1):
-        table, bias = train_machine(positive, list(dict.fromkeys(negative)))
+        table, bias = train_machine(positive, strength, list(negative), list(negative.values()))
         if k < ROUNDS:
             shared = spark.sparkContext.broadcast((table, bias))
 
@@ -374,9 +419,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                     sizes = np.array([len(w) for w in raw], np.int64)
                     ends = np.cumsum(sizes)
                     f = decision(*shared.value, np.frombuffer(b"".join(raw), np.uint8), ends - sizes, ends)  # noqa: B023
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], names=["word", "value"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f)], names=["word", "q", "value"])
 
-            negative += words(others.select("word").mapInArrow(value, "word binary, value double").orderBy(F.desc("value"), "word").limit(HARD))
+            # the worst first, so that they become landmarks
+            negative = words(others.select("word", "q").mapInArrow(value, "word binary, q long, value double").orderBy(F.desc("value"), "word").limit(HARD)) | negative
     shared = spark.sparkContext.broadcast((table, bias))
 
     def bins(batches):
