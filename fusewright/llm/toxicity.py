@@ -247,13 +247,13 @@ def disguised(words: list[bytes], strength: list[float], rng) -> tuple[list[byte
 def train_machine(positive: list[bytes], strength: list[float], negative: list[bytes], common: list[float]) -> tuple[np.ndarray, float]:
     """(table of weights, bias).  strength, common: how much a word counts; first words become landmarks first."""
     rng = np.random.default_rng(SEED)
-    marks = _leaders(positive[:CANDIDATES], LANDMARKS // 2)
+    more, weights = disguised(positive, strength, rng)
+    marks = _leaders((positive + more)[:CANDIDATES], LANDMARKS // 2)
     marks += _leaders(negative[:CANDIDATES], LANDMARKS - len(marks))
     spelling = Spelling(marks)
     values, vectors = np.linalg.eigh(spelling.matrix @ spelling.matrix.T)
     some = values > 1e-6 * values.max()
     root = vectors[:, some] / np.sqrt(values[some])
-    more, weights = disguised(positive, strength, rng)
     words = positive + more + negative
     n = len(positive) + len(more)
     y = np.repeat([1.0, -1.0], [n, len(negative)])
