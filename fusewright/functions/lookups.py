@@ -45,10 +45,20 @@ ENTRY_CONFIDENCE = 0.85  # of an experience or education entry
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 PRESENT = r"(?i)^(present|current|now|ongoing|—|-+)$"
 NULL_WORDS = ["nan", "none", "null", "n/a", "na", "-", ""]
-# calling code: national numbers that are valid (a rule table in place of a phone library)
-PHONES = {"91": "[6-9][0-9]{9}", "1": "[2-9][0-9]{2}[2-9][0-9]{6}", "44": "7[0-9]{9}|[12][0-9]{8,9}", "61": "[2-478][0-9]{8}", "49": "[1-9][0-9]{6,10}", "33": "[1-9][0-9]{8}", "65": "[3689][0-9]{7}", "971": "[2-9][0-9]{7,8}"}
-# tried in this order after the patterns that need no calendar
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM", "MMM yyyy", "MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MM/dd/yyyy", "M/d/yyyy", "yyyy/MM/dd", "MM-yyyy", "MMM, yyyy", "MMMM, yyyy", "yyyy-MM-dd HH:mm:ss"]
+# calling code: first digits of national numbers and how many digits these have, after the public numbering plans
+PHONES = {
+    "1": "2-9:10", "7": "3-9:10", "20": "1:10 2:9 3-9:8-9", "27": "1-8:9", "30": "2:10 6:10", "31": "1-8:9", "32": "1-3:8 4:8-9 5-9:8", "33": "1-9:9", "34": "6-9:9", "36": "1:8 2-9:8-9",
+    "39": "0:6-11 3:9-10", "40": "2-3:9 7:9", "41": "2-9:9", "43": "1-9:7-13", "44": "1-2:9-10 7:10", "45": "2-9:8", "46": "1-9:7-9", "47": "2-9:8", "48": "1-9:9", "49": "1-9:7-11",
+    "51": "1:8 4-8:8 9:9", "52": "1-9:10", "54": "1-3:10 9:11", "55": "1-9:10-11", "56": "2-9:9", "57": "3:10 6:10", "60": "1:9-10 3:9 4-9:8", "61": "2-4:9 7-8:9", "62": "2-7:8-11 8:9-12", "63": "2-8:9 9:10",
+    "64": "2:8-10 3-9:8", "65": "3:8 6:8 8-9:8", "66": "2-5:8 6:9 7:8 8-9:9", "81": "1-6:9 7-9:9-10", "82": "1:9-10 2:8-9 3-6:8-10", "84": "2:10 3:9 5:9 7-9:9", "86": "1:11 2:10 3-9:9-11", "90": "2-5:10", "91": "6-9:10",
+    "92": "2:8-10 3:10 4-9:8-10", "94": "1-9:9", "233": "2-3:9 5:9", "234": "1:8 7-9:10", "254": "1:9 2:7-9 7:9", "351": "2-3:9 9:9", "353": "1-9:7-9", "358": "1-9:5-12", "380": "3-7:9 9:9", "852": "2-3:8 5-6:8 9:8",
+    "880": "1:10 2-9:8-10", "886": "2-8:8-9 9:9", "965": "2:8 5-6:8 9:8", "966": "1:9 5:9", "971": "2-9:8-9", "972": "2-4:8 5:9 7:9 8-9:8", "974": "3-7:8", "977": "1:8 9:10",
+}
+NANP = ("1", 4, "2")  # of calling code 1 the fourth national digit is 2 at least
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+LONG_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "sept"]
+WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+DATE_FILLERS = [".", ",", ";", "-", "/", "'", "at", "on", "and", "ad", "m", "t", "of", "st", "nd", "rd", "th"]
 SECTIONS = {
     "experience": ["experience", "work experience", "professional experience", "employment", "employment history", "work history", "career history"],
     "education": ["education", "academic background", "qualifications", "academic qualifications", "educational background"],

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lookups import DATE_FORMATS, EMAIL, PHONES, PLACES, PRESENT, SKILLS
+from .dates import free_date
+from .lookups import EMAIL, PLACES, PRESENT, SKILLS
+from .phones import phone  # noqa: F401  one of the normalisers
 from .text import blank_to_null, first_by, strip, title
 
 
@@ -13,38 +15,23 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def phone(c: Column, calling_code: str = "91") -> Column:
-    """E.164, for numbers that the rule table calls valid; without a plus the default calling code counts."""
-    kept = strip(F.regexp_replace(c, r"[^0-9+\-\(\)\s]", ""))
-    digits = F.regexp_replace(kept, "[^0-9]", "")
-    whole = F.concat(F.lit("+"), digits)
-    valid = "|".join(f"{code}(?:{rule})" for code, rule in PHONES.items())
-    home = PHONES[calling_code]
-    national = F.regexp_replace(digits, "^0", "")
-    return F.when(kept.startswith("+"), F.when(whole.rlike(rf"^\+(?:{valid})$"), whole)).otherwise(
-        F.when(national.rlike(f"^(?:{home})$"), F.concat(F.lit("+" + calling_code), national)).when(digits.rlike(f"^{calling_code}(?:{home})$"), whole)
-    )
-
-
 def email(c: Column) -> Column:
     s = F.lower(strip(c))
     return F.when(s.rlike(EMAIL), s)
 
 
-def date(c: Column) -> Column:
-    """YYYY-MM, or Present; months of M/YYYY and YYYY/M are not checked."""
+def date(c: Column, this_year: int | None = None) -> Column:
+    """YYYY-MM, or Present; months of M/YYYY and YYYY/M are not checked, other spellings are read token by token."""
     s = strip(c)
     month = lambda m: F.lpad(m, 2, "0")
     part = lambda pattern, k: F.regexp_extract(s, pattern, k)
-    named = F.regexp_replace(F.initcap(F.regexp_replace(s, r"\.", "")), r"\bSept\b", "Sep")
-    parsed = F.coalesce(*(F.date_format(F.try_to_timestamp(named, F.lit(f)), "yyyy-MM") for f in DATE_FORMATS))
     return (
         F.when((c == "") | c.isNull(), None)
         .when(s.rlike(PRESENT), "Present")
         .when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01")))
         .when(s.rlike(r"^\d{1,2}/\d{4}$"), F.concat(part(r"/(\d{4})$", 1), F.lit("-"), month(part(r"^(\d{1,2})/", 1))))
         .when(s.rlike(r"^\d{4}/\d{1,2}$"), F.concat(part(r"^(\d{4})/", 1), F.lit("-"), month(part(r"/(\d{1,2})$", 1))))
-        .otherwise(parsed)
+        .otherwise(free_date(s, this_year))
     )
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from .functions import normalize as N
 from .functions import text as T
-from .functions.lookups import MAIL_IN_TEXT, PHONES, PLACES, SKILLS
+from .functions.lookups import MAIL_IN_TEXT, NANP, PHONES, PLACES, SKILLS
 from .operators import merge as M
 from .operators import score as S
+from .operators.resolve import resolve
 from .operators.validate import validate
 from .plans import project as P
 from .plans.sinks import write_lines, write_text
@@ -39,8 +40,17 @@ _PLACE = lambda x: f"CASE WHEN {x} <> '' THEN coalesce({_case(PLACES, f'lower({_
 _NAME = lambda x: _title(f"nullif({_strip(rf'''regexp_replace(regexp_replace({x}, '[^a-zA-Z\s\-'']', '', 'g'), '\s+', ' ', 'g')''')}, '')")
 _EMAIL = lambda x: rf"CASE WHEN regexp_matches(lower({_strip(x)}), '^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}$') THEN lower({_strip(x)}) END"
 _DIGITS = lambda x: f"regexp_replace({x}, '[^0-9]', '', 'g')"
-_RULES = "|".join(f"{code}({rule})" for code, rule in PHONES.items())
-_HOME = PHONES["91"]
+
+
+def _plan(code):
+    """A regular expression for the national numbers of a plan."""
+    parts = [(rule.split(":")[0], [int(n) for n in rule.split(":")[1].split("-")]) for rule in PHONES[code].split()]
+    fourth = (NANP[1] - 2, f"[{NANP[2]}-9]")
+    return "(" + "|".join(f"[{first}]" + (rf"\d{{{fourth[0]}}}{fourth[1]}\d{{{n[0] - NANP[1]}}}" if code == NANP[0] else rf"\d{{{n[0] - 1},{n[-1] - 1}}}") for first, n in parts) + ")"
+
+
+_RULES = "|".join(code + _plan(code) for code in PHONES)
+_HOME = _plan("91")
 _PHONE = lambda x: rf"CASE WHEN {_strip(x)} LIKE '+%' THEN CASE WHEN regexp_matches({_DIGITS(x)}, '^({_RULES})$') THEN '+' || {_DIGITS(x)} END WHEN regexp_matches(regexp_replace({_DIGITS(x)}, '^0', ''), '^{_HOME}$') THEN '+91' || regexp_replace({_DIGITS(x)}, '^0', '') WHEN regexp_matches({_DIGITS(x)}, '^91{_HOME}$') THEN '+' || {_DIGITS(x)} END"
 _YEARS = lambda x: rf"(list_transform([regexp_extract_all({x}, '\d+(?:\.\d+)?')], lambda n: CASE WHEN len(n) >= 2 THEN (n[1]::DOUBLE + n[2]::DOUBLE) / 2 WHEN len(n) = 1 THEN n[1]::DOUBLE END))[1]"
 _DATE = lambda x: rf"CASE WHEN regexp_matches({x}, '^(present|current|now|ongoing|-+)$', 'i') THEN 'Present' WHEN regexp_matches({x}, '^\d{{4}}$') THEN {x} || '-01' WHEN regexp_matches({x}, '^\d{{1,2}}/\d{{4}}$') THEN split_part({x}, '/', 2) || '-' || lpad(split_part({x}, '/', 1), 2, '0') WHEN regexp_matches({x}, '^\d{{4}}/\d{{1,2}}$') THEN split_part({x}, '/', 1) || '-' || lpad(split_part({x}, '/', 2), 2, '0') ELSE strftime(coalesce(try_strptime({x}, '%Y-%m-%d'), try_strptime({x}, '%b %Y'), try_strptime({x}, '%B %-d, %Y')), '%Y-%m') END"
@@ -91,6 +101,43 @@ def norm_date(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", N.date(raw).alias("month"))
 
 
+#: Spellings of a date made of y(ear), y2 (its last two digits), m(onth), d(ay) with zeros, m1 and d1 without, mon(th), weekday, ...
+_SPELLINGS = [
+    "y || '-' || m || '-' || d", "y || '/' || m || '/' || d", "y || '.' || m || '.' || d", "m || '/' || d || '/' || y", "m1 || '/' || d1 || '/' || y", "m || '-' || d || '-' || y", "m || '.' || d || '.' || y",
+    "mon || ' ' || y", "month || ' ' || y", "month || ', ' || y", "mon || '. ' || d1 || ', ' || y", "month || ' ' || d1 || 'th, ' || y", "d1 || ' ' || month || ' ' || y", "d || '-' || mon || '-' || y", "d || mon || y",
+    "upper(mon) || '-' || y", "lower(month) || ' ' || y", "y || ' ' || month", "y || '-' || m", "m || '-' || y", "m || ' ' || y", "mon || ' ' || d1 || ' ' || y2", "d1 || ' of ' || month || ', ' || y", "wd || ', ' || d || ' ' || mon || ' ' || y || ' 10:30:00 GMT'",
+    "wday || ' ' || month || ' ' || d1 || ', ' || y || ' at 3 pm'", "y || m || d", "y || m || d || '101500'", "y || '-' || m || '-' || d || 'T23:59:59Z'", "y || '-' || m || '-' || d || ' 08:15:00.123'", "m || '/' || d || '/' || y2",
+    "month", "wd || ' ' || mon", "y2 || '-' || mon || '-' || d", "'31 02 ' || y", "'somewhen ' || y", "y || '-13-45'", "mon || ' ' || d1 || ' ' || y || ' 7'", "'(' || y || ')'",
+]
+_READ = {30: "'2000-' || m", 31: "'2000-' || m", 32: "CASE WHEN y2::INT > 31 THEN y || '-' || m WHEN y2 <> '00' THEN '20' || d || '-' || m END"} | dict.fromkeys(range(33, 38), "NULL")
+_SPELLED = "CASE o_orderkey % " + str(len(_SPELLINGS)) + " " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SPELLINGS)) + " END"
+_MEANT = "CASE o_orderkey % " + str(len(_SPELLINGS)) + " " + " ".join(f"WHEN {i} THEN {x}" for i, x in _READ.items()) + " ELSE y || '-' || m END"
+
+
+@query(
+    f"""WITH p AS (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%y') AS y2, strftime(o_orderdate, '%m') AS m, strftime(o_orderdate, '%d') AS d, strftime(o_orderdate, '%-m') AS m1, strftime(o_orderdate, '%-d') AS d1,
+    strftime(o_orderdate, '%b') AS mon, strftime(o_orderdate, '%B') AS month, strftime(o_orderdate, '%a') AS wd, strftime(o_orderdate, '%A') AS wday FROM orders) SELECT o_orderkey, {_SPELLED} AS raw, {_MEANT} AS read_as FROM p"""
+)
+def norm_date_free(spark, sf_dir):
+    """The dates of all orders, each in one of 38 spellings; six of them cannot be read or name no date."""
+    form = lambda f: F.date_format("o_orderdate", f)
+    parts = {"y": form("yyyy"), "y2": form("yy"), "m": form("MM"), "d": form("dd"), "m1": form("M"), "d1": form("d"), "mon": form("MMM"), "month": form("MMMM"), "wd": form("EEE"), "wday": form("EEEE")}
+    raw = _t(spark, sf_dir, "orders").select("o_orderkey", *(v.alias(k) for k, v in parts.items())).select("o_orderkey", F.expr(_SPELLED).alias("raw"))
+    return raw.withColumn("read_as", N.date(F.col("raw"), 2025))
+
+
+@query(rf"""WITH p AS (SELECT c_custkey, [{", ".join(f"'{x}'" for x in PHONES)}][c_custkey % {len(PHONES)} + 1] AS code, sha256(c_custkey::VARCHAR) AS h FROM customer),
+    n AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '+' || code || ' ' END || '(' || translate(h, 'abcdef', '123456')[1:3] || ') ' || translate(h, 'abcdef', '123456')[4:5 + c_custkey % 8] AS raw FROM p)
+    SELECT c_custkey, raw, {_PHONE("raw")} AS phone FROM n""")
+def norm_phone_regions(spark, sf_dir):
+    """Numbers under all calling codes, of five to twelve national digits; one in seven has no code."""
+    k = F.col("c_custkey")
+    digits = F.translate(F.sha2(k.cast("string"), 256), "abcdef", "123456")
+    code = F.get(F.array(*map(F.lit, PHONES)), (k % len(PHONES)).cast("int"))
+    raw = F.concat(F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("+"), code, F.lit(" "))), F.lit("("), F.substring(digits, 1, 3), F.lit(") "), F.substr(digits, F.lit(4), (k % 8 + 2).cast("int")))
+    return _t(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")).withColumn("phone", N.phone(F.col("raw")))
+
+
 @query(f"SELECT p_partkey, {_title('p_name')} AS titled, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^\\w\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g')) AS slug, CASE WHEN length(p_name) > 12 THEN left(p_name, 9) || '...' ELSE p_name END AS short, sha256(p_name)[1:16] AS id, CASE WHEN lower(p_brand) IN ('nan', 'none', 'null', 'n/a', 'na', '-', '') THEN NULL ELSE p_brand END AS brand FROM part")
 def string_functions(spark, sf_dir):
     c = F.col("p_name")
@@ -475,3 +522,26 @@ def segment_sections(spark, sf_dir):
 def experience_years(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array(F.struct(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("start_date"), F.date_format(F.max("o_orderdate"), "yyyy-MM").alias("end_date"))).alias("jobs"))
     return o.select("o_custkey", resume.experience_months(F.col("jobs"), "2025-01").alias("years"))
+
+
+_HUB = 40
+
+
+@query(
+    _R.replace("WITH r", "WITH RECURSIVE r", 1) + rf""", k AS (SELECT fusion_id || '/' || source AS record_id, emails, phones, links FROM r),
+    i AS (SELECT DISTINCT record_id, kind, id FROM (
+      SELECT record_id, 'email' AS kind, {_EMAIL('x')} AS id FROM (SELECT record_id, unnest(string_split(emails, ';')) AS x FROM k)
+      UNION ALL SELECT record_id, 'phone', {_PHONE('x')} FROM (SELECT record_id, unnest(string_split(phones, ';')) AS x FROM k)
+      UNION ALL SELECT record_id, 'link', regexp_replace(regexp_replace(lower({_URL.format('x')}), '^https?://(www\.)?', ''), '/+$', '') FROM (SELECT record_id, split_part(unnest(string_split(links, ';')), '|', 1) AS x FROM k)) WHERE id IS NOT NULL),
+    n AS (SELECT kind, id, count(*) AS n, min(record_id) AS first FROM i GROUP BY kind, id),
+    e AS MATERIALIZED (SELECT DISTINCT record_id AS a, first AS b FROM i JOIN n USING (kind, id) WHERE n.n BETWEEN 2 AND {_HUB} AND record_id <> first),
+    s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach AS (SELECT a, a AS o FROM (SELECT DISTINCT a FROM s) UNION SELECT reach.a, s.b FROM reach JOIN s ON s.a = reach.o),
+    c AS (SELECT a AS record_id, min(o) AS entity_id FROM reach GROUP BY a)
+    SELECT record_id, coalesce(entity_id, record_id) AS entity_id, coalesce(q.n, 0)::BIGINT AS n_identifiers, coalesce(q.h, 0)::BIGINT AS n_hubs FROM k LEFT JOIN c USING (record_id)
+    LEFT JOIN (SELECT record_id, count(*) AS n, count(*) FILTER (n.n > {_HUB}) AS h FROM i JOIN n USING (kind, id) GROUP BY record_id) q USING (record_id)"""
+)
+def resolve_entities(spark, sf_dir):
+    """All source records, without their customers' keys: which belong together by emails, phones and links."""
+    records = source_records(spark, sf_dir).withColumn("record_id", F.concat_ws("/", "fusion_id", "source"))
+    return resolve(records, most=_HUB)[0]

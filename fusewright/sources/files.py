@@ -43,3 +43,9 @@ def scratch(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="fusewright-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
