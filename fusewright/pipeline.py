@@ -9,15 +9,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import FusionError, NoSourceError
+from .errors import FusionError, NoSourceError, ProfileError
 from .functions.lookups import DEFAULT_PROJECTION
 from .functions.text import entity_id
 from .operators import merge as M
+from .operators.resolve import MOST_SHARED, resolve
 from .operators.validate import validate
 from .plans.project import project, report
 from .plans.sinks import pretty, write_lines, write_text
 from .schema import SOURCE_RECORD
-from .sources import ats, profile, resume, table
+from .sources import ats, fetch, profile, resume, table
 from .sources.files import load_config
 
 CANDIDATE_FILE, REPORT_FILE = "candidate.json", "pipeline_report.json"
@@ -55,36 +56,59 @@ def by_first_email(records: DataFrame) -> DataFrame:
     return records.withColumn("fusion_id", F.coalesce(entity_id(F.coalesce(F.get("emails", F.lit(0)), F.lower("full_name"))), "fusion_id"))
 
 
+def by_any_identifier(records: DataFrame, most: int = MOST_SHARED) -> DataFrame:
+    """The records with fusion_id of the entity that they are linked to by any email, phone or link; see ``resolve``."""
+    whole = F.to_json(F.struct(*(c for c in records.columns)))
+    named = records.withColumn("record_id", F.concat_ws("/", "source", F.sha2(whole, 256)))  # equal rows are one record
+    entity, _ = resolve(named, most=most)
+    return named.join(entity.select("record_id", "entity_id").distinct(), "record_id").withColumn("fusion_id", entity_id(F.col("entity_id"))).select(records.columns)
+
+
+def fetch_profile(spark: SparkSession, who: str, **server) -> DataFrame:
+    """Source records of one developer, by user name or profile link, fetched once."""
+    row = fetch.fetched(spark.createDataFrame([(who,)], "username string"), **server).first()
+    if row is None or row["status"] != 200:
+        raise ProfileError(f"{who}: {row['error'] if row else 'no user name'}")
+    return fetch.split(spark.createDataFrame([row], fetch.FETCHED))[0]
+
+
 def run_pipeline(
-    spark: SparkSession, *, resume_path: str | None = None, ats_path: str | None = None, csv_path: str | None = None, github_path: str | None = None,
-    output_dir: str | None = None, projection_config_path: str | None = None, one_entity: bool = True,
+    spark: SparkSession, *, resume_path: str | None = None, ats_path: str | None = None, csv_path: str | None = None, github_path: str | None = None, github_username: str | None = None, github_server: dict | None = None,
+    output_dir: str | None = None, projection_config_path: str | None = None, one_entity: bool = True, link_any: bool = False,
 ) -> PipelineResult:
     """Reads the given sources, fuses them and writes profile and report.
 
     one_entity: all sources describe one candidate, of a table the first row counts, output is two JSON
-    files.  Otherwise records meet by their first email, else by name, and output is two folders of JSON
-    lines.  A source that cannot be read is a warning as long as another can.
+    files.  Otherwise records meet by their first email, else by name (link_any: by any email, phone or link), and output is two folders of JSON
+    lines.  github_username: a developer whose profile is fetched, from the server that github_server tells of (see ``fetch.Server``).  A source that cannot be read is a warning as long as another can.
     """
     began = time.time()
-    given = {k: p for k, p in (("resume", resume_path), ("ats", ats_path), ("github", github_path), ("csv", csv_path)) if p}
+    given = {k: p for k, p in (("resume", resume_path), ("ats", ats_path), ("github", github_path or github_username), ("csv", csv_path)) if p}
     if not given:
         raise NoSourceError("no source was given")
     config = load_config(spark, projection_config_path) if projection_config_path else DEFAULT_PROJECTION
     records, warnings = {}, []
     for name, path in given.items():
         try:
-            records[name] = SOURCES[name](spark, path)
+            fetch_it = name == "github" and not github_path
+            found = fetch_profile(spark, path, **(github_server or {})) if fetch_it else SOURCES[name](spark, path)
+            if found.isEmpty():  # readers are lazy: this reads their first row, so that what is broken shows here
+                warnings.append(f"{name}: no record in {path}")
+            else:
+                records[name] = found
         except FusionError as e:
             warnings.append(f"{name}: {e}")
+        except Exception as e:  # noqa: BLE001  whatever a source's file holds, the others go on
+            warnings.append(f"{name}: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
     if not records:
         raise NoSourceError("all sources failed: " + "; ".join(warnings))
     if one_entity and "csv" in records and (n := records["csv"].count()) > 1:
         warnings.append(f"csv: the first of {n} rows is used")
     columns = [x.name for x in spark.createDataFrame([], SOURCE_RECORD).schema]
     together = functools.reduce(DataFrame.unionByName, (r.select(columns) for r in records.values()))
-    profiles = fuse(together.withColumn("fusion_id", F.lit("candidate")) if one_entity else by_first_email(together))
+    profiles = fuse(together.withColumn("fusion_id", F.lit("candidate")) if one_entity else by_any_identifier(together) if link_any else by_first_email(together))
     flags = config.get("report", {})
-    told = report(profiles, flags, warnings)
+    told = report(profiles, flags, warnings, {k: given[k].rstrip("/").rsplit("/", 1)[-1] for k in records})
     out = PipelineResult(profiles, told, list(records), warnings)
     if output_dir:
         shape = config.get("output", {})
@@ -106,8 +130,10 @@ def run_pipeline(
 
 
 def safe_run(spark: SparkSession, **arguments) -> SafeResult:
-    """``run_pipeline`` that reports an error of the engine and raises none."""
+    """``run_pipeline`` that reports every error and raises none."""
     try:
         return SafeResult(True, run_pipeline(spark, **arguments))
     except FusionError as e:
         return SafeResult(False, error=str(e))
+    except Exception as e:  # noqa: BLE001  a caller's boundary
+        return SafeResult(False, error=f"{type(e).__name__}: {e}")

@@ -27,14 +27,15 @@ def project(profiles: DataFrame, config: dict | None = None) -> DataFrame:
     return out.select(*columns).drop(*config.get("exclude_fields", []))
 
 
-def report(profiles: DataFrame, include: dict | None = None, warnings: list[str] | None = None) -> DataFrame:
-    """One report row per profile; ``include`` turns parts off.  warnings: of the run, such as sources that failed."""
+def report(profiles: DataFrame, include: dict | None = None, warnings: list[str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """One report row per profile; ``include`` turns parts off.  warnings: of the run, such as sources that failed; names: what each source read, such as a file's name."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.lit(None).cast("map<string,string>")
     logged = lambda p: F.struct(
         p["field"].alias("field"), p["selected_source"].alias("selected_source"),
         F.transform(p["entries"], lambda e: F.struct(e["source"].alias("source"), e["raw_value"].alias("raw_value"), e["confidence"].alias("confidence"))).alias("all_sources"),
     )
     parts = {
-        "include_source_summary": [F.col("sources").alias("sources_used")],
+        "include_source_summary": [F.transform("sources", lambda s: F.concat_ws(":", s, F.try_element_at(known, s))).alias("sources_used")],
         "include_field_confidences": [F.map_from_entries(F.transform("provenance", lambda p: F.struct(p["field"], p["confidence"]))).alias("field_confidences"), F.col("overall_confidence")],
         "include_conflict_log": [F.transform(F.filter("provenance", lambda p: F.size(p["entries"]) > 1), logged).alias("conflict_log")],
         "include_validation_warnings": [F.array(*map(F.lit, warnings or [])).cast("array<string>").alias("validation_warnings")],

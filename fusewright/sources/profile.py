@@ -51,6 +51,11 @@ def read(spark: SparkSession, path: str, drop_forks_first: bool = True) -> DataF
     """Source records of landed profiles: JSON objects ``user`` and ``repos`` (newest first), one to a file."""
     if not exists(spark, path):
         raise ProfileError(f"no profile at {path}")
-    landed = spark.read.schema(LANDED).option("multiLine", True).json(path).where(F.col("user.login").isNotNull()).select(F.col("user.login").alias("fusion_id"), "user", "repos")
+    return from_landed(spark.read.schema(LANDED).option("multiLine", True).json(path), drop_forks_first)
+
+
+def from_landed(rows: DataFrame, drop_forks_first: bool = True) -> DataFrame:
+    """Source records of rows (user, repos); rows without a login go."""
+    landed = rows.where(F.col("user.login").isNotNull()).select(F.col("user.login").alias("fusion_id"), "user", "repos")
     repos = landed.select("fusion_id", F.posexplode("repos").alias("pos", "r")).select("fusion_id", "pos", "r.language", "r.fork")
     return parse(landed.select("fusion_id", "user.*"), repos, drop_forks_first)
