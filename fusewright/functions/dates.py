@@ -2,87 +2,110 @@
 
 Numbers, month names, weekdays, fillers and a time are read in any order; anything else makes the text unreadable.  Slots that the
 text leaves open are those of January 2000.  Which number is which follows from names, from sizes and from the order month, day, year.
+
+Every token becomes six characters, a kind and a value: M a named month, L a number of three digits and more, Y one above 31, D one above 12, N another.  The
+kinds in a row are looked up in a table of all their sequences, which says where year, month and day stand.
 """
 
 from __future__ import annotations
 
 import datetime
+import itertools
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lookups import DATE_FILLERS, LONG_MONTHS, MONTHS, WEEKDAYS
+from .text import let
 
 _CLOCK = r"(?i)(?<![\d:])\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:[ap]m)?\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?(?![\w:])|(?<![\d:])\d{1,2}\s*[ap]m(?!\w)"
 _TOKEN = r"(\d+(?:\.\d+)?|[a-z]+|[^\sa-z\d])"
-_STATE = "struct<n:int,a:int,b:int,c:int,m:int,y:int,bad:boolean,some:boolean>"
-_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
-
-
-def _month_of(word: Column) -> Column:
-    """1 to 12 for the name of a month, else null."""
-    short = {name: i + 1 for i, name in enumerate(MONTHS)}
-    out = None
-    for name in [*MONTHS, *LONG_MONTHS]:
-        out = (F.when if out is None else out.when)(word == name, F.lit(short[name[:3]]))
-    return out
-
-
-def _step(state: Column, token: Column) -> Column:
-    """Slots after one more token; m and y are the places of a named month and of a year with three digits or more."""
-    month, number = _month_of(token), F.when(token.rlike(r"^\d{1,9}$"), token.try_cast("int"))
-    value = F.coalesce(number, month)
-    filler, day = token.isin(DATE_FILLERS), token.isin(WEEKDAYS)
-    full, n = state["n"] >= 3, state["n"]
-    slot = lambda i, name: F.when((n == i) & value.isNotNull(), value).otherwise(state[name])
-    named = month.isNotNull() & number.isNull()
-    long = number.isNotNull() & (F.length(token) > 2)
-    return F.struct(
-        F.when(value.isNotNull(), n + 1).otherwise(n).alias("n"), slot(0, "a").alias("a"), slot(1, "b").alias("b"), slot(2, "c").alias("c"), F.when(named, n + 1).otherwise(state["m"]).alias("m"),
-        F.when(long, n + 1).otherwise(state["y"]).alias("y"),
-        (state["bad"] | (value.isNull() & ~filler & ~day) | (value.isNotNull() & full) | (named & (state["m"] > 0)) | (long & (state["y"] > 0))).alias("bad"),
-        (state["some"] | value.isNotNull() | day).alias("some"),
-    ).cast(_STATE)
-
-
-def _order(s: Column) -> Column:
-    """The places of year, month and day among the numbers as text like "312"; 0 for a slot that is open."""
-    a, b, m, y, n = s["a"], s["b"], s["m"], s["y"], s["n"]
-    rest = lambda: F.lit(6) - m - y  # noqa: E731  the third of three places
-    digits = lambda *x: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in x))
-    one = F.when(m > 0, "010").when((y > 0) | (a > 31), "100").otherwise("001")
-    other = F.when(m == 1, b).otherwise(a)
-    two = F.when((m > 0) & ((y > 0) | (other > 31)), digits(F.lit(3) - m, m, "0")).when(m > 0, digits("0", m, F.lit(3) - m)).when(a > 31, "120").when(b > 31, "210").otherwise("012")
-    three = (
-        F.when((m > 0) & (y > 0), digits(y, m, rest()))
-        .when(m == 1, F.when(b > 31, "213").otherwise("312")).when(m == 2, F.when(a > 31, "123").otherwise("321")).when(m == 3, F.when(b > 31, "231").otherwise("132"))
-        .when((a > 31) | (y == 1), "123").when(a > 12, "321").otherwise("312")
-    )
-    return F.when(n == 1, one).when(n == 2, two).when(n == 3, three).otherwise("000")
+# digits without separators: year of four or two, month, day, and hours at the end; three numbers with dots
+_PACKED, _PACKED_SHORT, _DOTTED = r"(?<![\d.])(\d{4})(\d{2})(\d{2})(?:\d{4}|\d{6})?(?![\d.])", r"^\s*(\d{2})(\d{2})(\d{2})(?![\d.])", r"(?<![\d.])(\d+)\.(\d+)\.(\d+)(?![\d.])"
+_KINDS = "-MLYDN"
+_OPEN = "L02000M00001D00001"  # the slots of an open year, month and day, before those of the text
+_BAD, _DAY = "!", "w"
+
+
+def _places(kinds: str) -> str | None:
+    """Where year, month and day stand in a sequence of kinds, as digits from 4 on; 1, 2 and 3 stand for open ones.  None: they cannot be told."""
+    month = kinds.find("M")
+    if kinds.count("M") > 1 or kinds.count("L") > 1:
+        return None
+    year_like = lambda i: kinds[i] in "LY"
+    n, order = len(kinds), {}
+    if n == 1:
+        order = {"m" if month == 0 else "y" if year_like(0) else "d": 0}
+    elif n == 2 and month >= 0:
+        order = {"m": month, "y" if year_like(1 - month) else "d": 1 - month}
+    elif n == 2:
+        order = {"y": 0, "m": 1} if year_like(0) else {"m": 0, "y": 1} if year_like(1) else {"m": 0, "d": 1}
+    elif month >= 0 and "L" in kinds:
+        order = {"m": month, "y": kinds.index("L")}
+        order["d"] = 3 - sum(order.values())
+    elif month == 0:
+        order = dict(zip("myd" if year_like(1) else "mdy", range(3)))
+    elif month == 1:
+        order = dict(zip("ymd" if year_like(0) else "dmy", range(3)))
+    elif month == 2:
+        order = dict(zip("dym" if year_like(1) else "ydm", range(3)))
+    else:
+        order = dict(zip("ymd" if year_like(0) else "dmy" if kinds[0] == "D" else "mdy", range(3)))
+    return "".join(str(order[k] + 4 if k in order else i + 1) for i, k in enumerate("ymd"))
+
+
+_WORDS = {m: f"M{i + 1:05}" for i, m in enumerate(MONTHS)} | {m: f"M{MONTHS.index(m[:3]) + 1:05}" for m in LONG_MONTHS} | dict.fromkeys(WEEKDAYS, _DAY) | dict.fromkeys(DATE_FILLERS, "")
+_SEQUENCES = {"".join(k): p for n in (1, 2, 3) for k in itertools.product("MLYDN", repeat=n) if (p := _places("".join(k)))}
+
+
+def _word(token: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in _WORDS.items() for x in pair]), token), F.lit(_BAD))
+
+
+def _places_of(slots: Column) -> Column:
+    """The places for the kinds of up to three slots, found by a number made of them."""
+    table = [_SEQUENCES.get("".join(_KINDS[i] for i in (a, b, c) if i), "") for a, b, c in itertools.product(range(6), repeat=3)]
+    at = lambda i: F.instr(F.lit(_KINDS[1:]), F.substring(slots, 6 * i + 1, 1))  # noqa: E731  0 for no slot
+    where = lambda i: F.when(F.length(slots) > 6 * i, at(i)).otherwise(0)
+    return F.get(F.array(*map(F.lit, table)), where(0) * 36 + where(1) * 6 + where(2))
+
+
+def _slot(token: Column) -> Column:
+    """Kind and value of a token, nothing for a filler."""
+    size = F.length(token)
+    two = F.lpad(token, 2, "0")
+    number = F.when(size > 4, _BAD).otherwise(F.concat(F.when(size > 2, "L").when(two > "31", "Y").when(two > "12", "D").otherwise("N"), F.lpad(token, 5, "0")))
+    digit = token.between("0", "9:")
+    return F.when(digit & ~token.contains("."), number).when(digit, _BAD).otherwise(_word(token))
 
 
 def free_date(c: Column, this_year: int | None = None) -> Column:
     """YYYY-MM of a date in any spelling, else null.  Years of two digits lie within fifty years of ``this_year``."""
     now = this_year or datetime.date.today().year
     low = F.lower(c)
-    timed = F.regexp_replace(F.regexp_replace(low, r"(?<=\d)t(?=\d{2}:)", " "), _CLOCK, " ")
-    # digits without separators: year of four or two, month, day, and hours at the end
-    plain = F.regexp_replace(timed, r"(?<![\d.])(\d{4})(\d{2})(\d{2})(?:\d{4}|\d{6})?(?![\d.])", "$1 $2 $3")
-    plain = F.regexp_replace(plain, r"^\s*(\d{2})(\d{2})(\d{2})(?![\d.])", "$1 $2 $3")
-    plain = F.regexp_replace(plain, r"(?<![\d.])(\d+)\.(\d+)\.(\d+)(?![\d.])", "$1 $2 $3")
-    start = F.struct(F.lit(0).alias("n"), *(F.lit(None).cast("int").alias(k) for k in "abc"), F.lit(0).alias("m"), F.lit(0).alias("y"), F.lit(False).alias("bad"), (timed != low).alias("some")).cast(_STATE)
-    # the end of the fold sees the slots once, so that what follows is not worked out again for each use
-    return F.aggregate(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(1)), start, _step, lambda s: _finish(s, now))
-
-
-def _finish(s: Column, now: int) -> Column:
-    order = _order(s)
-    at = lambda i: F.substring(order, i, 1)
-    value = lambda i: F.when(at(i) == "1", s["a"]).when(at(i) == "2", s["b"]).when(at(i) == "3", s["c"])
-    short = value(1) + 2000
-    year = F.coalesce(F.when((value(1) >= 100) | (s["y"] > 0), value(1)).otherwise(F.when(short >= now + 50, short - 100).when(short < now - 50, short + 100).otherwise(short)), F.lit(2000))
-    month, day = F.coalesce(value(2), F.lit(1)), F.coalesce(value(3), F.lit(1))
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    last = F.get(F.array(*map(F.lit, _DAYS)), month - 1) + F.when((month == 2) & leap, 1).otherwise(0)
-    good = s["some"] & ~s["bad"] & year.between(1, 9999) & month.between(1, 12) & (day >= 1) & (day <= last)
-    return F.when(good, F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0")))
+    clock = F.regexp_replace(F.regexp_replace(low, r"(?<=\d)t(?=\d{2}:)", " "), _CLOCK, " ")
+    timed = F.when(low.rlike(r":|\dm|\d\s*[ap]m"), clock).otherwise(low)
+    plain = lambda t: F.when(t.rlike(r"\d{6}|\d\.\d"), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _PACKED, "$1 $2 $3"), _PACKED_SHORT, "$1 $2 $3"), _DOTTED, "$1 $2 $3")).otherwise(t)
+    slots = let(timed, lambda t: F.array_join(F.transform(F.regexp_extract_all(plain(t), F.lit(_TOKEN), F.lit(1)), _slot), ""))
+    blank = F.when(timed != low, "2000-01")
+    return let(slots, lambda s: F.when(s.contains(_BAD), None).when(s == "", blank).when(s.contains(_DAY), _read(F.replace(s, F.lit(_DAY), F.lit("")), now)).otherwise(_read(s, now)))
+
+
+def _read(slots: Column, now: int) -> Column:
+    """The date of the slots."""
+    places = F.when(slots == "", "123").when(F.length(slots) > 18, "").otherwise(_places_of(slots))
+    at = lambda w, p, i: F.substr(w, F.substring(p, i, 1).cast("int") * 6 - 5, F.lit(6))
+    parts = lambda w, p: F.struct(at(w, p, 1).alias("y"), F.substr(at(w, p, 2), F.lit(2)).cast("int").alias("m"), F.substr(at(w, p, 3), F.lit(2)).cast("int").alias("d"))
+    return let(places, lambda p: F.when(p != "", let(F.concat(F.lit(_OPEN), slots), lambda w: let(parts(w, p), lambda x: _checked(x, now)))))
+
+
+def _checked(x: Column, now: int) -> Column:
+    def dated(year: Column) -> Column:
+        month, day = x["m"], x["d"]
+        last = F.when(month == 2, F.when(((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0), 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        good = (year > 0) & month.between(1, 12) & (day > 0) & ((day < 29) | (day <= last))
+        return F.when(good, F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0")))
+
+    century = lambda near: F.when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
+    number = F.substr(x["y"], F.lit(2)).cast("int")
+    return let(F.when(x["y"].startswith("L"), number).otherwise(let(number + 2000, century)), dated)

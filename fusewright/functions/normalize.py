@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .dates import free_date
 from .lookups import EMAIL, PLACES, PRESENT, SKILLS
 from .phones import phone  # noqa: F401  one of the normalisers
-from .text import blank_to_null, first_by, strip, title
+from .text import blank_to_null, first_by, let, strip, title
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -22,17 +22,15 @@ def email(c: Column) -> Column:
 
 def date(c: Column, this_year: int | None = None) -> Column:
     """YYYY-MM, or Present; months of M/YYYY and YYYY/M are not checked, other spellings are read token by token."""
-    s = strip(c)
     month = lambda m: F.lpad(m, 2, "0")
-    part = lambda pattern, k: F.regexp_extract(s, pattern, k)
-    return (
-        F.when((c == "") | c.isNull(), None)
-        .when(s.rlike(PRESENT), "Present")
-        .when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01")))
-        .when(s.rlike(r"^\d{1,2}/\d{4}$"), F.concat(part(r"/(\d{4})$", 1), F.lit("-"), month(part(r"^(\d{1,2})/", 1))))
-        .when(s.rlike(r"^\d{4}/\d{1,2}$"), F.concat(part(r"^(\d{4})/", 1), F.lit("-"), month(part(r"/(\d{1,2})$", 1))))
+    # year, or month and year by a slash: their digits say which; other spellings are longer or have letters
+    short = lambda s: (
+        F.when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01")))
+        .when(s.rlike(r"^\d{1,2}/\d{4}$"), F.concat(F.substring_index(s, "/", -1), F.lit("-"), month(F.substring_index(s, "/", 1))))
+        .when(s.rlike(r"^\d{4}/\d{1,2}$"), F.concat(F.substring_index(s, "/", 1), F.lit("-"), month(F.substring_index(s, "/", -1))))
         .otherwise(free_date(s, this_year))
     )
+    return F.when(c != "", let(strip(c), lambda s: F.when(s.rlike(PRESENT), "Present").otherwise(short(s))))
 
 
 def name(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lookups import NANP, PHONES
-from .text import strip
+from .text import let
 
 DIGITS = 15  # the most that a number has
 
@@ -47,26 +47,26 @@ def valid(digits: Column) -> Column:
     """Whether a number of digits with its calling code follows a plan."""
     table = intervals()
     starts, *rules = (F.array(*map(F.lit, column)) for column in zip(*table))
-    number = F.rpad(digits, DIGITS, "0").try_cast("long")
     # steps of a halving size: the last start that is not above the number
     sizes = [1 << k for k in reversed(range(len(table).bit_length()))]
-    at = F.aggregate(F.array(*map(F.lit, sizes)), F.lit(0), lambda i, size: F.when(F.coalesce(F.get(starts, i + size), F.lit(10**DIGITS)) <= number, i + size).otherwise(i))
+    search = lambda number: F.aggregate(F.array(*map(F.lit, sizes)), F.lit(0), lambda i, size: F.when(F.get(starts, i + size) <= number, i + size).otherwise(i))
 
     def judged(place: Column) -> Column:
         code, least, most = (F.get(r, place) for r in rules)
         national = F.length(digits) - code
         fourth = F.when(digits.startswith(NANP[0]), F.substring(digits, NANP[1] + len(NANP[0]), 1) >= NANP[2]).otherwise(True)
-        return (F.length(digits) <= DIGITS) & (national >= least) & (national <= most) & fourth
+        return national.between(least, most) & fourth
 
-    return F.coalesce(F.get(F.transform(F.array(at), judged), F.lit(0)), F.lit(False))
+    place = let(F.rpad(digits, DIGITS, "0").try_cast("long"), search)
+    return F.when((F.length(digits) <= DIGITS) & (digits != ""), let(place, judged)).otherwise(False)
 
 
 def phone(c: Column, calling_code: str = "91") -> Column:
     """E.164, for numbers that follow a plan; without a plus the default calling code counts."""
-    kept = strip(F.regexp_replace(c, r"[^0-9+\-\(\)\s]", ""))
-    digits = F.regexp_replace(kept, "[^0-9]", "")
-    home = F.concat(F.lit(calling_code), F.regexp_replace(digits, "^0", ""))
-    # the number that is meant: with a plus as it is, else at home, else (it may begin with the code) as it is
-    return F.when(kept.startswith("+"), F.when(valid(digits), F.concat(F.lit("+"), digits))).otherwise(
-        F.when(valid(home), F.concat(F.lit("+"), home)).when(digits.startswith(calling_code) & valid(digits), F.concat(F.lit("+"), digits))
-    )
+    # the digits, with the sign of a number that begins with one
+    kept = F.regexp_replace(F.regexp_replace(c, r"[^0-9+\-\(\)\s]", ""), r"(?<=.)\+|[^0-9+]", "")
+    home = lambda n: F.concat(F.lit(calling_code), F.regexp_replace(n, "^0", ""))
+    signed = lambda n: F.concat(F.lit("+"), n)
+    abroad = lambda n: let(F.substr(n, F.lit(2)), lambda d: F.when(valid(d), n))
+    here = lambda n: let(home(n), lambda h: F.when(valid(h), signed(h)).when(n.startswith(calling_code) & valid(n), signed(n)))
+    return let(kept, lambda n: F.when(n.startswith("+"), abroad(n)).otherwise(here(n)))

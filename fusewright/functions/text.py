@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .lookups import NULL_WORDS
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
