@@ -15,6 +15,19 @@ CASES = [
     (N.location, [("NYC", "New York, NY"), ("hyd", "Hyderabad, India"), (" BLR ", "Bengaluru, India"), ("hyderabad ,india", "Hyderabad, India"), ("new york, usa", "New York, Usa"), ("", None), (None, None)]),
     (N.url, [("example.com", "https://example.com"), ("www.example.com", "https://www.example.com"), ("https://a.b/c", "https://a.b/c"), ("http://a.b", "http://a.b"), ("nothing_at_all", None), ("", None), (None, None)]),
     (N.date, [("2019", "2019-01"), ("06/2019", "2019-06"), ("3/2020", "2020-03"), ("2020/7", "2020-07"), ("Present", "Present"), ("current", "Present"), ("NOW", "Present"), ("—", "Present"), ("--", "Present"), ("Sept 2018", "2018-09"), ("Jun. 2018", "2018-06"), ("January 2021", "2021-01"), ("Mar 5, 2021", "2021-03"), ("2021-04-30", "2021-04"), ("13/2019", "2019-13"), ("zzz", None), ("", None), (None, None)]),
+    (lambda c: N.date(c, 2025), [  # any spelling; the month of what a text leaves open is January 2000
+        ("5th of June, 2020", "2020-06"), ("JUNE 2020", "2020-06"), ("Sept. 2018", "2018-09"), ("2018 Sep", "2018-09"), ("Sep-2018", "2018-09"), ("Sep2018", "2018-09"), ("04.06.2020", "2020-04"), ("14.06.2020", "2020-06"), ("2020.06.14", "2020-06"),
+        ("1/2/03", "2003-01"), ("25/12/1999", "1999-12"), ("12/25/99", "1999-12"), ("99-12-25", "1999-12"), ("Apr-2003-25", "2003-04"), ("25-Apr-76", "1976-04"), ("25-Apr-74", "2074-04"), ("Tue, 3 Mar 2020 10:20:30 GMT", "2020-03"),
+        ("2020-03-04T05:06:07.89+05:30", "2020-03"), ("March 3 2020 at 5 pm", "2020-03"), ("20200314", "2020-03"), ("20200314101112", "2020-03"), ("200314", "2014-03"), ("Monday", "2000-01"), ("10:30", "2000-01"), ("7", "2000-01"), ("May", "2000-05"),
+        ("29 Feb 2020", "2020-02"), ("29 Feb 2019", None), ("31 June 2020", None), ("13/13/2020", None), ("June July 2020", None), ("1 2 3 4", None), ("12345", None), ("2020-06-00", None), ("June 2020!", None), ("– 2020", None), ("06.2019", None), (" \t", None), (".,", None),
+        ("June " * 1000, None), ("2020 2021", None), ("x" * 5000, None),
+    ]),
+    (N.phone, [  # numbering plans
+        ("+49 30 123456", "+4930123456"), ("+49 30 12", None), ("+39 06 698 12345", "+390669812345"), ("+81 90-1234-5678", "+819012345678"), ("+55 (11) 91234-5678", "+5511912345678"), ("+880 1712 345678", "+8801712345678"), ("+880 17", None),
+        ("+1 (212) 155-0100", None), ("+1 112 555 0100", None), ("+999 123456789", None), ("+", None), ("++91 98765 43210", "+919876543210"), ("+91 98765 43210 +", "+919876543210"), ("+971 4 123 4567", "+97141234567"), ("+353 86 123 4567", "+353861234567"),
+        ("+35 812 3456789", "+358123456789"), ("+44 9123 456789", None), ("9" * 40, None), ("09876543210", "+919876543210"),
+    ]),
+    (lambda c: N.phone(c, "49"), [("030 123456", "+4930123456"), ("+1 212 555 0100", "+12125550100"), ("4930123456", "+494930123456")]),
     (N.years, [("5+ years", 5.0), ("3-5", 4.0), ("2.5", 2.5), ("1 2 9", 1.5), ("none", None), ("", None), (None, None)]),
     (N.phone, [("98765 43210", "+919876543210"), ("+91-9876543210", "+919876543210"), ("919876543210", "+919876543210"), ("+1 (212) 555-0100", "+12125550100"), ("+1-415-555-1234", "+14155551234"), ("+44 7911 123456", "+447911123456"), ("098765 43210", "+919876543210"), ("123", None), ("0" * 19, None), ("no number", None), ("", None), (None, None)]),
     (lambda c: N.phone(c, "1"), [("415-555-1234", "+14155551234"), ("98765", None)]),
