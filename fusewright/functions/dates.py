@@ -59,7 +59,7 @@ _SEQUENCES = {"".join(k): p for n in (1, 2, 3) for k in itertools.product("MLYDN
 
 
 def _word(token: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in _WORDS.items() for x in pair]), token), F.lit(_BAD))
+    return F.coalesce(F.try_element_at(F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in _WORDS.items())), F.lit(r"\|"), F.lit("=")), token), F.lit(_BAD))
 
 
 def _places_of(slots: Column) -> Column:
@@ -67,7 +67,7 @@ def _places_of(slots: Column) -> Column:
     table = [_SEQUENCES.get("".join(_KINDS[i] for i in (a, b, c) if i), "") for a, b, c in itertools.product(range(6), repeat=3)]
     at = lambda i: F.instr(F.lit(_KINDS[1:]), F.substring(slots, 6 * i + 1, 1))  # noqa: E731  0 for no slot
     where = lambda i: F.when(F.length(slots) > 6 * i, at(i)).otherwise(0)
-    return F.get(F.array(*map(F.lit, table)), where(0) * 36 + where(1) * 6 + where(2))
+    return F.get(F.split(F.lit(",".join(table)), ","), where(0) * 36 + where(1) * 6 + where(2))
 
 
 def _slot(token: Column) -> Column:
