@@ -57,7 +57,32 @@ def ordered_distinct(c: Column) -> Column:
     return F.array_distinct(c)
 
 
+def _runs(items: Column, key, make) -> Column:
+    """make(items, sorted (k, i), starts, start, number) for every run of equal keys.
+
+    One sort puts equal keys together, so the work is that of sorting, not items times keys.
+    """
+    same = lambda sorted_, p, j: F.get(sorted_, j - 1)["k"].eqNullSafe(p["k"])
+
+    def placed(xs, sorted_):
+        marked = F.transform(sorted_, lambda p, j: F.when((j == 0) | ~same(sorted_, p, j), j))
+        return let(F.array_compact(marked), lambda starts: F.transform(starts, lambda s, r: make(xs, sorted_, starts, s, r)))
+
+    pairs = lambda xs: F.array_sort(F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    return let(items, lambda xs: let(pairs(xs), lambda sorted_: placed(xs, sorted_)))
+
+
 def first_by(items: Column, key) -> Column:
-    """Items with keys not seen before, in order."""
-    keys = F.array_distinct(F.transform(items, key))
-    return F.transform(keys, lambda k: F.get(F.filter(items, lambda x: key(x) == k), F.lit(0)))
+    """Items with keys not seen before, in order; null is a key like others."""
+    firsts = lambda xs: F.array_sort(_runs(xs, key, lambda _, sorted_, starts, s, r: F.get(sorted_, s)["i"]))
+    return let(items, lambda xs: F.transform(firsts(xs), lambda i: F.get(xs, i)))
+
+
+def grouped_by(items: Column, key) -> Column:
+    """Arrays of the items with equal keys, by first appearance, each in order; items must be of a type that can be sorted."""
+
+    def group(xs, sorted_, starts, s, r):
+        members = F.slice(sorted_, s + 1, F.coalesce(F.get(starts, r + 1), F.size(sorted_)) - s)
+        return F.struct(F.get(sorted_, s)["i"].alias("i"), F.transform(members, lambda p: F.get(xs, p["i"])).alias("x"))
+
+    return F.transform(F.array_sort(_runs(items, key, group)), lambda g: g["x"])

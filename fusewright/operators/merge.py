@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.lookups import ENTRY_CONFIDENCE, PRIORITY, WEIGHTS
-from ..functions.text import blank_to_null, entity_id, first_by, strip
+from ..functions.text import blank_to_null, entity_id, first_by, grouped_by, let, strip
 from . import score
 
 SCALARS = {"full_name": N.name, "location": N.location, "headline": lambda c: c, "years_experience": lambda c: c}
@@ -84,8 +84,8 @@ def _latest_first(c: Column, sort_by: str) -> Column:
     return F.transform(F.array_sort(placed, later), lambda x: x["v"])
 
 
-def _skill(found: Column, key: Column, place: Column) -> Column:
-    mine = F.filter(found, lambda x: F.lower(x["v"]) == key)
+def _skill(mine: Column, place: Column) -> Column:
+    """One skill from all that was found under its name."""
     sources = F.array_distinct(F.transform(mine, lambda x: x["source"]))
     top = F.array_max(F.transform(mine, lambda x: x["c"]))
     confidence = F.round(F.least(F.lit(1.0), top + (F.size(sources) - 1) * 0.02), 4)
@@ -121,8 +121,8 @@ def merge(records: DataFrame) -> DataFrame:
         | {f"n_{f}": scored(f, F.filter(f"f_{f}", lambda x: x["v"].isNotNull() & (x["v"] != "")), "v") for f in SCALARS}
         | {"n_skills": scored("skills", F.col("f_skills"), "v")}
     )
-    step = step.withColumn("keys", F.array_distinct(F.transform("n_skills", lambda x: F.lower(x["v"]))))
-    step = step.withColumn("ranked", F.array_sort(F.transform("keys", lambda k, i: _skill(F.col("n_skills"), k, i)), lambda p, q: F.when(p["a"] < q["a"], -1).when(p["a"] > q["a"], 1).when(p["b"] < q["b"], -1).when(p["b"] > q["b"], 1).when(p["i"] < q["i"], -1).otherwise(1)))
+    step = step.withColumn("by_name", grouped_by(F.col("n_skills"), lambda x: F.lower(x["v"])))
+    step = step.withColumn("ranked", F.array_sort(F.transform("by_name", _skill)))  # by sources, confidence and place, which is its own
 
     def entries(field):
         c = F.col(f"n_{field}")
@@ -149,7 +149,7 @@ def merge(records: DataFrame) -> DataFrame:
             confidence = score.list_confidence(field, F.size(mine), source)
         else:
             confidence = F.array_max(F.transform(mine, lambda e: e["confidence"]))
-            source = _first(F.filter(mine, lambda e: e["confidence"] == F.array_max(F.transform(mine, lambda z: z["confidence"]))))["source"]
+            source = let(confidence, lambda top: _first(F.filter(mine, lambda e: e["confidence"] == top))["source"])
         n = F.size(F.array_distinct(F.transform(mine, lambda e: e["source"])))
         return F.when(F.size(mine) > 0, F.struct(F.lit(field).alias("field"), source.alias("selected_source"), confidence.alias("confidence"), score.by_source_count(confidence, n).alias("adjusted"), n.alias("n_sources"), mine.alias("entries")))
 
