@@ -7,7 +7,6 @@ import logging
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .errors import FusionError
 from .pipeline import run_pipeline
@@ -24,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--projection-config", metavar="PATH")
     p.add_argument("--many", action="store_true", help="the sources hold many candidates, which meet by their first email")
     p.add_argument("--link-any", action="store_true", help="with --many: candidates meet by any shared email, phone or link")
+    p.add_argument("--quarantine-dir", metavar="PATH", help="bad lines of tables and exports go there")
     p.add_argument("-v", "--verbose", action="store_true")
     return p
 
@@ -38,12 +38,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("fusewright").getOrCreate()
     server = {k: v for k, v in (("token", a.github_token), ("base", a.github_api)) if v}
     try:
-        r = run_pipeline(spark, resume_path=a.resume, ats_path=a.ats, csv_path=a.csv, github_path=a.github, output_dir=a.output_dir, projection_config_path=a.projection_config, one_entity=not a.many, link_any=a.link_any, github_username=a.github_username, github_server=server)
+        r = run_pipeline(spark, resume_path=a.resume, ats_path=a.ats, csv_path=a.csv, github_path=a.github, output_dir=a.output_dir, projection_config_path=a.projection_config, one_entity=not a.many, quarantine_dir=a.quarantine_dir, link_any=a.link_any, github_username=a.github_username, github_server=server)
     except FusionError as e:
         print(f"failed: {e}", file=sys.stderr)
         return 1
-    total = r.profiles.agg(F.count(F.lit(1)).alias("profiles"), *(F.sum(F.size(c)).alias(c) for c in ("skills", "experience", "education")), F.round(F.avg("overall_confidence"), 4).alias("confidence")).first()
-    print("\n".join(f"{k}: {v}" for k, v in (total.asDict() | {"sources": ", ".join(r.sources), "candidate": r.candidate_path, "report": r.report_path, "seconds": r.elapsed_seconds}).items()))
+    print("\n".join(f"{k}: {v}" for k, v in (r.counters | {"sources": ", ".join(r.sources), "candidate": r.candidate_path, "report": r.report_path, "seconds": r.elapsed_seconds}).items()))
     for w in r.warnings:
         print(f"warning: {w}")
     return 0

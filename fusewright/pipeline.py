@@ -6,7 +6,7 @@ import functools
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import FusionError, NoSourceError, ProfileError
@@ -18,7 +18,7 @@ from .operators.validate import validate
 from .plans.project import project, report
 from .plans.sinks import pretty, write_lines, write_text
 from .schema import SOURCE_RECORD
-from .sources import ats, fetch, profile, resume, table
+from .sources import ats, fetch, profile, quarantine, resume, table
 from .sources.files import load_config
 
 CANDIDATE_FILE, REPORT_FILE = "candidate.json", "pipeline_report.json"
@@ -28,7 +28,10 @@ SOURCES = {"resume": resume.read, "ats": ats.read, "csv": table.read, "github":
 
 @dataclass
 class PipelineResult:
-    """profiles: validated, not projected.  warnings: of sources that failed or were cut to one row."""
+    """profiles: validated, not projected.  warnings: of sources that failed or were cut to one row, and of bad rows.
+
+    counters: of the profiles written, taken while they were; empty without output.
+    """
 
     profiles: DataFrame
     report: DataFrame
@@ -37,6 +40,7 @@ class PipelineResult:
     candidate_path: str | None = None
     report_path: str | None = None
     elapsed_seconds: float = 0.0
+    counters: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -51,6 +55,24 @@ def fuse(records: DataFrame) -> DataFrame:
     return validate(M.merge(records))
 
 
+def counted(profiles: DataFrame) -> tuple[DataFrame, Observation]:
+    """The profiles, and their counters once an action has read them: no job of their own."""
+    seen = Observation("profiles")
+    n = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    lists = {c: n(c).alias(c) for c in ("skills", "experience", "education")}
+    return profiles.observe(seen, F.count(F.lit(1)).alias("profiles"), *lists.values(), n("validator_warnings").alias("validator_warnings"), F.round(F.avg("overall_confidence"), 4).alias("confidence")), seen
+
+
+def read_apart(spark: SparkSession, name: str, path: str, folder: str) -> tuple[DataFrame, int]:
+    """(records, number of bad rows) of a table or of exports by line; bad rows go to ``folder``/name as JSON lines with file, offset and reason."""
+    header = quarantine.csv_header(spark, path) if name == "csv" else []
+    scan = quarantine.scan_csv(spark, path, header) if name == "csv" else quarantine.scan_ats(spark, path)
+    fine, bad = quarantine.divide(scan)
+    told, seen = quarantine.located(bad, path), Observation("bad")
+    write_lines(told.observe(seen, F.count(F.lit(1)).alias("n")), f"{folder.rstrip('/')}/{name}")
+    return quarantine.csv_records(fine, header) if name == "csv" else quarantine.ats_records(fine), seen.get["n"]
+
+
 def by_first_email(records: DataFrame) -> DataFrame:
     """The records with fusion_id made from the first email, else from the name; with neither it stays."""
     return records.withColumn("fusion_id", F.coalesce(entity_id(F.coalesce(F.get("emails", F.lit(0)), F.lower("full_name"))), "fusion_id"))
@@ -74,13 +96,14 @@ def fetch_profile(spark: SparkSession, who: str, **server) -> DataFrame:
 
 def run_pipeline(
     spark: SparkSession, *, resume_path: str | None = None, ats_path: str | None = None, csv_path: str | None = None, github_path: str | None = None, github_username: str | None = None, github_server: dict | None = None,
-    output_dir: str | None = None, projection_config_path: str | None = None, one_entity: bool = True, link_any: bool = False,
+    output_dir: str | None = None, projection_config_path: str | None = None, one_entity: bool = True, link_any: bool = False, quarantine_dir: str | None = None,
 ) -> PipelineResult:
     """Reads the given sources, fuses them and writes profile and report.
 
     one_entity: all sources describe one candidate, of a table the first row counts, output is two JSON
     files.  Otherwise records meet by their first email, else by name (link_any: by any email, phone or link), and output is two folders of JSON
     lines.  github_username: a developer whose profile is fetched, from the server that github_server tells of (see ``fetch.Server``).  A source that cannot be read is a warning as long as another can.
+    quarantine_dir: tables, and exports of one object a line, are read line by line, and their bad lines go there.
     """
     began = time.time()
     given = {k: p for k, p in (("resume", resume_path), ("ats", ats_path), ("github", github_path or github_username), ("csv", csv_path)) if p}
@@ -91,7 +114,12 @@ def run_pipeline(
     for name, path in given.items():
         try:
             fetch_it = name == "github" and not github_path
-            found = fetch_profile(spark, path, **(github_server or {})) if fetch_it else SOURCES[name](spark, path)
+            if quarantine_dir and name in ("csv", "ats"):
+                found, n_bad = read_apart(spark, name, path, quarantine_dir)
+                if n_bad:
+                    warnings.append(f"{name}: {n_bad} bad rows in {path}")
+            else:
+                found = fetch_profile(spark, path, **(github_server or {})) if fetch_it else SOURCES[name](spark, path)
             if found.isEmpty():  # readers are lazy: this reads their first row, so that what is broken shows here
                 warnings.append(f"{name}: no record in {path}")
             else:
@@ -114,7 +142,8 @@ def run_pipeline(
         shape = config.get("output", {})
         base = output_dir.rstrip("/")
         out.candidate_path, out.report_path = f"{base}/{shape.get('candidate_json', CANDIDATE_FILE)}", f"{base}/{shape.get('pipeline_report', REPORT_FILE)}"
-        shown = project(profiles.drop("sources", "validator_warnings"), config)
+        observed, seen = counted(profiles)
+        shown = project(observed.drop("sources", "validator_warnings"), config)
         out.elapsed_seconds = round(time.time() - began, 4)
         if flags.get("include_timing", True):
             out.report = told = told.withColumn("elapsed_seconds", F.lit(out.elapsed_seconds))
@@ -125,6 +154,7 @@ def run_pipeline(
         else:
             write_lines(shown, out.candidate_path)
             write_lines(told, out.report_path)
+        out.counters = seen.get
     out.elapsed_seconds = round(time.time() - began, 4)
     return out
 

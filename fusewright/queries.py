@@ -9,11 +9,12 @@ from .functions import text as T
 from .functions.lookups import MAIL_IN_TEXT, NANP, PHONES, PLACES, SKILLS
 from .operators import merge as M
 from .operators import score as S
+from .operators.alias import canonical, unknown
 from .operators.resolve import resolve
 from .operators.validate import validate
 from .plans import project as P
 from .plans.sinks import write_lines, write_text
-from .sources import ats, profile, resume, table
+from .sources import ats, profile, quarantine, resume, table
 from .sources.files import scratch
 from .synth import RECORDS, RESUMES, exports, flat_records, resumes, source_records
 
@@ -545,3 +546,65 @@ def resolve_entities(spark, sf_dir):
     """All source records, without their customers' keys: which belong together by emails, phones and links."""
     records = source_records(spark, sf_dir).withColumn("record_id", F.concat_ws("/", "fusion_id", "source"))
     return resolve(records, most=_HUB)[0]
+
+
+_CELLS = "Name,Email,Skills,City"
+_BAD_LINES = """CASE c_custkey % 9 WHEN 0 THEN 'a,b@x.org,c,d,one more' WHEN 1 THEN '' WHEN 2 THEN ',,none,' WHEN 3 THEN c_name || ',"q,u@x.org' WHEN 4 THEN 'bad {odd}(,' || c_name
+    ELSE c_name || ',U' || CAST(c_custkey AS STRING) || '@x.org,"py, sql",' || c_mktsegment END"""
+
+
+@query(f"""WITH l AS (SELECT c_custkey, c_custkey // 5000 AS part, c_custkey % 9 AS k, {_BAD_LINES.format(odd="Ã")} AS text FROM customer), s AS (SELECT *, strlen(text) + 1 - (k = 4)::INT AS n FROM l),
+    p AS (SELECT *, {len(_CELLS) + 1} + coalesce(sum(n) OVER (PARTITION BY part ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM s)
+    SELECT CASE WHEN k < 5 THEN part END AS part, CASE WHEN k < 5 THEN pos::BIGINT END AS "offset", CASE k WHEN 0 THEN 'too many cells' WHEN 1 THEN 'no known cell' WHEN 2 THEN 'no known cell' WHEN 3 THEN 'open quote' WHEN 4 THEN 'no UTF-8' END AS reason,
+    CASE WHEN k < 5 THEN text END AS text, CASE WHEN k >= 5 THEN 'u' || c_custkey || '@x.org' END AS email, CASE WHEN k >= 5 THEN 'Python,SQL' END AS skills FROM p""")
+def quarantine_csv(spark, sf_dir):
+    """A table of all customers in files of 5000, five lines of nine broken: the bad lines with their places, and the good ones' records."""
+    odd = F.unhex(F.lit("C3")).cast("string")
+    rows = _t(spark, sf_dir, "customer").withColumn("odd", odd)
+    text = F.when(F.col("c_custkey") % 9 == 4, F.concat(F.lit("bad "), "odd", F.lit("(,"), "c_name")).otherwise(F.expr(_BAD_LINES.format(odd="")))
+    part = F.expr("c_custkey div 5000")
+    body = rows.select(part.alias("part"), "c_custkey", text.alias("value"))
+    head = rows.select(part.alias("part")).distinct().select("part", F.lit(-1).alias("c_custkey"), F.lit(_CELLS).alias("value"))
+    path = scratch(spark)
+    body.unionByName(head).repartition("part").sortWithinPartitions("part", "c_custkey").select("part", "value").write.partitionBy("part").text(path)
+    header = quarantine.csv_header(spark, path)
+    fine, bad = quarantine.divide(quarantine.scan_csv(spark, path, header))
+    told = quarantine.located(bad, path).select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "offset", "reason", "text", F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("skills"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    read = quarantine.csv_records(fine, header).select(none("long", "part"), none("long", "offset"), none("string", "reason"), none("string", "text"), F.array_join("emails", ",").alias("email"), F.array_join("skills", ",").alias("skills"))
+    return told.unionByName(read)
+
+
+_BAD_EXPORTS = """CASE o_orderkey % 7 WHEN 0 THEN '{"id": "A' || CAST(o_orderkey AS STRING) || '", "email": ' WHEN 1 THEN '["A' || CAST(o_orderkey AS STRING) || '"]' WHEN 2 THEN '  ' WHEN 3 THEN CAST(o_orderkey AS STRING)
+    ELSE '{"id": "A' || CAST(o_orderkey AS STRING) || '", "emails": ["U' || CAST(o_custkey AS STRING) || '@x.org", "no mail"], "tags": "sql, py"}' END"""
+
+
+@query(f"""WITH l AS (SELECT o_orderkey, o_custkey, o_orderkey // 20000 AS part, o_orderkey % 7 AS k, {_BAD_EXPORTS} AS text FROM orders),
+    p AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY part ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l)
+    SELECT CASE WHEN k < 4 THEN part END AS part, CASE WHEN k < 4 THEN pos::BIGINT END AS "offset", CASE k WHEN 0 THEN 'no JSON' WHEN 1 THEN 'no object' WHEN 2 THEN 'blank' WHEN 3 THEN 'no object' END AS reason,
+    CASE WHEN k < 4 THEN text END AS text, CASE WHEN k >= 4 THEN 'A' || o_orderkey END AS fusion_id, CASE WHEN k >= 4 THEN 'u' || o_custkey || '@x.org' END AS email FROM p""")
+def quarantine_ats(spark, sf_dir):
+    """Exports made of all orders in files of 20,000 lines, four of seven broken: the bad lines with their places, and the good ones' records."""
+    part = F.expr("o_orderkey div 20000")
+    path = scratch(spark)
+    _t(spark, sf_dir, "orders").select(part.alias("part"), "o_orderkey", F.expr(_BAD_EXPORTS).alias("value")).repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(path)
+    fine, bad = quarantine.divide(quarantine.scan_ats(spark, path))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    told = quarantine.located(bad, path).select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "offset", "reason", "text", none("string", "fusion_id"), none("string", "email"))
+    return told.unionByName(quarantine.ats_records(fine).select(none("long", "part"), none("long", "offset"), none("string", "reason"), none("string", "text"), "fusion_id", F.array_join("emails", ",").alias("email")))
+
+
+_MENTION = "CASE WHEN o_orderkey % 3 = 0 THEN ' CUSTOMER#000000001 ' WHEN o_orderkey % 50 = 1 THEN NULL ELSE '  customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') END"
+
+
+@query(f"WITH m AS (SELECT o_orderkey, {_MENTION} AS mention FROM orders), a AS (SELECT lower(c_name) AS k, min(c_mktsegment || c_custkey % 4) AS v FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1) SELECT o_orderkey, mention, v AS canonical FROM m LEFT JOIN a ON lower(trim(mention)) = k")
+def alias_join(spark, sf_dir):
+    """All orders' mentions of customers, a third of them of one, by an alias table made of the customers."""
+    names = _t(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").selectExpr("c_name AS alias", "c_mktsegment || CAST(c_custkey % 4 AS STRING) AS canonical")
+    return canonical(_t(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_MENTION} AS mention"), "mention", names)
+
+
+@query(_R + f", e AS (SELECT lower({_strip('unnest(string_split(skills, chr(59)))')}) AS name FROM r), a AS (SELECT unnest([{', '.join(repr(k) for k in SKILLS)}]) AS name) SELECT name, count(*) AS n FROM e ANTI JOIN a USING (name) WHERE name <> '' GROUP BY name")
+def unknown_skills(spark, sf_dir):
+    """Skills of all records that no alias has."""
+    return unknown(flat_records(spark, sf_dir).select(F.explode(F.split("skills", ";")).alias("skill")), "skill", spark.createDataFrame(list(SKILLS.items()), "alias string, canonical string"))
