@@ -16,7 +16,7 @@ from .operators import merge as M
 from .operators.resolve import MOST_SHARED, resolve
 from .operators.validate import validate
 from .plans.project import project, report
-from .plans.sinks import pretty, write_lines, write_text
+from .plans.sinks import pretty, publish, write_lines, write_text
 from .schema import SOURCE_RECORD
 from .sources import ats, fetch, profile, quarantine, resume, table
 from .sources.files import load_config
@@ -102,7 +102,7 @@ def run_pipeline(
 
     one_entity: all sources describe one candidate, of a table the first row counts, output is two JSON
     files.  Otherwise records meet by their first email, else by name (link_any: by any email, phone or link), and output is two folders of JSON
-    lines.  github_username: a developer whose profile is fetched, from the server that github_server tells of (see ``fetch.Server``).  A source that cannot be read is a warning as long as another can.
+    lines, published together (``plans.sinks.published`` reads them).  github_username: a developer whose profile is fetched, from the server that github_server tells of (see ``fetch.Server``).  A source that cannot be read is a warning as long as another can.
     quarantine_dir: tables, and exports of one object a line, are read line by line, and their bad lines go there.
     """
     began = time.time()
@@ -152,8 +152,9 @@ def run_pipeline(
             write_text(spark, out.candidate_path, pretty(shown, *style))
             write_text(spark, out.report_path, pretty(told, *style))
         else:
-            write_lines(shown, out.candidate_path)
-            write_lines(told, out.report_path)
+            names = [p[len(base) + 1 :] for p in (out.candidate_path, out.report_path)]
+            made = publish(dict(zip(names, (shown, told))), base)["outputs"]
+            out.candidate_path, out.report_path = (f"{base}/{made[n]['path']}" for n in names)
         out.counters = seen.get
     out.elapsed_seconds = round(time.time() - began, 4)
     return out

@@ -13,7 +13,7 @@ from .operators.alias import canonical, unknown
 from .operators.resolve import resolve
 from .operators.validate import validate
 from .plans import project as P
-from .plans.sinks import write_lines, write_text
+from .plans.sinks import manifest, publish, published, write_lines, write_text
 from .sources import ats, profile, quarantine, resume, table
 from .sources.files import scratch
 from .synth import RECORDS, RESUMES, exports, flat_records, resumes, source_records
@@ -170,15 +170,15 @@ def norm_url(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", N.url(F.col("url")).alias("url"), resume.link_label(F.col("url")).alias("label"))
 
 
-@query(_R + f", e AS (SELECT fusion_id, source, i, {_SKILL('raw')} AS v FROM (SELECT fusion_id, source, unnest(string_split(skills, ';')) AS raw, generate_subscripts(string_split(skills, ';'), 1) AS i FROM r)), f AS (SELECT fusion_id, source, arg_min(v, i) AS v, min(i) AS i FROM e GROUP BY fusion_id, source, lower(v)) SELECT fusion_id, source, string_agg(v, ',' ORDER BY i) AS skills FROM f GROUP BY ALL")
+@query(_R + f", e AS (SELECT fusion_id, source, i, {_SKILL('raw')} AS v FROM (SELECT fusion_id, source, unnest(string_split(skills, ';')) AS raw, generate_subscripts(string_split(skills, ';'), 1) AS i FROM r)), f AS (SELECT fusion_id, source, arg_min(v, i) AS v, min(i) AS i FROM e GROUP BY fusion_id, source, lower(v)) SELECT fusion_id, source, skills FROM (SELECT fusion_id, source FROM r) LEFT JOIN (SELECT fusion_id, source, string_agg(v, ',' ORDER BY i) AS skills FROM f GROUP BY ALL) USING (fusion_id, source)")
 def skills_list(spark, sf_dir):
-    return flat_records(spark, sf_dir).where("skills is not null").select("fusion_id", "source", F.array_join(N.skills_list(F.split("skills", ";")), ",").alias("skills"))
+    return flat_records(spark, sf_dir).select("fusion_id", "source", F.array_join(N.skills_list(F.split("skills", ";")), ",").alias("skills"))
 
 
-@query(_R + f", m AS (SELECT fusion_id, source, list_filter(list_transform(regexp_split_to_array(emails || ' | ; ' || coalesce(location, ''), '[;|,\\s]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM r WHERE emails IS NOT NULL) SELECT fusion_id, source, len(p) AS n, array_to_string(p, '/') AS parts FROM m")
+@query(_R + f", m AS (SELECT fusion_id, source, list_filter(list_transform(string_split_regex(emails || ' | ; ' || coalesce(location, ''), '[;|,\\s]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM r) SELECT fusion_id, source, len(p) AS n, array_to_string(p, '/') AS parts FROM m")
 def split_multi(spark, sf_dir):
     parts = T.split_multi(F.concat("emails", F.lit(" | ; "), F.coalesce("location", F.lit(""))), r"[;|,\s]+")
-    return flat_records(spark, sf_dir).where("emails is not null").select("fusion_id", "source", F.size(parts).cast("long").alias("n"), F.array_join(parts, "/").alias("parts"))
+    return flat_records(spark, sf_dir).select("fusion_id", "source", F.size(parts).cast("long").alias("n"), F.array_join(parts, "/").alias("parts"))
 
 
 def _agg(raw, change, keep="v IS NOT NULL", distinct=False):
@@ -284,21 +284,21 @@ def merge_phones(spark, sf_dir):
     return M.spread(M.merge(source_records(spark, sf_dir)), "phones").withColumnRenamed("x", "phone")
 
 
-@query(_R + ", e AS (SELECT fusion_id, prio, unnest(string_split(links, ';')) AS raw, generate_subscripts(string_split(links, ';'), 1) AS i FROM r), u AS (SELECT fusion_id, prio * 100 + i AS o, split_part(raw, '|', 2) AS label, CASE WHEN starts_with(raw, 'http') THEN split_part(raw, '|', 1) WHEN contains(split_part(raw, '|', 1), '.') THEN 'https://' || split_part(raw, '|', 1) END AS url FROM e) SELECT fusion_id, url, arg_min(label, o) AS label FROM u WHERE url IS NOT NULL GROUP BY fusion_id, url")
+@query(_R + ", e AS (SELECT fusion_id, prio, unnest(string_split(links, ';')) AS raw, generate_subscripts(string_split(links, ';'), 1) AS i FROM r), u AS (SELECT fusion_id, prio * 100 + i AS o, split_part(raw, '|', 2) AS label, CASE WHEN starts_with(raw, 'http') THEN split_part(raw, '|', 1) WHEN contains(split_part(raw, '|', 1), '.') THEN 'https://' || split_part(raw, '|', 1) END AS url FROM e) SELECT fusion_id, url, arg_min(label, o) AS label, row_number() OVER (PARTITION BY fusion_id ORDER BY min(o)) - 1 AS ord FROM u WHERE url IS NOT NULL GROUP BY fusion_id, url")
 def merge_links(spark, sf_dir):
-    return M.spread(M.merge(source_records(spark, sf_dir)), "links").select("fusion_id", "x.url", "x.label")
+    return M.spread(M.merge(source_records(spark, sf_dir)), "links").select("fusion_id", "x.url", "x.label", "ord")
 
 
 @query(
     _R
     + f""", e AS (SELECT fusion_id, prio, source, i, raw, {_SKILL('raw')} AS v FROM (SELECT fusion_id, prio, source, unnest(string_split(skills, ';')) AS raw, generate_subscripts(string_split(skills, ';'), 1) AS i FROM r)),
     c AS (SELECT *, round({_BASE} + CASE WHEN length(v) >= 3 THEN 0.03 ELSE 0 END + CASE WHEN length(v) >= 10 THEN 0.02 ELSE 0 END, 4) AS c FROM e),
-    g AS (SELECT fusion_id, lower(v) AS k, arg_min(raw, prio * 100 + i) AS name, arg_min(v, prio * 100 + i) AS canonical_name, count(DISTINCT source) AS n_sources, round(least(1, max(c) + (count(DISTINCT source) - 1) * 0.02), 4) AS confidence, min(prio * 100 + i) AS o FROM c GROUP BY 1, 2)
-    SELECT fusion_id, name, canonical_name, n_sources, confidence, row_number() OVER (PARTITION BY fusion_id ORDER BY n_sources DESC, confidence DESC, o) - 1 AS ord FROM g"""
+    g AS (SELECT fusion_id, lower(v) AS k, arg_min(raw, prio * 100 + i) AS name, arg_min(v, prio * 100 + i) AS canonical_name, count(DISTINCT source) AS n_sources, array_to_string(list_transform(list_sort(list(DISTINCT prio)), lambda p: ['resume', 'ats', 'github', 'csv'][p + 1]), ',') AS sources, round(least(1, max(c) + (count(DISTINCT source) - 1) * 0.02), 4) AS confidence, min(prio * 100 + i) AS o FROM c GROUP BY 1, 2)
+    SELECT fusion_id, name, canonical_name, sources, n_sources, confidence, row_number() OVER (PARTITION BY fusion_id ORDER BY n_sources DESC, confidence DESC, o) - 1 AS ord FROM g"""
 )
 def merge_skills(spark, sf_dir):
     x = M.spread(M.merge(source_records(spark, sf_dir)), "skills")
-    return x.select("fusion_id", "x.name", "x.canonical_name", F.size("x.sources").cast("long").alias("n_sources"), "x.confidence", "ord")
+    return x.select("fusion_id", "x.name", "x.canonical_name", F.array_join("x.sources", ",").alias("sources"), F.size("x.sources").cast("long").alias("n_sources"), "x.confidence", "ord")
 
 
 def _keyed_sql(field, parts, sort):
@@ -501,9 +501,16 @@ def experience_view(spark, sf_dir):
     return P.experience_view(M.merge(source_records(spark, sf_dir)))
 
 
-@query(_R + _ENTRIES + _JOINED + " SELECT fusion_id, count(*) AS n, coalesce(max(gpa), '-') AS best FROM (SELECT n.fusion_id, format('{:.2f}', nullif(try_cast(p[5] AS DOUBLE), 0)) AS gpa FROM n LEFT JOIN (SELECT * FROM edq QUALIFY row_number() OVER (PARTITION BY fusion_id, lower(p[1]) || '||' || lower(p[2]) ORDER BY o) = 1) USING (fusion_id)) GROUP BY 1")
+@query(_R + _ENTRIES + _JOINED + f", j AS (SELECT * FROM edq QUALIFY row_number() OVER (PARTITION BY fusion_id, lower(p[1]) || '||' || lower(p[2]) ORDER BY o) = 1) SELECT n.fusion_id, nullif(p[1], '') AS institution, nullif(p[2], '') AS degree, NULL::VARCHAR AS field_of_study, {_DATE(_BLANK_3)} AS start_date, {_DATE(_BLANK_4)} AS end_date, format('{{:.2f}}', nullif(try_cast(p[5] AS DOUBLE), 0)) AS gpa FROM n LEFT JOIN j USING (fusion_id)")
 def education_view(spark, sf_dir):
-    return P.education_view(M.merge(source_records(spark, sf_dir))).groupBy("fusion_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("gpa"), F.lit("-")).alias("best"))
+    return P.education_view(M.merge(source_records(spark, sf_dir)))
+
+
+@query(_R + ", e AS (SELECT fusion_id, unnest(string_split(links, ';')) AS raw FROM r WHERE substr(fusion_id, 2)::BIGINT % 2 = 1) SELECT DISTINCT fusion_id, CASE WHEN starts_with(raw, 'http') THEN split_part(raw, '|', 1) ELSE 'https://' || split_part(raw, '|', 1) END AS url FROM e WHERE contains(split_part(raw, '|', 1), '.')")
+def github_view(spark, sf_dir):
+    """The links that are labelled as a developer's, in whatever case; every second customer's are."""
+    labelled = F.transform("links", lambda x: x.withField("label", F.when(F.substring("fusion_id", 2, 20).cast("long") % 2 == 1, F.when(x["label"] == "Again", "github").otherwise("GitHub")).otherwise(x["label"])))
+    return P.github_links(M.merge(source_records(spark, sf_dir).withColumn("links", labelled)))
 
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT user_id, event_type AS language, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS rank FROM c QUALIFY rank <= 10")
@@ -608,3 +615,15 @@ def alias_join(spark, sf_dir):
 def unknown_skills(spark, sf_dir):
     """Skills of all records that no alias has."""
     return unknown(flat_records(spark, sf_dir).select(F.explode(F.split("skills", ";")).alias("skill")), "skill", spark.createDataFrame(list(SKILLS.items()), "alias string, canonical string"))
+
+
+@query("SELECT 'customers' AS output, c_custkey AS key, c_name AS name, n FROM customer, (SELECT count(*) AS n FROM customer) UNION ALL SELECT 'nations', n_nationkey, n_name, n FROM nation, (SELECT count(*) AS n FROM nation)")
+def publish_outputs(spark, sf_dir):
+    """Two outputs published together, three times at one place; what the manifest names is read, with the rows that were counted in writing."""
+    path = scratch(spark)
+    tables = {"customers": _t(spark, sf_dir, "customer").selectExpr("c_custkey AS key", "c_name AS name"), "nations": _t(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS LONG) AS key", "n_name AS name")}
+    for name in ("", "older", None):
+        publish(tables if name is None else {k: df.withColumn("name", F.lit(name)) for k, df in tables.items()}, path)
+    rows = {k: x["rows"] for k, x in manifest(spark, path)["outputs"].items()}
+    parts = [published(spark, path, k, "key long, name string").select(F.lit(k).alias("output"), "key", "name", F.lit(n).cast("long").alias("n")) for k, n in rows.items()]
+    return parts[0].unionByName(parts[1])
