@@ -13,10 +13,9 @@ import datetime
 import itertools
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from .lookups import DATE_FILLERS, LONG_MONTHS, MONTHS, WEEKDAYS
-from .text import let
+from .text import bind, let_sql, quoted
 
 _CLOCK = r"(?i)(?<![\d:])\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:[ap]m)?\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?(?![\w:])|(?<![\d:])\d{1,2}\s*[ap]m(?!\w)"
 _TOKEN = r"(\d+(?:\.\d+)?|[a-z]+|[^\sa-z\d])"
@@ -58,54 +57,61 @@ _WORDS = {m: f"M{i + 1:05}" for i, m in enumerate(MONTHS)} | {m: f"M{MONTHS.inde
 _SEQUENCES = {"".join(k): p for n in (1, 2, 3) for k in itertools.product("MLYDN", repeat=n) if (p := _places("".join(k)))}
 
 
-def _word(token: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in _WORDS.items())), F.lit(r"\|"), F.lit("=")), token), F.lit(_BAD))
+def _replaced(x: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({x}, {quoted(pattern)}, {quoted(by)})"
 
 
-def _places_of(slots: Column) -> Column:
+def _slot(token: str) -> str:
+    """Kind and value of a token, nothing for a filler."""
+    two = f"lpad({token}, 2, '0')"
+    kind = f"CASE WHEN length({token}) > 2 THEN 'L' WHEN {two} > '31' THEN 'Y' WHEN {two} > '12' THEN 'D' ELSE 'N' END"
+    number = f"CASE WHEN length({token}) > 4 THEN '{_BAD}' ELSE concat({kind}, lpad({token}, 5, '0')) END"
+    words = f"str_to_map({quoted('|'.join(f'{k}={v}' for k, v in _WORDS.items()))}, {quoted('[|]')}, '=')"  # one literal: a plan of a few nodes
+    digit = f"{token} BETWEEN '0' AND '9:'"
+    return f"CASE WHEN {digit} AND NOT contains({token}, '.') THEN {number} WHEN {digit} THEN '{_BAD}' ELSE coalesce(try_element_at({words}, {token}), '{_BAD}') END"
+
+
+def _places_of(slots: str) -> str:
     """The places for the kinds of up to three slots, found by a number made of them."""
     table = [_SEQUENCES.get("".join(_KINDS[i] for i in (a, b, c) if i), "") for a, b, c in itertools.product(range(6), repeat=3)]
-    at = lambda i: F.instr(F.lit(_KINDS[1:]), F.substring(slots, 6 * i + 1, 1))  # noqa: E731  0 for no slot
-    where = lambda i: F.when(F.length(slots) > 6 * i, at(i)).otherwise(0)
-    return F.get(F.split(F.lit(",".join(table)), ","), where(0) * 36 + where(1) * 6 + where(2))
+    where = [f"CASE WHEN length({slots}) > {6 * i} THEN instr('{_KINDS[1:]}', substring({slots}, {6 * i + 1}, 1)) ELSE 0 END" for i in range(3)]  # 0 for no slot
+    return f"get(split('{','.join(table)}', ','), ({where[0]}) * 36 + ({where[1]}) * 6 + ({where[2]}))"
 
 
-def _slot(token: Column) -> Column:
-    """Kind and value of a token, nothing for a filler."""
-    size = F.length(token)
-    two = F.lpad(token, 2, "0")
-    number = F.when(size > 4, _BAD).otherwise(F.concat(F.when(size > 2, "L").when(two > "31", "Y").when(two > "12", "D").otherwise("N"), F.lpad(token, 5, "0")))
-    digit = token.between("0", "9:")
-    return F.when(digit & ~token.contains("."), number).when(digit, _BAD).otherwise(_word(token))
+def sql_free_date(text: str, this_year: int | None = None) -> str:
+    """SQL of ``free_date``."""
+    now = this_year or datetime.date.today().year
+    clock = _replaced(_replaced("low", r"(?<=\d)t(?=\d{2}:)", " "), _CLOCK, " ")
+    timed = f"CASE WHEN low RLIKE {quoted(r':|\dm|\d\s*[ap]m')} THEN {clock} ELSE low END"
+    parted = _replaced(_replaced(_replaced("timed", _PACKED, "$1 $2 $3"), _PACKED_SHORT, "$1 $2 $3"), _DOTTED, "$1 $2 $3")
+    plain = f"CASE WHEN timed RLIKE {quoted(r'\d{6}|\d\.\d')} THEN {parted} ELSE timed END"
+    slots = f"array_join(transform(regexp_extract_all({plain}, {quoted(_TOKEN)}, 1), token -> {_slot('token')}), '')"
+    blank = "CASE WHEN timed != low THEN '2000-01' END"
+    dated = bind("kinds", f"replace(slots, '{_DAY}', '')", _read("kinds", now))
+    told = bind("slots", slots, f"CASE WHEN contains(slots, '{_BAD}') THEN NULL WHEN slots = '' THEN {blank} ELSE {dated} END")
+    return bind("low", f"lower({text})", bind("timed", timed, told))
+
+
+def _read(slots: str, now: int) -> str:
+    """The date of the slots."""
+    places = f"CASE WHEN {slots} = '' THEN '123' WHEN length({slots}) > 18 THEN '' ELSE {_places_of(slots)} END"
+    at = [f"substr(whole, CAST(substring(places, {i}, 1) AS INT) * 6 - 5, 6)" for i in (1, 2, 3)]
+    part = f"named_struct('y', {at[0]}, 'm', CAST(substr({at[1]}, 2) AS INT), 'd', CAST(substr({at[2]}, 2) AS INT))"
+    whole = bind("whole", f"concat('{_OPEN}', {slots})", bind("part", part, _checked(now)))
+    return bind("places", places, f"CASE WHEN places != '' THEN {whole} END")
 
 
-def free_date(c: Column, this_year: int | None = None) -> Column:
-    """YYYY-MM of a date in any spelling, else null.  Years of two digits lie within fifty years of ``this_year``."""
-    now = this_year or datetime.date.today().year
-    low = F.lower(c)
-    clock = F.regexp_replace(F.regexp_replace(low, r"(?<=\d)t(?=\d{2}:)", " "), _CLOCK, " ")
-    timed = F.when(low.rlike(r":|\dm|\d\s*[ap]m"), clock).otherwise(low)
-    plain = lambda t: F.when(t.rlike(r"\d{6}|\d\.\d"), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _PACKED, "$1 $2 $3"), _PACKED_SHORT, "$1 $2 $3"), _DOTTED, "$1 $2 $3")).otherwise(t)
-    slots = let(timed, lambda t: F.array_join(F.transform(F.regexp_extract_all(plain(t), F.lit(_TOKEN), F.lit(1)), _slot), ""))
-    blank = F.when(timed != low, "2000-01")
-    return let(slots, lambda s: F.when(s.contains(_BAD), None).when(s == "", blank).when(s.contains(_DAY), _read(F.replace(s, F.lit(_DAY), F.lit("")), now)).otherwise(_read(s, now)))
+def _checked(now: int) -> str:
+    """The date of ``part``, if there is such a day."""
+    leap = "((year % 4 = 0 AND year % 100 != 0) OR year % 400 = 0)"
+    last = f"CASE WHEN part.m = 2 THEN CASE WHEN {leap} THEN 29 ELSE 28 END WHEN part.m IN (4, 6, 9, 11) THEN 30 ELSE 31 END"
+    good = f"year > 0 AND part.m BETWEEN 1 AND 12 AND part.d > 0 AND (part.d < 29 OR part.d <= {last})"
+    number = "CAST(substr(part.y, 2) AS INT)"
+    century = bind("near", f"{number} + 2000", f"CASE WHEN near >= {now + 50} THEN near - 100 WHEN near < {now - 50} THEN near + 100 ELSE near END")
+    text = "concat(lpad(CAST(year AS STRING), 4, '0'), '-', lpad(CAST(part.m AS STRING), 2, '0'))"
+    return bind("year", f"CASE WHEN startswith(part.y, 'L') THEN {number} ELSE {century} END", f"CASE WHEN {good} THEN {text} END")
 
 
-def _read(slots: Column, now: int) -> Column:
-    """The date of the slots."""
-    places = F.when(slots == "", "123").when(F.length(slots) > 18, "").otherwise(_places_of(slots))
-    at = lambda w, p, i: F.substr(w, F.substring(p, i, 1).cast("int") * 6 - 5, F.lit(6))
-    parts = lambda w, p: F.struct(at(w, p, 1).alias("y"), F.substr(at(w, p, 2), F.lit(2)).cast("int").alias("m"), F.substr(at(w, p, 3), F.lit(2)).cast("int").alias("d"))
-    return let(places, lambda p: F.when(p != "", let(F.concat(F.lit(_OPEN), slots), lambda w: let(parts(w, p), lambda x: _checked(x, now)))))
-
-
-def _checked(x: Column, now: int) -> Column:
-    def dated(year: Column) -> Column:
-        month, day = x["m"], x["d"]
-        last = F.when(month == 2, F.when(((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0), 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-        good = (year > 0) & month.between(1, 12) & (day > 0) & ((day < 29) | (day <= last))
-        return F.when(good, F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0")))
-
-    century = lambda near: F.when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
-    number = F.substr(x["y"], F.lit(2)).cast("int")
-    return let(F.when(x["y"].startswith("L"), number).otherwise(let(number + 2000, century)), dated)
+def free_date(c: Column, this_year: int | None = None) -> Column:
+    """YYYY-MM of a date in any spelling, else null.  Years of two digits lie within fifty years of ``this_year``."""
+    return let_sql(c, sql_free_date("x", this_year))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import free_date
+from .dates import sql_free_date
 from .lookups import EMAIL, PLACES, PRESENT, SKILLS
 from .phones import phone  # noqa: F401  one of the normalisers
-from .text import blank_to_null, first_by, let, strip, title
+from .text import bind, blank_to_null, first_by, let_sql, quoted, sql_map, sql_strip, strip, title
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(F.expr(sql_map(table)), key)
 
 
 def email(c: Column) -> Column:
@@ -20,17 +20,22 @@ def email(c: Column) -> Column:
     return F.when(s.rlike(EMAIL), s)
 
 
-def date(c: Column, this_year: int | None = None) -> Column:
-    """YYYY-MM, or Present; months of M/YYYY and YYYY/M are not checked, other spellings are read token by token."""
-    month = lambda m: F.lpad(m, 2, "0")
+def sql_date(x: str, this_year: int | None = None) -> str:
+    """SQL of ``date``."""
+    month = lambda m: f"lpad({m}, 2, '0')"
+    like = lambda pattern: f"s RLIKE {quoted(pattern)}"
+    first, last = "substring_index(s, '/', 1)", "substring_index(s, '/', -1)"
     # year, or month and year by a slash: their digits say which; other spellings are longer or have letters
-    short = lambda s: (
-        F.when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01")))
-        .when(s.rlike(r"^\d{1,2}/\d{4}$"), F.concat(F.substring_index(s, "/", -1), F.lit("-"), month(F.substring_index(s, "/", 1))))
-        .when(s.rlike(r"^\d{4}/\d{1,2}$"), F.concat(F.substring_index(s, "/", 1), F.lit("-"), month(F.substring_index(s, "/", -1))))
-        .otherwise(free_date(s, this_year))
+    read = (
+        f"CASE WHEN {like(PRESENT)} THEN 'Present' WHEN {like(r'^\d{4}$')} THEN concat(s, '-01') WHEN {like(r'^\d{1,2}/\d{4}$')} THEN concat({last}, '-', {month(first)})"
+        f" WHEN {like(r'^\d{4}/\d{1,2}$')} THEN concat({first}, '-', {month(last)}) ELSE {sql_free_date('s', this_year)} END"
     )
-    return F.when(c != "", let(strip(c), lambda s: F.when(s.rlike(PRESENT), "Present").otherwise(short(s))))
+    return f"CASE WHEN {x} != '' THEN {bind('s', sql_strip(x), read)} END"
+
+
+def date(c: Column, this_year: int | None = None) -> Column:
+    """YYYY-MM, or Present; months of M/YYYY and YYYY/M are not checked, other spellings are read token by token."""
+    return let_sql(c, sql_date("x", this_year))
 
 
 def name(c: Column) -> Column:

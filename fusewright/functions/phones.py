@@ -5,10 +5,9 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from .lookups import NANP, PHONES
-from .text import let
+from .text import bind, let_sql, quoted
 
 DIGITS = 15  # the most that a number has
 
@@ -43,31 +42,32 @@ def intervals() -> list[tuple[int, int, int, int]]:
     return merged
 
 
-def valid(digits: Column) -> Column:
-    """Whether a number of digits with its calling code follows a plan."""
+def _valid(digits: str) -> str:
+    """SQL: whether a number of digits with its calling code follows a plan."""
     table = intervals()
     # tables as one text each, which the optimiser splits once: a plan of a few nodes
-    starts, rules = (F.split(F.lit(",".join(column)), ",") for column in zip(*((f"{n:0{DIGITS}}", f"{a:02}{b:02}{c:02}") for n, a, b, c in table)))
+    starts, rules = (f"split('{','.join(column)}', ',')" for column in zip(*((f"{n:0{DIGITS}}", f"{a:02}{b:02}{c:02}") for n, a, b, c in table)))
     # steps of a halving size: the last start that is not above the number
-    sizes = [1 << k for k in reversed(range(len(table).bit_length()))]
-    search = lambda number: F.aggregate(F.array(*map(F.lit, sizes)), F.lit(0), lambda i, size: F.when(F.get(starts, i + size) <= number, i + size).otherwise(i))
+    sizes = ", ".join(str(1 << k) for k in reversed(range(len(table).bit_length())))
+    search = f"aggregate(array({sizes}), 0, (i, size) -> CASE WHEN get({starts}, i + size) <= number THEN i + size ELSE i END)"
+    part = [f"CAST(substring(rule, {i}, 2) AS INT)" for i in (1, 3, 5)]
+    fourth = f"(NOT startswith({digits}, '{NANP[0]}') OR substring({digits}, {NANP[1] + len(NANP[0])}, 1) >= '{NANP[2]}')"
+    judged = f"length({digits}) - {part[0]} BETWEEN {part[1]} AND {part[2]} AND {fourth}"
+    found = bind("number", f"rpad({digits}, {DIGITS}, '0')", bind("rule", f"get({rules}, {search})", judged))
+    return f"CASE WHEN length({digits}) <= {DIGITS} AND {digits} != '' THEN {found} ELSE false END"
 
-    def judged(place: Column) -> Column:
-        code, least, most = (F.substring(F.get(rules, place), i, 2).cast("int") for i in (1, 3, 5))
-        national = F.length(digits) - code
-        fourth = F.when(digits.startswith(NANP[0]), F.substring(digits, NANP[1] + len(NANP[0]), 1) >= NANP[2]).otherwise(True)
-        return national.between(least, most) & fourth
 
-    place = let(F.rpad(digits, DIGITS, "0"), search)
-    return F.when((F.length(digits) <= DIGITS) & (digits != ""), let(place, judged)).otherwise(False)
+def sql_phone(x: str, calling_code: str = "91") -> str:
+    """SQL of ``phone``."""
+    # the digits, with the sign of a number that begins with one
+    kept = f"regexp_replace(regexp_replace({x}, {quoted(r'[^0-9+\-\(\)\s]')}, ''), {quoted(r'(?<=.)\+|[^0-9+]')}, '')"
+    code = quoted(calling_code)
+    abroad = bind("d", "substr(n, 2)", f"CASE WHEN {_valid('d')} THEN n END")
+    home = f"CASE WHEN {_valid('h')} THEN concat('+', h) WHEN startswith(n, {code}) AND {_valid('n')} THEN concat('+', n) END"
+    here = bind("h", f"concat({code}, regexp_replace(n, '^0', ''))", home)
+    return bind("n", kept, f"CASE WHEN startswith(n, '+') THEN {abroad} ELSE {here} END")
 
 
 def phone(c: Column, calling_code: str = "91") -> Column:
     """E.164, for numbers that follow a plan; without a plus the default calling code counts."""
-    # the digits, with the sign of a number that begins with one
-    kept = F.regexp_replace(F.regexp_replace(c, r"[^0-9+\-\(\)\s]", ""), r"(?<=.)\+|[^0-9+]", "")
-    home = lambda n: F.concat(F.lit(calling_code), F.regexp_replace(n, "^0", ""))
-    signed = lambda n: F.concat(F.lit("+"), n)
-    abroad = lambda n: let(F.substr(n, F.lit(2)), lambda d: F.when(valid(d), n))
-    here = lambda n: let(home(n), lambda h: F.when(valid(h), signed(h)).when(n.startswith(calling_code) & valid(n), signed(n)))
-    return let(kept, lambda n: F.when(n.startswith("+"), abroad(n)).otherwise(here(n)))
+    return let_sql(c, sql_phone("x", calling_code))

@@ -13,9 +13,40 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def quoted(text: str) -> str:
+    """The text as an SQL literal."""
+    return f"r'{text}'" if "'" not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bind(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for the value, which is worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def let_sql(value: Column, body: str) -> Column:
+    """``body``, SQL of ``x``, with x for the value.
+
+    For large expressions: the driver parses one text, where building them from columns calls the JVM for every node.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
+
+
+def sql_map(table: dict[str, str]) -> str:
+    """SQL of a map from texts to texts."""
+    return f"map({', '.join(quoted(x) for pair in table.items() for x in pair)})"
+
+
+def sql_strip(x: str) -> str:
+    """SQL of ``strip``."""
+    return f"regexp_replace({x}, {quoted(_ENDS)}, '')"
+
+
+_ENDS = r"(?U)^\s+|\s+$"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, _ENDS, "")
 
 
 def title(c: Column) -> Column:
@@ -26,8 +57,7 @@ def title(c: Column) -> Column:
 
 def coerce(c: Column) -> Column:
     """Stripped text; null for blank text and the words that mean nothing."""
-    s = strip(c)
-    return F.when(~F.lower(s).isin(NULL_WORDS), s)
+    return let_sql(c, bind("s", sql_strip("x"), f"CASE WHEN lower(s) NOT IN ({', '.join(map(quoted, NULL_WORDS))}) THEN s END"))
 
 
 def blank_to_null(c: Column) -> Column:

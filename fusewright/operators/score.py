@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions.lookups import BASELINE, OTHER_BASELINE, WEIGHTS
+from ..functions.text import let_sql, quoted
 
 
 def clamp(c: Column) -> Column:
@@ -14,31 +15,28 @@ def clamp(c: Column) -> Column:
 
 
 def baseline(source: Column, table: dict[str, float] = BASELINE) -> Column:
-    out = F.lit(OTHER_BASELINE)
-    for name, value in table.items():
-        out = F.when(source == name, value).otherwise(out)
-    return out
+    return let_sql(source, f"CASE x {' '.join(f'WHEN {quoted(name)} THEN {value}D' for name, value in table.items())} ELSE {OTHER_BASELINE}D END")
 
 
-def quality(field: str, value: Column) -> Column:
-    """Sum of the rules' deltas for one value; emails and skills are judged as single strings."""
+def _quality(field: str, v: str) -> str:
+    """SQL: sum of the rules' deltas for one value; emails and skills are judged as single strings."""
+    number = f"try_cast({v} AS DOUBLE)"
     rules = {
-        "full_name": [(F.size(F.split(value, r"\s+")) >= 2, L.NAME_OF_TWO_WORDS), (F.length(value) > 30, L.LONG_NAME)],
-        "emails": [(F.length(value) > 0, L.EMAIL_PRESENT), (F.length(value) > 3, L.LONG_EMAIL)],
-        "phones": [(F.length(value) > 0, L.PHONE_PRESENT)],
-        "location": [(F.contains(value, F.lit(",")), L.PLACE_WITH_COMMA)],
-        "years_experience": [((value.try_cast("double") > 0) & (value.try_cast("double") < 50), L.YEARS_PLAUSIBLE), (value.try_cast("double") > 40, L.MANY_YEARS)],
-        "skills": [(F.length(value) >= 3, L.SKILL_OF_THREE), (F.length(value) >= 10, L.SKILL_OF_TEN)],
+        "full_name": [(f"size(split({v}, {quoted(r'\s+')})) >= 2", L.NAME_OF_TWO_WORDS), (f"length({v}) > 30", L.LONG_NAME)],
+        "emails": [(f"length({v}) > 0", L.EMAIL_PRESENT), (f"length({v}) > 3", L.LONG_EMAIL)],
+        "phones": [(f"length({v}) > 0", L.PHONE_PRESENT)],
+        "location": [(f"contains({v}, ',')", L.PLACE_WITH_COMMA)],
+        "years_experience": [(f"{number} > 0 AND {number} < 50", L.YEARS_PLAUSIBLE), (f"{number} > 40", L.MANY_YEARS)],
+        "skills": [(f"length({v}) >= 3", L.SKILL_OF_THREE), (f"length({v}) >= 10", L.SKILL_OF_TEN)],
     }
-    total = F.lit(0.0)
-    for holds, delta in rules.get(field, []):
-        total = total + F.when(holds, delta).otherwise(0.0)
-    return total
+    return " + ".join(["0D", *(f"CASE WHEN {holds} THEN {delta}D ELSE 0D END" for holds, delta in rules.get(field, []))])
 
 
 def field_confidence(field: str, value: Column, source: Column, agreeing: Column | int = 1) -> Column:
     agreeing = F.lit(agreeing) if isinstance(agreeing, int) else agreeing
-    return F.when(value.isNull() | (value == ""), 0.0).otherwise(clamp(baseline(source) + quality(field, value) + (agreeing - 1) * 0.02))
+    given = F.struct(value.alias("v"), baseline(source).alias("base"), agreeing.alias("n"))
+    total = f"x.base + ({_quality(field, 'x.v')}) + (x.n - 1) * 0.02D"
+    return let_sql(given, f"CASE WHEN x.v IS NULL OR x.v = '' THEN 0D ELSE round(greatest(0D, least(1D, {total})), 4) END")
 
 
 def list_confidence(field: str, size: Column, source: Column) -> Column:

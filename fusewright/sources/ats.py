@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 from ..errors import AtsError
 from ..functions import normalize as N
 from ..functions.lookups import ATS_KEYS, JOB_KEYS, STUDY_KEYS, WRAPPERS
-from ..functions.text import blank_to_null, coerce, entity_id, first_by, split_multi, strip
+from ..functions.text import bind, blank_to_null, coerce, entity_id, first_by, let_sql, quoted, split_multi, strip
 from ..schema import JOB, STUDY
 from .files import exists
 
+
+def _sql_is(v: str, kind: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({v}), '{kind}'), false)"
+
+
+def _sql_text(v: str) -> str:
+    return f"CASE WHEN NOT {_sql_is(v, 'ARRAY')} AND NOT {_sql_is(v, 'OBJECT')} THEN try_cast({v} AS STRING) END"
+
+
 def _is(v: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
@@ -23,19 +32,24 @@ def _key(v: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
+def _sql_key(name: str, kind: str = "variant") -> str:
+    return f"try_variant_get(x, {quoted('$.' + name)}, '{kind}')"
+
+
 def first_of(v: Column, keys: list[str]) -> Column:
     """The first key's value that is there and not JSON's null; blank text counts."""
-    return F.coalesce(*(F.when(~F.is_variant_null(_key(v, k)), _key(v, k)) for k in keys))
+    return let_sql(v, f"coalesce({', '.join(bind('found', _sql_key(k), 'CASE WHEN NOT is_variant_null(found) THEN found END') for k in keys)})")
 
 
 def text(v: Column) -> Column:
     """Text, number or truth value as text; null for lists and objects."""
-    return F.when(~_is(v, "ARRAY") & ~_is(v, "OBJECT"), v.try_cast("string"))
+    return let_sql(v, _sql_text("x"))
 
 
 def _some_text(v: Column, keys: list[str]) -> Column:
     """The first key's text that is not blank; of an object its name."""
-    return F.coalesce(*(blank_to_null(F.coalesce(text(_key(v, k)), _key(v, f"{k}.name", "string"))) for k in keys))
+    some = lambda k: f"nullif(coalesce({bind('found', _sql_key(k), _sql_text('found'))}, {_sql_key(k + '.name', 'string')}), '')"
+    return let_sql(v, f"coalesce({', '.join(map(some, keys))})")
 
 
 def items(v: Column) -> Column:
