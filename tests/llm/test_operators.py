@@ -369,6 +369,20 @@ def test_vectors_against_all_pairs(spark, piece, monkeypatch):
     assert [r.n_links for r in got] == close.sum(axis=1).tolist() and [r.component_id for r in got] == first.tolist() and [r.kept for r in got] == (first == np.arange(len(rows))).tolist()
 
 
+def test_vector_labels_that_fail_the_audit_are_whole(spark, monkeypatch):
+    """Without trees and rounds that find anything, the audit sends each label to the exact way, small and larger than a piece."""
+    from fusewright.llm import vector_neardup
+
+    empty = lambda nodes, threshold: (spark.createDataFrame([], vector_neardup._NEAR_SQL), vector_neardup._unproven(nodes, spark.createDataFrame([], vector_neardup._NEAR_SQL), threshold))
+    monkeypatch.setattr(vector_neardup, "_searched", empty)
+    monkeypatch.setattr(vector_neardup, "PIECE", 200)
+    rng = np.random.default_rng(12)
+    rows = [(1000 * label + i, v.tolist(), label) for label, n in ((0, 300), (1, 150), (2, 20)) for i, v in enumerate(rng.standard_normal((n, 24)))]
+    rows += [(1000 * label + 500 + 2 * k + j, v.tolist(), label) for label in (0, 1, 2) for k in range(15) for j, v in enumerate(_pair(rng, 0.94, 24))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (1, i - i % 2) if i % 1000 >= 500 else (0, i) for i, *_ in rows}
+
+
 @pytest.mark.parametrize("found, open_spaces", [("all", set()), ("hot", {"a"}), ("none", {"a"})])
 def test_vector_audit_sees_missing_links(spark, found, open_spaces):
     from fusewright.llm.vector_neardup import LIST, _unproven
