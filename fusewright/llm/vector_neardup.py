@@ -7,7 +7,7 @@
 3. NN-descent refines it: every node introduces its neighbours and reverse neighbours to one another
    (neighbours of neighbours), and each keeps its best.  Rounds end when they find no further link.
 4. The audit compares what the result would say of some nodes of each label with brute force over the label; a
-   label below the wanted recall, or in which no link was seen, gets more trees and rounds.  One that
+   label below the wanted recall, or in which no link was seen, gets more trees and rounds if it has more than ``PIECE`` nodes.  One that
    never passes is compared pair by pair, in pieces, whatever its size.  Of a label of at most ``PIECE`` nodes every node is audited, and
    no link may be missing.
 5. Links are the edges at or above the threshold.  A node whose whole list is above it may have more links
@@ -201,7 +201,7 @@ def _true_links(nodes: DataFrame, asked: DataFrame, threshold: float) -> DataFra
 
 
 def _unproven(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
-    """The labels (``space``) whose audit did not reach ``WANTED_RECALL`` or saw no link of a list that is not full.
+    """The labels (``space``, ``total``) whose audit did not reach ``WANTED_RECALL`` or saw no link of a list that is not full.
 
     Found is what the result counts: an edge of the graph, or a pair of one component with a node whose list is enlarged.
     Every node weighs the same however many links it has, and full lists are judged apart from the others.
@@ -220,7 +220,7 @@ def _unproven(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame
     wanted = F.when(F.first("total") <= PIECE, 1.0).otherwise(WANTED_RECALL)
     judged = shares.groupBy("space").agg(recall(F.col("kind") < 2).alias("open"), F.coalesce(recall(F.col("kind") == 2), F.lit(1.0)).alias("full"), wanted.alias("wanted"))
     passed = judged.where("open >= wanted and full >= wanted")
-    out = store(nodes.select("space").distinct().join(passed, "space", "left_anti"), "unproven")
+    out = store(nodes.select("space", "total").distinct().join(passed, "space", "left_anti"), "unproven")
     for table in (asked, links):
         discard(table)
     return out
@@ -307,9 +307,10 @@ def _searched(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
         if left and known > before * 1.001 + 1:
             continue
         unproven = _unproven(nodes, graph, threshold)
-        if not left or unproven.isEmpty():
+        again = unproven.where(F.col("total") > PIECE)  # a small label needs no further rounds: its pairs are few
+        if not left or again.isEmpty():
             return graph, unproven
-        again = nodes.join(unproven.select("space"), "space", "left_semi")
+        again = nodes.join(again.select("space"), "space", "left_semi")
         more = store(_merge(graph, _grouped(_leaves(again, range(trees, trees + MORE_TREES)), threshold)), "graph")
         discard(graph)
         graph, trees = more, trees + MORE_TREES
@@ -331,7 +332,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     whole, large = nodes.where(F.col("total") <= LEAF), nodes.where(F.col("total") > LEAF)
     graph, unproven = _searched(large, threshold) if not large.isEmpty() else (large.sparkSession.createDataFrame([], _NEAR_SQL), None)
     if unproven is not None:
-        whole = whole.unionByName(large.join(unproven, "space", "left_semi").select(whole.columns))
+        whole = whole.unionByName(large.join(unproven.select("space"), "space", "left_semi").select(whole.columns))
         graph = graph.join(whole, "node", "left_anti")
     pairs = store(_all_pairs(whole.select(F.col("space").alias("group"), "node", "n", "vec"), threshold), "pairs")
     links = store(_links(graph, threshold), "links")
