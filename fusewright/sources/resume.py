@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import ResumeError
 from ..functions import normalize as N
 from ..functions.lookups import DEGREE_IN_TEXT, GPA_IN_TEXT, MAIL_IN_TEXT, PHONE_IN_TEXT, RANGE_IN_TEXT, ROLES, SECTIONS, URL_IN_TEXT, YEARS_IN_TEXT
-from ..functions.text import blank_to_null, entity_id, split_multi, strip
+from ..functions.text import blank_to_null, entity_id, let, split_multi, strip
 from .files import exists
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -44,7 +44,7 @@ def segmented(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     of = lambda name: F.filter("_parts", lambda p: p["name"] == name)
     # a section counts once it has a line, blank or not
-    whole = lambda name: F.when(F.size(F.flatten(F.transform(of(name), lambda p: p["body"]))) > 0, F.array_join(F.flatten(F.transform(of(name), lambda p: p["body"])), "\n"))
+    whole = lambda name: let(F.flatten(F.transform(of(name), lambda p: p["body"])), lambda b: F.when(F.size(b) > 0, F.array_join(b, "\n")))
     step = docs.withColumn("_lines", F.split(text, LINE_END)).withColumn("_places", places).withColumn("_marks", marks).withColumn("_parts", F.transform("_marks", body))
     return step.withColumns({name: whole(name) for name in (HEADER, *SECTIONS)}).drop("_lines", "_places", "_marks", "_parts")
 
@@ -85,8 +85,9 @@ def name_of(header: Column) -> Column:
 
 def headline_of(header: Column, name: Column) -> Column:
     """First of eight lines with the noun of a role, ten words at most, that is neither the name nor a contact."""
-    fits = lambda x: ~F.coalesce(N.name(x) == name, F.lit(False)) & ~_contact(x) & ~x.rlike(PHONE_IN_TEXT) & x.rlike(rf"(?i)\b(?:{ROLES})\b") & (_words(x) <= 10)
-    return F.get(F.filter(F.slice(_filled(header), 1, 8), fits), F.lit(0))
+    # the name is compared last, as most lines have no role
+    fits = lambda x, n: x.rlike(rf"(?i)\b(?:{ROLES})\b") & ~_contact(x) & ~x.rlike(PHONE_IN_TEXT) & (_words(x) <= 10) & ~F.coalesce(N.name(x) == n, F.lit(False))
+    return let(name, lambda n: F.get(F.filter(F.slice(_filled(header), 1, 8), lambda x: fits(x, n)), F.lit(0)))
 
 
 def location_of(header: Column) -> Column:
@@ -121,14 +122,16 @@ def experience_of(text: Column) -> Column:
 
     def entry(b):
         rows = b["rows"]
-        head = F.split(F.get(rows, F.lit(0)), r"\s+(?:at|@|–|-)\s+|\s*\|\s*", 2)
         start, end = _dates(b["block"])
-        first = _without_year(F.get(head, F.lit(1)))
         second = F.when(~F.get(rows, F.lit(1)).rlike(RANGE_IN_TEXT), _without_year(F.get(rows, F.lit(1))))
         rest = F.filter(F.slice(rows, 3, F.greatest(F.size(rows), F.lit(1))), lambda x: ~x.rlike(RANGE_IN_TEXT))
-        return F.struct(
-            strip(F.get(head, F.lit(0))).alias("title"), F.coalesce(F.when(F.coalesce(first, F.lit("")) != "", first), second, first).alias("company"), N.date(start).alias("start_date"), N.date(end).alias("end_date"),
-            blank_to_null(F.array_join(rest, " ")).alias("description"), F.lit(None).cast("string").alias("location"),
+        company = lambda first: F.coalesce(blank_to_null(first), second, first)
+        return let(
+            F.split(F.get(rows, F.lit(0)), r"\s+(?:at|@|–|-)\s+|\s*\|\s*", 2),
+            lambda head: F.struct(
+                strip(F.get(head, F.lit(0))).alias("title"), let(_without_year(F.get(head, F.lit(1))), company).alias("company"), N.date(start).alias("start_date"), N.date(end).alias("end_date"),
+                let(F.array_join(rest, " "), blank_to_null).alias("description"), F.lit(None).cast("string").alias("location"),
+            ),
         )
 
     kept = lambda x: (F.coalesce(x["title"], F.lit("")) != "") | (F.coalesce(x["company"], F.lit("")) != "")
@@ -140,23 +143,27 @@ def education_of(text: Column) -> Column:
     nothing = F.lit(None).cast("string")
     blank = F.struct(nothing.alias("institution"), nothing.alias("degree"), nothing.alias("field"))
 
-    def read(a, line):
-        found = F.regexp_extract(line, DEGREE_IN_TEXT, 0)
+    def with_degree(a, line, found):
         after = strip(F.regexp_replace(strip(F.regexp_extract(line, DEGREE_IN_TEXT + "(.*)$", 2)), "^[in]+", ""))
-        takes = (found != "") & a["degree"].isNull()
-        names = ~takes & (F.coalesce(a["institution"], F.lit("")) == "") & (_words(line) >= 2) & ~line.rlike(RANGE_IN_TEXT)
-        field = F.when((after != "") & ~after.rlike(r"^\d"), strip(F.get(F.split(after, ","), F.lit(0))))
-        return F.struct(
-            F.when(names, _without_year(line)).otherwise(a["institution"]).alias("institution"), F.when(takes, found).otherwise(a["degree"]).alias("degree"),
-            F.when(takes & field.isNotNull(), field).otherwise(a["field"]).alias("field"),
-        )
+        field = let(after, lambda x: F.when((x != "") & ~x.rlike(r"^\d"), strip(F.get(F.split(x, ","), F.lit(0)))))
+        return F.struct(a["institution"].alias("institution"), found.alias("degree"), F.coalesce(field, a["field"]).alias("field"))
+
+    def without_degree(a, line):
+        names = (F.coalesce(a["institution"], F.lit("")) == "") & (_words(line) >= 2) & ~line.rlike(RANGE_IN_TEXT)
+        return F.struct(F.when(names, _without_year(line)).otherwise(a["institution"]).alias("institution"), a["degree"].alias("degree"), a["field"].alias("field"))
+
+    def read(a, line):
+        found = F.when(a["degree"].isNull(), F.regexp_extract(line, DEGREE_IN_TEXT, 0))
+        return let(found, lambda x: F.when(x != "", with_degree(a, line, x)).otherwise(without_degree(a, line)))
 
     def entry(b):
-        told = F.aggregate(F.slice(b["rows"], 1, 3), blank, read)
         start, end = _dates(b["block"])
-        return F.struct(
-            told["institution"].alias("institution"), told["degree"].alias("degree"), told["field"].alias("field_of_study"), N.date(start).alias("start_date"),
-            F.when(~end.rlike("(?i)^(present|current|now)"), N.date(end)).alias("end_date"), F.regexp_extract(b["block"], GPA_IN_TEXT, 1).try_cast("double").alias("gpa"),
+        return let(
+            F.aggregate(F.slice(b["rows"], 1, 3), blank, read),
+            lambda told: F.struct(
+                told["institution"].alias("institution"), told["degree"].alias("degree"), told["field"].alias("field_of_study"), N.date(start).alias("start_date"),
+                let(end, lambda e: F.when(~e.rlike("(?i)^(present|current|now)"), N.date(e))).alias("end_date"), F.regexp_extract(b["block"], GPA_IN_TEXT, 1).try_cast("double").alias("gpa"),
+            ),
         )
 
     kept = lambda x: (F.coalesce(x["institution"], F.lit("")) != "") | x["degree"].isNotNull()
