@@ -18,7 +18,7 @@ def test_rows_of_one_row_group_are_dealt_out(spark, made):
     assert sum(rows) <= 15_000 and len(rows) >= 3 and max(rows) <= synth.MOST_ROWS
 
 
-@pytest.mark.parametrize("name", ["resume_education"])
+@pytest.mark.parametrize("name", ["resume_education", "resume_experience"])
 def test_lists_are_made_once(spark, name):
     """A filter that the optimiser adds before an inner explode repeats the whole expression of its list."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
