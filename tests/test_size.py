@@ -16,6 +16,11 @@ def test_rows_of_one_row_group_are_dealt_out(spark, made):
     assert sum(rows) <= 15_000 and len(rows) >= 3 and max(rows) <= synth.MOST_ROWS
 
 
+def test_exports_are_dealt_out(spark):
+    rows = [r["count"] for r in synth.exports(spark, SF).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 12_000 and len(rows) >= 3 and max(rows) <= synth.MOST_ROWS
+
+
 @pytest.mark.parametrize("name, once", [("resume_education", "aggregate("), ("resume_experience", "(?:at|@|–|-)")])
 def test_lists_are_made_once(spark, name, once):
     """A filter that the optimiser adds before an inner explode, or a value used twice, repeats the whole expression of a list."""
