@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fusewright import synth
+from fusewright.operators import merge as M
 
 SF = "/root/testdata/sf0.1"
 
@@ -21,6 +22,18 @@ def test_exports_are_dealt_out(spark):
     assert sum(rows) == 12_000 and len(rows) >= 3 and max(rows) <= synth.MOST_ROWS
 
 
+def test_merged_entities_stay_dealt_out(spark):
+    """A task's memory in the merge follows the entities it is dealt, not the session's number of shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        entities = M.gather(synth.source_records(spark, SF))
+        rows = [r["count"] for r in entities.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(rows) == 15_000 and len(rows) >= 3 and max(rows) <= synth.MOST_ROWS
+
+
 @pytest.mark.parametrize("name, once", [("resume_education", "aggregate("), ("resume_experience", "(?:at|@|–|-)")])
 def test_lists_are_made_once(spark, name, once):
     """A filter that the optimiser adds before an inner explode, or a value used twice, repeats the whole expression of a list."""
